@@ -54,9 +54,14 @@ def running_before(
         *([F.sum("_w").over(by_key).alias(total)] if total else []),
     )
     local = Window.partitionBy("_pid", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    a = tagged.withColumn("_loc", F.coalesce(F.sum(weight).over(local), F.lit(0))).alias("a")
+    b = ranges.alias("b")
+    # null-safe key match: a null key (e.g. a blank pivot group) is a key like any other
+    cond = [F.col("a._pid") == F.col("b._pid")] + [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    extra = [F.col(f"b.{total}")] if total else []
     return (
-        tagged.withColumn("_loc", F.coalesce(F.sum(weight).over(local), F.lit(0)))
-        .join(ranges, ["_pid", *keys])
+        a.join(b, cond)
+        .select("a.*", F.col("b._off"), *extra)
         .withColumn(out, F.col("_off") + F.col("_loc"))
         .drop("_pid", "_off", "_loc")
     )
@@ -79,32 +84,34 @@ def dense_ranks(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     return running_before(ones, keys, value, "_one", out="dense").drop("_one")
 
 
-def exact_quantiles(long: DataFrame, key: str, value: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(long: DataFrame, key, value: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key (numpy/pandas default rule).
 
-    ``long`` holds (key, value) rows.  Returns (key, p, quantile). Only the rows
-    that hold a target position survive the filter, so the final groupBy is tiny.
+    ``long`` holds (key..., value) rows; ``key`` is one column name or a list.
+    Returns (key..., p, quantile). Only rows that hold a target position
+    survive the filter, so the final groupBy is tiny.
     """
-    counts = value_counts(long, [key], value)
-    ranked = running_before(counts, [key], value, "cnt", total="n")
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = value_counts(long, keys, value)
+    ranked = running_before(counts, keys, value, "cnt", total="n")
+    pos = (F.col("n") - 1)
     targets = F.array(*[
         F.struct(
             F.lit(float(p)).alias("p"),
-            F.floor((F.col("n") - 1) * F.lit(float(p))).cast("long").alias("lo"),
-            F.least(F.ceil((F.col("n") - 1) * F.lit(float(p))).cast("long"), F.col("n") - 1).alias("hi"),
-            ((F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))).alias("frac"),
+            F.floor(pos * F.lit(float(p))).cast("long").alias("lo"),
+            F.least(F.ceil(pos * F.lit(float(p))).cast("long"), pos).alias("hi"),
+            (pos * F.lit(float(p)) - F.floor(pos * F.lit(float(p)))).alias("frac"),
         )
         for p in probs
     ])
     start, end = F.col("before"), F.col("before") + F.col("cnt")
-    hits = (
-        ranked.select(key, value, start.alias("s"), end.alias("e"), F.explode(targets).alias("t"))
-        .where(((F.col("t.lo") >= F.col("s")) & (F.col("t.lo") < F.col("e")))
-               | ((F.col("t.hi") >= F.col("s")) & (F.col("t.hi") < F.col("e"))))
-    )
     in_lo = (F.col("t.lo") >= F.col("s")) & (F.col("t.lo") < F.col("e"))
     in_hi = (F.col("t.hi") >= F.col("s")) & (F.col("t.hi") < F.col("e"))
-    agg = hits.groupBy(key, F.col("t.p").alias("p")).agg(
+    hits = (
+        ranked.select(*keys, value, start.alias("s"), end.alias("e"), F.explode(targets).alias("t"))
+        .where(in_lo | in_hi)
+    )
+    agg = hits.groupBy(*keys, F.col("t.p").alias("p")).agg(
         F.max(F.when(in_lo, F.col(value))).alias("vlo"),
         F.max(F.when(in_hi, F.col(value))).alias("vhi"),
         F.max("t.frac").alias("frac"),
@@ -113,4 +120,4 @@ def exact_quantiles(long: DataFrame, key: str, value: str, probs: list[float]) -
     lerp = F.when(
         F.col("frac") < 0.5, F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))
     ).otherwise(F.col("vhi") - (F.col("vhi") - F.col("vlo")) * (F.lit(1.0) - F.col("frac")))
-    return agg.select(key, "p", F.when(F.col("frac") == 0, F.col("vlo")).otherwise(lerp).alias("quantile"))
+    return agg.select(*keys, "p", F.when(F.col("frac") == 0, F.col("vlo")).otherwise(lerp).alias("quantile"))

@@ -330,3 +330,84 @@ def q_iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
+
+
+# ------------------------------------------------------------ pivot
+
+from colscope.operators.pivot import pivot_report  # noqa: E402
+
+SQL_AGG = {
+    "sum": "coalesce(sum({v}), 0)",
+    "mean": "avg({v})",
+    "median": "median(CAST({v} AS DOUBLE))",
+    "min": "min({v})",
+    "max": "max({v})",
+    "count": "count(DISTINCT {v})",
+}
+
+
+def sql_pivot(source: str, rows: list[str], columns: list[str], value: str, function: str,
+              text_value: bool = False, typed_keys: tuple = ()) -> str:
+    """Oracle pivot: group on blank-filled keys, drop null aggregates, spread with PIVOT.
+
+    ``typed_keys``: non-text keys without nulls, which keep their type.
+    """
+    def key(c):
+        if c in typed_keys:
+            return q(c)
+        return f"coalesce(CAST({q(c)} AS VARCHAR), {lit('(En blanco)')})"
+    agg = SQL_AGG[function].format(v=q(value))
+    row_keys = ", ".join(f"{key(c)} AS {q(c)}" for c in rows)
+    row_names = ", ".join(q(c) for c in rows)
+    cell = "''" if text_value else "0"
+    wrap = (lambda e: e) if text_value else (lambda e: f"round({e}, 4)")
+    if not columns:
+        return f"""WITH src AS ({source}),
+g AS (SELECT {row_keys}, {agg} AS agg FROM src GROUP BY ALL)
+SELECT {row_names}, {wrap('agg')} AS {q(value)} FROM g WHERE agg IS NOT NULL"""
+    header = "concat_ws(' - ', " + ", ".join(key(c) for c in columns) + ")"
+    # PIVOT reads its input inline: its dynamic column list cannot see a CTE
+    grouped = (f"SELECT * FROM (SELECT {row_keys}, {header} AS hdr, {agg} AS agg FROM ({source}) src GROUP BY ALL) "
+               f"WHERE agg IS NOT NULL")
+    return f"""SELECT {row_names}, {wrap(f'COALESCE(COLUMNS(* EXCLUDE ({row_names})), {cell})')}
+FROM (PIVOT ({grouped}) ON hdr USING first(agg) GROUP BY {row_names})"""
+
+
+def _pivot_query(df: DataFrame, rows, columns, value, function, text_value=False) -> DataFrame:
+    out = pivot_report(df, rows, columns, value, function)
+    if text_value:
+        return out
+    return out.select(*[F.col(f"`{c}`") if c in rows else r4(F.col(f"`{c}`")).alias(c) for c in out.columns])
+
+
+PIVOT_LN = (["l_returnflag"], ["l_linestatus"], "l_quantity")
+for _fn in ["sum", "mean", "median", "min", "max"]:
+    def _make(fn):
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            return _pivot_query(tb.ln(spark, sf), *PIVOT_LN, fn)
+        run.__name__ = f"q_pivot_{fn}"
+        return run
+    register(f"pivot_{_fn}", sql_pivot(tb.LN_SQL, *PIVOT_LN, _fn))(_make(_fn))
+
+
+@register("pivot_count_distinct", sql_pivot(tb.LN_SQL, ["l_returnflag"], ["l_linestatus"], "l_discount", "count"))
+def q_pivot_count_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return _pivot_query(tb.ln(spark, sf), ["l_returnflag"], ["l_linestatus"], "l_discount", "count")
+
+
+@register("pivot_rows_only", sql_pivot(tb.LN_SQL, ["l_returnflag", "l_linestatus"], [], "l_extendedprice", "sum"))
+def q_pivot_rows_only(spark: SparkSession, sf: str) -> DataFrame:
+    return _pivot_query(tb.ln(spark, sf), ["l_returnflag", "l_linestatus"], [], "l_extendedprice", "sum")
+
+
+@register("pivot_two_column_keys", sql_pivot(tb.LN_SQL, ["l_linestatus"], ["l_returnflag", "l_linenumber"],
+                                             "l_discount", "mean"))
+def q_pivot_two_column_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return _pivot_query(tb.ln(spark, sf), ["l_linestatus"], ["l_returnflag", "l_linenumber"], "l_discount", "mean")
+
+
+@register("pivot_text_max", sql_pivot("SELECT * FROM customer", ["c_nationkey"], ["c_mktsegment"], "c_name", "max",
+                                      text_value=True, typed_keys=("c_nationkey",)))
+def q_pivot_text_max(spark: SparkSession, sf: str) -> DataFrame:
+    return _pivot_query(tb.load(spark, sf, "customer"), ["c_nationkey"], ["c_mktsegment"], "c_name", "max",
+                        text_value=True)
