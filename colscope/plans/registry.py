@@ -411,3 +411,139 @@ def q_pivot_two_column_keys(spark: SparkSession, sf: str) -> DataFrame:
 def q_pivot_text_max(spark: SparkSession, sf: str) -> DataFrame:
     return _pivot_query(tb.load(spark, sf, "customer"), ["c_nationkey"], ["c_mktsegment"], "c_name", "max",
                         text_value=True)
+
+
+# ------------------------------------------------------- correlation
+
+from colscope.operators import correlation as corr  # noqa: E402
+
+
+def sql_pearson_cell(x: str, y: str, src: str = "src") -> str:
+    return (f"SELECT {lit(x)} AS id_x, {lit(y)} AS id_y, round(CASE WHEN var_pop({q(x)}) FILTER (WHERE {q(y)} IS NOT NULL) > 0 "
+            f"AND var_pop({q(y)}) FILTER (WHERE {q(x)} IS NOT NULL) > 0 THEN corr({q(y)}, {q(x)}) END, 4) AS valor FROM {src}")
+
+
+def sql_spearman_cell(x: str, y: str) -> str:
+    return f"""SELECT {lit(x)} AS id_x, {lit(y)} AS id_y,
+  round(CASE WHEN var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END, 4) AS valor
+FROM (SELECT rank() OVER (ORDER BY {q(x)}) + (count(*) OVER (PARTITION BY {q(x)}) - 1) / 2.0 AS rx,
+             rank() OVER (ORDER BY {q(y)}) + (count(*) OVER (PARTITION BY {q(y)}) - 1) / 2.0 AS ry
+      FROM src WHERE {q(x)} IS NOT NULL AND {q(y)} IS NOT NULL)"""
+
+
+def sql_kendall_cell(x: str, y: str) -> str:
+    if x == y:
+        return (f"SELECT {lit(x)} AS id_x, {lit(y)} AS id_y, CASE WHEN count({q(x)}) > 0 THEN 1.0 END AS valor FROM src")
+    return f"""SELECT {lit(x)} AS id_x, {lit(y)} AS id_y,
+  round(CASE WHEN (n0 - n1) * (n0 - n2) > 0 THEN s / sqrt((n0 - n1) * (n0 - n2)) END, 4) AS valor
+FROM (SELECT CAST(count(*) AS DOUBLE) AS n0, CAST(count_if(a.x = b.x) AS DOUBLE) AS n1,
+             CAST(count_if(a.y = b.y) AS DOUBLE) AS n2, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s
+      FROM (SELECT row_number() OVER () AS rid, {q(x)} AS x, {q(y)} AS y FROM src
+            WHERE {q(x)} IS NOT NULL AND {q(y)} IS NOT NULL) a
+      JOIN (SELECT row_number() OVER () AS rid, {q(x)} AS x, {q(y)} AS y FROM src
+            WHERE {q(x)} IS NOT NULL AND {q(y)} IS NOT NULL) b ON a.rid < b.rid)"""
+
+
+def sql_matrix(source: str, cols: list[str], cell) -> str:
+    parts = [cell(x, y) for y in cols for x in cols]
+    return f"WITH src AS ({source})\n" + "\nUNION ALL\n".join(parts)
+
+
+def _double_cols(source: str, cols: list[str]) -> str:
+    return "SELECT " + ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in cols) + f" FROM ({source}) b"
+
+
+LNC_D = _double_cols(tb.LNC_SQL, tb.LNC_NUMERIC)
+DROP_SQL = f"SELECT * FROM ({LNC_D}) d WHERE " + " AND ".join(f"{q(c)} IS NOT NULL" for c in tb.LNC_NUMERIC)
+IMPUTE_SQL = ("SELECT " + ", ".join(f"coalesce({q(c)}, (SELECT avg({q(c)}) FROM ({LNC_D}) m)) AS {q(c)}"
+                                    for c in tb.LNC_NUMERIC) + f" FROM ({LNC_D}) d")
+
+
+def _matrix(df: DataFrame, strategy: str, method: str) -> DataFrame:
+    cols = corr.select_numeric(df)
+    ready = corr.apply_null_strategy(df, cols, strategy)
+    return corr.heatmap_cells(corr.matrix_pairs(ready, cols, method), cols)
+
+
+@register("corr_pairwise_pearson", sql_matrix(LNC_D, tb.LNC_NUMERIC, sql_pearson_cell))
+def q_corr_pairwise_pearson(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.lnc(spark, sf), "ignorar", "pearson")
+
+
+@register("corr_drop_rows", sql_matrix(DROP_SQL, tb.LNC_NUMERIC, sql_pearson_cell))
+def q_corr_drop_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.lnc(spark, sf), "eliminar_filas", "pearson")
+
+
+@register("corr_impute_mean", sql_matrix(IMPUTE_SQL, tb.LNC_NUMERIC, sql_pearson_cell))
+def q_corr_impute_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.lnc(spark, sf), "imputar_promedio", "pearson")
+
+
+SPEARMAN_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_qty_tax", "l_qty_left"]
+
+
+@register("corr_spearman", sql_matrix(_double_cols(tb.LNC_SQL, SPEARMAN_COLS), SPEARMAN_COLS, sql_spearman_cell))
+def q_corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.lnc(spark, sf).select(*SPEARMAN_COLS), "ignorar", "spearman")
+
+
+PART_CORR = ["p_partkey", "p_size", "p_retailprice"]
+CUSTOMER_CORR = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+@register("corr_spearman_part", sql_matrix(_double_cols("SELECT * FROM part", PART_CORR), PART_CORR, sql_spearman_cell))
+def q_corr_spearman_part(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.load(spark, sf, "part").select(*PART_CORR), "ignorar", "spearman")
+
+
+@register("corr_kendall", sql_matrix(_double_cols("SELECT * FROM part", PART_CORR), PART_CORR, sql_kendall_cell))
+def q_corr_kendall(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.load(spark, sf, "part").select(*PART_CORR), "ignorar", "kendall")
+
+
+@register("corr_kendall_customer",
+          sql_matrix(_double_cols("SELECT * FROM customer", CUSTOMER_CORR), CUSTOMER_CORR, sql_kendall_cell))
+def q_corr_kendall_customer(spark: SparkSession, sf: str) -> DataFrame:
+    return _matrix(tb.load(spark, sf, "customer").select(*CUSTOMER_CORR), "ignorar", "kendall")
+
+
+def sql_pair_table(source: str, cols: list[str]) -> str:
+    parts = []
+    for i, x in enumerate(cols):
+        for j in range(i + 1, len(cols)):
+            y = cols[j]
+            parts.append(f"SELECT {i} AS i, {j} AS j, {lit(x)} AS v1, {lit(y)} AS v2, "
+                         f"round(CASE WHEN var_pop({q(x)}) FILTER (WHERE {q(y)} IS NOT NULL) > 0 AND "
+                         f"var_pop({q(y)}) FILTER (WHERE {q(x)} IS NOT NULL) > 0 THEN corr({q(x)}, {q(y)}) END, 4) AS r FROM src")
+    return f"WITH src AS ({source}), pairs AS (" + "\nUNION ALL\n".join(parts) + ")"
+
+
+STRONG_SQL = sql_pair_table(LNC_D, tb.LNC_NUMERIC) + """,
+strong AS (SELECT CAST(row_number() OVER (ORDER BY abs(r) DESC, i, j) AS INTEGER) AS position,
+                  v1 AS variable_1, v2 AS variable_2, r AS coefficient,
+                  CASE WHEN r > 0 THEN 'Directa' ELSE 'Inversa' END AS kind
+           FROM pairs WHERE abs(r) >= 0.7)"""
+
+
+@register("corr_strong_pairs", STRONG_SQL + "\nSELECT * FROM strong")
+def q_corr_strong_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    rep = corr.correlation_report(tb.lnc(spark, sf))
+    return rep["strong_pairs"]
+
+
+@register("corr_key_variables", STRONG_SQL + """,
+seen AS (SELECT variable_1 AS variable, position * 2 AS seen_at FROM strong
+         UNION ALL SELECT variable_2, position * 2 + 1 FROM strong)
+SELECT variable, count(*) AS count, CAST(row_number() OVER (ORDER BY count(*) DESC, min(seen_at)) AS INTEGER) AS position
+FROM seen GROUP BY variable""")
+def q_corr_key_variables(spark: SparkSession, sf: str) -> DataFrame:
+    rep = corr.correlation_report(tb.lnc(spark, sf))
+    return rep["key_variables"]
+
+
+@register("corr_significance")
+def q_corr_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only: p-values need the incomplete beta function (unit-tested against integration)."""
+    rep = corr.correlation_report(tb.lnc(spark, sf))
+    return rep["significance"]
