@@ -547,3 +547,128 @@ def q_corr_significance(spark: SparkSession, sf: str) -> DataFrame:
     """Rows-only: p-values need the incomplete beta function (unit-tested against integration)."""
     rep = corr.correlation_report(tb.lnc(spark, sf))
     return rep["significance"]
+
+
+# ------------------------------------------ balance, selection, charts
+
+from colscope.operators import balance as bal  # noqa: E402
+from colscope.operators import selection as sel  # noqa: E402
+
+
+def sql_class_balance(source: str, columns: list[str]) -> str:
+    words = " + ".join(f"CASE WHEN contains(lower(name), {lit(w)}) THEN 1 ELSE 0 END" for w in bal.TARGET_WORDS)
+    ids = ", ".join(lit(n) for n in sorted(bal.ID_NAMES))
+    nd = "\nUNION ALL\n".join(
+        f"SELECT {lit(c)} AS name, count(DISTINCT CAST({q(c)} AS VARCHAR)) AS nd FROM src" for c in columns)
+    counts = "\nUNION ALL\n".join(
+        f"SELECT {lit(c)} AS name, CAST({q(c)} AS VARCHAR) AS class, count(*) AS count FROM src "
+        f"WHERE {q(c)} IS NOT NULL GROUP BY 2" for c in columns)
+    return f"""WITH src AS ({source}),
+nd AS ({nd}),
+cand AS (SELECT name, nd, {words} AS hits FROM nd
+         WHERE nd BETWEEN {bal.MIN_CLASSES} AND {bal.MAX_CLASSES}
+           AND NOT (lower(name) IN ({ids}) OR suffix(lower(name), '_id'))),
+pick AS (SELECT name FROM cand ORDER BY hits DESC, nd ASC, name DESC LIMIT 1),
+counts AS ({counts}),
+chosen AS (SELECT c.* FROM counts c JOIN pick p ON c.name = p.name),
+tot AS (SELECT sum(count) AS total, count(*) AS classes FROM chosen),
+dist AS (SELECT name, class, count, round(count * 100.0 / total, 2) AS percent, classes,
+                row_number() OVER (ORDER BY count DESC, class ASC) AS position FROM chosen, tot),
+ext AS (SELECT max(percent) FILTER (WHERE position = 1) AS major,
+               max(percent) FILTER (WHERE position = classes) AS minor FROM dist),
+rat AS (SELECT major, minor, CASE WHEN minor <> 0 THEN round(major / minor, 2) END AS ratio FROM ext)
+SELECT name AS variable, CAST(position AS INTEGER) AS position, class, count, percent,
+  CAST(classes AS INTEGER) AS classes, major AS majority_pct, minor AS minority_pct, ratio,
+  CASE WHEN major >= {bal.MARKED_SHARE} OR coalesce(ratio, 0) >= {bal.MARKED_RATIO} THEN {lit(bal.MARKED)}
+       WHEN major >= {bal.MODERATE_SHARE} OR coalesce(ratio, 0) >= {bal.MODERATE_RATIO} THEN {lit(bal.MODERATE)}
+       ELSE {lit(bal.BALANCED)} END AS level
+FROM dist, rat"""
+
+
+ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@register("class_balance", sql_class_balance("SELECT * FROM orders", ORDERS_COLS))
+def q_class_balance(spark: SparkSession, sf: str) -> DataFrame:
+    return bal.class_balance_frame(tb.load(spark, sf, "orders"))
+
+
+@register("class_balance_labels", sql_class_balance("SELECT * FROM labels", ["doc_id", "quality", "toxic"]))
+def q_class_balance_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return bal.class_balance_frame(tb.load(spark, sf, "labels"))
+
+
+@register("diverse_selection")
+def q_diverse_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only: the greedy walk is checked against a brute-force walk in tests."""
+    return sel.selection_frame(tb.lnc_all(spark, sf))
+
+
+@register("chart_data")
+def q_chart_data(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only (bin labels are display text); its counts are the A14/A17 queries."""
+    df = tb.ln(spark, sf)
+    return sel.chart_data(df, sel.select_diverse(df))
+
+
+# ------------------------------------------------------- paging, catalog (L1, X11)
+
+from colscope.operators.catalog import list_datasets  # noqa: E402
+from colscope.operators.paging import page_rows  # noqa: E402
+
+PAGE_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET {offset}"""
+
+
+@register("page_rows", PAGE_SQL.format(offset=50))
+def q_page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=3, size=25)
+    return rows
+
+
+@register("page_rows_deep", PAGE_SQL.format(offset=25 * 399))
+def q_page_rows_deep(spark: SparkSession, sf: str) -> DataFrame:
+    """Page 400 through the distributed row positions (no shallow shortcut)."""
+    rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=400, size=25, shallow_rows=0)
+    return rows
+
+
+def orders_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """A dataset registry derived from orders: one dataset per order, owned by its customer."""
+    o = tb.load(spark, sf, "orders")
+    k = F.col("o_orderkey").cast("string")
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("pedido_"), k).alias("name"),
+        F.col("o_orderpriority").alias("description"),
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("ventas "), k, F.lit(".csv"))).alias("file_name"),
+        F.concat(F.lit("/datos/u"), F.col("o_custkey").cast("string"), F.lit("/d"), k, F.lit("/archivo_"), k,
+                 F.lit(".xlsx")).alias("path"),
+        F.round("o_totalprice").cast("long").alias("size_bytes"),
+        F.col("o_orderdate").alias("uploaded_at"), F.col("o_custkey").alias("owner_id"),
+        F.col("o_orderstatus").alias("_status"),
+    )
+
+
+LISTING_OWNER = 605
+
+
+@register("owner_listing", f"""WITH cat AS (
+  SELECT o_orderkey AS id, 'pedido_' || CAST(o_orderkey AS VARCHAR) AS name, o_orderpriority AS description,
+         CASE WHEN o_orderstatus = 'F' THEN 'ventas ' || CAST(o_orderkey AS VARCHAR) || '.csv' END AS file_name,
+         '/datos/u' || CAST(o_custkey AS VARCHAR) || '/d' || CAST(o_orderkey AS VARCHAR) || '/archivo_'
+           || CAST(o_orderkey AS VARCHAR) || '.xlsx' AS path,
+         CAST(round(o_totalprice) AS BIGINT) AS size_bytes, o_orderdate AS uploaded_at, o_custkey AS owner_id,
+         o_orderstatus AS status FROM orders),
+mine AS (SELECT *, coalesce(nullif(file_name, ''), string_split(path, '/')[-1]) AS shown FROM cat
+         WHERE owner_id = {LISTING_OWNER})
+SELECT id, name, description, shown AS file_name, size_bytes,
+       strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') AS uploaded_at,
+       upper(regexp_extract(shown, '\\.([^./]+)$', 1)) AS format, 'Disponible' AS state,
+       id IN (SELECT id FROM cat WHERE status = 'P') AS report_available
+FROM mine""")
+def q_owner_listing(spark: SparkSession, sf: str) -> DataFrame:
+    cat = orders_catalog(spark, sf)
+    reports = cat.where(F.col("_status") == "P").select("id")
+    out = list_datasets(cat.drop("_status"), LISTING_OWNER, reports)
+    return out.withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss"))

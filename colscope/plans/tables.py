@@ -67,6 +67,16 @@ def lnc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lnc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ln`` (every column) plus the three derived numeric columns of ``lnc``."""
+    return ln(spark, sf_dir).select(
+        "*",
+        (F.col("l_quantity") * 2 + F.col("l_tax")).alias("l_qty_tax"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("l_net"),
+        (F.lit(100.0) - F.col("l_quantity")).alias("l_qty_left"),
+    )
+
+
 LNC_SQL = f"""SELECT {', '.join(LN_NUMERIC)},
   l_quantity * 2 + l_tax AS l_qty_tax,
   l_extendedprice * (1 - l_discount) AS l_net,
