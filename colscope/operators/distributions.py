@@ -109,27 +109,65 @@ def numeric_range_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
     return out
 
 
-def histogram_counts(df: DataFrame, specs: dict[str, list[float]], right_closed: bool = True) -> dict[str, list[int]]:
+def _padded(edges: list[float], width: int) -> list[float]:
+    return list(edges) + [float("inf")] * (width - len(edges))
+
+
+def histogram_counts(df: DataFrame, specs: dict[str, list[float]], right_closed: bool = True,
+                     fences: dict[str, tuple[float, float]] | None = None) -> dict[str, list[int]]:
     """Bin counts for many columns at once; empty bins kept as 0.
 
-    Each row is binned once per column, exploded to (column, bin) and counted
-    with a grouped aggregate: map-side partial counts leave at most
-    columns x bins rows per task for the shuffle, and the plan stays small
-    however many columns there are.
+    Rows are exploded to (column, value) first, then binned by one short
+    expression over that column's edge list, ``1 + sum(v > e_i)`` over the
+    inner edges (``>=`` for left-closed bins), lists padded with +inf.  The
+    code stays small whatever the number of columns or bins, and map-side
+    partial counts leave at most columns x bins rows per task for the shuffle.
+
+    ``fences`` (optional, {column: (lower, upper)}) adds, in the same pass,
+    the count of values outside them under key ``"<column>#outliers"``.
     """
-    if not specs:
+    fences = fences or {}
+    names = list(dict.fromkeys(list(specs) + list(fences)))
+    if not names:
         return {}
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    names = list(specs)
-    binned = df.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("vi"),
-            (right_closed_bin if right_closed else left_closed_bin)(finite_double(col(c), dtypes[c]), specs[c]).alias("bin"),
-        )
+    width = max([len(e) for e in specs.values()] + [2])
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in _padded(specs.get(c, []), width)]) for c in names])
+    inf = float("inf")
+    lo_t = F.array(*[F.lit(float(fences[c][0]) if c in fences else -inf) for c in names])
+    hi_t = F.array(*[F.lit(float(fences[c][1]) if c in fences else inf) for c in names])
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("vi"), finite_double(col(c), dtypes[c]).alias("v"))
         for i, c in enumerate(names)
-    ])).alias("e")).select("e.*").where(F.col("bin").isNotNull())
-    got = {(r["vi"], r["bin"]): r["cnt"] for r in binned.groupBy("vi", "bin").agg(F.count(F.lit(1)).alias("cnt")).collect()}
-    return {c: [int(got.get((i, j), 0)) for j in range(1, len(specs[c]))] for i, c in enumerate(names)}
+    ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    edges = F.element_at(table, F.col("vi") + 1)
+    v = F.col("v")
+    bin_ = F.lit(1)
+    for i in range(1, width - 1):
+        cond = (v > F.element_at(edges, i + 1)) if right_closed else (v >= F.element_at(edges, i + 1))
+        bin_ = bin_ + cond.cast("int")
+    first = F.element_at(edges, 1)
+    inside = (v > first) if right_closed else (v >= first)
+    bin_ = F.when(inside, bin_).otherwise(F.lit(0))
+    outside = ((v < F.element_at(lo_t, F.col("vi") + 1)) | (v > F.element_at(hi_t, F.col("vi") + 1))).cast("long")
+    grouped = long.select("vi", bin_.alias("bin"), outside.alias("out")).groupBy("vi", "bin").agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum("out").alias("out"))
+    got, outl = {}, {}
+    for r in grouped.collect():
+        got[(r["vi"], r["bin"])] = r["cnt"]
+        outl[r["vi"]] = outl.get(r["vi"], 0) + int(r["out"])
+    out = {}
+    for i, c in enumerate(names):
+        if c in specs:
+            n = len(specs[c]) - 1
+            counts = [int(got.get((i, j), 0)) for j in range(1, n + 1)]
+            if not right_closed:
+                # numpy: the last bin is closed on the right, so the maximum lands in it
+                counts[-1] += int(got.get((i, n + 1), 0))
+            out[c] = counts
+        if c in fences:
+            out[c + "#outliers"] = outl.get(i, 0)
+    return out
 
 
 def histogram_frame(df: DataFrame, columns: list[str], right_closed: bool = True) -> DataFrame:
@@ -173,23 +211,58 @@ def top_values(freq: DataFrame, k: int) -> DataFrame:
     return freq.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
 
-def top_and_distinct(df: DataFrame, columns: list[str], k: int) -> tuple[dict, dict]:
-    """One job: top-k rows and distinct counts per column (shared shuffle of the counts).
+def frequency_summary(df: DataFrame, columns: list[str], k: int, typed: list[str] = ()) -> tuple[dict, dict, dict]:
+    """One job over the per-value counts of ``columns`` (a single shared shuffle):
+
+    * top-k values per column (count desc, value asc) and distinct counts, when k > 0;
+    * for the text columns in ``typed``: non-null count and, per date layout,
+      how many values parse -- each distinct value is parsed once, weighted by
+      its count.
 
-    Returns ({column: [(value, count), ...]}, {column: distinct}).
+    Returns ({column: [(value, count), ...]}, {column: distinct}, {column: [nn, p0, p1, ...]}).
     """
+    from colscope.operators.semtypes import parsed_weight_exprs
+
+    if not columns:
+        return {}, {}, {}
     freq = frequency_long(df, columns)
-    top = top_values(freq, k).select("vi", "value", "cnt", "pos")
-    dist = freq.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
-        "vi", F.lit(None).cast("string").alias("value"), "cnt", F.lit(0).alias("pos"))
+    arr = "array<bigint>"
+    branches = []
+    if k > 0:
+        branches.append(top_values(freq, k).select(
+            "vi", "value", "cnt", "pos", F.lit(None).cast(arr).alias("parse")))
+        branches.append(freq.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
+            "vi", F.lit(None).cast("string").alias("value"), "cnt", F.lit(0).alias("pos"),
+            F.lit(None).cast(arr).alias("parse")))
+    typed_idx = [columns.index(c) for c in typed]
+    if typed_idx:
+        branches.append(
+            freq.where(F.col("vi").isin(typed_idx)).groupBy("vi")
+            .agg(F.array(F.sum("cnt"), *parsed_weight_exprs("value", "cnt")).alias("parse"))
+            .select("vi", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("cnt"),
+                    F.lit(-1).alias("pos"), "parse"))
     tops = {c: [] for c in columns}
     distinct = {c: 0 for c in columns}
-    for r in sorted(top.unionByName(dist).collect(), key=lambda r: (r["vi"], r["pos"])):
+    parse: dict = {}
+    if not branches:
+        return tops, distinct, parse
+    union = branches[0]
+    for br in branches[1:]:
+        union = union.unionByName(br)
+    for r in sorted(union.collect(), key=lambda r: (r["vi"], r["pos"])):
         name = columns[r["vi"]]
-        if r["pos"] == 0:
+        if r["pos"] == -1:
+            parse[name] = list(r["parse"])
+        elif r["pos"] == 0:
             distinct[name] = r["cnt"]
         else:
             tops[name].append((r["value"], r["cnt"]))
+    return tops, distinct, parse
+
+
+def top_and_distinct(df: DataFrame, columns: list[str], k: int) -> tuple[dict, dict]:
+    """Top-k rows and distinct counts per column (one shared shuffle of the counts)."""
+    tops, distinct, _ = frequency_summary(df, columns, k)
     return tops, distinct
 
 

@@ -1,7 +1,7 @@
 """Column profile in a fixed number of passes.
 
-pass 1  one aggregate per batch of columns: rows, null counts, min/max/mean/std,
-        date-parse counts of text columns (X1)
+pass 1  one long-form aggregate: rows, null counts, min/max/mean/std per column
+        (text columns are typed from their distinct values in pass 3, X1)
 pass 2  exact quartiles of all numeric columns together (distributed ranks)
 pass 3  value frequencies of all columns together: distinct counts, mode,
         top-5 counts and shares (one shuffle of the per-value counts)
@@ -25,10 +25,10 @@ from colscope.functions.scalar import (
     is_numeric_type, null_or_nan,
 )
 from colscope.operators.distributions import (
-    histogram_counts, interval_labels, right_closed_edges, top_and_distinct,
+    frequency_summary, histogram_counts, interval_labels, right_closed_edges,
 )
 from colscope.operators.ranks import exact_quantiles
-from colscope.operators.semtypes import parse_count_exprs, type_from_counts
+from colscope.operators.semtypes import kind_of
 
 QUARTILES = [0.25, 0.5, 0.75]
 IQR_FACTOR = 1.5
@@ -177,36 +177,44 @@ class Profile:
         return self.spark.createDataFrame(data, schema)
 
 
-def _pass1(df: DataFrame, vars_: list[VariableProfile], batch: int) -> int:
-    rows = None
-    for start in range(0, len(vars_), batch):
-        chunk = vars_[start:start + batch]
-        exprs = [F.count(F.lit(1)).alias("__rows")]
-        for v in chunk:
-            c = col(v.name)
-            i = v.ordinal
-            exprs.append(F.count_if(null_or_nan(c, v.dtype)).alias(f"nulls{i}"))
-            if is_numeric_type(v.dtype):
-                d = as_double(c, v.dtype)
-                exprs += [
-                    F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"),
-                    F.avg(d).alias(f"avg{i}"), F.stddev_samp(d).alias(f"std{i}"),
-                    F.count(d).alias(f"nnum{i}"),
-                ]
-            elif isinstance(v.dtype, T.StringType):
-                exprs += parse_count_exprs(v.name)
-        r = df.agg(*exprs).first().asDict()
-        rows = r["__rows"]
-        for v in chunk:
-            i = v.ordinal
-            v.nulls = r[f"nulls{i}"]
-            v.kind = type_from_counts(v.dtype, v.name, r)
-            if is_numeric_type(v.dtype):
-                v.minimum, v.maximum = r[f"min{i}"], r[f"max{i}"]
-                v.mean, v.std, v.n_numeric = r[f"avg{i}"], r[f"std{i}"], r[f"nnum{i}"]
+def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
+    """Rows, null counts and min/max/mean/std of every column in one long-form aggregate.
+
+    Each row is exploded to (column, missing flag, numeric value) and grouped by
+    column: the generated code is the same size for 10 or 1,000 columns, and
+    each task ships one partial row per column.
+    """
+    if not vars_:
+        return df.count()
+    none = F.lit(None).cast("double")
+    long = df.select(F.explode(F.array(*[
+        F.struct(
+            F.lit(v.ordinal).alias("vi"),
+            null_or_nan(col(v.name), v.dtype).alias("miss"),
+            (as_double(col(v.name), v.dtype) if is_numeric_type(v.dtype) else none).alias("x"),
+        )
+        for v in vars_
+    ])).alias("e")).select("e.*")
+    stats = long.groupBy("vi").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("miss").cast("long")).alias("nulls"),
+        F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("avg"),
+        F.stddev_samp("x").alias("std"), F.count("x").alias("nnum"),
+    ).collect()
+    if not stats:
+        for v in vars_:
+            v.kind = kind_of(v.dtype, None)
+        return 0
+    by = {r["vi"]: r for r in stats}
+    rows = stats[0]["rows"]
     for v in vars_:
+        r = by[v.ordinal]
+        v.nulls = int(r["nulls"])
         v.valid = rows - v.nulls
-    return rows or 0
+        v.kind = kind_of(v.dtype, None)
+        if is_numeric_type(v.dtype):
+            v.minimum, v.maximum = r["mn"], r["mx"]
+            v.mean, v.std, v.n_numeric = r["avg"], r["std"], r["nnum"]
+    return rows
 
 
 def _quartiles(df: DataFrame, numeric: list[VariableProfile]) -> None:
@@ -229,44 +237,38 @@ def fences(q1: float, q3: float) -> tuple[float, float] | None:
     return q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr
 
 
-def outlier_exprs(v: VariableProfile, alias: str):
-    q1, _, q3 = v.quartiles
-    if q1 is None:
-        return F.lit(0).cast("long").alias(alias)
-    f = fences(q1, q3)
-    if f is None:
-        return F.lit(0).cast("long").alias(alias)
-    d = finite_double(col(v.name), v.dtype)
-    return F.count_if((d < F.lit(f[0])) | (d > F.lit(f[1]))).alias(alias)
-
-
 def _pass4(df: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
+    """Outlier counts (A8) and right-closed histograms (A13) in one long-form pass."""
     if not numeric:
         return
-    specs = {}
-    if with_histograms:
-        for v in numeric:
-            if v.minimum is not None and v.n_numeric:
-                specs[v.name] = right_closed_edges(v.minimum, v.maximum, v.distinct)
-    exprs = [outlier_exprs(v, f"out{i}") for i, v in enumerate(numeric)]
-    row = df.agg(*exprs).first()
-    counts = histogram_counts(df, specs)
-    for i, v in enumerate(numeric):
-        v.outliers = int(row[f"out{i}"])
-        if v.name in counts:
-            labels = interval_labels(specs[v.name])
-            v.histogram = list(zip(labels, counts[v.name]))
-
-
-def profile(df: DataFrame, details: bool = True, batch: int = 48) -> Profile:
+    specs, fence = {}, {}
+    for v in numeric:
+        q1, _, q3 = v.quartiles
+        f = fences(q1, q3) if q1 is not None else None
+        if f is not None:
+            fence[v.name] = f
+        if with_histograms and v.minimum is not None and v.n_numeric:
+            specs[v.name] = right_closed_edges(v.minimum, v.maximum, v.distinct)
+    counts = histogram_counts(df, specs, True, fence)
+    for v in numeric:
+        v.outliers = int(counts.get(v.name + "#outliers", 0))
+        if v.name in specs:
+            v.histogram = list(zip(interval_labels(specs[v.name]), counts[v.name]))
+
+
+def profile(df: DataFrame, details: bool = True) -> Profile:
     """Profile every column of ``df``."""
     vars_ = [VariableProfile(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
-    rows = _pass1(df, vars_, batch)
+    rows = _pass1(df, vars_)
     numeric = [v for v in vars_ if v.kind == NUMERIC]
     _quartiles(df, numeric)
-    if details:
-        tops, distinct = top_and_distinct(df, [v.name for v in vars_], TOP_K)
-        for v in vars_:
+    text = [v.name for v in vars_ if isinstance(v.dtype, T.StringType)]
+    names = [v.name for v in vars_] if details else text
+    tops, distinct, parse = frequency_summary(df, names, TOP_K if details else 0, text)
+    for v in vars_:
+        if isinstance(v.dtype, T.StringType):
+            v.kind = kind_of(v.dtype, parse.get(v.name))
+        if details:
             v.top, v.distinct = tops[v.name], distinct[v.name]
     _pass4(df, numeric, with_histograms=details)
     return Profile(df.sparkSession, rows, vars_)

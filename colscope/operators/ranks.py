@@ -7,7 +7,10 @@ would put every distinct value of a column into one task; instead:
 
 1. range-partition the rows on ``(keys, order)`` (balanced by sampling, so a
    huge column spreads over many tasks), tag each row with its partition and
-   checkpoint, so the tag is stable if an executor is lost;
+   checkpoint to the shared checkpoint folder.  The two uses below must see
+   the same tags; relying on exchange reuse is not enough (column pruning
+   can give the two branches different exchanges, hence different sampled
+   range bounds), and a checkpoint also survives the loss of an executor;
 2. per ``(partition, keys)`` total -> a table with at most
    ``partitions + distinct keys`` rows; a window over it gives each range the
    weight of all ranges before it;
@@ -38,7 +41,8 @@ def running_before(
 
     ``total`` (optional) names a column with the key's whole weight.
     """
-    n = partitions or shuffle_partitions(rows.sparkSession)
+    spark = rows.sparkSession
+    n = partitions or shuffle_partitions(spark)
     tagged = reliable_checkpoint(
         rows.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
         .withColumn("_pid", F.spark_partition_id())

@@ -24,41 +24,60 @@ DATE_FORMATS = [
     ("MM/dd/yyyy HH:mm:ss", "%m/%d/%Y %H:%M:%S"),
     ("dd-MM-yyyy", "%d-%m-%Y"),
 ]
+
+# The shape each layout needs, checked before parsing: a failed parse is
+# costly (tens of seconds per million rows), a failed regex match is not.
+_D2, _D4, _HMS = r"\d{2}", r"\d{4}", r"\d{2}:\d{2}:\d{2}"
+SHAPES = {
+    "yyyy-MM-dd": f"^{_D4}-{_D2}-{_D2}$",
+    "yyyy-MM-dd HH:mm:ss": f"^{_D4}-{_D2}-{_D2} {_HMS}$",
+    "yyyy-MM-dd HH:mm": f"^{_D4}-{_D2}-{_D2} {_D2}:{_D2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": f"^{_D4}-{_D2}-{_D2}T{_HMS}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": f"^{_D4}-{_D2}-{_D2} {_HMS}\\.\\d{{6}}$",
+    "yyyy/MM/dd": f"^{_D4}/{_D2}/{_D2}$",
+    "MM/dd/yyyy": f"^{_D2}/{_D2}/{_D4}$",
+    "dd/MM/yyyy": f"^{_D2}/{_D2}/{_D4}$",
+    "MM/dd/yyyy HH:mm:ss": f"^{_D2}/{_D2}/{_D4} {_HMS}$",
+    "dd-MM-yyyy": f"^{_D2}-{_D2}-{_D4}$",
+}
 TEMPORAL_RATIO = 0.8
 
 
-def parse_count_exprs(name: str) -> list[Column]:
-    """Non-null count and one parse count per layout for a text column."""
-    c = col(name)
-    out = [F.count(c).alias(f"nn__{name}")]
-    for i, (pattern, _) in enumerate(DATE_FORMATS):
-        out.append(F.count(F.try_to_timestamp(c, F.lit(pattern))).alias(f"dt{i}__{name}"))
-    return out
+def parsed(c: Column, pattern: str) -> Column:
+    """Timestamp of ``c`` under ``pattern``, or null; the shape is checked first."""
+    return F.when(c.rlike(SHAPES[pattern]), F.try_to_timestamp(c, F.lit(pattern)))
+
+
+def parsed_weight_exprs(value: str, weight: str) -> list[Column]:
+    """Per layout: total weight of the (distinct) values that parse."""
+    c = F.col(value)
+    return [F.sum(F.when(parsed(c, pattern).isNotNull(), F.col(weight)).otherwise(0)).cast("long")
+            for pattern, _ in DATE_FORMATS]
 
 
-def type_from_counts(dt: T.DataType, name: str, row) -> str:
+def kind_of(dt: T.DataType, counts: list[int] | None) -> str:
+    """X1 rule: numeric -> temporal type -> text of which >= 80 % parses -> categorical.
+
+    ``counts`` = [non-null, parsed under layout 0, layout 1, ...] for text columns.
+    """
     if is_numeric_type(dt):
         return NUMERIC
     if is_temporal_type(dt):
         return TEMPORAL
-    if isinstance(dt, T.StringType):
-        nn = row[f"nn__{name}"]
-        if nn:
-            best = max(row[f"dt{i}__{name}"] for i in range(len(DATE_FORMATS)))
-            if best / nn >= TEMPORAL_RATIO:
-                return TEMPORAL
+    if isinstance(dt, T.StringType) and counts and counts[0]:
+        if max(counts[1:]) / counts[0] >= TEMPORAL_RATIO:
+            return TEMPORAL
     return CATEGORICAL
 
 
-def semantic_types(df: DataFrame, batch: int = 64) -> list[tuple[str, str]]:
-    """(column, type) in schema order; one aggregate per batch of text columns."""
+def semantic_types(df: DataFrame) -> list[tuple[str, str]]:
+    """(column, type) in schema order; text columns typed from their distinct values (one job)."""
+    from colscope.operators.distributions import frequency_summary
+
     fields = df.schema.fields
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    counts: dict = {}
-    for start in range(0, len(text), batch):
-        exprs = [e for name in text[start:start + batch] for e in parse_count_exprs(name)]
-        counts.update(df.agg(*exprs).first().asDict())
-    return [(f.name, type_from_counts(f.dataType, f.name, counts)) for f in fields]
+    parse = frequency_summary(df, text, 0, text)[2] if text else {}
+    return [(f.name, kind_of(f.dataType, parse.get(f.name))) for f in fields]
 
 
 def semantic_types_frame(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from colscope.functions.scalar import CATEGORICAL, NUMERIC, TEMPORAL
 from colscope.operators import distributions as dist
 from colscope.operators.profile import profile
-from colscope.operators.semtypes import DATE_FORMATS, TEMPORAL_RATIO, semantic_types
+from colscope.operators.semtypes import DATE_FORMATS, SHAPES, TEMPORAL_RATIO, semantic_types
 from colscope.plans import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,7 +234,9 @@ def sql_semantic_types(table: str, source: str, columns: list[tuple[str, str]])
         elif base == "temporal":
             kind = lit(TEMPORAL)
         else:
-            counts = ", ".join(f"count(try_strptime({q(c)}, {lit(fmt)}))" for _, fmt in DATE_FORMATS)
+            counts = ", ".join(
+                f"count(CASE WHEN regexp_matches({q(c)}, {lit(SHAPES[pat])}) THEN try_strptime({q(c)}, {lit(fmt)}) END)"
+                for pat, fmt in DATE_FORMATS)
             kind = (f"(SELECT CASE WHEN count({q(c)}) > 0 AND greatest({counts}) >= {TEMPORAL_RATIO} * count({q(c)}) "
                     f"THEN {lit(TEMPORAL)} ELSE {lit(CATEGORICAL)} END FROM src)")
         parts.append(f"SELECT {lit(table)} AS table_name, {i} AS ordinal, {lit(c)} AS variable, {kind} AS variable_type")
