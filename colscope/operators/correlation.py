@@ -78,6 +78,11 @@ def apply_null_strategy(df: DataFrame, cols: list[str], strategy: str) -> DataFr
     raise CorrelationError(f"Estrategia de nulos desconocida: {strategy}. Opciones: {STRATEGIES}")
 
 
+def _clamp(r):
+    """r into [-1, 1]; null stays null (``greatest`` alone would skip the null)."""
+    return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+
+
 def _pair_literal(k: int, diagonal: bool):
     pairs = [(i, j) for i in range(k) for j in range(i if diagonal else i + 1, k)]
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
@@ -105,7 +110,7 @@ def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     )
     denom = F.sqrt(F.col("vx") * F.col("vy"))
     r = F.when(denom > 0, F.col("cov") / denom)
-    return m.select("i", "j", "n", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("r"))
+    return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 
 def _pair_counts(num: DataFrame, cols: list[str]) -> DataFrame:
@@ -137,7 +142,7 @@ def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     va = n * F.col("saa") - F.col("sa") * F.col("sa")
     vb = n * F.col("sbb") - F.col("sb") * F.col("sb")
     r = F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
-    return m.select("i", "j", "n", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("r"))
+    return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 
 def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
@@ -175,7 +180,7 @@ def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     num_ = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.coalesce(F.col("d"), F.lit(0))
     den = (n0 - F.col("n1")) * (n0 - F.col("n2"))
     r = F.when(den > 0, num_ / F.sqrt(den))
-    return t.select("i", "j", "n", F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)).alias("r"))
+    return t.select("i", "j", "n", _clamp(r).alias("r"))
 
 
 def matrix_pairs(num: DataFrame, cols: list[str], method: str) -> DataFrame:

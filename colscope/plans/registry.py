@@ -674,3 +674,21 @@ def q_owner_listing(spark: SparkSession, sf: str) -> DataFrame:
     reports = cat.where(F.col("_status") == "P").select("id")
     out = list_datasets(cat.drop("_status"), LISTING_OWNER, reports)
     return out.withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+# ------------------------------------------------------------- store, context
+
+from colscope.sources.store import profile_context, profile_tables  # noqa: E402
+
+
+@register("profile_details")
+def q_profile_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only: the full detail table (labelled statistics, histograms, top-5 shares)."""
+    return profile(tb.ln(spark, sf)).details_frame()
+
+
+@register("profile_json")
+def q_profile_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only: the compact JSON context of the lineitem profile (one row)."""
+    tables = profile_tables(profile(tb.ln(spark, sf)))
+    return profile_context(tables, {"id": 1, "name": "lineitem", "file_name": "lineitem.parquet"})
