@@ -49,6 +49,23 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def sql_np_quantile(c: str, p: float) -> str:
+    """Scalar subquery over ``src``: numpy's linear quantile of column ``c``.
+
+    h = (n-1)p, a/b the values at floor(h)/ceil(h), t = h - floor(h);
+    a + t(b-a) below t = 0.5, b - (b-a)(1-t) from 0.5 on (numpy's lerp).
+    """
+    return f"""(SELECT CASE WHEN max(t) < 0.5 THEN max(a) + max(t) * (max(b) - max(a))
+                ELSE max(b) - (max(b) - max(a)) * (1 - max(t)) END
+   FROM (SELECT CASE WHEN rn = lo THEN v END AS a, CASE WHEN rn = hi THEN v END AS b, t
+         FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn,
+                      floor((n - 1) * {p}) AS lo, least(ceil((n - 1) * {p}), n - 1) AS hi,
+                      (n - 1) * {p} - floor((n - 1) * {p}) AS t
+               FROM (SELECT v, count(*) OVER () AS n
+                     FROM (SELECT CAST({q(c)} AS DOUBLE) AS v FROM src WHERE {q(c)} IS NOT NULL)))
+         WHERE rn = lo OR rn = hi))"""
+
+
 def sql_profile_variables(source: str, columns: list[tuple[str, str]]) -> str:
     """columns: (name, kind) in order; kind is the semantic type label."""
     parts = []
@@ -60,8 +77,8 @@ def sql_profile_variables(source: str, columns: list[tuple[str, str]]) -> str:
   CAST(CASE WHEN max(s.q3) - max(s.q1) = 0 OR max(s.q1) IS NULL THEN 0
        ELSE count_if(t.v < s.q1 - 1.5 * (s.q3 - s.q1) OR t.v > s.q3 + 1.5 * (s.q3 - s.q1)) END AS BIGINT) AS outliers
 FROM (SELECT CAST({q(c)} AS DOUBLE) AS v FROM src) t,
-     (SELECT quantile_cont(CAST({q(c)} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({q(c)} AS DOUBLE), 0.5) AS q2,
-             quantile_cont(CAST({q(c)} AS DOUBLE), 0.75) AS q3 FROM src) s""")
+     (SELECT {sql_np_quantile(c, 0.25)} AS q1, {sql_np_quantile(c, 0.5)} AS q2,
+             {sql_np_quantile(c, 0.75)} AS q3) s""")
         else:
             parts.append(f"""SELECT {i} AS ordinal, {lit(c)} AS variable, {lit(kind)} AS variable_type,
   count({q(c)}) AS valid, count(*) - count({q(c)}) AS nulls,
@@ -103,7 +120,7 @@ def sql_numeric_detail(source: str, numeric: list[str], all_columns: list[str])
         i = all_columns.index(c)
         v = f"CAST({q(c)} AS DOUBLE)"
         parts.append(f"""SELECT {i} AS ordinal, {lit(c)} AS variable, round(min({v}), 4) AS min, round(max({v}), 4) AS max,
-  round(avg({v}), 4) AS mean, round(median({v}), 4) AS median,
+  round(avg({v}), 4) AS mean, round({sql_np_quantile(c, 0.5)}, 4) AS median,
   round(CASE WHEN count({v}) > 1 THEN stddev_samp({v}) WHEN count({v}) = 1 THEN 0 END, 4) AS std FROM src""")
     return f"WITH src AS ({source})\n" + "\nUNION ALL\n".join(parts)
 
@@ -296,7 +313,7 @@ def sql_outliers(table: str, source: str, columns: list[str]) -> str:
   CAST(CASE WHEN max(s.q3) - max(s.q1) = 0 OR max(s.q1) IS NULL THEN 0
        ELSE count_if(t.v < s.q1 - 1.5 * (s.q3 - s.q1) OR t.v > s.q3 + 1.5 * (s.q3 - s.q1)) END AS BIGINT) AS outliers
 FROM (SELECT CAST({q(c)} AS DOUBLE) AS v FROM src) t,
-     (SELECT quantile_cont(CAST({q(c)} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({q(c)} AS DOUBLE), 0.75) AS q3 FROM src) s""")
+     (SELECT {sql_np_quantile(c, 0.25)} AS q1, {sql_np_quantile(c, 0.75)} AS q3) s""")
     return f"(WITH src AS ({source})\n" + "\nUNION ALL\n".join(parts) + ")"
 
 
@@ -620,16 +637,17 @@ from colscope.operators.paging import page_rows  # noqa: E402
 
 PAGE_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
   strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, o_orderpriority
-FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET {offset}"""
+FROM orders ORDER BY o_orderkey LIMIT 25
+OFFSET (SELECT (least({page}, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT))) - 1) * 25 FROM orders)"""
 
 
-@register("page_rows", PAGE_SQL.format(offset=50))
+@register("page_rows", PAGE_SQL.format(page=3))
 def q_page_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=3, size=25)
     return rows
 
 
-@register("page_rows_deep", PAGE_SQL.format(offset=25 * 399))
+@register("page_rows_deep", PAGE_SQL.format(page=400))
 def q_page_rows_deep(spark: SparkSession, sf: str) -> DataFrame:
     """Page 400 through the distributed row positions (no shallow shortcut)."""
     rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=400, size=25, shallow_rows=0)
