@@ -2,10 +2,9 @@
 
 Matrix plans, all pairwise-complete like pandas ``DataFrame.corr``:
 
-* Pearson: one pass; every row is exploded against a literal list of column
-  pairs (i <= j), rows with a null side dropped, then ``groupBy(i, j)`` with
-  ``count / covar_pop / var_pop``; map-side partial aggregation leaves
-  ~k^2/2 rows per task for the shuffle.
+* Pearson: one pass; each task reduces its Arrow batches to k x k co-moment
+  matrices (matrix products with null masks), the k(k+1)/2 rows per task are
+  merged per pair with the parallel-variance formulas in a small aggregate.
 * Spearman: per pair, the (x, y) count table; average ranks of x and of y on
   the pair's complete rows from the distributed running counts; Pearson of the
   ranks as weighted sums.
@@ -17,6 +16,8 @@ Matrix plans, all pairwise-complete like pandas ``DataFrame.corr``:
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,16 +101,103 @@ def pair_rows(num: DataFrame, cols: list[str], diagonal: bool = True) -> DataFra
     )
 
 
+_MOMENTS_SCHEMA = (
+    "i int, j int, n long, mx double, my double, m2x double, m2y double, cxy double, "
+    "lox double, hix double, loy double, hiy double"
+)
+
+
+def _batch_moments(x: np.ndarray):
+    """Per column pair (i, j), on the rows where both are present: count, means,
+    centred second moments, co-moment, and min/max of each side (k x k arrays)."""
+    m = ~np.isnan(x)
+    mf = m.astype(np.float64)
+    # shift each column by a value of its own for accuracy (any constant works)
+    shift = np.where(m.any(axis=0), np.nanmax(np.where(m, x, -np.inf), axis=0), 0.0)
+    x0 = np.where(m, x - shift, 0.0)
+    n = mf.T @ mf                               # n[i, j]
+    sx = x0.T @ mf                              # sum of x_i over rows with j present
+    sxx = (x0 * x0).T @ mf
+    sxy = x0.T @ x0
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean_x = sx / n                         # of column i, on rows with j present
+        m2x = sxx - sx * sx / n
+        cxy = sxy - sx * sx.T / n
+    k = x.shape[1]
+    lo = np.full((k, k), np.inf)
+    hi = np.full((k, k), -np.inf)
+    for j in range(k):
+        both = m & m[:, [j]]
+        lo[:, j] = np.min(np.where(both, x, np.inf), axis=0)
+        hi[:, j] = np.max(np.where(both, x, -np.inf), axis=0)
+    return n, mean_x + shift[:, None], np.maximum(m2x, 0.0), cxy, lo, hi
+
+
+def _merge(a, b):
+    """Parallel combination of two moment sets (Chan et al.), elementwise over pairs."""
+    na, mxa, m2a, ca, loa, hia = a
+    nb, mxb, m2b, cb, lob, hib = b
+    n = na + nb
+    with np.errstate(invalid="ignore", divide="ignore"):
+        wa = np.where(n > 0, na / n, 0.0)
+        wb = np.where(n > 0, nb / n, 0.0)
+        mxa0, mxb0 = np.nan_to_num(mxa), np.nan_to_num(mxb)
+        mean = mxa0 * wa + mxb0 * wb
+        d = mxb0 - mxa0                          # of column i (rows with j present)
+        m2 = np.nan_to_num(m2a) + np.nan_to_num(m2b) + d * d * na * wb
+        c = np.nan_to_num(ca) + np.nan_to_num(cb) + d * d.T * na * wb
+    return n, np.where(n > 0, mean, np.nan), m2, c, np.minimum(loa, lob), np.maximum(hia, hib)
+
+
+def _moments_of_partition(k: int):
+    def run(batches):
+        acc = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            cur = _batch_moments(pdf.to_numpy(dtype=np.float64, na_value=np.nan))
+            acc = cur if acc is None else _merge(acc, cur)
+        if acc is None:
+            return
+        n, mean, m2, c, lo, hi = acc
+        iu, ju = np.triu_indices(k)
+        keep = n[iu, ju] > 0
+        iu, ju = iu[keep], ju[keep]
+        yield pd.DataFrame({
+            "i": iu.astype(np.int32), "j": ju.astype(np.int32), "n": n[iu, ju].astype(np.int64),
+            "mx": mean[iu, ju], "my": mean[ju, iu], "m2x": m2[iu, ju], "m2y": m2[ju, iu], "cxy": c[iu, ju],
+            "lox": lo[iu, ju], "hix": hi[iu, ju], "loy": lo[ju, iu], "hiy": hi[ju, iu],
+        })
+    return run
+
+
 def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i <= j; r null for a constant side or < 2 complete rows."""
-    m = pair_rows(num, cols).groupBy("i", "j").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.covar_pop("x", "y").alias("cov"),
-        F.var_pop("x").alias("vx"),
-        F.var_pop("y").alias("vy"),
+    """(i, j, n, r) for i <= j, pairwise-complete; r null for a constant side or < 2 rows.
+
+    Each task turns its Arrow batches into k x k co-moment matrices with a few
+    matrix products (null masks included) and emits k(k+1)/2 rows; the rows of
+    all tasks are merged per pair with the parallel-variance formulas in one
+    small grouped aggregate.  No per-row explode, no per-row Python.
+    """
+    k = len(cols)
+    parts = num.select(*[col(c) for c in cols]).mapInPandas(_moments_of_partition(k), _MOMENTS_SCHEMA)
+    w = Window.partitionBy("i", "j")
+    total = F.sum("n").over(w)
+    mx_all = F.sum(F.col("n") * F.col("mx")).over(w) / total
+    my_all = F.sum(F.col("n") * F.col("my")).over(w) / total
+    centred = parts.select(
+        "i", "j", "n", "m2x", "m2y", "cxy", "lox", "hix", "loy", "hiy",
+        (F.col("mx") - mx_all).alias("dx"), (F.col("my") - my_all).alias("dy"))
+    m = centred.groupBy("i", "j").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("m2x") + F.col("n") * F.col("dx") * F.col("dx")).alias("sxx"),
+        F.sum(F.col("m2y") + F.col("n") * F.col("dy") * F.col("dy")).alias("syy"),
+        F.sum(F.col("cxy") + F.col("n") * F.col("dx") * F.col("dy")).alias("sxy"),
+        F.min("lox").alias("lox"), F.max("hix").alias("hix"),
+        F.min("loy").alias("loy"), F.max("hiy").alias("hiy"),
     )
-    denom = F.sqrt(F.col("vx") * F.col("vy"))
-    r = F.when(denom > 0, F.col("cov") / denom)
+    spread = (F.col("hix") > F.col("lox")) & (F.col("hiy") > F.col("loy")) & (F.col("sxx") > 0) & (F.col("syy") > 0)
+    r = F.when(spread, F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
     return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 
