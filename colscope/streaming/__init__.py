@@ -1,0 +1,2 @@
+"""No streaming operators: the reference has no stream source, watermark,
+window or state (SURVEY §2.11); every analysis re-reads a table in batch."""
