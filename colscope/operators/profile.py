@@ -2,9 +2,10 @@
 
 pass 1  one long-form aggregate: rows, null counts, min/max/mean/std per column
         (text columns are typed from their distinct values in pass 3, X1)
-pass 2  exact quartiles of all numeric columns together (distributed ranks)
-pass 3  value frequencies of all columns together: distinct counts, mode,
-        top-5 counts and shares (one shuffle of the per-value counts)
+pass 2  one value-count table of all numeric columns (distributed ranks):
+        exact quartiles, distinct counts and top-5 values in one query
+pass 3  value frequencies of the other columns: distinct counts, mode, top-5
+        counts and shares, date sniffing on distinct text values
 pass 4  one aggregate: IQR outlier counts and histogram bins, fences and
         edges entering as literals
 
@@ -16,18 +17,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.scalar import (
-    CATEGORICAL, NOT_AVAILABLE, NUMERIC, TEMPORAL, as_double, col, finite_double,
+    CATEGORICAL, NOT_AVAILABLE, NUMERIC, TEMPORAL, as_double, as_text, col, finite_double,
     is_numeric_type, null_or_nan,
 )
 from colscope.operators.distributions import (
     frequency_summary, histogram_counts, interval_labels, right_closed_edges,
 )
-from colscope.operators.ranks import exact_quantiles
+from colscope.operators.ranks import range_tag, running_before_tagged
 from colscope.operators.semtypes import kind_of
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -217,16 +218,79 @@ def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
     return rows
 
 
-def _quartiles(df: DataFrame, numeric: list[VariableProfile]) -> None:
+def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool) -> None:
+    """Pass 2: one value-count table of all numeric columns feeds, in one query,
+    the exact quartiles, the distinct counts and the top-5 values.
+
+    The count table (column, value, text, count) is range-partitioned and
+    checkpointed by ``running_before``; quartile targets, distinct counts and
+    top-k rows are read off it in one union query (bounded result).
+    """
     if not numeric:
         return
+    text = [as_text(col(v.name), v.dtype) if details else F.lit(None).cast("string") for v in numeric]
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("vi"), finite_double(col(v.name), v.dtype).alias("v"))
+        F.struct(F.lit(i).alias("vi"), finite_double(col(v.name), v.dtype).alias("v"), text[i].alias("t"))
         for i, v in enumerate(numeric)
-    ])).alias("e")).select("e.*")
-    got = {(r["vi"], r["p"]): r["quantile"] for r in exact_quantiles(long, "vi", "v", QUARTILES).collect()}
+    ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    # the text form (needed only for the top-5 table) is a grouping key, not an
+    # aggregate: hash aggregation stays available, 64-bit integers keep exact text
+    counts = long.groupBy("vi", "v", "t").agg(F.count(F.lit(1)).alias("cnt"))
+    tagged = range_tag(counts, ["vi"], "v")
+    ranked = running_before_tagged(tagged, ["vi"], "v", "cnt", total="n")
+    pos = F.col("n") - 1
+    targets = F.array(*[
+        F.struct(F.lit(qi).alias("q"), F.floor(pos * F.lit(p)).cast("long").alias("lo"),
+                 F.least(F.ceil(pos * F.lit(p)).cast("long"), pos).alias("hi"),
+                 (pos * F.lit(p) - F.floor(pos * F.lit(p))).alias("f"))
+        for qi, p in enumerate(QUARTILES)
+    ])
+    start, end = F.col("before"), F.col("before") + F.col("cnt")
+    in_lo = (F.col("t.lo") >= start) & (F.col("t.lo") < end)
+    in_hi = (F.col("t.hi") >= start) & (F.col("t.hi") < end)
+    hits = ranked.select("vi", "v", "before", "cnt", F.explode(targets).alias("t")).where(in_lo | in_hi).select(
+        F.lit(1).alias("kind"), "vi", F.col("t.q").alias("pos"),
+        F.when(in_lo, F.col("v")).alias("a"), F.when(in_hi, F.col("v")).alias("b"),
+        F.col("t.f").alias("f"), F.lit(None).cast("string").alias("value"), F.col("cnt"))
+    parts = [hits]
+    if details:
+        w = Window.partitionBy("vi").orderBy(F.col("cnt").desc(), F.col("t").asc())
+        parts.append(tagged.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= TOP_K).select(
+            F.lit(2).alias("kind"), "vi", "pos", F.lit(None).cast("double").alias("a"),
+            F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
+            F.col("t").alias("value"), "cnt"))
+        parts.append(tagged.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
+            F.lit(3).alias("kind"), "vi", F.lit(0).alias("pos"), F.lit(None).cast("double").alias("a"),
+            F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
+            F.lit(None).cast("string").alias("value"), "cnt"))
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    got: dict = {}
+    for r in union.collect():
+        v = numeric[r["vi"]]
+        if r["kind"] == 1:
+            slot = got.setdefault((r["vi"], r["pos"]), [None, None, r["f"]])
+            if r["a"] is not None:
+                slot[0] = r["a"]
+            if r["b"] is not None:
+                slot[1] = r["b"]
+        elif r["kind"] == 2:
+            v.top.append((r["pos"], r["value"], int(r["cnt"])))
+        else:
+            v.distinct = int(r["cnt"])
     for i, v in enumerate(numeric):
-        v.quartiles = tuple(got.get((i, p)) for p in QUARTILES)
+        v.top = [(val, c) for _, val, c in sorted(v.top)]
+        v.quartiles = tuple(_lerp(*got[(i, qi)]) if (i, qi) in got else None for qi in range(len(QUARTILES)))
+
+
+def _lerp(a: float, b: float, t: float) -> float:
+    """numpy's linear interpolation between neighbours a and b at fraction t."""
+    if t == 0:
+        return a
+    if t < 0.5:
+        return a + t * (b - a)
+    return b - (b - a) * (1 - t)
 
 
 def fences(q1: float, q3: float) -> tuple[float, float] | None:
@@ -261,14 +325,14 @@ def profile(df: DataFrame, details: bool = True) -> Profile:
     vars_ = [VariableProfile(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
     rows = _pass1(df, vars_)
     numeric = [v for v in vars_ if v.kind == NUMERIC]
-    _quartiles(df, numeric)
+    _numeric_pass(df, numeric, details)
     text = [v.name for v in vars_ if isinstance(v.dtype, T.StringType)]
-    names = [v.name for v in vars_] if details else text
-    tops, distinct, parse = frequency_summary(df, names, TOP_K if details else 0, text)
+    others = [v.name for v in vars_ if v.kind != NUMERIC] if details else text
+    tops, distinct, parse = frequency_summary(df, others, TOP_K if details else 0, text)
     for v in vars_:
         if isinstance(v.dtype, T.StringType):
             v.kind = kind_of(v.dtype, parse.get(v.name))
-        if details:
+        if details and v.kind != NUMERIC:
             v.top, v.distinct = tops[v.name], distinct[v.name]
     _pass4(df, numeric, with_histograms=details)
     return Profile(df.sparkSession, rows, vars_)

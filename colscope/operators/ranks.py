@@ -28,25 +28,24 @@ from pyspark.sql import functions as F
 from colscope.session import reliable_checkpoint, shuffle_partitions
 
 
-def running_before(
-    rows: DataFrame,
+def range_tag(rows: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
+    """Step 1: range-partition on (keys, order), tag rows with their range, checkpoint."""
+    n = partitions or shuffle_partitions(rows.sparkSession)
+    return reliable_checkpoint(
+        rows.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
+        .withColumn("_pid", F.spark_partition_id())
+    )
+
+
+def running_before_tagged(
+    tagged: DataFrame,
     keys: list[str],
     order: str,
     weight: str,
     out: str = "before",
     total: str | None = None,
-    partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``out`` = sum of ``weight`` over rows with equal keys and smaller ``order``.
-
-    ``total`` (optional) names a column with the key's whole weight.
-    """
-    spark = rows.sparkSession
-    n = partitions or shuffle_partitions(spark)
-    tagged = reliable_checkpoint(
-        rows.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
-        .withColumn("_pid", F.spark_partition_id())
-    )
+    """Steps 2-3 on rows tagged by :func:`range_tag`."""
     per_range = tagged.groupBy("_pid", *keys).agg(F.sum(weight).alias("_w"))
     by_key = Window.partitionBy(*keys)
     ranges = per_range.select(
@@ -71,6 +70,22 @@ def running_before(
     )
 
 
+def running_before(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    weight: str,
+    out: str = "before",
+    total: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` over rows with equal keys and smaller ``order``.
+
+    ``total`` (optional) names a column with the key's whole weight.
+    """
+    return running_before_tagged(range_tag(rows, keys, order, partitions), keys, order, weight, out, total)
+
+
 def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, cnt) for non-null values; partial aggregation map-side."""
     return long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
