@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from colscope.functions.scalar import as_double, col, numeric_columns
 from colscope.functions.stats import pearson_pvalue_udf
 from colscope.operators.ranks import average_ranks, dense_ranks, running_before
+from colscope.session import reliable_checkpoint
 
 # Strategy and method names, threshold, labels and messages.
 STRATEGIES = ["ignorar", "eliminar_filas", "imputar_promedio"]
@@ -202,8 +203,13 @@ def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _pair_counts(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, x, y, c): how many complete rows of pair (i, j) hold (x, y)."""
-    return pair_rows(num, cols, diagonal=False).groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    """(i, j, x, y, c): how many complete rows of pair (i, j) hold (x, y).
+
+    Written once to the checkpoint folder: every later step (ranks, ties,
+    discordance) reads this table instead of re-running the explode.
+    """
+    counts = pair_rows(num, cols, diagonal=False).groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    return reliable_checkpoint(counts)
 
 
 def _side_counts(counts: DataFrame) -> DataFrame:
@@ -247,10 +253,12 @@ def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     yrank = dense_ranks(sides.where("side = 1").drop("side"), ["i", "j"], "v").select(
         "i", "j", F.col("v").alias("y"), F.col("dense").alias("yr"))
     ranked = counts.join(yrank, ["i", "j", "y"]).select("i", "j", "x", "yr", "c")
-    top = ranked.agg(F.max("yr")).first()[0]
-    levels = max(1, int(top).bit_length()) if top else 1
+    # bit levels per pair: enough for its largest dense rank (a k x k table)
+    levels = ranked.groupBy("i", "j").agg(
+        F.greatest(F.lit(1), F.ceil(F.log2(F.max("yr") + 1)).cast("int")).alias("levels"))
     by_level = (
-        ranked.select("i", "j", "x", "yr", "c", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("l"))
+        ranked.join(levels, ["i", "j"])
+        .select("i", "j", "x", "yr", "c", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("l"))
         .select("i", "j", "l", "x", "c",
                 F.expr("shiftrightunsigned(yr, l + 1)").alias("prefix"),
                 F.expr("shiftrightunsigned(yr, l) & 1").alias("bit"))
