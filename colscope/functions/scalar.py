@@ -74,7 +74,8 @@ def format_number_es(c: Column) -> Column:
 
 def safe_name(c: Column) -> Column:
     """F8: runs outside ``[a-zA-Z0-9_-]`` become ``_``; trimmed; fallback ``dataset``."""
-    cleaned = F.regexp_replace(F.regexp_replace(F.trim(c), r"[^a-zA-Z0-9_-]+", "_"), r"^_+|_+$", "")
+    stripped = F.regexp_replace(c, r"^\s+|\s+$", "")
+    cleaned = F.regexp_replace(F.regexp_replace(stripped, r"[^a-zA-Z0-9_-]+", "_"), r"^_+|_+$", "")
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("dataset"))
 
 

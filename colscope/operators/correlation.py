@@ -311,6 +311,14 @@ def heatmap_cells(pairs: DataFrame, cols: list[str], decimals: int = 4) -> DataF
                        F.round("r", decimals).alias("valor"))
 
 
+def coefficient(cells: DataFrame, first: str, second: str) -> float | None:
+    """The coefficient of one pair from the heat-map cells; unknown names are an error."""
+    hit = cells.where((F.col("id_x") == second) & (F.col("id_y") == first)).select("valor").limit(1).collect()
+    if not hit:
+        raise CorrelationError(f"Las variables {first} y/o {second} no existen en la matriz calculada.")
+    return hit[0][0]
+
+
 def strong_pairs(pairs: DataFrame, cols: list[str], threshold: float = STRONG_THRESHOLD) -> DataFrame:
     """Each unordered pair once, |rounded r| >= threshold, strongest first (ties: column order)."""
     r4 = F.round("r", 4)

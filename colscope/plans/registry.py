@@ -710,3 +710,31 @@ def q_profile_json(spark: SparkSession, sf: str) -> DataFrame:
     """Rows-only: the compact JSON context of the lineitem profile (one row)."""
     tables = profile_tables(profile(tb.ln(spark, sf)))
     return profile_context(tables, {"id": 1, "name": "lineitem", "file_name": "lineitem.parquet"})
+
+
+# ------------------------------------------------------------ report tables
+
+from colscope.operators import report as rep  # noqa: E402
+
+
+@register("report_indicators", "WITH s AS (" + ORACLE["profile_summary"] + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT {pos} AS position, {lit(label)} AS label, CAST({field} AS VARCHAR)"
+    + (" || '%'" if field == "completeness" else "") + " AS value FROM s"
+    for pos, (field, label) in enumerate(rep.INDICATORS, start=1)))
+def q_report_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    return rep.indicators(profile(tb.ln(spark, sf), details=False).summary_frame())
+
+
+@register("report_appendix", "WITH pv AS (" + ORACLE["profile_variables"] + """)
+SELECT ordinal, variable, variable_type, valid, nulls, coalesce(CAST(outliers AS VARCHAR), 'N/A') AS outliers FROM pv""")
+def q_report_appendix(spark: SparkSession, sf: str) -> DataFrame:
+    return rep.appendix(profile(tb.ln(spark, sf), details=False).variables_frame())
+
+
+@register("report_file_names", r"""SELECT o_orderkey AS id,
+  'resumen_ejecutivo_' || coalesce(nullif(trim(regexp_replace(regexp_replace(o_orderpriority, '^\s+|\s+$', '', 'g'),
+      '[^a-zA-Z0-9_-]+', '_', 'g'), '_'), ''), 'dataset') || '.pdf' AS report_file
+FROM orders""")
+def q_report_file_names(spark: SparkSession, sf: str) -> DataFrame:
+    o = tb.load(spark, sf, "orders")
+    return rep.download_names(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")))

@@ -110,3 +110,30 @@ def test_catalog_owner_scope(spark):
     assert get_dataset(cat, 1, 7)["name"] == "a"
     with pytest.raises(NotFound):
         get_dataset(cat, 3, 7)
+
+
+def test_report_tables(spark):
+    from colscope.operators import report as rep
+    df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "v double, s string")
+    p = profile(df, details=False)
+    ind = {r["label"]: r["value"] for r in rep.indicators(p.summary_frame()).collect()}
+    assert ind["Registros"] == "3" and ind["Completitud"] == "66.7%" and ind["Atípicos"] == "0"
+    app = {r["variable"]: r["outliers"] for r in rep.appendix(p.variables_frame()).collect()}
+    assert app == {"v": "0", "s": "N/A"}
+
+
+def test_safe_download_name(spark):
+    from colscope.operators import report as rep
+    cat = spark.createDataFrame([(1, "  Ventas 2024 (final) "), (2, "***"), (3, "a-b_c")], "id long, name string")
+    got = {r["id"]: r["report_file"] for r in rep.download_names(cat).collect()}
+    assert got == {1: "resumen_ejecutivo_Ventas_2024_final.pdf", 2: "resumen_ejecutivo_dataset.pdf",
+                   3: "resumen_ejecutivo_a-b_c.pdf"}
+
+
+def test_coefficient_lookup(spark):
+    from colscope.operators import correlation as corr
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, 5.9)], "a double, b double")
+    cells = corr.correlation_report(df)["heatmap"]
+    assert corr.coefficient(cells, "a", "b") == corr.coefficient(cells, "b", "a")
+    with pytest.raises(corr.CorrelationError):
+        corr.coefficient(cells, "a", "zz")
