@@ -92,20 +92,40 @@ def interval_labels(edges: list[float], precision: int = LABEL_PRECISION) -> lis
     return [f"({br[i]}, {br[i + 1]}]" for i in range(len(br) - 1)]
 
 
+# exact distinct counts are needed only up to the bin cap; columns whose
+# HLL estimate is at least this large are far above any cap
+_EXACT_BELOW = 100
+
+
 def numeric_range_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """(min, max, distinct) per numeric column; distinct counts from one grouped shuffle."""
+    """(min, max, distinct-or-at-least-100) per numeric column.
+
+    One long-form aggregate gives min, max and an HLL estimate of the distinct
+    count; only columns estimated below 100 distinct values get an exact
+    count (their value-count table is tiny), so no full distinct shuffle.
+    """
+    if not columns:
+        return {}
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("vi"), finite_double(col(c), dtypes[c]).alias("v"))
         for i, c in enumerate(columns)
     ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
-    per_value = long.groupBy("vi", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    rows = per_value.groupBy("vi").agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("nd")
+    rows = long.groupBy("vi").agg(
+        F.min("v").alias("mn"), F.max("v").alias("mx"), F.approx_count_distinct("v").alias("nd")
     ).collect()
     out = {c: (None, None, 0) for c in columns}
+    small = []
     for r in rows:
-        out[columns[r["vi"]]] = (r["mn"], r["mx"], r["nd"])
+        out[columns[r["vi"]]] = (r["mn"], r["mx"], max(int(r["nd"]), _EXACT_BELOW))
+        if r["nd"] < _EXACT_BELOW:
+            small.append(r["vi"])
+    if small:
+        exact = (long.where(F.col("vi").isin(small)).groupBy("vi", "v").agg(F.count(F.lit(1)).alias("c"))
+                 .groupBy("vi").agg(F.count(F.lit(1)).alias("nd")).collect())
+        for r in exact:
+            mn, mx, _ = out[columns[r["vi"]]]
+            out[columns[r["vi"]]] = (mn, mx, int(r["nd"]))
     return out
 
 

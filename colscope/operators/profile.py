@@ -1,13 +1,13 @@
 """Column profile in a fixed number of passes.
 
-pass 1  one long-form aggregate: rows, null counts, min/max/mean/std per column
+pass 1  wide aggregates per batch of 16 columns: rows, nulls, min/max/mean/std
         (text columns are typed from their distinct values in pass 3, X1)
 pass 2  one value-count table of all numeric columns (distributed ranks):
         exact quartiles, distinct counts and top-5 values in one query
 pass 3  value frequencies of the other columns: distinct counts, mode, top-5
         counts and shares, date sniffing on distinct text values
-pass 4  one aggregate: IQR outlier counts and histogram bins, fences and
-        edges entering as literals
+pass 4  IQR outlier counts (wide aggregates per batch) and, for the details,
+        histogram bins (one long-form pass); fences and edges are literals
 
 Each pass returns a few numbers per column; the profile tables are built from
 those (their size is bounded by the number of columns, not rows).
@@ -178,43 +178,39 @@ class Profile:
         return self.spark.createDataFrame(data, schema)
 
 
+BATCH = 16
+
+
 def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
-    """Rows, null counts and min/max/mean/std of every column in one long-form aggregate.
+    """Rows, null counts and min/max/mean/std of every column.
 
-    Each row is exploded to (column, missing flag, numeric value) and grouped by
-    column: the generated code is the same size for 10 or 1,000 columns, and
-    each task ships one partial row per column.
+    Wide aggregates over batches of 16 columns: each batch reads only its own
+    columns from a columnar source (so every column is read once overall),
+    and the generated code per batch stays small however wide the table is.
     """
-    if not vars_:
-        return df.count()
-    none = F.lit(None).cast("double")
-    long = df.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(v.ordinal).alias("vi"),
-            null_or_nan(col(v.name), v.dtype).alias("miss"),
-            (as_double(col(v.name), v.dtype) if is_numeric_type(v.dtype) else none).alias("x"),
-        )
-        for v in vars_
-    ])).alias("e")).select("e.*")
-    stats = long.groupBy("vi").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col("miss").cast("long")).alias("nulls"),
-        F.min("x").alias("mn"), F.max("x").alias("mx"), F.avg("x").alias("avg"),
-        F.stddev_samp("x").alias("std"), F.count("x").alias("nnum"),
-    ).collect()
-    if not stats:
-        for v in vars_:
+    rows = None
+    for start in range(0, max(len(vars_), 1), BATCH):
+        chunk = vars_[start:start + BATCH]
+        exprs = [F.count(F.lit(1)).alias("__rows")]
+        for v in chunk:
+            c, i = col(v.name), v.ordinal
+            exprs.append(F.count_if(null_or_nan(c, v.dtype)).alias(f"nulls{i}"))
+            if is_numeric_type(v.dtype):
+                d = as_double(c, v.dtype)
+                exprs += [F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"avg{i}"),
+                          F.stddev_samp(d).alias(f"std{i}"), F.count(d).alias(f"nnum{i}")]
+        r = df.agg(*exprs).first()
+        rows = r["__rows"]
+        for v in chunk:
+            i = v.ordinal
+            v.nulls = int(r[f"nulls{i}"])
             v.kind = kind_of(v.dtype, None)
-        return 0
-    by = {r["vi"]: r for r in stats}
-    rows = stats[0]["rows"]
+            if is_numeric_type(v.dtype):
+                v.minimum, v.maximum = r[f"min{i}"], r[f"max{i}"]
+                v.mean, v.std, v.n_numeric = r[f"avg{i}"], r[f"std{i}"], r[f"nnum{i}"]
+    rows = rows or 0
     for v in vars_:
-        r = by[v.ordinal]
-        v.nulls = int(r["nulls"])
         v.valid = rows - v.nulls
-        v.kind = kind_of(v.dtype, None)
-        if is_numeric_type(v.dtype):
-            v.minimum, v.maximum = r["mn"], r["mx"]
-            v.mean, v.std, v.n_numeric = r["avg"], r["std"], r["nnum"]
     return rows
 
 
@@ -302,22 +298,42 @@ def fences(q1: float, q3: float) -> tuple[float, float] | None:
 
 
 def _pass4(df: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
-    """Outlier counts (A8) and right-closed histograms (A13) in one long-form pass."""
+    """Outlier counts (A8), and right-closed histograms (A13) when asked.
+
+    Outliers alone: wide aggregates per batch (fences are literals).  With
+    histograms: one long-form pass (rows exploded to (column, value), binned
+    by one short expression over that column's edges) that counts outliers
+    too; wide per-bin counters would repeat the value expression per bin and
+    blow up the generated code.
+    """
     if not numeric:
         return
-    specs, fence = {}, {}
+    fence = {}
     for v in numeric:
         q1, _, q3 = v.quartiles
         f = fences(q1, q3) if q1 is not None else None
         if f is not None:
             fence[v.name] = f
-        if with_histograms and v.minimum is not None and v.n_numeric:
-            specs[v.name] = right_closed_edges(v.minimum, v.maximum, v.distinct)
-    counts = histogram_counts(df, specs, True, fence)
-    for v in numeric:
-        v.outliers = int(counts.get(v.name + "#outliers", 0))
-        if v.name in specs:
-            v.histogram = list(zip(interval_labels(specs[v.name]), counts[v.name]))
+    if with_histograms:
+        specs = {v.name: right_closed_edges(v.minimum, v.maximum, v.distinct)
+                 for v in numeric if v.minimum is not None and v.n_numeric}
+        counts = histogram_counts(df, specs, True, fence)
+        for v in numeric:
+            v.outliers = int(counts.get(v.name + "#outliers", 0))
+            if v.name in specs:
+                v.histogram = list(zip(interval_labels(specs[v.name]), counts[v.name]))
+        return
+    for start in range(0, len(numeric), BATCH):
+        chunk = numeric[start:start + BATCH]
+        exprs = []
+        for v in chunk:
+            d = finite_double(col(v.name), v.dtype)
+            f = fence.get(v.name)
+            cnt = F.count_if((d < F.lit(f[0])) | (d > F.lit(f[1]))) if f else F.lit(0).cast("long")
+            exprs.append(cnt.alias(f"out{v.ordinal}"))
+        r = df.agg(*exprs).first()
+        for v in chunk:
+            v.outliers = int(r[f"out{v.ordinal}"])
 
 
 def profile(df: DataFrame, details: bool = True) -> Profile:
