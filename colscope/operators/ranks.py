@@ -25,16 +25,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.session import reliable_checkpoint, shuffle_partitions
+from colscope.session import reliable_checkpoint
 
 
 def range_tag(rows: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
-    """Step 1: range-partition on (keys, order), tag rows with their range, checkpoint."""
-    n = partitions or shuffle_partitions(rows.sparkSession)
-    return reliable_checkpoint(
-        rows.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order))
-        .withColumn("_pid", F.spark_partition_id())
-    )
+    """Step 1: range-partition on (keys, order), tag rows with their range, checkpoint.
+
+    Without an explicit count the ranges follow ``spark.sql.shuffle.partitions``
+    and adaptive execution may merge small neighbours; merged ranges stay in
+    value order, so the tags still order the ranges.
+    """
+    by = [F.col(k) for k in keys] + [F.col(order)]
+    ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    return reliable_checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
 
 
 def running_before_tagged(
