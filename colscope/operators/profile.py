@@ -336,12 +336,34 @@ def _pass4(df: DataFrame, numeric: list[VariableProfile], with_histograms: bool)
             v.outliers = int(r[f"out{v.ordinal}"])
 
 
-def profile(df: DataFrame, details: bool = True) -> Profile:
-    """Profile every column of ``df``."""
+def _approx_quartiles(df: DataFrame, numeric: list[VariableProfile], accuracy: int) -> None:
+    """Quartiles from ``percentile_approx`` sketches: one pass, fixed memory per column,
+    no shuffle of distinct values (rank error about n / accuracy; values are data
+    points, not interpolated)."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("vi"), finite_double(col(v.name), v.dtype).alias("v"))
+        for i, v in enumerate(numeric)
+    ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    got = {r["vi"]: r["q"] for r in long.groupBy("vi").agg(
+        F.percentile_approx("v", QUARTILES, accuracy).alias("q")).collect()}
+    for i, v in enumerate(numeric):
+        v.quartiles = tuple(got[i]) if got.get(i) else (None, None, None)
+
+
+def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: int = 10000) -> Profile:
+    """Profile every column of ``df``.
+
+    ``exact=False`` (variable table only, ``details=False``) takes quartiles,
+    hence fences and outlier counts, from ``percentile_approx`` sketches: the
+    cheap option for very large tables.  The default is exact (pandas rule).
+    """
     vars_ = [VariableProfile(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
     rows = _pass1(df, vars_)
     numeric = [v for v in vars_ if v.kind == NUMERIC]
-    _numeric_pass(df, numeric, details)
+    if exact or details:
+        _numeric_pass(df, numeric, details)
+    elif numeric:
+        _approx_quartiles(df, numeric, accuracy)
     text = [v.name for v in vars_ if isinstance(v.dtype, T.StringType)]
     others = [v.name for v in vars_ if v.kind != NUMERIC] if details else text
     tops, distinct, parse = frequency_summary(df, others, TOP_K if details else 0, text)

@@ -94,3 +94,11 @@ def test_nan_counts_as_missing(spark):
     v = profile(one_col(spark, [1.0, float("nan"), 3.0])).variables[0]
     assert v.nulls == 1 and v.valid == 2
     assert v.kind == NUMERIC
+
+
+def test_approximate_quartiles_option(spark):
+    df = one_col(spark, [float(i) for i in range(1, 1001)])
+    exact = profile(df, details=False).variables[0].quartiles
+    approx = profile(df, details=False, exact=False).variables[0].quartiles
+    assert exact == (250.75, 500.5, 750.25)
+    assert all(abs(a - e) <= 1.0 for a, e in zip(approx, exact))
