@@ -85,17 +85,19 @@ def _clamp(r):
     return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
-def _pair_literal(k: int, diagonal: bool):
-    pairs = [(i, j) for i in range(k) for j in range(i if diagonal else i + 1, k)]
+def _pair_literal(k: int, diagonal: bool, only: list[tuple[int, int]] | None = None):
+    pairs = only if only is not None else [(i, j) for i in range(k) for j in range(i if diagonal else i + 1, k)]
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
 
 
-def pair_rows(num: DataFrame, cols: list[str], diagonal: bool = True) -> DataFrame:
-    """(i, j, x, y) for every column pair and every row where both sides are present."""
+def pair_rows(num: DataFrame, cols: list[str], diagonal: bool = True,
+              only: list[tuple[int, int]] | None = None) -> DataFrame:
+    """(i, j, x, y) for every column pair (or the pairs in ``only``) and every row
+    where both sides are present."""
     values = F.array(*[col(c) for c in cols])
     return (
         num.select(values.alias("v"))
-        .select(F.explode(_pair_literal(len(cols), diagonal)).alias("p"), "v")
+        .select(F.explode(_pair_literal(len(cols), diagonal, only)).alias("p"), "v")
         .select(F.col("p.i").alias("i"), F.col("p.j").alias("j"),
                 F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -202,13 +204,14 @@ def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 
-def _pair_counts(num: DataFrame, cols: list[str]) -> DataFrame:
+def _pair_counts(num: DataFrame, cols: list[str], only: list[tuple[int, int]] | None = None) -> DataFrame:
     """(i, j, x, y, c): how many complete rows of pair (i, j) hold (x, y).
 
     Written once to the checkpoint folder: every later step (ranks, ties,
     discordance) reads this table instead of re-running the explode.
     """
-    counts = pair_rows(num, cols, diagonal=False).groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+    counts = (pair_rows(num, cols, diagonal=False, only=only)
+              .groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c")))
     return reliable_checkpoint(counts)
 
 
@@ -219,9 +222,56 @@ def _side_counts(counts: DataFrame) -> DataFrame:
     return xs.unionByName(ys)
 
 
+def _spearman_null_free(num: DataFrame, cols: list[str], idx: list[int]) -> DataFrame:
+    """(i, j, n, r) for pairs of columns without nulls: ranks per column, not per pair.
+
+    Each column is ranked once (value-count table -> distributed running
+    counts); ranks return to their rows through a stable row id (the numbered
+    rows are materialised first), the rows are regrouped by id, and Pearson of
+    the rank columns is the co-moment pass.  Two shuffles of n x k rows instead
+    of n x k(k-1)/2 pair rows.
+    """
+    sub = [cols[i] for i in idx]
+    base = reliable_checkpoint(num.select(*[col(c) for c in sub]).withColumn("_rid", F.monotonically_increasing_id()))
+    long = base.select("_rid", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("vi"), col(c).alias("v")) for p, c in enumerate(sub)
+    ])).alias("e")).select("_rid", "e.vi", "e.v")
+    counts = long.groupBy("vi", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = average_ranks(counts, ["vi"], "v").select("vi", "v", "rank")
+    wide = (long.join(ranks, ["vi", "v"]).groupBy("_rid").pivot("vi", list(range(len(sub))))
+            .agg(F.first("rank")))
+    names = [f"r{p}" for p in range(len(sub))]
+    rank_cols = wide.select(*[F.col(f"`{p}`").alias(n) for p, n in enumerate(names)])
+    out = pearson_pairs(rank_cols, names).where("i < j")
+    back = F.array(*[F.lit(i) for i in idx])
+    return out.select(F.element_at(back, F.col("i") + 1).alias("i"), F.element_at(back, F.col("j") + 1).alias("j"),
+                      "n", "r")
+
+
 def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows."""
-    counts = _pair_counts(num, cols)
+    """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows.
+
+    Pairs of null-free columns share per-column ranks; only pairs that touch a
+    column with nulls are ranked pair by pair (pandas ranks each pair on its
+    own complete rows).
+    """
+    missing = num.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    clean = [i for i in range(len(cols)) if missing[f"m{i}"] == 0]
+    parts = []
+    if len(clean) >= 2:
+        parts.append(_spearman_null_free(num, cols, clean))
+    rest = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if not (i in clean and j in clean)]
+    if rest:
+        parts.append(_spearman_per_pair(num, cols, rest))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _spearman_per_pair(num: DataFrame, cols: list[str], only: list[tuple[int, int]]) -> DataFrame:
+    """(i, j, n, r) for the listed pairs, each ranked on its own complete rows."""
+    counts = _pair_counts(num, cols, only)
     ranks = average_ranks(_side_counts(counts), ["i", "j", "side"], "v").select("i", "j", "side", "v", "rank")
     rx = ranks.where("side = 0").select("i", "j", F.col("v").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.where("side = 1").select("i", "j", F.col("v").alias("y"), F.col("rank").alias("ry"))

@@ -156,3 +156,24 @@ def test_significance_table(spark):
     sig = {(r["id_y"], r["id_x"]): r["p_value"] for r in rep["significance"].collect()}
     assert sig[("a", "a")] == 0.0 and len(sig) == 9
     assert sig[("a", "b")] == sig[("b", "a")] and sig[("a", "b")] < 0.01
+
+
+def test_spearman_mixed_null_free_and_null_columns(spark):
+    rnd = random.Random(11)
+    rows = []
+    for _ in range(150):
+        a = float(rnd.randint(0, 20))                    # no nulls, ties
+        b = a * 0.5 + rnd.random()                       # no nulls
+        c = -a + rnd.randint(0, 3)                       # no nulls, ties
+        d = None if rnd.random() < 0.2 else rnd.random() + a / 10
+        rows.append((a, b, c, d))
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = cells(df, "spearman")
+    names = ["a", "b", "c", "d"]
+    for i in range(4):
+        for j in range(i + 1, 4):
+            pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            x = np.array([p[0] for p in pairs])
+            y = np.array([p[1] for p in pairs])
+            want = float(np.corrcoef(_avg_ranks(x), _avg_ranks(y))[0, 1])
+            assert got[(names[j], names[i])] == pytest.approx(round(want, 4), abs=1e-4)
