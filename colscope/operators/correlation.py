@@ -248,17 +248,24 @@ def _spearman_null_free(num: DataFrame, cols: list[str], idx: list[int]) -> Data
                       "n", "r")
 
 
-def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
+# per-column ranks pay off from this many null-free columns on: c(c-1)/2
+# pair rows per input row against about 2c rows for ranking and regrouping
+SHARED_RANKS_MIN = 5
+
+
+def spearman_pairs(num: DataFrame, cols: list[str], shared_ranks_min: int = SHARED_RANKS_MIN) -> DataFrame:
     """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows.
 
-    Pairs of null-free columns share per-column ranks; only pairs that touch a
-    column with nulls are ranked pair by pair (pandas ranks each pair on its
-    own complete rows).
+    With at least ``shared_ranks_min`` null-free columns, their pairs share
+    per-column ranks; the other pairs (those touching a column with nulls) are
+    ranked pair by pair, as pandas ranks each pair on its own complete rows.
     """
     missing = num.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     clean = [i for i in range(len(cols)) if missing[f"m{i}"] == 0]
+    if len(clean) < max(2, shared_ranks_min):
+        clean = []
     parts = []
-    if len(clean) >= 2:
+    if clean:
         parts.append(_spearman_null_free(num, cols, clean))
     rest = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if not (i in clean and j in clean)]
     if rest:

@@ -507,6 +507,16 @@ def q_corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix(tb.lnc(spark, sf).select(*SPEARMAN_COLS), "ignorar", "spearman")
 
 
+LINEITEM_RANK_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax"]
+
+
+@register("corr_spearman_lineitem", sql_matrix(_double_cols("SELECT * FROM lineitem", LINEITEM_RANK_COLS),
+                                               LINEITEM_RANK_COLS, sql_spearman_cell))
+def q_corr_spearman_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """Six null-free columns: the per-column rank plan."""
+    return _matrix(tb.load(spark, sf, "lineitem").select(*LINEITEM_RANK_COLS), "ignorar", "spearman")
+
+
 PART_CORR = ["p_partkey", "p_size", "p_retailprice"]
 CUSTOMER_CORR = ["c_custkey", "c_nationkey", "c_acctbal"]
 

@@ -168,8 +168,15 @@ def test_spearman_mixed_null_free_and_null_columns(spark):
         d = None if rnd.random() < 0.2 else rnd.random() + a / 10
         rows.append((a, b, c, d))
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
-    got = cells(df, "spearman")
     names = ["a", "b", "c", "d"]
+    num = corr.numeric_frame(df, names)
+    got = {}
+    for shared in (2, 99):   # per-column ranks for a, b, c / every pair ranked on its own
+        pairs = corr.spearman_pairs(num, names, shared_ranks_min=shared).collect()
+        for r in pairs:
+            got.setdefault((names[r["j"]], names[r["i"]]), set()).add(round(r["r"], 4))
+    assert all(len(v) == 1 for v in got.values())
+    got = {k: v.pop() for k, v in got.items()}
     for i in range(4):
         for j in range(i + 1, 4):
             pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
