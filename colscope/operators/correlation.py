@@ -39,9 +39,6 @@ NOTICE_TEMPLATE = (
     "Informa: Se detectaron nulos en el dataset {counts}. Los valores faltantes fueron omitidos del cálculo."
 )
 
-CELL_SCHEMA = "id_x string, id_y string, valor double"
-
-
 class CorrelationError(ValueError):
     pass
 

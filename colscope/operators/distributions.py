@@ -280,12 +280,6 @@ def frequency_summary(df: DataFrame, columns: list[str], k: int, typed: list[str
     return tops, distinct, parse
 
 
-def top_and_distinct(df: DataFrame, columns: list[str], k: int) -> tuple[dict, dict]:
-    """Top-k rows and distinct counts per column (one shared shuffle of the counts)."""
-    tops, distinct, _ = frequency_summary(df, columns, k)
-    return tops, distinct
-
-
 def top_k_frame(df: DataFrame, columns: list[str], k: int, ascending: bool = False) -> DataFrame:
     """(variable, position, value, count, percent) for the k most frequent values.
 

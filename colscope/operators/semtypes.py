@@ -78,9 +78,3 @@ def semantic_types(df: DataFrame) -> list[tuple[str, str]]:
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     parse = frequency_summary(df, text, 0, text)[2] if text else {}
     return [(f.name, kind_of(f.dataType, parse.get(f.name))) for f in fields]
-
-
-def semantic_types_frame(df: DataFrame) -> DataFrame:
-    rows = [(i, name, kind) for i, (name, kind) in enumerate(semantic_types(df))]
-    schema = "ordinal int, variable string, variable_type string"
-    return df.sparkSession.createDataFrame(rows, schema)

@@ -68,7 +68,3 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/colscope-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -102,3 +102,9 @@ def test_approximate_quartiles_option(spark):
     approx = profile(df, details=False, exact=False).variables[0].quartiles
     assert exact == (250.75, 500.5, 750.25)
     assert all(abs(a - e) <= 1.0 for a, e in zip(approx, exact))
+
+
+def test_number_format_column(spark):
+    from colscope.functions.scalar import format_number_es
+    df = spark.createDataFrame([(1234567.891,), (None,)], "x double")
+    assert [r[0] for r in df.select(format_number_es(df["x"])).collect()] == ["1.234.567,89", "N/D"]
