@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.scalar import format_label
+from colscope.operators.ranks import running_before
 
 AVAILABLE = "Disponible"
 
@@ -50,6 +51,35 @@ def list_datasets(catalog: DataFrame, owner_id, reports: DataFrame | None = None
     return out.orderBy(F.col("uploaded_at").desc(), F.col("id").desc())
 
 
+def list_all_datasets(catalog: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """X11 for every owner at once: each owner's datasets with their newest-first position.
+
+    Positions come from the distributed running counts keyed by owner, so an
+    owner holding a large share of the catalog is spread over many tasks
+    rather than sorted in one window partition.
+    """
+    shown = F.coalesce(F.nullif(F.col("file_name"), F.lit("")), basename(F.col("path")))
+    base = catalog.select(
+        "owner_id", "id", "name", shown.alias("file_name"), "size_bytes", "uploaded_at",
+        format_label(shown).alias("format"),
+    )
+    if reports is not None:
+        flags = reports.select("id").distinct().withColumn("report_available", F.lit(True))
+        base = base.join(flags, "id", "left").withColumn(
+            "report_available", F.coalesce(F.col("report_available"), F.lit(False)))
+    else:
+        base = base.withColumn("report_available", F.lit(False))
+    micros = F.unix_micros(F.col("uploaded_at").cast("timestamp"))
+    newest_first = F.struct(
+        F.coalesce(-micros, F.lit(2 ** 63 - 1)).alias("t"),     # newest first, undated last
+        (-F.col("id")).alias("i"),
+    )
+    ranked = running_before(
+        base.withColumn("_k", newest_first).withColumn("_one", F.lit(1).cast("long")),
+        ["owner_id"], "_k", "_one", out="_before")
+    return ranked.withColumn("position", (F.col("_before") + 1).cast("int")).drop("_k", "_one", "_before")
+
+
 def get_dataset(catalog: DataFrame, dataset_id, owner_id) -> dict:
     """Single owner-scoped lookup; raises NotFound for a foreign or missing id."""
     rows = owned(catalog, owner_id).where(F.col("id") == F.lit(dataset_id)).limit(1).collect()

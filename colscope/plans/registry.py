@@ -642,7 +642,7 @@ def q_chart_data(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------- paging, catalog (L1, X11)
 
-from colscope.operators.catalog import list_datasets  # noqa: E402
+from colscope.operators.catalog import list_all_datasets, list_datasets  # noqa: E402
 from colscope.operators.paging import page_rows  # noqa: E402
 
 PAGE_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -748,3 +748,24 @@ FROM orders""")
 def q_report_file_names(spark: SparkSession, sf: str) -> DataFrame:
     o = tb.load(spark, sf, "orders")
     return rep.download_names(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")))
+
+
+@register("owner_listing_all", """WITH cat AS (
+  SELECT o_orderkey AS id, o_custkey AS owner_id,
+         CASE WHEN o_orderstatus = 'F' THEN 'ventas ' || CAST(o_orderkey AS VARCHAR) || '.csv' END AS file_name,
+         '/datos/u' || CAST(o_custkey AS VARCHAR) || '/d' || CAST(o_orderkey AS VARCHAR) || '/archivo_'
+           || CAST(o_orderkey AS VARCHAR) || '.xlsx' AS path,
+         o_orderdate AS uploaded_at, o_orderstatus AS status FROM orders),
+shown AS (SELECT *, coalesce(nullif(file_name, ''), string_split(path, '/')[-1]) AS shown_name FROM cat)
+SELECT owner_id, id, shown_name AS file_name, upper(regexp_extract(shown_name, '\\.([^./]+)$', 1)) AS format,
+       strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') AS uploaded_at, status = 'P' AS report_available,
+       CAST(row_number() OVER (PARTITION BY owner_id ORDER BY uploaded_at DESC, id DESC) AS INTEGER) AS position
+FROM shown""")
+def q_owner_listing_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every owner's datasets, newest first, with the position within the owner's list."""
+    cat = orders_catalog(spark, sf)
+    reports = cat.where(F.col("_status") == "P").select("id")
+    out = list_all_datasets(cat.drop("_status"), reports)
+    return out.select("owner_id", "id", "file_name", "format",
+                      F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"),
+                      "report_available", "position")

@@ -137,3 +137,17 @@ def test_coefficient_lookup(spark):
     assert corr.coefficient(cells, "a", "b") == corr.coefficient(cells, "b", "a")
     with pytest.raises(corr.CorrelationError):
         corr.coefficient(cells, "a", "zz")
+
+
+def test_all_owners_listing_positions(spark):
+    from colscope.operators.catalog import list_all_datasets
+    rows = [(i, f"d{i}", None, f"f{i}.csv", f"/x/f{i}.csv", i, f"2024-01-{1 + i % 28:02d}", 1 if i % 3 else 2)
+            for i in range(60)]
+    cat = spark.createDataFrame(rows, "id long, name string, description string, file_name string, path string, "
+                                      "size_bytes long, uploaded_at string, owner_id long")
+    got = list_all_datasets(cat).collect()
+    for owner in (1, 2):
+        mine = sorted((r for r in got if r["owner_id"] == owner), key=lambda r: r["position"])
+        want = sorted((r for r in rows if r[7] == owner), key=lambda r: (r[6], r[0]), reverse=True)
+        assert [r["id"] for r in mine] == [r[0] for r in want]
+        assert [r["position"] for r in mine] == list(range(1, len(want) + 1))
