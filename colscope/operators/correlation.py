@@ -358,7 +358,11 @@ def _names(cols: list[str], idx: str):
 
 
 def heatmap_cells(pairs: DataFrame, cols: list[str], decimals: int = 4) -> DataFrame:
-    """All k^2 cells (id_x, id_y, valor), mirrored from i <= j."""
+    """All k^2 cells (id_x, id_y, valor), mirrored from i <= j; a pair with no
+    complete row is a NULL cell, as in pandas (the grid is k x k, tiny)."""
+    k = len(cols)
+    grid = pairs.sparkSession.createDataFrame([(i, j) for i in range(k) for j in range(i, k)], "i int, j int")
+    pairs = grid.join(pairs.select(F.col("i").cast("int"), F.col("j").cast("int"), "r"), ["i", "j"], "left")
     both = pairs.select("i", "j", "r").unionByName(
         pairs.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     return both.select(_names(cols, "j").alias("id_x"), _names(cols, "i").alias("id_y"),
