@@ -138,11 +138,7 @@ def histogram_counts(df: DataFrame, specs: dict[str, list[float]], right_closed:
     """Bin counts for many columns at once; empty bins kept as 0.
 
     Rows are exploded to (column, value) first, then binned by one short
-    expression over that column's edge list, ``1 + sum(v > e_i)`` over the
-    inner edges (``>=`` for left-closed bins), lists padded with +inf.  The
-    code stays small whatever the number of columns or bins, and map-side
-    partial counts leave at most columns x bins rows per task for the shuffle.
-
+    expression over that column's edge list (see :func:`binned_counts`).
     ``fences`` (optional, {column: (lower, upper)}) adds, in the same pass,
     the count of values outside them under key ``"<column>#outliers"``.
     """
@@ -151,17 +147,32 @@ def histogram_counts(df: DataFrame, specs: dict[str, list[float]], right_closed:
     if not names:
         return {}
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    width = max([len(e) for e in specs.values()] + [2])
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in _padded(specs.get(c, []), width)]) for c in names])
-    inf = float("inf")
-    lo_t = F.array(*[F.lit(float(fences[c][0]) if c in fences else -inf) for c in names])
-    hi_t = F.array(*[F.lit(float(fences[c][1]) if c in fences else inf) for c in names])
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("vi"), finite_double(col(c), dtypes[c]).alias("v"))
         for i, c in enumerate(names)
     ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
+    return binned_counts(long, names, specs, right_closed, fences)
+
+
+def binned_counts(long: DataFrame, names: list[str], specs: dict[str, list[float]], right_closed: bool = True,
+                  fences: dict[str, tuple[float, float]] | None = None, weight: str | None = None) -> dict:
+    """Bin and outlier counts from (vi, v[, weight]) rows, ``vi`` indexing ``names``.
+
+    A value's bin is ``1 + sum(v > e_i)`` over its column's inner edges
+    (``>=`` for left-closed bins), edge lists padded with +inf, so the code
+    stays small whatever the number of columns or bins; map-side partial
+    counts leave at most columns x bins rows per task for the shuffle.  With
+    ``weight`` (e.g. a value-count table) each row counts that many times.
+    """
+    fences = fences or {}
+    width = max([len(specs[c]) for c in names if c in specs] + [2])
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in _padded(specs.get(c, []), width)]) for c in names])
+    inf = float("inf")
+    lo_t = F.array(*[F.lit(float(fences[c][0]) if c in fences else -inf) for c in names])
+    hi_t = F.array(*[F.lit(float(fences[c][1]) if c in fences else inf) for c in names])
     edges = F.element_at(table, F.col("vi") + 1)
     v = F.col("v")
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     bin_ = F.lit(1)
     for i in range(1, width - 1):
         cond = (v > F.element_at(edges, i + 1)) if right_closed else (v >= F.element_at(edges, i + 1))
@@ -169,9 +180,9 @@ def histogram_counts(df: DataFrame, specs: dict[str, list[float]], right_closed:
     first = F.element_at(edges, 1)
     inside = (v > first) if right_closed else (v >= first)
     bin_ = F.when(inside, bin_).otherwise(F.lit(0))
-    outside = ((v < F.element_at(lo_t, F.col("vi") + 1)) | (v > F.element_at(hi_t, F.col("vi") + 1))).cast("long")
-    grouped = long.select("vi", bin_.alias("bin"), outside.alias("out")).groupBy("vi", "bin").agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum("out").alias("out"))
+    outside = (v < F.element_at(lo_t, F.col("vi") + 1)) | (v > F.element_at(hi_t, F.col("vi") + 1))
+    grouped = long.select("vi", bin_.alias("bin"), w.alias("w"), F.when(outside, w).otherwise(0).alias("out")) \
+        .groupBy("vi", "bin").agg(F.sum("w").alias("cnt"), F.sum("out").alias("out"))
     got, outl = {}, {}
     for r in grouped.collect():
         got[(r["vi"], r["bin"])] = r["cnt"]

@@ -6,8 +6,9 @@ pass 2  one value-count table of all numeric columns (distributed ranks):
         exact quartiles, distinct counts and top-5 values in one query
 pass 3  value frequencies of the other columns: distinct counts, mode, top-5
         counts and shares, date sniffing on distinct text values
-pass 4  IQR outlier counts (wide aggregates per batch) and, for the details,
-        histogram bins (one long-form pass); fences and edges are literals
+pass 4  IQR outlier counts and, for the details, histogram bins, read off the
+        materialised count table of pass 2 (no second scan of the data);
+        fences and edges are literals
 
 Each pass returns a few numbers per column; the profile tables are built from
 those (their size is bounded by the number of columns, not rows).
@@ -26,7 +27,7 @@ from colscope.functions.scalar import (
     is_numeric_type, null_or_nan,
 )
 from colscope.operators.distributions import (
-    frequency_summary, histogram_counts, interval_labels, right_closed_edges,
+    binned_counts, frequency_summary, histogram_counts, interval_labels, right_closed_edges,
 )
 from colscope.operators.ranks import range_tag, running_before_tagged
 from colscope.operators.semtypes import kind_of
@@ -214,7 +215,7 @@ def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
     return rows
 
 
-def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool) -> None:
+def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool) -> DataFrame | None:
     """Pass 2: one value-count table of all numeric columns feeds, in one query,
     the exact quartiles, the distinct counts and the top-5 values.
 
@@ -278,6 +279,7 @@ def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool)
     for i, v in enumerate(numeric):
         v.top = [(val, c) for _, val, c in sorted(v.top)]
         v.quartiles = tuple(_lerp(*got[(i, qi)]) if (i, qi) in got else None for qi in range(len(QUARTILES)))
+    return tagged
 
 
 def _lerp(a: float, b: float, t: float) -> float:
@@ -297,6 +299,25 @@ def fences(q1: float, q3: float) -> tuple[float, float] | None:
     return q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr
 
 
+def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
+    """Outliers (A8) and histograms (A13) from the materialised value-count table
+    of pass 2: work proportional to distinct values, no second scan of the data."""
+    specs, fence = {}, {}
+    for v in numeric:
+        q1, _, q3 = v.quartiles
+        f = fences(q1, q3) if q1 is not None else None
+        if f is not None:
+            fence[v.name] = f
+        if with_histograms and v.minimum is not None and v.n_numeric:
+            specs[v.name] = right_closed_edges(v.minimum, v.maximum, v.distinct)
+    names = [v.name for v in numeric]
+    got = binned_counts(counts.select("vi", "v", "cnt"), names, specs, True, fence, weight="cnt")
+    for v in numeric:
+        v.outliers = int(got.get(v.name + "#outliers", 0))
+        if v.name in specs:
+            v.histogram = list(zip(interval_labels(specs[v.name]), got[v.name]))
+
+
 def _pass4(df: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
     """Outlier counts (A8), and right-closed histograms (A13) when asked.
 
@@ -360,8 +381,9 @@ def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: i
     vars_ = [VariableProfile(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
     rows = _pass1(df, vars_)
     numeric = [v for v in vars_ if v.kind == NUMERIC]
+    counts = None
     if exact or details:
-        _numeric_pass(df, numeric, details)
+        counts = _numeric_pass(df, numeric, details)
     elif numeric:
         _approx_quartiles(df, numeric, accuracy)
     text = [v.name for v in vars_ if isinstance(v.dtype, T.StringType)]
@@ -372,5 +394,8 @@ def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: i
             v.kind = kind_of(v.dtype, parse.get(v.name))
         if details and v.kind != NUMERIC:
             v.top, v.distinct = tops[v.name], distinct[v.name]
-    _pass4(df, numeric, with_histograms=details)
+    if counts is not None:
+        _pass4_from_counts(counts, numeric, with_histograms=details)
+    else:
+        _pass4(df, numeric, with_histograms=details)
     return Profile(df.sparkSession, rows, vars_)
