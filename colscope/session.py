@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -56,15 +57,81 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
 
 
+#: Intermediate tables of this driver process that have not been dropped yet.
+_LIVE: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for an intermediate table below the shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/colscope-{uuid.uuid4().hex}"
+    _LIVE[path] = spark
+    return path
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
     One write job (an eager ``Dataset.checkpoint`` runs a count job and then a
     second job to write); the result has no lineage to recompute, so losing an
-    executor later costs nothing.  Files live under the checkpoint folder,
-    which the cluster's cleaner manages.
+    executor later costs nothing.  Spark's cleaner does not know these files:
+    ``Scratch`` drops them when their results are consumed, and whatever a
+    returned, still unread result needs goes at ``drop_intermediates`` or at the
+    end of the driver.
     """
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/colscope-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediates() -> None:
+    """Delete every intermediate table that is still there; results that read them are gone then."""
+    for path, spark in list(_LIVE.items()):
+        _LIVE.pop(path, None)
+        try:
+            _delete(spark, path)
+        except Exception as error:  # the session may be stopped already
+            if spark.sparkContext._jsc is not None:
+                raise error
+
+
+class Scratch:
+    """Intermediate tables of one call: all are deleted at the end of the block.
+
+    ``with Scratch() as tables: t = tables.keep(df)`` materialises ``df``; what
+    the call returns must not read such a table any more.  ``tables.result(df)``
+    materialises the returned table, which outlives the block.
+    """
+
+    def __init__(self) -> None:
+        self._paths: list[str] = []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        before = set(_LIVE)
+        out = reliable_checkpoint(df)
+        self._paths += [p for p in _LIVE if p not in before]
+        return out
+
+    def drop(self) -> None:
+        for path in self._paths:
+            if (spark := _LIVE.pop(path, None)) is not None:
+                _delete(spark, path)
+        self._paths = []
+
+    @staticmethod
+    def result(df: DataFrame) -> DataFrame:
+        return reliable_checkpoint(df)
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+
+atexit.register(drop_intermediates)
