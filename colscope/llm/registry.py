@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, sharding, sql
+from colscope.llm import chat, packing, sharding, sql, token_counts
 from colscope.llm.common import read_table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 tokens."""
+    return packing.piece_digests(packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER, 1024, 2))
+
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-target examples of all conversations and of conversation -7, read back."""
@@ -23,6 +31,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_formatting, op3_sharding)}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    counts = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op5_token_counts)}
 
 ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3}
