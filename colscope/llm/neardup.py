@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from colscope.llm.common import task_number, text_chunks
 from colscope.llm.components import connected_components
+from colscope.llm.words import ascii_words, window_hashes, word_hashes
 from colscope.session import Scratch, reliable_checkpoint
 
 #: Sketch sizes of the first and of the full test.
@@ -49,43 +50,12 @@ HUB_ROUNDS = 3
 BLOCK = 256
 #: A table of (row, few numbers) is broadcast up to this many rows: under 64 MB.
 BROADCAST_ROWS = 1_000_000
-#: Words whose hashes a Python worker remembers.
-_WORDS = 500_000
-
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = _WordHashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's finaliser: one hash function for all shingles."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; ASCII letters lower-cased, words end at ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(width, len(words))
-    n = len(words) - width + 1
-    with np.errstate(over="ignore"):
-        out = np.full(n, width, dtype=np.uint64)
-        for i in range(width):
-            out = _mixed(out * _MIX[0] + hashes[i:i + n])
-    return np.unique(out.view(np.int64))
+    """Sorted distinct 64-bit hashes of the word shingles; a text with fewer words has one, of all its words."""
+    hashes = word_hashes(ascii_words(text, lower=True))
+    return np.unique(window_hashes(hashes, min(width, len(hashes)))) if len(hashes) else np.zeros(0, dtype=np.int64)
 
 
 def least_overlap(size: int, sketch: int, similarity: float) -> int:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, neardup, packing, sharding, sql, token_counts
+from colscope.llm import chat, neardup, packing, quality, sharding, sql, token_counts
 from colscope.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of all documents and the verdict of the learned decision list."""
+    judged = quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by 4-word shingles with a similarity of 0.8 or more."""
     found = neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -44,6 +50,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op5_token_counts,
-                                  op9_minhash_near_dedup)}
+                                  op6_quality_rules, op9_minhash_near_dedup)}
 
 ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3}
