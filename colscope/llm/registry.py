@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, neardup, packing, quality, sharding, sql, token_counts
+from colscope.llm import chat, neardup, packing, quality, secrets, sharding, sql, token_counts
 from colscope.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), 40)
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and inferred format spans of all documents."""
+    return secrets.span_digests(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     counts = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), TOKENIZER)
@@ -49,7 +54,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op5_token_counts,
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op4_secret_scans, op5_token_counts,
                                   op6_quality_rules, op9_minhash_near_dedup)}
 
 ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3}
