@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, neardup, packing, quality, secrets, sharding, sql, token_counts
+from colscope.llm import chat, neardup, packing, quality, secrets, sharding, sql, token_counts, toxicity
 from colscope.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +54,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op4_secret_scans, op5_token_counts,
-                                  op6_quality_rules, op9_minhash_near_dedup)}
+                                  op6_quality_rules, op9_minhash_near_dedup, op10_toxicity)}
 
 ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3}
