@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, decontaminate, neardup, packing, quality, secrets, sharding, sql, token_counts, toxicity
+from colscope.llm import chat, decontaminate, licenses, neardup, packing, quality, secrets, sharding, sql, token_counts, toxicity
 from colscope.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in all documents, one row per document and licence."""
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, one row per document and item."""
     found = decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op4_secret_scans, op5_token_counts,
-                                  op6_quality_rules, op8_benchmark_decontamination, op9_minhash_near_dedup,
-                                  op10_toxicity)}
+                                  op6_quality_rules, op7_license_scans, op8_benchmark_decontamination,
+                                  op9_minhash_near_dedup, op10_toxicity)}
 
-ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3}
+ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3, "op7_license_scans": sql.OP7}

@@ -56,3 +56,39 @@ SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, b:
   (CASE WHEN j = 40 THEN 40 ELSE b END)::INT AS grown_shard
 FROM keyed JOIN ends USING (r)
 """
+
+OP7 = r"""
+WITH templates(license, body) AS (VALUES
+  ('MIT (notice)', 'Released under the MIT License.'),
+  ('MIT (licensed)', 'Licensed under the MIT License.'),
+  ('Apache-2.0 (notice)', 'Licensed under the Apache License, Version 2.0.'),
+  ('GPL-2.0 (notice)', 'This work is licensed under the GNU General Public License, version 2.'),
+  ('GPL-3.0 (notice)', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('CC-BY-4.0 (notice)', 'Licensed under CC BY 4.0.'),
+  ('CC-BY-SA-4.0 (notice)', 'Licensed under CC BY-SA 4.0.'),
+  ('CC-BY-NC-4.0 (notice)', 'Licensed under CC BY-NC 4.0.'),
+  ('CC-BY-ND-4.0 (notice)', 'Licensed under CC BY-ND 4.0.'),
+  ('All rights reserved', 'All rights reserved.'),
+  ('MIT', 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+  ('ISC', 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.'),
+  ('Apache-2.0 (header)', 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+  ('GPL-3.0 (header)', 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.'),
+  ('GPL-2.0 (header)', 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.'),
+  ('MPL-2.0 (header)', 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'),
+  ('BSD (redistribution)', 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:')),
+parts AS (
+  SELECT DISTINCT doc_id, segment FROM (
+    SELECT doc_id, text AS segment FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents WHERE text IS NOT NULL)),
+spoken AS (
+  SELECT 's' AS side, row_number() OVER () AS id, doc_id, NULL AS license, trim(regexp_replace(lower(segment), '[^a-z0-9]+', ' ', 'g')) AS words FROM parts
+  UNION ALL SELECT 't', row_number() OVER (), NULL, license, trim(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g')) FROM templates),
+grams AS (
+  SELECT side, id, doc_id, license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT *, string_split(words, ' ') AS w FROM spoken)),
+scores AS (
+  SELECT s.doc_id, t.license, 2 * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g))::DOUBLE AS dice
+  FROM grams s JOIN grams t ON s.side = 's' AND t.side = 't' AND len(s.g) > 0 AND len(t.g) BETWEEN len(s.g) / 2.0 AND len(s.g) * 2)
+SELECT doc_id, license, round(max(dice), 6) AS dice FROM scores WHERE dice >= 0.8 GROUP BY doc_id, license
+"""
