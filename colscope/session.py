@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -134,4 +135,16 @@ class Scratch:
         self.drop()
 
 
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` returns, materialised; every intermediate table made for it is deleted."""
+    before = set(_LIVE)
+    unsettled = build()
+    made = set(_LIVE) - before
+    out = reliable_checkpoint(unsettled)
+    for path in made:
+        if (spark := _LIVE.pop(path, None)) is not None:
+            _delete(spark, path)
+    return out
+
+
 atexit.register(drop_intermediates)
