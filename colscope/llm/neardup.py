@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from colscope.llm.common import task_number, text_chunks
 from colscope.llm.components import connected_components
 from colscope.llm.words import ascii_words, window_hashes, word_hashes
-from colscope.session import Scratch, reliable_checkpoint
+from colscope.session import Scratch, reliable_checkpoint, settled
 
 #: Sketch sizes of the first and of the full test.
 SHORT, SKETCH = 16, 64
@@ -263,3 +263,23 @@ def _named(sketched: DataFrame, roots: DataFrame | None) -> DataFrame:
     by_class = joined.join(names, "root").select("mark", F.col("name.doc_id").alias("component_id"), F.col("name.row").alias("leading"))
     return (slim.join(by_class, "mark")
             .select("doc_id", "tag", "n_shingles", "component_id", (F.col("row") == F.col("leading")).alias("leader")))
+
+
+def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: one row of each component stays."""
+    keys = settled(lambda: near_duplicates(docs, key, text, width, percent).groupBy("doc_id", "tag").agg(
+        F.max("leader").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, twice = keys.where(~F.col("stays")), keys.where("stays and n > 1")
+    tag = F.xxhash64(F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.`{key}`").cast("long").alias("own_id"), tag.alias("own_tag"))
+
+    def same(of: DataFrame):
+        return rows["own_id"].eqNullSafe(of["doc_id"]) & (rows["own_tag"] == of["tag"])
+
+    kept = rows.join(_small(gone, gone.count()), same(gone), "left_anti")
+    if n_twice := twice.count():
+        # Rows that share id and text: one of them stays.
+        twice = _small(twice, n_twice)
+        once = kept.join(twice, same(twice), "left_semi").dropDuplicates(["own_id", "own_tag"])
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(once)
+    return kept.select("row.*")

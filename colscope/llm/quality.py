@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,17 +91,25 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(_counted, schema)
 
 
-def features() -> dict[str, Column]:
-    """The statistics that thresholds are put on; shares of an empty text are 0."""
+def counts_column(text: Column) -> Column:
+    """Struct of the counts of a text, as a column: for filters that keep whole rows."""
+    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
+    def counts(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_counts(t) for t in texts], columns=list(_COUNTS))
+    return counts(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def features(inside: str = "") -> dict[str, Column]:
+    """The statistics that thresholds are put on; shares of an empty text are 0.  ``inside``: a struct's name and a dot."""
     def share(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).cast("double")
+        return F.coalesce(F.try_divide(F.col(inside + a), F.col(inside + b)), F.lit(0.0)).cast("double")
     return {
         "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"),
         "repeat_share": share("n_repeat_words", "n_words"), "word_length": share("word_chars", "n_words"),
         "line_words": share("n_words", "n_lines"), "distinct_share": share("n_distinct_words", "n_words"),
         "upper_share": share("n_upper", "word_chars"), "digit_share": share("n_digits", "word_chars"),
         "mark_share": share("n_marks", "n_words"), "short_share": share("n_short_words", "n_words"),
-        "words": F.col("n_words").cast("double"), "longest": F.col("longest_word").cast("double"),
+        "words": F.col(f"{inside}n_words").cast("double"), "longest": F.col(f"{inside}longest_word").cast("double"),
     }
 
 
@@ -181,9 +190,9 @@ def learn_rules(columns: dict[str, np.ndarray], bad: np.ndarray, marks: np.ndarr
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], inside: str = "") -> Column:
     """Ordered CASE WHEN: the first rule that holds rejects; what no rule covers is kept."""
-    columns, out = features(), None
+    columns, out = features(inside), None
     for rule in rules:
         condition = F.lit(True)
         for part in rule:
@@ -204,8 +213,9 @@ def fit(statistics: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) ->
     return learn_rules(columns, bad, sample.column("doc_id").to_numpy())
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
+def base_failed(inside: str = "") -> Column:
+    words, repeats = F.col(f"{inside}n_words"), F.col(f"{inside}n_repeat_words")
+    return (words < 10) | (F.lit(100) * repeats > F.lit(20) * words)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,3 +223,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     statistics = reliable_checkpoint(text_statistics(docs, key, text))
     rules = fit(statistics, labels)
     return statistics.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base rules and the learned list; the list is learned from labelled rows of ``docs``."""
+    known = labels.select(F.col("doc_id").cast("long").alias("known")).distinct()
+    labelled = docs.join(known, docs[key].cast("long") == known["known"], "left_semi")
+    rules = fit(text_statistics(labelled, key, text), labels)
+    rows = docs.select(F.struct("*").alias("row"))
+    counted = rows.select("row", counts_column(F.col(f"row.`{text}`")).alias("counts"))
+    return counted.where(~base_failed("counts.") & verdict(rules, "counts.")).select("row.*")
