@@ -19,6 +19,8 @@ WIDTH, UNITS, WORD_BUCKETS, CHAR_BUCKETS = 16, 8, 1 << 14, 1 << 13
 #: Windows per batch in training and in scoring.
 TRAIN_BATCH, SCORE_BATCH = 256, 1024
 EPOCHS, RATE = 8, 0.01
+#: Small samples are gone through more often, until there were so many steps.
+MIN_STEPS = 400
 #: Initial scale of trigram embeddings; share of words hidden in training; decay of embeddings per step.
 CHAR_SCALE, HIDDEN, DECAY = 0.2, 0.1, 2e-3
 _STRIP = b".,;:!?\"'()[]{}|#$%&*<>-_"
@@ -264,7 +266,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 11) ->
         return model
     names, at = list(types), 0
     starts = [windows_of(len(words)) for words in docs]
-    for epoch in range(EPOCHS):
+    epoch = 0
+    while epoch < EPOCHS or at < MIN_STEPS:
         chosen: list[tuple[int, int]] = []
         logits = window_logits(model, docs, names) if epoch else None
         for d in usable:
@@ -282,7 +285,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 11) ->
             used, local = np.unique(np.append(0, numbers), return_inverse=True)
             at += 1
             mask &= (rng.random(mask.shape) >= HIDDEN) | (mask.cumsum(axis=1) == 1)
-            step(model, word_features([names[k] for k in used]), local[1:].reshape(numbers.shape), mask, marks[rows], balance[rows], at, RATE / (1 + epoch / 2))
+            step(model, word_features([names[k] for k in used]), local[1:].reshape(numbers.shape), mask, marks[rows], balance[rows], at, RATE / (1 + 4 * min(epoch / EPOCHS, at / MIN_STEPS)))
+        epoch += 1
     top = np.array([v.max() if len(v) else np.nan for v in window_logits(model, docs, names)])
     known = ~np.isnan(top)
     y = np.asarray(labels, dtype=float)[known]
