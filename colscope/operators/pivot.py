@@ -21,6 +21,8 @@ from colscope.session import reliable_checkpoint
 FUNCTIONS = ["sum", "mean", "count", "max", "min", "median"]
 NUMERIC_ONLY = ["sum", "mean", "median"]
 HEADER_SEPARATOR = " - "
+SAME_HEADER = "Varias combinaciones de columnas dan el mismo encabezado"
+RESERVED_HEADER = "Encabezado reservado"
 
 
 class PivotError(ValueError):
@@ -53,16 +55,16 @@ def validate_pivot(df: DataFrame, rows: list[str], columns: list[str], value: st
 def _aggregate(grouped_df: DataFrame, keys: list[str], value_col, function: str, value_type: T.DataType) -> DataFrame:
     """(keys..., agg) per observed key combination; null aggregates dropped."""
     v = value_col
+    if isinstance(value_type, (T.FloatType, T.DoubleType)):
+        v = F.nanvl(v, F.lit(None).cast(value_type))
     if function == "median":
         long = grouped_df.select(*keys, v.cast("double").alias("_v"))
         med = exact_quantiles(long, keys, "_v", [0.5]).select(*keys, F.col("quantile").alias("agg"))
         return med.where(F.col("agg").isNotNull())
     if function == "sum":
-        if isinstance(value_type, (T.FloatType, T.DoubleType)):
-            v = F.nanvl(v, F.lit(None).cast("double"))
         agg = F.coalesce(F.sum(v), F.lit(0).cast(_sum_type(value_type)))
     elif function == "mean":
-        agg = F.avg(F.nanvl(v.cast("double"), F.lit(None).cast("double")))
+        agg = F.avg(v.cast("double"))
     elif function == "count":
         agg = F.count_distinct(v)
     elif function == "max":
@@ -80,6 +82,35 @@ def _sum_type(dt: T.DataType) -> str:
     return "double"
 
 
+def _key(name: str, dtype: T.DataType):
+    """A key column as it is grouped: blanks of text keys are filled first, so they merge with the marker itself; NaN is no value."""
+    if isinstance(dtype, T.StringType):
+        return F.coalesce(col(name), F.lit(BLANK_KEY))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.nanvl(col(name), F.lit(None).cast(dtype))
+    return col(name)
+
+
+def _grouped(df: DataFrame, keys: list[str], value: str, function: str) -> tuple[DataFrame, list[str]]:
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    internal = [f"_k{i}" for i in range(len(keys))]
+    base = df.select(*[_key(k, fields[k]).alias(a) for k, a in zip(keys, internal)], col(value).alias("_val"))
+    return _aggregate(base, internal, F.col("_val"), function, fields[value]), internal
+
+
+def _header(columns: list[str]):
+    return F.concat_ws(HEADER_SEPARATOR, *[
+        F.nullif(F.coalesce(F.col(a).cast("string"), F.lit(BLANK_KEY)), F.lit("")) for a in columns])
+
+
+def pivot_long(df: DataFrame, rows: list[str], columns: list[str], value: str, function: str) -> DataFrame:
+    """The pivot's cells as rows (row keys as text, ``header``, ``value``): no bound on the number of column keys."""
+    validate_pivot(df, rows, columns, value, function)
+    grouped, internal = _grouped(df, list(rows) + list(columns), value, function)
+    shown = [F.coalesce(F.col(a).cast("string"), F.lit(BLANK_KEY)).alias(k) for a, k in zip(internal, rows)]
+    return grouped.select(*shown, _header(internal[len(rows):]).alias("header"), F.col("agg").alias("value"))
+
+
 def pivot_table(df: DataFrame, rows: list[str], columns: list[str], value: str, function: str) -> DataFrame:
     """pandas-style ``pivot_table`` re-expressed as grouped aggregate + pivot.
 
@@ -90,16 +121,13 @@ def pivot_table(df: DataFrame, rows: list[str], columns: list[str], value: str,
     validate_pivot(df, rows, columns, value, function)
     keys = list(rows) + list(columns)
     fields = {f.name: f.dataType for f in df.schema.fields}
-    internal = [f"_k{i}" for i in range(len(keys))]
-    base = df.select(*[col(k).alias(a) for k, a in zip(keys, internal)], col(value).alias("_val"))
     # materialised once: the two small metadata reads and the final spread
     # below then read the aggregate, never the input again
-    grouped = reliable_checkpoint(_aggregate(base, internal, F.col("_val"), function, fields[value]))
+    grouped, internal = _grouped(df, keys, value, function)
+    grouped = reliable_checkpoint(grouped)
     row_internal = internal[:len(rows)]
     col_internal = internal[len(rows):]
-    header_text = F.concat_ws(HEADER_SEPARATOR, *[
-        F.nullif(F.coalesce(F.col(a).cast("string"), F.lit(BLANK_KEY)), F.lit("")) for a in col_internal
-    ])
+    header_text = _header(col_internal)
     # one small job: the observed column-key combinations with their header
     # text, plus whether each row key holds nulls (bounded by pivotMaxValues)
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
@@ -140,6 +168,11 @@ def pivot_table(df: DataFrame, rows: list[str], columns: list[str], value: str,
         )
 
     headers = [r["_h"] for r in sorted(meta, key=sort_key)]
+    if len(set(headers)) < len(headers):
+        same = sorted({h for h in headers if headers.count(h) > 1})
+        raise PivotError(f"{SAME_HEADER}: {same}")
+    if clash := sorted(set(headers) & (set(internal) | {"_o", "_h", "agg"})):
+        raise PivotError(f"{RESERVED_HEADER}: {clash}")
     wide = (
         grouped.withColumn("_h", header_text)
         .groupBy(*row_internal).pivot("_h", headers).agg(F.first("agg"))

@@ -353,7 +353,7 @@ def q_iqr_outliers(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------------ pivot
 
-from colscope.operators.pivot import pivot_report  # noqa: E402
+from colscope.operators.pivot import pivot_long, pivot_report  # noqa: E402
 
 SQL_AGG = {
     "sum": "coalesce(sum({v}), 0)",
@@ -366,9 +366,10 @@ SQL_AGG = {
 
 
 def sql_pivot(source: str, rows: list[str], columns: list[str], value: str, function: str,
-              text_value: bool = False, typed_keys: tuple = ()) -> str:
-    """Oracle pivot: group on blank-filled keys, drop null aggregates, spread with PIVOT.
+              text_value: bool = False, typed_keys: tuple = (), headers: tuple = ()) -> str:
+    """Oracle pivot: group on blank-filled keys, drop null aggregates, spread by conditional aggregation.
 
+    ``headers``: the expected header texts, written out.
     ``typed_keys``: non-text keys without nulls, which keep their type.
     """
     def key(c):
@@ -384,12 +385,11 @@ def sql_pivot(source: str, rows: list[str], columns: list[str], value: str, func
         return f"""WITH src AS ({source}),
 g AS (SELECT {row_keys}, {agg} AS agg FROM src GROUP BY ALL)
 SELECT {row_names}, {wrap('agg')} AS {q(value)} FROM g WHERE agg IS NOT NULL"""
-    header = "concat_ws(' - ', " + ", ".join(key(c) for c in columns) + ")"
-    # PIVOT reads its input inline: its dynamic column list cannot see a CTE
-    grouped = (f"SELECT * FROM (SELECT {row_keys}, {header} AS hdr, {agg} AS agg FROM ({source}) src GROUP BY ALL) "
-               f"WHERE agg IS NOT NULL")
-    return f"""SELECT {row_names}, {wrap(f'COALESCE(COLUMNS(* EXCLUDE ({row_names})), {cell})')}
-FROM (PIVOT ({grouped}) ON hdr USING first(agg) GROUP BY {row_names})"""
+    hdr = "concat_ws(' - ', " + ", ".join(key(c) for c in columns) + ")"
+    cells = ", ".join(f"{wrap(f'coalesce(first(agg) FILTER (WHERE hdr = {lit(h)}), {cell})')} AS {q(h)}" for h in headers)
+    return f"""WITH src AS ({source}),
+g AS (SELECT {row_keys}, {hdr} AS hdr, {agg} AS agg FROM src GROUP BY ALL)
+SELECT {row_names}, {cells} FROM g WHERE agg IS NOT NULL GROUP BY {row_names}"""
 
 
 def _pivot_query(df: DataFrame, rows, columns, value, function, text_value=False) -> DataFrame:
@@ -406,10 +406,10 @@ for _fn in ["sum", "mean", "median", "min", "max"]:
             return _pivot_query(tb.ln(spark, sf), *PIVOT_LN, fn)
         run.__name__ = f"q_pivot_{fn}"
         return run
-    register(f"pivot_{_fn}", sql_pivot(tb.LN_SQL, *PIVOT_LN, _fn))(_make(_fn))
+    register(f"pivot_{_fn}", sql_pivot(tb.LN_SQL, *PIVOT_LN, _fn, headers=("F", "O")))(_make(_fn))
 
 
-@register("pivot_count_distinct", sql_pivot(tb.LN_SQL, ["l_returnflag"], ["l_linestatus"], "l_discount", "count"))
+@register("pivot_count_distinct", sql_pivot(tb.LN_SQL, ["l_returnflag"], ["l_linestatus"], "l_discount", "count", headers=("F", "O")))
 def q_pivot_count_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return _pivot_query(tb.ln(spark, sf), ["l_returnflag"], ["l_linestatus"], "l_discount", "count")
 
@@ -420,18 +420,62 @@ def q_pivot_rows_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("pivot_two_column_keys", sql_pivot(tb.LN_SQL, ["l_linestatus"], ["l_returnflag", "l_linenumber"],
-                                             "l_discount", "mean"))
+                                             "l_discount", "mean", headers=tuple(
+                                                 f"{flag} - {line}" for flag in ("(En blanco)", "A", "N", "R") for line in range(1, 8)
+                                                 if line != 6 and (flag, line) != ("N", 5) and (flag != "(En blanco)" or line == 5))))
 def q_pivot_two_column_keys(spark: SparkSession, sf: str) -> DataFrame:
     return _pivot_query(tb.ln(spark, sf), ["l_linestatus"], ["l_returnflag", "l_linenumber"], "l_discount", "mean")
 
 
 @register("pivot_text_max", sql_pivot("SELECT * FROM customer", ["c_nationkey"], ["c_mktsegment"], "c_name", "max",
-                                      text_value=True, typed_keys=("c_nationkey",)))
+                                      text_value=True, typed_keys=("c_nationkey",),
+                                      headers=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
 def q_pivot_text_max(spark: SparkSession, sf: str) -> DataFrame:
     return _pivot_query(tb.load(spark, sf, "customer"), ["c_nationkey"], ["c_mktsegment"], "c_name", "max",
                         text_value=True)
 
 
+LN_ODD_KEYS_SQL = f"""SELECT CASE WHEN l_linenumber = 1 THEN '(En blanco)' WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag,
+  CASE WHEN l_linenumber = 3 THEN 'NaN'::DOUBLE WHEN l_linenumber = 4 THEN NULL ELSE l_tax END AS tax, l_linestatus,
+  CASE WHEN l_linenumber = 5 THEN 'NaN'::DOUBLE ELSE l_quantity END AS quantity FROM lineitem"""
+
+
+def _ln_odd_keys(spark: SparkSession, sf: str) -> DataFrame:
+    line, nan = F.col("l_linenumber"), F.lit(float("nan"))
+    return tb.load(spark, sf, "lineitem").select(
+        F.when(line == 1, "(En blanco)").when(line == 2, None).otherwise(F.col("l_returnflag")).alias("flag"),
+        F.when(line == 3, nan).when(line == 4, None).otherwise(F.col("l_tax")).alias("tax"), "l_linestatus",
+        F.when(line == 5, nan).otherwise(F.col("l_quantity")).alias("quantity"))
+
+
+def _register_odd_pivots() -> None:
+    for fn in ("sum", "median", "max", "count"):
+        value = "CASE WHEN isnan(quantity) THEN NULL ELSE quantity END"
+        agg = SQL_AGG[fn].format(v=f"({value})")
+        cells = ", ".join(f"round(coalesce(first(agg) FILTER (WHERE hdr = '{h}'), 0), 4) AS \"{h}\"" for h in ("F", "O"))
+        sql = f"""WITH src AS ({LN_ODD_KEYS_SQL}),
+g AS (SELECT coalesce(flag, '(En blanco)') AS flag, CASE WHEN tax IS NULL OR isnan(tax) THEN '(En blanco)' ELSE tax::VARCHAR END AS tax,
+  l_linestatus AS hdr, {agg} AS agg FROM src GROUP BY ALL)
+SELECT flag, tax, {cells} FROM g WHERE agg IS NOT NULL GROUP BY flag, tax"""
+
+        def run(spark: SparkSession, sf: str, fn=fn) -> DataFrame:
+            return _pivot_query(_ln_odd_keys(spark, sf), ["flag", "tax"], ["l_linestatus"], "quantity", fn)
+        run.__name__ = f"q_pivot_odd_keys_{fn}"
+        run.__doc__ = "Pivot with NULL and literal blank keys, and NaN among keys and values."
+        register(f"pivot_odd_keys_{fn}", sql)(run)
+
+
+_register_odd_pivots()
+
+
+@register("pivot_long_cells", """SELECT l_returnflag, concat_ws(' - ', l_orderkey::VARCHAR, l_linenumber::VARCHAR) AS header, round(sum(l_quantity), 4) AS value
+FROM lineitem GROUP BY ALL""")
+def q_pivot_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a pivot whose column keys are far more than any wide table holds."""
+    out = pivot_long(tb.load(spark, sf, "lineitem"), ["l_returnflag"], ["l_orderkey", "l_linenumber"], "l_quantity", "sum")
+    return out.withColumn("value", r4(F.col("value")))
+
+
 # ------------------------------------------------------- correlation
 
 from colscope.operators import correlation as corr  # noqa: E402

@@ -81,3 +81,18 @@ def test_empty_result(spark):
     df = spark.createDataFrame([("x", None)], "a string, v double")
     with pytest.raises(PivotError):
         pivot_report(df, ["a"], [], "v", "mean")
+
+
+def test_equal_headers_are_refused(spark):
+    df = spark.createDataFrame([("r", "a - b", "c", 1.0), ("r", "a", "b - c", 2.0)], "k string, x string, y string, v double")
+    with pytest.raises(PivotError):
+        pivot_table(df, ["k"], ["x", "y"], "v", "sum")
+    assert {(r.header, r.value) for r in pivot_long(df, ["k"], ["x", "y"], "v", "sum").collect()} == {("a - b - c", 1.0), ("a - b - c", 2.0)}
+
+
+def test_nan_is_no_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("r", 1.0), ("r", nan), ("r", 5.0), (None, 2.0), ("(En blanco)", 3.0)], "k string, v double")
+    for function, want in (("max", 5.0), ("median", 3.0), ("count", 2), ("min", 1.0)):
+        assert {r.k: r.v for r in pivot_table(df, ["k"], [], "v", function).collect()}["r"] == want
+    assert {r.k: r.v for r in pivot_table(df, ["k"], [], "v", "sum").collect()} == {"r": 6.0, "(En blanco)": 5.0}
