@@ -9,24 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.session import Scratch, reliable_checkpoint
+from colscope.session import reliable_checkpoint
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(row, root) for every end of an edge (a, b): the smallest row that is reachable; edges must be readable twice."""
+    """(row, root) for every end of an edge (a, b): the smallest row that is reachable; ``edges`` is read in every round."""
     both = edges.select(F.col("a").alias("row"), F.col("b").alias("near")).union(edges.select("b", "a"))
-    with Scratch() as first:
-        both = first.keep(both.distinct())
-        labels = reliable_checkpoint(both.groupBy("row").agg(F.least(F.col("row"), F.min("near")).alias("root")))
-        while True:
-            with Scratch() as used:
-                heard = (both.join(labels.select(F.col("row").alias("near"), F.col("root").alias("near_root")), "near")
-                         .groupBy("row").agg(F.min("near_root").alias("heard")))
-                lower = used.keep(labels.join(heard, "row").select("row", F.least("root", "heard").alias("root"), F.col("root").alias("was")))
-                # Pointer jumping: a label is itself a row, whose own label may be lower.
-                jumped = lower.join(lower.select(F.col("row").alias("root"), F.col("root").alias("further")), "root")
-                after = reliable_checkpoint(jumped.select("row", F.least("root", "further").alias("root"), "was"))
-                changed = after.where(F.col("root") != F.col("was")).limit(1).count()
-            labels = after.select("row", "root")
-            if not changed:
-                return labels
+    labels = reliable_checkpoint(both.groupBy("row").agg(F.min("near").alias("low")).select("row", F.least("row", "low").alias("root")))
+    while True:
+        heard = (both.join(labels.select(F.col("row").alias("near"), F.col("root").alias("near_root")), "near")
+                 .groupBy("row").agg(F.min("near_root").alias("heard")))
+        # Pointer jumping: a label is itself a row, whose own label may be lower.
+        further = labels.select(F.col("row").alias("root"), F.col("root").alias("further"))
+        lower = labels.join(heard, "row").join(further, "root").select("row", F.least("root", "heard", "further").alias("lower"), F.col("root").alias("was"))
+        after = reliable_checkpoint(lower)
+        changed = not after.where(F.col("lower") != F.col("was")).isEmpty()
+        labels = after.select("row", F.col("lower").alias("root"))
+        if not changed:
+            return labels

@@ -10,13 +10,14 @@ less above it; sets whose union is no larger than the sketch are treated exactly
 1. One scan makes size, fingerprint and sketch of every set.  Equal sets form a class; only
    its representative goes on.
 2. A document with fewer than the least overlap of values that others retain as well has no
-   partner.  This is tested with short sketches first, then with full ones.
-3. Inverted lists hold the values of a document rarest first, and of them only as many as any
-   partner must hit.  A value of a passage that countless documents share comes last, so it only makes candidates
-   of documents that consist of such passages.
-4. In each list every member is compared with one member, its hub, not with all others: the
-   sketch of the union filters, the exact similarity of the full sets decides.  Components are
-   formed, and the next round takes other hubs in lists that are still in several components.
+   partner.  This is tested with short sketches first, then with longer ones.
+3. Of the documents that are left, wide sketches are made (the whole set of all but long documents).  Inverted
+   lists hold the values of a document rarest first, and of them only as many as any partner must hit.  A value
+   of a passage that countless documents share comes last, so it only makes candidates of documents that
+   consist of such passages; a copy with many words of its own has none of the values of its like.
+4. In each list every member is compared with one member, its hub (the one whose values are the most
+   common, then others), not with all others: the sketch of the union filters, the exact similarity of the
+   full sets decides.  Components are formed, and the next round only takes lists that are still in several.
 5. For the rest, members of different components in one list are compared in blocks inside the
    tasks, which put out only pairs that pass the sketch filter; these are verified likewise.
 
@@ -40,14 +41,16 @@ from colscope.llm.components import connected_components
 from colscope.llm.words import ascii_words, window_hashes, word_hashes
 from colscope.session import Scratch, reliable_checkpoint, settled
 
-#: Sketch sizes of the first and of the full test.
-SHORT, SKETCH = 16, 64
+#: Sketch sizes of the two tests and of the lists.
+SHORT, SKETCH, WIDE = 16, 64, 512
 #: Standard deviations that the overlap of a link may stay below its mean.
 DEVIATIONS = 5.5
 #: Rounds of hubs before the blocks.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Members of a list that one block holds.
 BLOCK = 256
+#: Values that a block compares at a time.
+_COLUMNS = 16_384
 #: A table of (row, few numbers) is broadcast up to this many rows: under 64 MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -101,37 +104,49 @@ def _retained(postings: DataFrame) -> DataFrame:
     return postings.join(counts, "value")
 
 
-def _candidate_lists(sketched: DataFrame, tables: Scratch) -> DataFrame:
-    """(value, row): the inverted lists, without values that no partner needs to hit."""
+def _members(sketched: DataFrame, tables: Scratch) -> DataFrame:
+    """Rows of representatives that can have a partner by both tests."""
     leaders = sketched.where("n_shingles > 0").groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
-    leaders = tables.keep(leaders.select(F.col("first.row").alias("row")))
-    distinct = sketched.join(_small(leaders, leaders.count()), "row")
-    short = tables.keep(distinct.select("row", "least_short", F.explode(F.slice("sketch", 1, SHORT)).alias("value")))
-    alive = tables.keep(_retained(short).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("least_short").alias("least_short"))
-                        .where("n >= least_short").select("row"))
-    full = tables.keep(sketched.join(_small(alive, alive.count()), "row").select("row", "least", F.explode("sketch").alias("value")))
-    held = (_retained(full).groupBy("row").agg(F.first("least").alias("least"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
+    rows = tables.keep(leaders.select(F.col("first.row").alias("row")))
+    for size, least in ((SHORT, "least_short"), (SKETCH, "least")):
+        values = tables.keep(sketched.join(_small(rows, rows.count()), "row").select("row", F.col(least).alias("least"), F.explode(F.slice("sketch", 1, size)).alias("value")))
+        rows = tables.keep(_retained(values).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select("row"))
+    return rows
+
+
+def _wide_sketches(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, texts in text_chunks(iter([batch])):
+            sets = [shingle_set(t, width) for t in texts]
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([v[:WIDE].tolist() for v in sets], pa.list_(pa.int64())),
+                                   pa.array([least_overlap(len(v), WIDE, similarity) for v in sets], pa.int32())], ["row", "sketch", "least"])
+
+
+def _candidate_lists(wide: DataFrame) -> DataFrame:
+    """(value, row, weight): the inverted lists, without values that no partner needs to hit; weight: how common a row's values are."""
+    held = (_retained(wide.select("row", "least", F.explode("sketch").alias("value"))).groupBy("row")
+            .agg(F.first("least").alias("least"), F.sum("df").alias("weight"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("held"))
             .where(F.size("held") >= F.col("least")))
-    wanted = held.select("row", F.explode(F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1)).alias("v"))
-    return wanted.select(F.col("v.value").alias("value"), "row")
+    wanted = held.select("row", "weight", F.explode(F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1)).alias("v"))
+    return wanted.select(F.col("v.value").alias("value"), "row", "weight")
 
 
-def _passes(a: np.ndarray, b: np.ndarray, least: int) -> bool:
-    """True if the sketch of the union has at least ``least`` values of both sets."""
+def _passes(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """False if the wide sketches show that the sets are not similar: exactly if they hold the whole union, else by its sketch."""
     common = np.intersect1d(a, b, assume_unique=True)
-    if len(common) < least:
-        return False
     size = len(a) + len(b) - len(common)
-    if size <= SKETCH:
-        return True
-    return int((common <= np.union1d(a, b)[SKETCH - 1]).sum()) >= least
+    if size <= WIDE:
+        return 100 * len(common) >= percent * size
+    # Both sketches are cut at WIDE, so the union is larger than ``size``; the least overlap is that of an unbounded one.
+    similarity = percent / 100
+    least = similarity * WIDE - DEVIATIONS * (WIDE * similarity * (1 - similarity)) ** 0.5
+    return int((common <= np.union1d(a, b)[WIDE - 1]).sum()) >= least
 
 
-def _sketch_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch_filter(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(2), batch.column(4)
-        least = np.maximum(batch.column(3).to_numpy(), batch.column(5).to_numpy())
-        keep = [_passes(a[i].values.to_numpy(), b[i].values.to_numpy(), least[i]) for i in range(batch.num_rows)]
+        a, b = batch.column(2), batch.column(3)
+        keep = [_passes(a[i].values.to_numpy(), b[i].values.to_numpy(), percent) for i in range(batch.num_rows)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -171,38 +186,44 @@ def _open_lists(lists: DataFrame, roots: DataFrame | None, n_roots: int) -> Data
     return named.join(one.select("value", "members"), "value")
 
 
-def _across(block: pa.Table) -> pa.Table:
+def _across(block: pa.Table, percent: int) -> pa.Table:
     """Pairs of a block's two sides that lie in different components and pass the sketch filter."""
     side = block.column("side").to_numpy()
-    rows, roots, least = (block.column(c).to_numpy() for c in ("row", "root", "least"))
+    rows, roots = (block.column(c).to_numpy() for c in ("row", "root"))
     sketches = [np.asarray(s) for s in block.column("sketch").to_pylist()]
     # Overlaps of all sketches at once: a 0/1 matrix over the values that several members hold.
     values, place = np.unique(np.concatenate(sketches), return_inverse=True)
     owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-    shared = np.bincount(place, minlength=len(values)) > 1
-    column = np.cumsum(shared) - 1
-    marks = np.zeros((len(sketches), max(1, int(shared.sum()))), dtype=np.float32)
-    marks[owner[shared[place]], column[place[shared[place]]]] = 1
+    shared = np.flatnonzero(np.bincount(place, minlength=len(values)) > 1)
+    column = np.full(len(values), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[place]
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    overlap = marks[left] @ marks[right].T
-    hit = (overlap >= np.maximum.outer(least[left], least[right])) & (rows[left][:, None] < rows[right][None, :]) & (roots[left][:, None] != roots[right][None, :])
-    if not (side == 2).any():  # the two sides are different blocks: take both orders
-        hit |= (overlap >= np.maximum.outer(least[left], least[right])) & (rows[left][:, None] > rows[right][None, :]) & (roots[left][:, None] != roots[right][None, :])
-    found = [(int(rows[left[i]]), int(rows[right[j]])) for i, j in zip(*np.nonzero(hit))
-             if _passes(sketches[left[i]], sketches[right[j]], max(least[left[i]], least[right[j]]))]
+    overlap = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, len(shared), _COLUMNS):
+        here = (column >= first) & (column < first + _COLUMNS)
+        marks = np.zeros((len(sketches), min(_COLUMNS, len(shared) - first)), dtype=np.float32)
+        marks[owner[here], column[here] - first] = 1
+        overlap += marks[left] @ marks[right].T
+    sizes = np.array([len(s) for s in sketches], dtype=np.float32)
+    union = sizes[left][:, None] + sizes[right][None, :] - overlap
+    hit = ((100 * overlap >= percent * union) | (union > WIDE)) & (roots[left][:, None] != roots[right][None, :])
+    if (side == 2).any():  # both sides are the same block: each pair once
+        hit &= rows[left][:, None] < rows[right][None, :]
+    found = [(int(rows[left[i]]), int(rows[right[j]])) for i, j in zip(*np.nonzero(hit)) if _passes(sketches[left[i]], sketches[right[j]], percent)]
     a, b = ([max(p) for p in found], [min(p) for p in found])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _block_pairs(opened: DataFrame, sketched: DataFrame) -> DataFrame:
+def _block_pairs(opened: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
     """(a, b) across components, found block by block: a block of a list meets every block of it once."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
     placed = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
     met = placed.select("value", "row", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     met = met.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "root", side.alias("side"))
-    full = met.join(sketched.select("row", "sketch", "least"), "row")
-    return full.groupBy("value", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    full = met.join(wide.select("row", "sketch"), "row")
+    return full.groupBy("value", "i", "j").applyInArrow(lambda block: _across(block, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
@@ -212,29 +233,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     similarity = percent / 100
     sketched = reliable_checkpoint(rows.mapInArrow(lambda it: _sketches(it, width, similarity), _SKETCH_SCHEMA))
     with Scratch() as tables:
-        lists = tables.keep(_candidate_lists(sketched, tables))
-        members = tables.keep(lists.select("row").distinct())
+        members = _members(sketched, tables)
         n_members = members.count()
-        known = tables.keep(sketched.join(_small(members, n_members), "row").select("row", "doc_id", "tag", "sketch", "least"))
+        known = tables.keep(sketched.join(_small(members, n_members), "row").select("row", F.col("doc_id").alias("id"), F.col("tag").alias("mark")))
         # The texts of candidates, by id and hash of the text; equal texts under one id are one text.
-        texts = rows.select("doc_id", "tag", "text")
-        wanted = known.select("row", F.col("doc_id").alias("id"), F.col("tag").alias("mark"))
-        found = texts.join(_small(wanted, n_members), texts["doc_id"].eqNullSafe(F.col("id")) & (texts["tag"] == F.col("mark")))
-        texts = tables.keep(found.select("row", "text").dropDuplicates(["row"]) if _repeats(sketched) else found.select("row", "text"))
+        found = rows.join(_small(known, n_members), rows["doc_id"].eqNullSafe(F.col("id")) & (rows["tag"] == F.col("mark"))).select("row", "text")
+        texts = tables.keep(found.dropDuplicates(["row"]) if _repeats(sketched) else found)
+        known = tables.keep(texts.mapInArrow(lambda it: _wide_sketches(it, width, similarity), "row long, sketch array<long>, least int"))
+        lists = tables.keep(_candidate_lists(known))
         edges, roots, n_roots = None, None, 0
         for turn in range(HUB_ROUNDS + 1):
             opened = tables.keep(_open_lists(lists, roots, n_roots))
             if opened.isEmpty():
                 break
             if turn < HUB_ROUNDS:
-                order = F.struct(F.lit(0) if turn == 0 else F.xxhash64("row", F.lit(turn)), F.col("row"), F.col("root"))
+                order = F.struct(-F.col("weight") if turn == 0 else F.xxhash64("row", F.lit(turn)), F.col("row"), F.col("root"))
                 hubs = opened.groupBy("value").agg(F.min(order).alias("hub")).select("value", F.col("hub.row").alias("b"), F.col("hub.root").alias("hub_root"))
                 pairs = opened.join(hubs, "value").where(F.col("root") != F.col("hub_root")).select(F.col("row").alias("a"), "b").distinct()
-                sides = [known.select(F.col("row").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("least").alias(f"least_{s}")) for s in ("a", "b")]
-                pairs = (pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "least_a", "sketch_b", "least_b")
-                         .mapInArrow(_sketch_filter, "a long, b long"))
+                sides = [known.select(F.col("row").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in ("a", "b")]
+                pairs = (pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sketch_a", "sketch_b")
+                         .mapInArrow(lambda it: _sketch_filter(it, percent), "a long, b long"))
             else:
-                pairs = _block_pairs(opened, known)
+                pairs = _block_pairs(opened, known, percent)
             pairs = tables.keep(pairs)
             fresh = tables.keep(_verified(pairs, texts, pairs.count(), width, percent))
             edges = fresh if edges is None else edges.union(fresh)
