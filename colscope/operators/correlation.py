@@ -102,16 +102,19 @@ def pair_rows(num: DataFrame, cols: list[str], diagonal: bool = True,
 
 
 _MOMENTS_SCHEMA = (
-    "i int, j int, n long, mx double, my double, m2x double, m2y double, cxy double, "
+    "i int, j int, n long, bad long, mx double, my double, m2x double, m2y double, cxy double, "
     "lox double, hix double, loy double, hiy double"
 )
 
 
 def _batch_moments(x: np.ndarray):
-    """Per column pair (i, j), on the rows where both are present: count, means,
-    centred second moments, co-moment, and min/max of each side (k x k arrays)."""
-    m = ~np.isnan(x)
+    """Per column pair (i, j), on the rows where both are finite: count, means,
+    centred second moments, co-moment, and min/max of each side (k x k arrays);
+    and the number of rows where both are present but one is infinite."""
+    m = np.isfinite(x)
     mf = m.astype(np.float64)
+    present = (~np.isnan(x)).astype(np.float64)
+    bad = present.T @ present - mf.T @ mf
     # shift each column by a value of its own for accuracy (any constant works)
     shift = np.where(m.any(axis=0), np.nanmax(np.where(m, x, -np.inf), axis=0), 0.0)
     x0 = np.where(m, x - shift, 0.0)
@@ -130,13 +133,13 @@ def _batch_moments(x: np.ndarray):
         both = m & m[:, [j]]
         lo[:, j] = np.min(np.where(both, x, np.inf), axis=0)
         hi[:, j] = np.max(np.where(both, x, -np.inf), axis=0)
-    return n, mean_x + shift[:, None], np.maximum(m2x, 0.0), cxy, lo, hi
+    return n, mean_x + shift[:, None], np.maximum(m2x, 0.0), cxy, lo, hi, bad
 
 
 def _merge(a, b):
     """Parallel combination of two moment sets (Chan et al.), elementwise over pairs."""
-    na, mxa, m2a, ca, loa, hia = a
-    nb, mxb, m2b, cb, lob, hib = b
+    na, mxa, m2a, ca, loa, hia, bada = a
+    nb, mxb, m2b, cb, lob, hib, badb = b
     n = na + nb
     with np.errstate(invalid="ignore", divide="ignore"):
         wa = np.where(n > 0, na / n, 0.0)
@@ -146,7 +149,7 @@ def _merge(a, b):
         d = mxb0 - mxa0                          # of column i (rows with j present)
         m2 = np.nan_to_num(m2a) + np.nan_to_num(m2b) + d * d * na * wb
         c = np.nan_to_num(ca) + np.nan_to_num(cb) + d * d.T * na * wb
-    return n, np.where(n > 0, mean, np.nan), m2, c, np.minimum(loa, lob), np.maximum(hia, hib)
+    return n, np.where(n > 0, mean, np.nan), m2, c, np.minimum(loa, lob), np.maximum(hia, hib), bada + badb
 
 
 def _moments_of_partition(k: int):
@@ -159,12 +162,14 @@ def _moments_of_partition(k: int):
             acc = cur if acc is None else _merge(acc, cur)
         if acc is None:
             return
-        n, mean, m2, c, lo, hi = acc
+        n, mean, m2, c, lo, hi, bad = acc
+        mean, m2, c = (np.where(n > 0, part, 0.0) for part in (mean, m2, c))
         iu, ju = np.triu_indices(k)
-        keep = n[iu, ju] > 0
+        keep = (n[iu, ju] > 0) | (bad[iu, ju] > 0)
         iu, ju = iu[keep], ju[keep]
         yield pd.DataFrame({
             "i": iu.astype(np.int32), "j": ju.astype(np.int32), "n": n[iu, ju].astype(np.int64),
+            "bad": bad[iu, ju].astype(np.int64),
             "mx": mean[iu, ju], "my": mean[ju, iu], "m2x": m2[iu, ju], "m2y": m2[ju, iu], "cxy": c[iu, ju],
             "lox": lo[iu, ju], "hix": hi[iu, ju], "loy": lo[ju, iu], "hiy": hi[ju, iu],
         })
@@ -172,7 +177,7 @@ def _moments_of_partition(k: int):
 
 
 def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i <= j, pairwise-complete; r null for a constant side or < 2 rows.
+    """(i, j, n, r) for i <= j, pairwise-complete; r null for a constant side, an infinite value or < 2 rows.
 
     Each task turns its Arrow batches into k x k co-moment matrices with a few
     matrix products (null masks included) and emits k(k+1)/2 rows; the rows of
@@ -183,22 +188,22 @@ def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     parts = num.select(*[col(c) for c in cols]).mapInPandas(_moments_of_partition(k), _MOMENTS_SCHEMA)
     w = Window.partitionBy("i", "j")
     total = F.sum("n").over(w)
-    mx_all = F.sum(F.col("n") * F.col("mx")).over(w) / total
-    my_all = F.sum(F.col("n") * F.col("my")).over(w) / total
+    mx_all = F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("mx")).over(w), total), F.lit(0.0))
+    my_all = F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("my")).over(w), total), F.lit(0.0))
     centred = parts.select(
-        "i", "j", "n", "m2x", "m2y", "cxy", "lox", "hix", "loy", "hiy",
+        "i", "j", "n", "bad", "m2x", "m2y", "cxy", "lox", "hix", "loy", "hiy",
         (F.col("mx") - mx_all).alias("dx"), (F.col("my") - my_all).alias("dy"))
     m = centred.groupBy("i", "j").agg(
-        F.sum("n").alias("n"),
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"),
         F.sum(F.col("m2x") + F.col("n") * F.col("dx") * F.col("dx")).alias("sxx"),
         F.sum(F.col("m2y") + F.col("n") * F.col("dy") * F.col("dy")).alias("syy"),
         F.sum(F.col("cxy") + F.col("n") * F.col("dx") * F.col("dy")).alias("sxy"),
         F.min("lox").alias("lox"), F.max("hix").alias("hix"),
         F.min("loy").alias("loy"), F.max("hiy").alias("hiy"),
     )
-    spread = (F.col("hix") > F.col("lox")) & (F.col("hiy") > F.col("loy")) & (F.col("sxx") > 0) & (F.col("syy") > 0)
+    spread = (F.col("bad") == 0) & (F.col("hix") > F.col("lox")) & (F.col("hiy") > F.col("loy")) & (F.col("sxx") > 0) & (F.col("syy") > 0)
     r = F.when(spread, F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    return m.select("i", "j", "n", _clamp(r).alias("r"))
+    return m.select("i", "j", (F.col("n") + F.col("bad")).alias("n"), _clamp(r).alias("r"))
 
 
 def _pair_counts(num: DataFrame, cols: list[str], only: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -245,24 +250,17 @@ def _spearman_null_free(num: DataFrame, cols: list[str], idx: list[int]) -> Data
                       "n", "r")
 
 
-# per-column ranks pay off from this many null-free columns on: c(c-1)/2
-# pair rows per input row against about 2c rows for ranking and regrouping
-SHARED_RANKS_MIN = 5
-
-
-def spearman_pairs(num: DataFrame, cols: list[str], shared_ranks_min: int = SHARED_RANKS_MIN) -> DataFrame:
+def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows.
 
-    With at least ``shared_ranks_min`` null-free columns, their pairs share
-    per-column ranks; the other pairs (those touching a column with nulls) are
-    ranked pair by pair, as pandas ranks each pair on its own complete rows.
+    Pairs of null-free columns have the same rows, so they share per-column ranks; the
+    others are ranked pair by pair, as pandas ranks each pair on its own complete
+    rows.  A constant side gives NULL both ways, at any row count.
     """
     missing = num.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
     clean = [i for i in range(len(cols)) if missing[f"m{i}"] == 0]
-    if len(clean) < max(2, shared_ranks_min):
-        clean = []
     parts = []
-    if clean:
+    if len(clean) > 1:
         parts.append(_spearman_null_free(num, cols, clean))
     rest = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if not (i in clean and j in clean)]
     if rest:
@@ -279,17 +277,14 @@ def _spearman_per_pair(num: DataFrame, cols: list[str], only: list[tuple[int, in
     ranks = average_ranks(_side_counts(counts), ["i", "j", "side"], "v").select("i", "j", "side", "v", "rank")
     rx = ranks.where("side = 0").select("i", "j", F.col("v").alias("x"), F.col("rank").alias("rx"))
     ry = ranks.where("side = 1").select("i", "j", F.col("v").alias("y"), F.col("rank").alias("ry"))
-    joined = counts.join(rx, ["i", "j", "x"]).join(ry, ["i", "j", "y"])
-    c, a, b = F.col("c"), F.col("rx"), F.col("ry")
+    # Ranks are centred on their mean (n + 1) / 2, which is exact in binary: a constant side sums to exactly 0.
+    rows = counts.groupBy("i", "j").agg(F.sum("c").alias("n"))
+    joined = counts.join(rx, ["i", "j", "x"]).join(ry, ["i", "j", "y"]).join(rows, ["i", "j"])
+    middle = (F.col("n") + 1).cast("double") / 2
+    c, a, b = F.col("c"), F.col("rx") - middle, F.col("ry") - middle
     m = joined.groupBy("i", "j").agg(
-        F.sum(c).alias("n"), F.sum(c * a).alias("sa"), F.sum(c * b).alias("sb"),
-        F.sum(c * a * a).alias("saa"), F.sum(c * b * b).alias("sbb"), F.sum(c * a * b).alias("sab"),
-    )
-    n = F.col("n").cast("double")
-    cov = n * F.col("sab") - F.col("sa") * F.col("sb")
-    va = n * F.col("saa") - F.col("sa") * F.col("sa")
-    vb = n * F.col("sbb") - F.col("sb") * F.col("sb")
-    r = F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+        F.max("n").alias("n"), F.sum(c * a * a).alias("saa"), F.sum(c * b * b).alias("sbb"), F.sum(c * a * b).alias("sab"))
+    r = F.when((F.col("saa") > 0) & (F.col("sbb") > 0), F.col("sab") / (F.sqrt("saa") * F.sqrt("sbb")))
     return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 

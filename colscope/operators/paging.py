@@ -1,9 +1,9 @@
 """Paged viewing of a table.
 
-Shallow pages use ``orderBy().offset().limit()`` (each task keeps only its
-first offset + size rows).  Deep pages never sort the whole table into one
-task: row positions come from the distributed running counts over the sort
-key, and the page is a range filter on them.
+One plan for every page: the sort keys, with a hash of the row that parts rows with
+equal keys, are ranked by the distributed running counts; the first and the last
+key of the page are looked up there, and only the rows between them are read in full
+(the bounds of the first key reach the scan).  No task sorts the table, no wide row is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from colscope.operators.ranks import running_before
 
 DEFAULT_SIZE = 25
 MAX_SIZE = 200
-SHALLOW_ROWS = 100_000
 
 
 class PagingError(ValueError):
@@ -35,12 +34,11 @@ def page_bounds(total_rows: int, page: int, size: int) -> dict:
 
 
 def page_rows(df: DataFrame, order_by: list[str], page: int = 1, size: int = DEFAULT_SIZE,
-              current_page: int | None = None, shallow_rows: int = SHALLOW_ROWS,
-              total_rows: int | None = None) -> tuple[DataFrame, dict]:
+              current_page: int | None = None, total_rows: int | None = None) -> tuple[DataFrame, dict]:
     """(rows of the page as JSON-safe values, navigation metadata).
 
-    ``current_page`` overrides ``page``; the page is clamped to 1..total_pages.
-    ``order_by`` should be unique (a key), as file order does not exist in Spark.
+    ``current_page`` overrides ``page``; the page is clamped to 1..total_pages.  Rows with
+    equal ``order_by`` values follow a hash of all their columns, so pages never overlap.
     """
     total = df.count() if total_rows is None else total_rows
     meta = page_bounds(total, current_page or page, size)
@@ -48,14 +46,22 @@ def page_rows(df: DataFrame, order_by: list[str], page: int = 1, size: int = DEF
     meta["columns"] = list(df.columns)
     start = (meta["current_page"] - 1) * size
     safe = [json_safe(col(f.name), f.dataType).alias(f.name) for f in df.schema.fields]
-    keys = [col(k) for k in order_by]
-    if start + size <= shallow_rows:
-        rows = df.orderBy(*keys).offset(start).limit(size).select(*safe)
-        return rows, meta
-    numbered = df.withColumn("_one", F.lit(1).cast("long"))
-    # one sort key column for the range partitioning of the running count
-    numbered = numbered.withColumn("_key", F.struct(*keys))
-    pos = running_before(numbered, [], "_key", "_one", out="_pos")
-    rows = (pos.where((F.col("_pos") >= start) & (F.col("_pos") < start + size))
-            .orderBy("_pos").select(*safe))
-    return rows, meta
+    key = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(order_by)], F.xxhash64(*[col(c) for c in df.columns]).alias("h"))
+    counted = df.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_before(counted, [], "_key", "_n", out="_pos")
+    there = (F.col("_pos") < start + size) & (F.col("_pos") + F.col("_n") > start)
+    ends = placed.where(there).agg(F.min("_key").alias("first"), F.max("_key").alias("last"), F.min("_pos").alias("before")).first()
+    if ends["first"] is None:
+        return df.limit(0).select(*safe), meta
+    kind = {f.name: f.dataType for f in df.schema.fields}
+
+    def literal(row):
+        return F.struct(*[F.lit(row[f"k{i}"]).cast(kind[k]).alias(f"k{i}") for i, k in enumerate(order_by)], F.lit(row["h"]).alias("h"))
+
+    inside = (key >= literal(ends["first"])) & (key <= literal(ends["last"]))
+    if ends["first"]["k0"] is not None:  # a plain range that the scan can use; NULLs come first, so none is inside
+        low, high = (F.lit(ends[e]["k0"]).cast(kind[order_by[0]]) for e in ("first", "last"))
+        inside = (col(order_by[0]) >= low) & (col(order_by[0]) <= high) & inside
+    # Between the ends lies the page alone, but for copies of its first and last row.
+    rows = df.where(inside).select("*", key.alias("_key")).orderBy("_key").offset(start - ends["before"]).limit(size)
+    return rows.select(*safe), meta

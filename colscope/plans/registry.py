@@ -704,7 +704,7 @@ def q_page_rows(spark: SparkSession, sf: str) -> DataFrame:
 @register("page_rows_deep", PAGE_SQL.format(page=400))
 def q_page_rows_deep(spark: SparkSession, sf: str) -> DataFrame:
     """Page 400 through the distributed row positions (no shallow shortcut)."""
-    rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=400, size=25, shallow_rows=0)
+    rows, _ = page_rows(tb.load(spark, sf, "orders"), ["o_orderkey"], page=400, size=25)
     return rows
 
 

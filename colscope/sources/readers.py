@@ -9,7 +9,6 @@ all-null column is double) and the columns are cast.
 
 from __future__ import annotations
 
-import csv
 import io
 import os
 
@@ -66,39 +65,62 @@ def dedupe_headers(names: list[str]) -> list[str]:
     return out
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """The first line of the file (one line reaches the driver), parsed as CSV."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return []
-    return next(csv.reader(io.StringIO(first[0][0])), [])
+def _csv(spark: SparkSession, path: str, multi_line: bool, **options) -> DataFrame:
+    """Fields as text; quotes inside quoted fields are doubled."""
+    reader = spark.read.option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
+    if "columns" in options:
+        reader = reader.schema(", ".join(f"`{c}` string" for c in options["columns"]))
+    return reader.option("header", options.get("header", False)).csv(path)
+
+
+def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
+    """The fields of the file's first record (one record reaches the driver)."""
+    first = _csv(spark, path, multi_line).first()
+    return [] if first is None else ["" if v is None else v for v in first]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, comma, pandas missing tokens, pandas-like type inference."""
-    header = csv_header(spark, path)
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Header row, comma, pandas missing tokens, pandas-like type inference; records with too many fields are refused.
+
+    ``multi_line`` lets quoted fields hold line breaks; a file is then read by one task.  Files
+    without such fields should be read with ``multi_line=False``, which splits them.
+    """
+    header = csv_header(spark, path, multi_line)
     if not header:
         raise SourceError("El archivo está completamente vacío.")
     names = dedupe_headers([h if h != "" else f"Unnamed: {i}" for i, h in enumerate(header)])
-    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    raw = raw.toDF(*names)
-    text = raw.select(*[F.when(col(n).isin(PANDAS_NA_TOKENS), None).otherwise(col(n)).alias(n) for n in names])
-    return infer_types(text)
+    # One column more than the header has shows records that are too long.
+    plain = [f"c{i}" for i in range(len(names) + 1)]
+    raw = _csv(spark, path, multi_line, header=True, columns=plain)
+    text = raw.select(*[F.when(col(p).isin(PANDAS_NA_TOKENS), None).otherwise(col(p)).alias(n) for p, n in zip(plain, names)],
+                      col(plain[-1]).alias(_BEYOND))
+    return infer_types(text, beyond=_BEYOND)
+
+
+#: Name of the column behind the header's last one; fixed value: what a number looks like (no type suffix).
+_BEYOND = "__beyond__"
+NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)\s*$"
 
 
-def infer_types(text: DataFrame) -> DataFrame:
-    """One aggregate over all text columns decides long / double / boolean / text."""
-    names = text.columns
-    checks = []
+def infer_types(text: DataFrame, beyond: str | None = None) -> DataFrame:
+    """One aggregate over all text columns decides long / double / boolean / text.
+
+    ``beyond``: a column that must be empty, else the table is refused.
+    """
+    names = [n for n in text.columns if n != beyond]
+    checks = [F.count(col(beyond) if beyond else F.lit(None)).alias("beyond")]
     for i, n in enumerate(names):
         c = col(n)
+        number = c.rlike(NUMBER)
         checks += [
             F.count(c).alias(f"n{i}"),
-            F.count(c.try_cast("long")).alias(f"l{i}"),
-            F.count(c.try_cast("double")).alias(f"d{i}"),
+            F.count(F.when(number, c.try_cast("long"))).alias(f"l{i}"),
+            F.count(F.when(number, c.try_cast("double"))).alias(f"d{i}"),
             F.count_if(c.isin(BOOL_TOKENS)).alias(f"b{i}"),
         ]
     r = text.agg(*checks).first()
+    if r["beyond"]:
+        raise SourceError(f"El archivo tiene {r['beyond']} registros con más campos que el encabezado.")
     out = []
     for i, n in enumerate(names):
         nn, nl, nd, nb = r[f"n{i}"], r[f"l{i}"], r[f"d{i}"], r[f"b{i}"]

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.operators.profile import Profile, profile
 
 TABLES = ("summary", "variables", "details")
+#: Error conditions of a table that is missing or is no readable Parquet.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")
 
 
 def profile_tables(prof: Profile) -> dict[str, DataFrame]:
@@ -40,8 +43,11 @@ def load_profile(spark: SparkSession, store: str, dataset_id: int) -> dict[str,
             if df.isEmpty():
                 return None
             out[name] = df
-    except Exception:
-        return None
+    except PySparkException as error:
+        # Only "not there" and "not readable as Parquet" mean that there is no profile; all else is a failure.
+        if str(error.getCondition() or "").startswith(ABSENT):
+            return None
+        raise
     return out
 
 

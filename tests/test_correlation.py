@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from colscope.functions.stats import pearson_pvalue
+from colscope.functions.stats import NORMAL_FROM, pearson_pvalue
 from colscope.operators import correlation as corr
 
 
@@ -171,8 +172,9 @@ def test_spearman_mixed_null_free_and_null_columns(spark):
     names = ["a", "b", "c", "d"]
     num = corr.numeric_frame(df, names)
     got = {}
-    for shared in (2, 99):   # per-column ranks for a, b, c / every pair ranked on its own
-        pairs = corr.spearman_pairs(num, names, shared_ranks_min=shared).collect()
+    every = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    # per-column ranks for a, b, c / every pair ranked on its own
+    for pairs in (corr.spearman_pairs(num, names).collect(), corr._spearman_per_pair(num, names, every).collect()):
         for r in pairs:
             got.setdefault((names[r["j"]], names[r["i"]]), set()).add(round(r["r"], 4))
     assert all(len(v) == 1 for v in got.values())
@@ -184,3 +186,28 @@ def test_spearman_mixed_null_free_and_null_columns(spark):
             y = np.array([p[1] for p in pairs])
             want = float(np.corrcoef(_avg_ranks(x), _avg_ranks(y))[0, 1])
             assert got[(names[j], names[i])] == pytest.approx(round(want, 4), abs=1e-4)
+
+
+def test_infinity_gives_null_whatever_the_batches(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"),
+                                    F.when(F.col("id") == 777, float("inf")).otherwise(F.col("id").cast("double")).alias("c"))
+    for parts in (1, 5):
+        got = {(r.i, r.j): (r.n, r.r) for r in corr.pearson_pairs(df.repartition(parts), ["a", "b", "c"]).collect()}
+        assert got[0, 1] == (20_000, pytest.approx(1.0))
+        assert got[0, 2] == (20_000, None) and got[1, 2] == (20_000, None) and got[2, 2] == (20_000, None)
+
+
+def test_constant_side_has_no_rank_correlation(spark):
+    df = spark.range(3_017).select(F.lit(5.0).alias("a"), F.col("id").cast("double").alias("b"),
+                                   F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("c"))
+    got = {(r.i, r.j): r.r for r in corr.spearman_pairs(df, ["a", "b", "c"]).collect()}
+    assert got[0, 1] is None and got[0, 2] is None and got[1, 2] == pytest.approx(1.0)
+
+
+def test_p_values_of_very_many_rows():
+    for n in (10**6, 10**9, 10**11, 10**12):
+        for z in (0.1, 0.5, 1.0, 1.96, 3.0):
+            assert pearson_pvalue(z / math.sqrt(n), n) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=2e-6)
+    # Both ways agree where they meet.
+    for r in (0.001, 0.005, 0.01):
+        assert pearson_pvalue(r, NORMAL_FROM + 1) == pytest.approx(pearson_pvalue(r, NORMAL_FROM + 2), abs=1e-5)

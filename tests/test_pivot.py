@@ -2,7 +2,7 @@
 
 import pytest
 
-from colscope.operators.pivot import PivotError, pivot_report, pivot_table
+from colscope.operators.pivot import PivotError, pivot_long, pivot_report, pivot_table
 
 ROWS = [("x", "p", 1.0, "k"), ("x", "q", 2.0, "l"), ("y", "p", None, "l"), (None, "q", 4.0, None)]
 SCHEMA = "a string, b string, v double, t string"

@@ -79,14 +79,24 @@ def test_chart_data(spark):
     assert bars == [("b", 10), ("a", 10)]
 
 
-@pytest.mark.parametrize("shallow", [100_000, 0])
-def test_paging(spark, shallow):
+def test_pages_of_equal_keys_do_not_overlap(spark):
+    rows = [(None if i % 10 == 0 else i % 3, f"s{i % 40}", float("nan") if i % 7 == 0 else float(i % 5)) for i in range(130)]
+    df = spark.createDataFrame(rows, "k long, s string, v double")
+    seen = []
+    for page in range(1, 7):
+        got, meta = page_rows(df.repartition(3 + page), ["k", "v"], page=page, size=25)
+        seen += [(r.k, r.s, r.v) for r in got.collect()]
+    assert sorted(map(str, seen)) == sorted(str((k, s, None if v != v else v)) for k, s, v in rows)
+    assert [k for k, _, _ in seen] == sorted((k for k, _, _ in rows), key=lambda k: -1 if k is None else k)
+
+
+def test_paging(spark):
     df = spark.createDataFrame([(i, f"r{i}") for i in range(26)], "k long, s string")
-    rows, meta = page_rows(df, ["k"], page=9, size=25, shallow_rows=shallow)
+    rows, meta = page_rows(df, ["k"], page=9, size=25)
     assert meta["current_page"] == 2 and meta["total_pages"] == 2 and not meta["has_next_page"]
     assert meta["has_previous_page"]
     assert [r["k"] for r in rows.collect()] == [25]
-    rows, meta = page_rows(df, ["k"], page=1, size=10, shallow_rows=shallow)
+    rows, meta = page_rows(df, ["k"], page=1, size=10)
     assert [r["k"] for r in rows.collect()] == list(range(10))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from colscope.functions.scalar import NUMERIC
 from colscope.operators.profile import profile
-from colscope.sources.readers import SourceError, dedupe_headers, read_table
+from colscope.sources.readers import SourceError, dedupe_headers, read_csv, read_table
 from colscope.sources.store import load_or_compute_profile, load_profile, profile_context, variable_detail
 from colscope.sources.validation import ValidationError, validate_source
 
@@ -81,3 +81,35 @@ def test_store_roundtrip(spark, tmpdir_path):
     assert variable_detail(tables["details"], "nope").first()["variable"] == "v"
     ctx = json.loads(profile_context(tables, {"id": 5, "name": "t", "file_name": "t.csv"}).first()["context"])
     assert ctx["resumen"]["rows"] == 3 and set(ctx["detalles_variables"]) == {"v", "s"}
+
+
+def _csv_file(folder, text):
+    path = os.path.join(folder, "t.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_record_with_too_many_fields_is_refused(spark, tmpdir_path):
+    with pytest.raises(SourceError):
+        read_csv(spark, _csv_file(tmpdir_path, "a,b\n1,2\n3,4,5\n"))
+
+
+def test_short_record_is_filled(spark, tmpdir_path):
+    assert [tuple(r) for r in read_csv(spark, _csv_file(tmpdir_path, "a,b\n1,2\n3\n")).collect()] == [(1, 2), (3, None)]
+
+
+def test_quotes_and_line_breaks(spark, tmpdir_path):
+    df = read_csv(spark, _csv_file(tmpdir_path, '"he\nad",b\n"x ""y"" z","one\ntwo"\n'))
+    assert df.columns == ["he\nad", "b"] and [tuple(r) for r in df.collect()] == [('x "y" z', "one\ntwo")]
+
+
+def test_type_suffix_is_text(spark, tmpdir_path):
+    df = read_csv(spark, _csv_file(tmpdir_path, "code,n,e\n10d,1,1e3\n20f,-2,.5\n"))
+    assert [t for _, t in df.dtypes] == ["string", "bigint", "double"]
+
+
+def test_store_failures_are_not_swallowed(spark, tmpdir_path):
+    assert load_profile(spark, os.path.join(tmpdir_path, "nowhere"), 1) is None
+    with pytest.raises(Exception):
+        load_profile(spark, "nosuchscheme://x/y", 1)
