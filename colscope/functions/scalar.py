@@ -85,9 +85,9 @@ def format_label(c: Column) -> Column:
 
 
 def json_safe(c: Column, dt: T.DataType) -> Column:
-    """NaN -> null, temporal -> ISO text, everything else unchanged."""
+    """NaN -> null, temporal -> ISO text (microseconds only where there are any), everything else unchanged."""
     if isinstance(dt, T.TimestampType) or isinstance(dt, T.TimestampNTZType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
     if isinstance(dt, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dt, (T.FloatType, T.DoubleType)):

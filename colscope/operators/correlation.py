@@ -288,16 +288,25 @@ def _spearman_per_pair(num: DataFrame, cols: list[str], only: list[tuple[int, in
     return m.select("i", "j", "n", _clamp(r).alias("r"))
 
 
+#: Products of two counts, and their sums, leave the range of BIGINT from about 3e9 equal values on.
+_WIDE = "decimal(19,0)"
+
+
+def _pairs_among(count):
+    """Sum over the rows of count * (count - 1) / 2."""
+    return (F.sum(count.cast(_WIDE) * (count - 1).cast(_WIDE)).cast("double") / 2)
+
+
 def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     """(i, j, n, r) for i < j: tau-b = (n0 - n1 - n2 + n3 - 2D) / sqrt((n0 - n1)(n0 - n2))."""
     counts = _pair_counts(num, cols)
     sides = _side_counts(counts)
     ties = sides.groupBy("i", "j").agg(
         F.sum(F.when(F.col("side") == 0, F.col("cnt"))).alias("n"),
-        F.sum(F.when(F.col("side") == 0, F.col("cnt") * (F.col("cnt") - 1) / 2)).alias("n1"),
-        F.sum(F.when(F.col("side") == 1, F.col("cnt") * (F.col("cnt") - 1) / 2)).alias("n2"),
+        _pairs_among(F.when(F.col("side") == 0, F.col("cnt"))).alias("n1"),
+        _pairs_among(F.when(F.col("side") == 1, F.col("cnt"))).alias("n2"),
     )
-    both = counts.groupBy("i", "j").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("n3"))
+    both = counts.groupBy("i", "j").agg(_pairs_among(F.col("c")).alias("n3"))
     # dense rank of y per pair, then its bits
     yrank = dense_ranks(sides.where("side = 1").drop("side"), ["i", "j"], "v").select(
         "i", "j", F.col("v").alias("y"), F.col("dense").alias("yr"))
@@ -318,7 +327,7 @@ def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     )
     disc = (
         running_before(by_level, ["i", "j", "l", "prefix"], "x", "ones")
-        .groupBy("i", "j").agg(F.sum(F.col("zeros") * F.col("before")).alias("d"))
+        .groupBy("i", "j").agg(F.sum(F.col("zeros").cast(_WIDE) * F.col("before").cast(_WIDE)).cast("double").alias("d"))
     )
     t = ties.join(both, ["i", "j"]).join(disc, ["i", "j"], "left")
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
@@ -399,7 +408,10 @@ def key_variables(strong: DataFrame) -> DataFrame:
 def significance(num: DataFrame, cols: list[str], decimals: int = 4) -> DataFrame:
     """Two-sided Pearson p-values on listwise-complete rows, all k^2 cells, diagonal 0.0."""
     complete = num.na.drop("any", subset=cols)
-    pairs = pearson_pairs(complete, cols).where("i < j")
+    k = len(cols)
+    grid = num.sparkSession.createDataFrame([(i, j) for i in range(k) for j in range(i + 1, k)], "i int, j int")
+    # Pairs without a coefficient have a cell too, a NULL one.
+    pairs = grid.join(pearson_pairs(complete, cols).select(F.col("i").cast("int"), F.col("j").cast("int"), "n", "r"), ["i", "j"], "left")
     p = pairs.select("i", "j", F.round(pearson_pvalue_udf("r", "n"), decimals).alias("p_value"))
     both = p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "p_value"))
     diag = num.sparkSession.range(len(cols)).select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.scalar import (
-    CATEGORICAL, NOT_AVAILABLE, NUMERIC, TEMPORAL, as_double, as_text, col, finite_double,
+    CATEGORICAL, NOT_AVAILABLE, NUMERIC, TEMPORAL, as_text, col, finite_double,
     is_numeric_type, null_or_nan,
 )
 from colscope.operators.distributions import (
@@ -197,7 +197,7 @@ def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
             c, i = col(v.name), v.ordinal
             exprs.append(F.count_if(null_or_nan(c, v.dtype)).alias(f"nulls{i}"))
             if is_numeric_type(v.dtype):
-                d = as_double(c, v.dtype)
+                d = finite_double(c, v.dtype)
                 exprs += [F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"avg{i}"),
                           F.stddev_samp(d).alias(f"std{i}"), F.count(d).alias(f"nnum{i}")]
         r = df.agg(*exprs).first()

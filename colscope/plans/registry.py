@@ -543,7 +543,7 @@ def q_corr_impute_mean(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix(tb.lnc(spark, sf), "imputar_promedio", "pearson")
 
 
-SPEARMAN_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_qty_tax", "l_qty_left"]
+SPEARMAN_COLS = tb.LNC_NUMERIC
 
 
 @register("corr_spearman", sql_matrix(_double_cols(tb.LNC_SQL, SPEARMAN_COLS), SPEARMAN_COLS, sql_spearman_cell))
@@ -551,16 +551,33 @@ def q_corr_spearman(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix(tb.lnc(spark, sf).select(*SPEARMAN_COLS), "ignorar", "spearman")
 
 
-LINEITEM_RANK_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_tax"]
+LINEITEM_RANK_COLS = tb.LN_NUMERIC
 
 
 @register("corr_spearman_lineitem", sql_matrix(_double_cols("SELECT * FROM lineitem", LINEITEM_RANK_COLS),
                                                LINEITEM_RANK_COLS, sql_spearman_cell))
 def q_corr_spearman_lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    """Six null-free columns: the per-column rank plan."""
+    """All eight numeric columns, none with nulls: the per-column rank plan."""
     return _matrix(tb.load(spark, sf, "lineitem").select(*LINEITEM_RANK_COLS), "ignorar", "spearman")
 
 
+EDGE_SQL = """WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS v FROM lineitem),
+names(n) AS (VALUES ('l_quantity'), ('l_extendedprice'), ('constant'), ('infinite'))
+SELECT a.n AS id_x, b.n AS id_y,
+  CASE WHEN a.n IN ('constant', 'infinite') OR b.n IN ('constant', 'infinite') THEN NULL
+       WHEN a.n = b.n THEN 1.0 ELSE round(r.v, 4) END AS valor
+FROM names a, names b, r"""
+
+
+@register("corr_edge_columns", EDGE_SQL)
+def q_corr_edge_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """A constant column and one infinite value: no coefficient, however the rows fall into batches."""
+    df = tb.load(spark, sf, "lineitem").select(
+        "l_quantity", "l_extendedprice", F.lit(7.0).alias("constant"),
+        F.when(F.col("l_orderkey") < 10, float("inf")).otherwise(F.col("l_tax")).alias("infinite"))
+    return _matrix(df, "ignorar", "pearson")
+
+
 PART_CORR = ["p_partkey", "p_size", "p_retailprice"]
 CUSTOMER_CORR = ["c_custkey", "c_nationkey", "c_acctbal"]
 
@@ -708,6 +725,14 @@ def q_page_rows_deep(spark: SparkSession, sf: str) -> DataFrame:
     return rows
 
 
+@register("page_rows_events", r"""SELECT event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\.000000$', '') AS ts,
+  user_id, event_type, value, props FROM events ORDER BY events.ts, event_id LIMIT 200 OFFSET 400""")
+def q_page_rows_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Page 3 by a time stamp with fractions of seconds."""
+    rows, _ = page_rows(tb.load(spark, sf, "events"), ["ts", "event_id"], page=3, size=200)
+    return rows
+
+
 def orders_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A dataset registry derived from orders: one dataset per order, owned by its customer."""
     o = tb.load(spark, sf, "orders")
