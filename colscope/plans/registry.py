@@ -632,9 +632,23 @@ def q_corr_key_variables(spark: SparkSession, sf: str) -> DataFrame:
     return rep["key_variables"]
 
 
-@register("corr_significance")
+def sql_significance(source: str, cols: list[str]) -> str:
+    """Two-sided p-values: Student's density, by lgamma, integrated by Simpson's rule from |t| to |t| + 20."""
+    pairs = "\nUNION ALL\n".join(f"SELECT {lit(x)} AS a, {lit(y)} AS b, corr({q(y)}, {q(x)}) AS r, count(*) - 2.0 AS nu FROM src"
+                                 for i, x in enumerate(cols) for y in cols[i + 1:])
+    names = ", ".join(f"({lit(c)})" for c in cols)
+    return f"""WITH src AS ({source}), pairs AS ({pairs}),
+t AS (SELECT a, b, nu, abs(r) / sqrt(greatest(1 - r * r, 1e-300)) * sqrt(nu) AS t FROM pairs WHERE NOT isnan(r)),
+p AS (SELECT a, b, round(2 * 0.005 / 3 * sum(CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+    * exp(lgamma((nu + 1) / 2) - lgamma(nu / 2) - ln(nu * pi()) / 2 - (nu + 1) / 2 * ln(1 + pow(t + 0.005 * k, 2) / nu))), 4) AS p
+  FROM t, range(4001) g(k) GROUP BY a, b)
+SELECT a AS id_y, b AS id_x, p AS p_value FROM p
+UNION ALL SELECT b, a, p FROM p
+UNION ALL SELECT n, n, 0.0 FROM (VALUES {names}) v(n)"""
+
+
+@register("corr_significance", sql_significance(DROP_SQL, tb.LNC_NUMERIC))
 def q_corr_significance(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only: p-values need the incomplete beta function (unit-tested against integration)."""
     rep = corr.correlation_report(tb.lnc(spark, sf))
     return rep["significance"]
 
