@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -38,7 +38,7 @@ def _ranges(prop: str) -> str:
 
 class Bpe:
     def __init__(self, spec: str) -> None:
-        self.library = Tokenizer.from_str(spec)
+        self._spec = spec
         doc = json.loads(spec)
         added = doc.get("added_tokens") or []
         self.special = {t["content"]: t["id"] for t in added}
@@ -63,6 +63,11 @@ class Bpe:
         self._latin = re.compile(f" ?[{letters}]+| ?[{digits}]+|'(?:[stmd]|re|ve|ll)| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
         self._known: set[str] = set()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, built when a text needs it."""
+        return Tokenizer.from_str(self._spec)
+
     def _settled(self, text: str) -> bool:
         """True if every character is assigned in a Unicode version that all libraries here know."""
         fresh = set(text) - self._known

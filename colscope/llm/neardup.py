@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import task_number, text_chunks
+from colscope.llm.common import release_memory, small_batches, task_number, text_chunks
 from colscope.llm.components import connected_components
 from colscope.llm.words import ascii_words, window_hashes, word_hashes
 from colscope.session import Scratch, reliable_checkpoint, settled
@@ -89,6 +89,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, similarity: float)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)],
                                   ["row", "doc_id", "tag", "n_shingles", "mark", "sketch", "least_short", "least"])
+    release_memory()
 
 
 _SKETCH_SCHEMA = "row long, doc_id long, tag long, n_shingles long, mark binary, sketch array<long>, least_short int, least int"
@@ -120,6 +121,7 @@ def _wide_sketches(batches: Iterator[pa.RecordBatch], width: int, similarity: fl
             sets = [shingle_set(t, width) for t in texts]
             yield pa.record_batch([pa.array(rows, pa.int64()), pa.array([v[:WIDE].tolist() for v in sets], pa.list_(pa.int64())),
                                    pa.array([least_overlap(len(v), WIDE, similarity) for v in sets], pa.int32())], ["row", "sketch", "least"])
+    release_memory()
 
 
 def _candidate_lists(wide: DataFrame) -> DataFrame:
@@ -163,6 +165,7 @@ def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             common = len(np.intersect1d(own, last_set, assume_unique=True))
             keep.append(100 * common >= percent * (len(own) + len(last_set) - common))
         yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(hubs, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    release_memory()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n_pairs: int, width: int, percent: int) -> DataFrame:
@@ -228,6 +231,7 @@ def _block_pairs(opened: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, tag (hash of the text), n_shingles, component_id, leader (one row per component)."""
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tag"))
     similarity = percent / 100

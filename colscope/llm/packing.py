@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from colscope.llm import bpe
-from colscope.llm.common import id_and_text, task_number, text_chunks
+from colscope.llm.common import id_and_text, release_memory, task_number, text_chunks
 from colscope.session import reliable_checkpoint
 
 #: Offsets of (task, length) are broadcast up to this many rows (24 bytes each); beyond, they are joined by a shuffle.
@@ -52,6 +52,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: str, capacity: int, end_id:
         doc_id, piece, start, length, ids, rank = (pa.array(c, k) for c, k in zip(columns, kinds))
         yield pa.record_batch([doc_id, piece, start, length, ids, pa.array([task] * len(rank), pa.int32()), rank],
                               ["doc_id", "piece", "start", "length", "ids", "task", "rank"])
+    release_memory()
 
 
 def _bits(lengths: list[int]) -> int:

@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colscope.llm.common import id_and_text, text_chunks
+from colscope.llm.common import id_and_text, map_texts, release_memory, text_chunks
 from colscope.llm.sampling import bounded_sample
 from colscope.llm.words import ascii_words, window_hashes, word_hashes
 from colscope.session import Scratch, reliable_checkpoint
@@ -82,6 +81,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(tags[at:at + len(ids)], pa.int64()), *(pa.array(values[:, i]) for i in range(len(_COUNTS)))],
                                   ["doc_id", "tag", *_COUNTS])
             at += len(ids)
+    release_memory()
 
 
 def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,12 +91,9 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(_counted, schema)
 
 
-def counts_column(text: Column) -> Column:
-    """Struct of the counts of a text, as a column: for filters that keep whole rows."""
-    @F.pandas_udf(", ".join(f"{c} long" for c in _COUNTS))
-    def counts(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_counts(t) for t in texts], columns=list(_COUNTS))
-    return counts(F.coalesce(text.cast("string"), F.lit("")))
+def _count_structs(texts: list[str | None]) -> pa.Array:
+    values = np.array([text_counts(t or "") for t in texts], dtype=np.int64).reshape(len(texts), len(_COUNTS))
+    return pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(_COUNTS))], list(_COUNTS))
 
 
 def features(inside: str = "") -> dict[str, Column]:
@@ -227,9 +224,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that pass the base rules and the learned list; the list is learned from labelled rows of ``docs``."""
-    known = labels.select(F.col("doc_id").cast("long").alias("known")).distinct()
-    labelled = docs.join(known, docs[key].cast("long") == known["known"], "left_semi")
-    rules = fit(text_statistics(labelled, key, text), labels)
-    rows = docs.select(F.struct("*").alias("row"))
-    counted = rows.select("row", counts_column(F.col(f"row.`{text}`")).alias("counts"))
-    return counted.where(~base_failed("counts.") & verdict(rules, "counts.")).select("row.*")
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("known")).distinct()
+    with Scratch() as tables:
+        # Ids first: texts are counted for the sample alone.
+        ids = tables.keep(docs.select(F.col(key).cast("long").alias("known")).join(known, "known").distinct())
+        chosen = tables.keep(bounded_sample(ids, "known", MAX_LABELLED))
+        labelled = docs.join(F.broadcast(chosen), docs[key].cast("long") == chosen["known"], "left_semi")
+        rules = fit(text_statistics(labelled, key, text), labels)
+    kind = "struct<" + ",".join(f"{c}:bigint" for c in _COUNTS) + ">"
+    counted = map_texts(docs, text, lambda: _count_structs, kind, pa.struct([(c, pa.int64()) for c in _COUNTS]))
+    return counted.where(~base_failed("out.") & verdict(rules, "out.")).select("row.*")

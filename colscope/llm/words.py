@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a Python worker remembers.
-_WORDS = 500_000
+_WORDS = 200_000
 #: Constants of the SplitMix64 generator.
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
