@@ -46,6 +46,16 @@ def test_leaks(spark, table, odd_rows, unusual):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in rows if not any(i == d for d, _ in want))
 
 
+def test_more_items_than_dimensions(monkeypatch, table, spark, unusual):
+    """Verbatim copies are found whatever the size of the benchmark: 120 items, spaces of 62 dimensions at most."""
+    monkeypatch.setattr(decontaminate, "MAX_RANK", 62)
+    passages = [(k, unusual(20 + k % 30)) for k in range(120)]
+    rows = [(k, f"{prose(k, 30)} {text} {prose(k + 500, 60)}") for k, text in passages] + [(1000 + k, prose(1000 + k, 100)) for k in range(120)]
+    docs, benchmark = table(rows), spark.createDataFrame(passages, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, benchmark).collect()} == {(k, k) for k, _ in passages}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()} == {i for i, _ in rows if i >= 1000}
+
+
 def test_leaks_of_empty_tables(spark, table, odd_rows):
     benchmark = spark.createDataFrame(items(), "item_id long, text string")
     assert decontaminate.find_leaks(table([]), benchmark).collect() == []
