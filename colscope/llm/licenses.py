@@ -1,6 +1,7 @@
 """Licence scans by Dice coefficient over word bigrams, in native expressions.
 
-Every line, paragraph (lines up to a blank one) and whole text is a segment.  A segment is normalised (lower
+Segments are every line, paragraph (lines up to a blank one) and whole text; runs of neighbouring lines, paragraphs and
+sentences (up to a template's largest size in bigrams); and windows of as many words as a template, wherever they start.  A segment is normalised (lower
 case, runs of other characters than a-z and 0-9 as one space) and its distinct word bigrams are compared with
 those of the licence templates: 2 * common / (size + size).  Two bounds spare nearly all of that work and lose nothing:
 
@@ -8,6 +9,9 @@ those of the licence templates: 2 * common / (size + size).  Two bounds spare ne
   touch so many bigrams of every template that a segment without any of them cannot reach it.
 * The sizes of both sides can differ by the factor t / (2 - t) at most, so a segment joins, by its size, only the templates
   whose range holds it; the table of sizes is as large as the templates' texts together, whatever the corpus.
+* A text can hold a run or window that reaches t only if it holds that share of the template's bigrams; only such texts are cut
+  into them.  A run begins and ends with a part that holds a bigram of the template, a window begins with such a bigram:
+  what else stands at the ends adds nothing in common.
 
 Defined results: NULL and empty texts match nothing; a segment of one word has no bigram and matches nothing; a
 document that holds a licence in several segments gives one row with its best coefficient; rows that
@@ -83,6 +87,42 @@ def bigrams(segment: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+#: Stands for the end of a line or sentence among the words.
+_END = "\x01"
+
+
+def inner_segments(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, license, dice of the best run of lines or sentences or window (below the threshold or NULL, too), for texts that hold enough of a template's bigrams."""
+    def part(grams: Column, first: Column, n: Column) -> Column:
+        return F.slice(grams, (first + 1).cast("int"), n.cast("int"))
+
+    def dice(grams: Column, template: Column) -> Column:
+        return (2 * F.size(F.array_intersect(grams, template))).cast("double") / (F.size(F.array_distinct(grams)) + F.size(template))
+
+    ended = F.regexp_replace(F.lower("text"), r"\n|(?<=[.!?:;])\s", f" {_END} ")
+    tokens = F.split(F.trim(F.regexp_replace(ended, f"[^a-z0-9{_END}]+", " ")), " ")
+    cut = rows.select("doc_id", tokens.alias("tokens"))
+    at = F.filter(F.transform("tokens", lambda w, i: F.when(w == _END, i)), lambda i: i.isNotNull())
+    # A mark's place without the marks before it is the number of words before it.
+    cut = cut.select("doc_id", F.filter("tokens", lambda w: (w != _END) & (w != "")).alias("words"), F.transform(at, lambda i, k: i - k).alias("ends"))
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))),
+                       lambda a, b: F.concat_ws(" ", a, b))
+    cut = cut.select("doc_id", pairs.alias("grams"), F.array_distinct(F.concat(F.array(F.lit(0)), "ends", F.array(F.size("words")))).alias("ends"))
+    held = cut.join(F.broadcast(templates), F.size(F.array_intersect("grams", "template")) >= F.col("least"))
+    held = held.withColumn("hits", F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("template", g), i)), lambda i: i.isNotNull()))
+    held = held.withColumn("parts", F.filter(
+        F.transform("ends", lambda a, k: F.struct(a.alias("first"), F.get("ends", k + 1).alias("end"))),
+        lambda p: F.exists("hits", lambda h: (h >= p["first"]) & (h < p["end"]))))
+    windows = F.transform(
+        F.filter("hits", lambda h, k: F.get("hits", (k + F.col("least") - 1).cast("int")) < h + F.col("length")),
+        lambda h: dice(part(F.col("grams"), F.greatest(F.lit(0), F.least(h, F.size("grams") - F.col("length"))), F.col("length")), F.col("template")))
+    runs = F.flatten(F.transform("parts", lambda a: F.transform(
+        F.filter("parts", lambda b: (b["end"] - a["first"] - 1).between(F.col("least"), F.col("most"))),
+        lambda b: dice(part(F.col("grams"), a["first"], b["end"] - a["first"] - 1), F.col("template")))))
+    # No filter on dice here: Spark would push it, with all that it is made of, into every step above.
+    return held.select("doc_id", "license", F.array_max(F.concat(windows, runs)).alias("dice"))
+
+
 def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and licence: doc_id, license, dice (best of its segments)."""
@@ -106,5 +146,9 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     sized = grams.select("doc_id", "grams", F.size("grams").alias("size"))
     common = F.size(F.array_intersect("grams", "template"))
     dice = (2 * common).cast("double") / (F.col("size") + F.col("template_size"))
-    return (sized.join(F.broadcast(ranges), "size").select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
-            .groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice")))
+    lengths = [(name, sorted(grams), len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split()) - 1, *size_range(len(grams), threshold))
+               for name, body in templates.items() if (grams := template_bigrams(body))]
+    inner = inner_segments(rows, spark.createDataFrame(lengths, "license string, template array<string>, length int, least int, most int"), threshold)
+    return (sized.join(F.broadcast(ranges), "size").select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= threshold).unionByName(inner)
+            .groupBy("doc_id", "license").agg(F.max("dice").alias("best")).where(F.col("best") >= threshold)
+            .select("doc_id", "license", F.round("best", 6).alias("dice")))

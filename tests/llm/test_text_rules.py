@@ -159,6 +159,24 @@ def test_licenses(spark, table, odd_rows):
     assert licenses.find_licenses(table([])).collect() == []
 
 
+def test_licenses_over_paragraphs_and_inside_lines(table):
+    mit = licenses.TEMPLATES["MIT"]
+    paragraphs = mit.replace(": The above", ":\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    header = licenses.TEMPLATES["Apache-2.0 (header)"].replace(" http", "\n\n   http").replace("2.0 Unless", "2.0\n\nUnless")
+    long = prose(60, 400)
+    rows = [(1, f"{long}\n\nMIT License\n\nCopyright (c) 2020 Jane Doe\n\n{paragraphs}\n\n{long}"), (2, f"{long}\n{header}\n{long}"),
+            (3, f"{long} Some closing remarks about this page. Licensed under the MIT License. See the site for more details. {long}"),
+            (4, "Copyright (c) 2020 Jane Doe. All rights reserved."), (5, f"{long} this file is licensed under the MIT license and {long}"),
+            (6, f"{long}\n\n{paragraphs[:paragraphs.index('IN NO EVENT')]}\n{long}"), (7, long), (8, f"{long} licensed under the apache license version 3 0 {long}")]
+    got = {}
+    for r in licenses.find_licenses(table(rows)).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.dice
+    assert got.keys() == {1, 2, 3, 4, 5, 6}
+    assert got[1] == {"MIT": 1.0} and got[3] == {"MIT (licensed)": 1.0} and got[4] == {"All rights reserved": 1.0} and got[5] == {"MIT (licensed)": 1.0}
+    assert got[2] == {"Apache-2.0 (header)": 1.0, "Apache-2.0 (notice)": 1.0}
+    assert got[6].keys() == {"MIT"} and 0.8 <= got[6]["MIT"] < 0.9  # two of three paragraphs: a run shorter than the template
+
+
 def test_marker_words_lose_nothing():
     """Whatever third of a template's bigrams is missing, a marker is left."""
     marks = set(licenses.marker_words(licenses.TEMPLATES, 0.8))
