@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colscope.llm import chat, decontaminate, licenses, neardup, packing, quality, secrets, sharding, sql, token_counts, toxicity
+from colscope.llm import chat, decontaminate, licenses, merkle, mixing, neardup, packing, quality, secrets, sharding, sql, token_counts, toxicity, trie
 from colscope.llm.common import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,8 +70,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt with the first turns of their family's first one."""
+    conv = F.col("conv")
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"), F.crc32(conv.cast("string")) % 4, conv - conv % 20)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, proofs and folded roots of all documents, a third of them tampered with."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), merkle.lowered_leaf(3), paths=False)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each, sources weighing 5, 2, 1 in turn."""
+    plan = mixing.plan_mix(read_table(spark, sf_dir, "documents"), (5, 2, 1), 3)
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_chat_formatting, op3_sharding, op4_secret_scans, op5_token_counts,
                                   op6_quality_rules, op7_license_scans, op8_benchmark_decontamination,
-                                  op9_minhash_near_dedup, op10_toxicity)}
+                                  op9_minhash_near_dedup, op10_toxicity, op11_conversation_prefix_trie, op12_merkle_manifest, op13_source_mixing)}
 
-ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3, "op7_license_scans": sql.OP7}
+ORACLE = {"op2_chat_formatting": sql.OP2, "op3_sharding": sql.OP3, "op7_license_scans": sql.OP7,
+          "op11_conversation_prefix_trie": sql.OP11, "op12_merkle_manifest": sql.OP12, "op13_source_mixing": sql.OP13}

@@ -92,3 +92,118 @@ scores AS (
   FROM grams s JOIN grams t ON s.side = 's' AND t.side = 't' AND len(s.g) > 0 AND len(t.g) BETWEEN len(s.g) / 2.0 AND len(s.g) * 2)
 SELECT doc_id, license, round(max(dice), 6) AS dice FROM scores WHERE dice >= 0.8 GROUP BY doc_id, license
 """
+
+#: CRC-32 of the ASCII text ``t`` of a table (k, t): the table of the polynomial, and one step a character.
+_CRC = r"""
+crc_table AS (
+  SELECT list(v ORDER BY i) AS bits FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i))),
+crc AS (
+  SELECT k, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(crc_in.t, ''), lambda s: ascii(s)::BIGINT)),
+                            lambda c, x: xor(c >> 8, crc_table.bits[(xor(c, x) & 255) + 1])), 4294967295) AS crc
+  FROM crc_in, crc_table)"""
+
+OP11 = r"""
+WITH said AS (
+  SELECT conv_id AS c, turn, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT c, d, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS place FROM said),
+crc_in AS (SELECT DISTINCT c AS k, c::VARCHAR AS t FROM said),""" + _CRC + r""",
+convs AS (SELECT k AS c, crc % 4 AS h, k - k % 20 AS base FROM crc),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, p.place, p.d, p.words FROM convs JOIN placed p ON p.c = convs.base AND p.place <= convs.h
+  UNION ALL SELECT convs.c, 1, p.place, p.d, p.words FROM convs JOIN placed p ON p.c = convs.c AND p.place > convs.h),
+paths AS (
+  SELECT c, row_number() OVER w AS depth, string_agg(d, '') OVER w AS node, words FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+steps AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY depth) AS parent, lead(node) OVER (PARTITION BY c ORDER BY depth) IS NULL AS last FROM paths),
+nodes AS (SELECT depth, node, any_value(parent) AS parent, any_value(words) AS words, min(c) AS low, count(*) AS n,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends FROM steps GROUP BY depth, node),
+kin AS (SELECT parent AS node, count(*) AS children FROM nodes WHERE depth > 0 GROUP BY parent),
+full_nodes AS (SELECT nodes.*, coalesce(children, 0) AS children FROM nodes LEFT JOIN kin USING (node)),
+-- the nodes on the way to a node are those of its smallest member
+below AS (
+  SELECT s.node, sum((f.children = 0)::INT) AS leaves, sum((f.n - 1) * f.words) AS saved
+  FROM full_nodes f JOIN steps s ON s.c = f.low AND s.depth <= f.depth GROUP BY s.node)
+SELECT f.low AS conv_id, f.depth, p.low AS parent_conv_id, f.n AS n_convs, f.children::BIGINT AS n_children, b.leaves::BIGINT AS n_leaves,
+  b.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_nodes f JOIN below b USING (node) LEFT JOIN nodes p ON p.node = f.parent
+"""
+
+OP12 = r"""
+WITH RECURSIVE written AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g,
+    coalesce(length(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(octet_length(encode(source))::VARCHAR || ':' || source, '-')
+      || coalesce(octet_length(encode(lang))::VARCHAR || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+  FROM documents),
+crc_in AS (SELECT r AS k, doc_id::VARCHAR AS t FROM written WHERE doc_id IS NOT NULL),""" + _CRC + r""",
+leaves AS (
+  SELECT r, doc_id, g, sha256(head || coalesce(octet_length(encode(text))::VARCHAR || ':' || text, '-')) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256(head || coalesce(octet_length(encode(text))::VARCHAR || ':' || lowered, '-')) END AS other
+  FROM written LEFT JOIN crc ON k = r),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+up AS (
+  SELECT g, 0 AS level, pos, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY g, level, pos // 8, n),
+tops AS (SELECT g, node, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, pos, node, n FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM top WHERE n > 1 GROUP BY level, pos // 8, n),
+beside AS (
+  SELECT g, level, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY g, level, pos // 8 ORDER BY pos)),
+beside_top AS (
+  SELECT level, pos, coalesce(string_agg(node, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(node, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM top WHERE n > 1 WINDOW w AS (PARTITION BY level, pos // 8 ORDER BY pos)),
+segs AS (
+  SELECT r, level, a, b FROM placed JOIN beside ON beside.g = placed.g AND beside.pos = placed.pos // (8 ** beside.level)::BIGINT
+  UNION ALL
+  SELECT r, 1000 + level, a, b FROM placed JOIN tops ON tops.g = placed.g JOIN beside_top ON beside_top.pos = tops.pos // (8 ** beside_top.level)::BIGINT),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level) AS k FROM segs),
+fold AS (
+  SELECT r, 0 AS k, coalesce(other, leaf) AS node FROM placed
+  UNION ALL
+  SELECT fold.r, fold.k + 1, sha256(a || node || b) FROM fold JOIN numbered ON numbered.r = fold.r AND numbered.k = fold.k + 1),
+folded AS (SELECT r, arg_max(node, k) AS folded_root FROM fold GROUP BY r),
+proofs AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY level)) AS proof FROM segs GROUP BY r),
+root AS (SELECT node AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, tops.node AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN tops USING (g) JOIN folded USING (r) LEFT JOIN proofs USING (r) CROSS JOIN root
+"""
+
+OP13 = r"""
+WITH RECURSIVE sizes AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM sizes GROUP BY source),
+-- rounds: what lies above three times a source's size goes to the others by weight
+rounds AS (
+  SELECT 0 AS k, source, source_size, w, false AS fixed FROM sources
+  UNION ALL
+  SELECT k + 1, source, source_size, w, fixed OR 3 * source_size::HUGEINT * open_w < rest * w
+  FROM (SELECT *, sum(CASE WHEN NOT fixed THEN w ELSE 0 END) OVER () AS open_w,
+          sum(source_size) OVER () - 3 * sum(CASE WHEN fixed THEN source_size ELSE 0 END) OVER () AS rest FROM rounds) WHERE k < 25),
+shares AS (
+  SELECT *, sum(CASE WHEN NOT fixed THEN w ELSE 0 END) OVER () AS parts,
+    sum(source_size) OVER () - 3 * sum(CASE WHEN fixed THEN source_size ELSE 0 END) OVER () AS part
+  FROM rounds WHERE k = 25),
+targets AS (
+  SELECT source, source_size, w, fixed, part::HUGEINT AS part, parts::HUGEINT AS parts,
+    CASE WHEN fixed THEN source_size * 3.0::DOUBLE ELSE part::DOUBLE * w / greatest(parts, 1)::DOUBLE END AS target,
+    ('0x' || substr(md5('0:' || coalesce('=' || source, '-')), 1, 5))::BIGINT AS shift
+  FROM shares),
+-- longest first; documents of the same length in an order that the engines share
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, md5(coalesce(text, '')), doc_id NULLS FIRST) AS place FROM sizes),
+taken AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 WHEN fixed THEN 3
+    ELSE ((place * part * w * 1048576 + shift * parts * source_size) // (1048576 * parts * source_size)
+      - ((place - 1) * part * w * 1048576 + shift * parts * source_size) // (1048576 * parts * source_size)) END::BIGINT AS copies
+  FROM ranked JOIN targets ON ranked.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM taken
+"""
