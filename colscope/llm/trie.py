@@ -37,7 +37,7 @@ SHARD_ROWS, MOST_SHARDS, SAMPLED = 5_000, 20_000, 4
 #: Places of a conversation that share a bucket of a join.
 _BUCKET = 4_096
 #: Characters of a chunk of conversation ids.
-_CHUNK = 65_536
+CHUNK = 65_536
 _EMPTY = hashlib.sha256().hexdigest()
 
 
@@ -147,9 +147,9 @@ _ARROW = pa.schema([(n, {"string": pa.string(), "binary": pa.binary(), "bigint":
 class _Walk:
     """Walks the sorted paths of one shard after another; ``rows`` collects what is finished."""
 
-    def __init__(self, splitters: list) -> None:
-        self.splitters, self.rows = splitters, []
-        self.here, self.path, self.stack, self.left, self.right, self.cut = None, b"", [], None, None, 0
+    def __init__(self, splitters: list, length: int, chunk: int) -> None:
+        self.splitters, self.length, self.chunk, self.rows = splitters, length, chunk, []
+        self.here, self.segment, self.path, self.stack, self.beside = None, 0, b"", [], []
 
     def add(self, shard: int, root: str, segment: int, path: bytes, words: list[int], conv: int, ends: bool, below: tuple | None) -> None:
         if (shard, root) != self.here:
@@ -174,7 +174,7 @@ class _Walk:
             text = str(conv)
             node.chunk.append(text)
             node.size += len(text)
-            if node.size >= _CHUNK:
+            if node.size >= self.chunk:
                 self.flush(node)
 
     def key(self, depth: int) -> bytes:
@@ -200,7 +200,7 @@ class _Walk:
             self.flush(node)
         self.stack.pop()
         above = self.stack[-1] if self.stack else None
-        place = {"segment": self.segment, "depth": self.segment * SEGMENT + depth, "root": self.here[1]}
+        place = {"segment": self.segment, "depth": self.segment * self.length + depth, "root": self.here[1]}
         if node.split:
             gained = node.saved + node.convs * node.words
             self.row(kind="part", node=self.key(depth), parent=self.key(depth - 1) if depth else None, low=node.low, convs=node.convs, children=node.children,
@@ -235,8 +235,8 @@ class _Walk:
             self.pop()
 
 
-def _walked(batches: Iterator[pa.RecordBatch], splitters: list) -> Iterator[pa.RecordBatch]:
-    walk = _Walk(splitters)
+def _walked(batches: Iterator[pa.RecordBatch], splitters: list, length: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    walk = _Walk(splitters, length, chunk)
 
     def put_out() -> pa.RecordBatch:
         columns = zip(*walk.rows)
@@ -247,7 +247,7 @@ def _walked(batches: Iterator[pa.RecordBatch], splitters: list) -> Iterator[pa.R
     for batch in batches:
         names = ("shard", "root", "segment", "path", "words", "conv", "turns", "below_children", "below_leaves", "below_saved")
         for shard, root, segment, path, words, conv, turns, *below in zip(*(batch.column(n).to_pylist() for n in names)):
-            ends = turns <= (segment + 1) * SEGMENT and (segment == 0 or turns > segment * SEGMENT)
+            ends = turns <= (segment + 1) * length and (segment == 0 or turns > segment * length)
             walk.add(shard, root, segment, path, words, conv, ends, None if below[0] is None else tuple(below))
             if len(walk.rows) >= 10_000:
                 yield put_out()
@@ -283,7 +283,8 @@ def _tries(rows: DataFrame, tables: Scratch) -> DataFrame:
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     dealt = rows.mapInArrow(lambda it: _dealt(it, shared.value), f"{kind}, shard bigint")
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "root", "path", "conv")
-    out = tables.keep(dealt.mapInArrow(lambda it: _walked(it, shared.value), _SCHEMA))
+    length, chunk = SEGMENT, CHUNK
+    out = tables.keep(dealt.mapInArrow(lambda it: _walked(it, shared.value, length, chunk), _SCHEMA))
     named = ["segment", "depth", "root", "low", "parent_low", "convs", "children", "leaves", "saved", "ends"]
     finished = out.where("kind = 'node' AND parent IS NULL").select(*named)
     if not splitters:
