@@ -852,3 +852,8 @@ def q_owner_listing_all(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("owner_id", "id", "file_name", "format",
                       F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"),
                       "report_available", "position")
+
+
+# ------------------------------------------------------ queries kept in modules of their own
+
+from colscope.plans import source_queries  # noqa: E402, F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -60,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 #: Intermediate tables of this driver process that have not been dropped yet.
 _LIVE: dict[str, SparkSession] = {}
+#: Lists that note the paths made on their thread, the innermost call's last.
+_NOTED = threading.local()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -72,9 +75,22 @@ def scratch_path(spark: SparkSession) -> str:
     """A new path for an intermediate table below the shared checkpoint folder."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/colscope-{uuid.uuid4().hex}"
     _LIVE[path] = spark
+    for noted in getattr(_NOTED, "lists", ()):
+        noted.append(path)
     return path
 
 
+def _materialised(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _drop(paths: list[str]) -> None:
+    for path in paths:
+        if (spark := _LIVE.pop(path, None)) is not None:
+            _delete(spark, path)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -85,9 +101,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     returned, still unread result needs goes at ``drop_intermediates`` or at the
     end of the driver.
     """
-    path = scratch_path(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _materialised(df, scratch_path(df.sparkSession))
 
 
 def drop_intermediates() -> None:
@@ -115,16 +129,16 @@ class Scratch:
     def __enter__(self) -> "Scratch":
         return self
 
+    def path(self, spark: SparkSession) -> str:
+        """A new path that is deleted with the tables."""
+        self._paths.append(scratch_path(spark))
+        return self._paths[-1]
+
     def keep(self, df: DataFrame) -> DataFrame:
-        before = set(_LIVE)
-        out = reliable_checkpoint(df)
-        self._paths += [p for p in _LIVE if p not in before]
-        return out
+        return _materialised(df, self.path(df.sparkSession))
 
     def drop(self) -> None:
-        for path in self._paths:
-            if (spark := _LIVE.pop(path, None)) is not None:
-                _delete(spark, path)
+        _drop(self._paths)
         self._paths = []
 
     @staticmethod
@@ -136,14 +150,16 @@ class Scratch:
 
 
 def settled(build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that ``build`` returns, materialised; every intermediate table made for it is deleted."""
-    before = set(_LIVE)
-    unsettled = build()
-    made = set(_LIVE) - before
+    """The table that ``build`` returns, materialised; every intermediate table that this thread made for it is deleted."""
+    lists = _NOTED.__dict__.setdefault("lists", [])
+    made: list[str] = []
+    lists.append(made)
+    try:
+        unsettled = build()
+    finally:
+        lists.pop()
     out = reliable_checkpoint(unsettled)
-    for path in made:
-        if (spark := _LIVE.pop(path, None)) is not None:
-            _delete(spark, path)
+    _drop(made)
     return out
 
 

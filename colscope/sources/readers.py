@@ -1,4 +1,4 @@
-"""Table readers.
+"""Table readers; workbooks (S2) are left out, as one task would read each whole.
 
 ``read_table`` dispatches on the file extension.  CSV is read the way pandas'
 ``read_csv`` sees it: every field as text first, the pandas missing-value
@@ -9,13 +9,15 @@ all-null column is double) and the columns are cast.
 
 from __future__ import annotations
 
-import io
+import csv
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.scalar import col
+from colscope.session import Scratch
+from colscope.sources.records import csv_records, has_open_lines, text_lines
 
 # The text tokens pandas reads as missing by default.
 PANDAS_NA_TOKENS = [
@@ -23,7 +25,7 @@ PANDAS_NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 BOOL_TOKENS = ["True", "False", "TRUE", "FALSE", "true", "false"]
-FORMATS = {".csv": "csv", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet"}
+FORMATS = {".csv": "csv", ".parquet": "parquet"}
 UNSUPPORTED = "Formato de archivo no soportado para perfilado"
 
 
@@ -38,8 +40,6 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         return read_csv(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    if kind == "excel":
-        return read_excel(spark, path)
     raise SourceError(UNSUPPORTED)
 
 
@@ -65,50 +65,87 @@ def dedupe_headers(names: list[str]) -> list[str]:
     return out
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool, **options) -> DataFrame:
-    """Fields as text; quotes inside quoted fields are doubled."""
-    reader = spark.read.option("inferSchema", False).option("mode", "PERMISSIVE").option("escape", '"').option("multiLine", multi_line)
-    if "columns" in options:
-        reader = reader.schema(", ".join(f"`{c}` string" for c in options["columns"]))
-    return reader.option("header", options.get("header", False)).csv(path)
+def _parsing(columns: int) -> dict[str, str]:
+    """Options of Spark's CSV parser: quotes inside quoted fields are doubled, a record of another length is kept whole in ``_ODD``."""
+    return {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _ODD, "maxColumns": str(max(20_480, 2 * columns)),
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def csv_header(spark: SparkSession, path: str, multi_line: bool = True) -> list[str]:
-    """The fields of the file's first record (one record reaches the driver)."""
-    first = _csv(spark, path, multi_line).first()
-    return [] if first is None else ["" if v is None else v for v in first]
+def _fields(record: str) -> list[str]:
+    """The fields of one record (the header)."""
+    return next(csv.reader([record.removeprefix("\ufeff")], doublequote=True), [])
 
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Header row, comma, pandas missing tokens, pandas-like type inference; records with too many fields are refused.
+def _header(names: list[str]) -> list[str]:
+    return dedupe_headers([h if h != "" else f"Unnamed: {i}" for i, h in enumerate(names)])
 
-    ``multi_line`` lets quoted fields hold line breaks; a file is then read by one task.  Files
-    without such fields should be read with ``multi_line=False``, which splits them.
+
+def _surplus(bad: Column, columns: int) -> Column:
+    """True for a record with more than ``columns`` fields.
+
+    A mark is put behind the record as one field more: if the record is short, the mark is among the first fields.
     """
-    header = csv_header(spark, path, multi_line)
-    if not header:
+    mark = "\u241e-end"
+    schema = ", ".join(f"c{i} string" for i in range(columns + 1))
+    parsed = F.from_csv(F.concat(bad, F.lit(f",{mark}")), schema, {k: v for k, v in _parsing(columns).items() if k != "columnNameOfCorruptRecord"})
+    return ~F.coalesce(F.array_contains(F.array(*(F.coalesce(parsed[f"c{i}"], F.lit("")) for i in range(columns + 1))), mark), F.lit(False))
+
+
+def _checked_texts(spark: SparkSession, path: str, tables: Scratch) -> DataFrame:
+    """All fields as text, missing tokens as NULL; a record with more fields than the header is refused."""
+    lines = text_lines(spark, path)
+    if has_open_lines(lines):
+        records = tables.keep(csv_records(lines, tables))
+        header = records.where("first").select("record").first()
+        if not records.where(~F.col("whole")).isEmpty():
+            raise SourceError("El archivo tiene un campo entre comillas sin cerrar.")
+    else:
+        records = None
+        header = lines.where("start = 0").where(F.trim("value") != "").select("value").first()
+    if header is None:
         raise SourceError("El archivo está completamente vacío.")
-    names = dedupe_headers([h if h != "" else f"Unnamed: {i}" for i, h in enumerate(header)])
-    # One column more than the header has shows records that are too long.
-    plain = [f"c{i}" for i in range(len(names) + 1)]
-    raw = _csv(spark, path, multi_line, header=True, columns=plain)
-    text = raw.select(*[F.when(col(p).isin(PANDAS_NA_TOKENS), None).otherwise(col(p)).alias(n) for p, n in zip(plain, names)],
-                      col(plain[-1]).alias(_BEYOND))
-    return infer_types(text, beyond=_BEYOND)
+    names = _header(_fields(header[0].removesuffix("\r")))
+    plain = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{c} string" for c in [*plain, _ODD])
+    if records is None:
+        raw = spark.read.options(**_parsing(len(names)), header="true").schema(schema).csv(path)
+    else:
+        raw = records.where(~F.col("first")).select(F.from_csv("record", schema, _parsing(len(names))).alias("r"), "record")
+        raw = raw.select(*(F.col(f"r.{c}").alias(c) for c in plain), F.when(F.col(f"r.{_ODD}").isNotNull(), F.col("record")).alias(_ODD))
+    text = tables.keep(raw.select(*[F.when(col(p).isin(PANDAS_NA_TOKENS), None).otherwise(col(p)).alias(n) for p, n in zip(plain, names)], col(_ODD)))
+    longer = text.where(col(_ODD).isNotNull()).where(_surplus(col(_ODD), len(names))).count()
+    if longer:
+        raise SourceError(f"El archivo tiene {longer} registros con más campos que el encabezado.")
+    return text.drop(_ODD)
+
+
+def check_csv(spark: SparkSession, path: str) -> list[str]:
+    """The column names of a readable CSV table; a ragged, unclosed or empty one raises ``SourceError``."""
+    with Scratch() as tables:
+        return _checked_texts(spark, path, tables).columns
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Header row, comma, pandas missing tokens, pandas-like type inference; a record with more fields than the header is refused.
+
+    Files are read by as many tasks as they have splits.  Where a line may end inside quotes, records are put together first
+    (``colscope.sources.records``); all other files are parsed as they are read.  The fields are parsed once, into a Parquet
+    table of texts from which the types follow, and the typed table is written once: later passes read Parquet, not CSV.
+    A short record is filled with NULL; blank lines are skipped; a quote that never closes is an error.
+    """
+    with Scratch() as tables:
+        return tables.result(infer_types(_checked_texts(spark, path, tables)))
 
 
-#: Name of the column behind the header's last one; fixed value: what a number looks like (no type suffix).
-_BEYOND = "__beyond__"
+#: Column that holds a record of another length than the header's; fixed value: what a number looks like (no type suffix).
+_ODD = "__odd_record__"
 NUMBER = r"^\s*[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|inf|Inf|infinity|Infinity)\s*$"
 
 
-def infer_types(text: DataFrame, beyond: str | None = None) -> DataFrame:
-    """One aggregate over all text columns decides long / double / boolean / text.
-
-    ``beyond``: a column that must be empty, else the table is refused.
-    """
-    names = [n for n in text.columns if n != beyond]
-    checks = [F.count(col(beyond) if beyond else F.lit(None)).alias("beyond")]
+def infer_types(text: DataFrame) -> DataFrame:
+    """One aggregate over all text columns decides long / double / boolean / text."""
+    names = text.columns
+    checks = [F.count(F.lit(1)).alias("n")]
     for i, n in enumerate(names):
         c = col(n)
         number = c.rlike(NUMBER)
@@ -119,8 +156,6 @@ def infer_types(text: DataFrame, beyond: str | None = None) -> DataFrame:
             F.count_if(c.isin(BOOL_TOKENS)).alias(f"b{i}"),
         ]
     r = text.agg(*checks).first()
-    if r["beyond"]:
-        raise SourceError(f"El archivo tiene {r['beyond']} registros con más campos que el encabezado.")
     out = []
     for i, n in enumerate(names):
         nn, nl, nd, nb = r[f"n{i}"], r[f"l{i}"], r[f"d{i}"], r[f"b{i}"]
@@ -136,34 +171,3 @@ def infer_types(text: DataFrame, beyond: str | None = None) -> DataFrame:
         else:
             out.append(c)
     return text.select(*out)
-
-
-def read_excel(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
-    """First sheet of each workbook, header row; one task per file.
-
-    Needs the ``openpyxl`` package on the executors; without it a clear error
-    is raised.  Values are read as text and typed like CSV.
-    """
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as exc:  # pragma: no cover - depends on the image
-        raise SourceError("La lectura de Excel necesita el paquete openpyxl") from exc
-    import pandas as pd
-
-    first = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
-    if not first:
-        raise SourceError("El archivo está completamente vacío.")
-    header = [str(c) for c in pd.read_excel(io.BytesIO(first[0][0]), sheet_name=sheet, nrows=0).columns]
-    names = dedupe_headers(header)
-    schema = ", ".join(f"`{n}` string" for n in names)
-
-    def per_file(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
-                book = pd.read_excel(io.BytesIO(content), sheet_name=sheet, dtype=str)
-                book.columns = names
-                yield book.where(book.notna(), None)
-
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(per_file, schema)
-    text = raw.select(*[F.when(col(n).isin(PANDAS_NA_TOKENS), None).otherwise(col(n)).alias(n) for n in names])
-    return infer_types(text)

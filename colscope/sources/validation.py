@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colscope.sources.readers import SourceError, check_csv
+
 # Accepted upload extensions and the messages of each rule.
 UPLOAD_FORMATS = [".csv", ".xlsx"]
 MSG_FORMAT = f"Formato no válido. Solo se permiten archivos {UPLOAD_FORMATS}"
@@ -15,7 +18,6 @@ MSG_CSV_SHAPE = ("El archivo CSV no tiene la estructura de una tabla. Verifique
                  "y que use comas (,) como separador.")
 MSG_EXCEL_SHAPE = "El archivo Excel no parece contener una tabla de datos válida."
 MSG_BROKEN = "El archivo está dañado o su estructura no es válida. Detalle: {detail}"
-SAMPLE_ROWS = 5
 
 REPORT_SCHEMA = "step int, rule string, passed boolean, message string"
 
@@ -29,25 +31,18 @@ def _extension(path: str) -> str:
 
 
 def _size(spark: SparkSession, path: str) -> int:
-    """File length from the file listing; the content is never read."""
-    rows = spark.read.format("binaryFile").load(path).select("length").collect()
-    return int(sum(r[0] for r in rows))
+    """Length of all files, summed from the file listing; the content is never read."""
+    return int(spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0)
 
 
 def _structure(spark: SparkSession, path: str, ext: str) -> str | None:
-    """None when the first rows form a table of >= 2 columns, else the failure message."""
+    """None when the whole file is a table of >= 2 columns without ragged records, else the failure message."""
+    if ext != ".csv":
+        return MSG_BROKEN.format(detail=MSG_EXCEL_SHAPE)
     try:
-        if ext == ".csv":
-            sample = (spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
-                      .limit(SAMPLE_ROWS))
-            sample.collect()
-            if len(sample.columns) < 2:
-                return MSG_BROKEN.format(detail=MSG_CSV_SHAPE)
-        else:
-            from colscope.sources.readers import read_excel
-            if len(read_excel(spark, path).columns) < 2:
-                return MSG_BROKEN.format(detail=MSG_EXCEL_SHAPE)
-    except Exception as exc:  # any reader error means a damaged file
+        if len(check_csv(spark, path)) < 2:
+            return MSG_BROKEN.format(detail=MSG_CSV_SHAPE)
+    except (SourceError, PySparkException) as exc:  # a reader error means a damaged file
         return MSG_BROKEN.format(detail=str(exc).splitlines()[0] if str(exc) else type(exc).__name__)
     return None
 

@@ -1,13 +1,18 @@
 """Readers, upload validation, profile store."""
 
+import csv
+import io
 import json
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
 from colscope.functions.scalar import NUMERIC
 from colscope.operators.profile import profile
+from colscope.sources import records
 from colscope.sources.readers import SourceError, dedupe_headers, read_csv, read_table
 from colscope.sources.store import load_or_compute_profile, load_profile, profile_context, variable_detail
 from colscope.sources.validation import ValidationError, validate_source
@@ -104,6 +109,58 @@ def test_quotes_and_line_breaks(spark, tmpdir_path):
     assert df.columns == ["he\nad", "b"] and [tuple(r) for r in df.collect()] == [('x "y" z', "one\ntwo")]
 
 
+@pytest.mark.parametrize("text", ["a,b\n1,2\n3,4,,5\n", "a,b\n1,2,\n", "a,b\n1,2,3,4,5,6,7,8\n", 'a,b\n"x\ny",2,\n', 'a,b\n1,"2"\n"3",4,,,\n'])
+def test_every_surplus_field_is_refused(spark, tmpdir_path, text):
+    with pytest.raises(SourceError):
+        read_csv(spark, _csv_file(tmpdir_path, text))
+    assert _report(spark, os.path.join(tmpdir_path, "t.csv"))["structure"][0] is False
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,"open\n2,3\n', "", "\n\n"])
+def test_unclosed_and_empty_files_are_refused(spark, tmpdir_path, text):
+    with pytest.raises(SourceError):
+        read_csv(spark, _csv_file(tmpdir_path, text))
+
+
+def test_loose_quotes_and_carriage_returns(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "t.csv"), "w", newline="") as f:
+        f.write('a,b\r\n5" pipe,"one\r\ntwo"\r\n\r\n7" pipe,x\r\n')
+    rows = [tuple(r) for r in read_csv(spark, os.path.join(tmpdir_path, "t.csv")).collect()]
+    assert rows == [('5" pipe', "one\r\ntwo"), ('7" pipe', "x")]
+
+
+@pytest.mark.parametrize("seed, split", [(1, 120), (2, 211)])
+def test_one_file_is_read_by_many_tasks(spark, tmpdir_path, seed, split):
+    """Quoted line breaks over the ends of splits, some fields longer than a split; pandas reads the same records."""
+    rng = random.Random(seed)
+    words = ["plain", "with, comma", 'a "quoted" word', "two\nlines", "\n", '"', '"\n"', "\n,\n", "x" * 30 + "\n" + "y" * 90, "naïve 東京", "NA", "-"]
+    rows = [[k, *(rng.choice(words) + rng.choice(["", str(k)]) for _ in range(3))] for k in range(70)]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["id", "a", "b\nb", "c"], *rows])
+    path = _csv_file(tmpdir_path, out.getvalue())
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": 0, "spark.sql.files.minPartitionNum": 1}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        tasks = spark.read.text(path).rdd.getNumPartitions()
+        assert tasks > 10
+        got = read_csv(spark, path)
+        found = sorted(tuple(r) for r in got.select("id", *(f"`{c}`" for c in got.columns[1:])).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = pd.read_csv(path).astype(object)
+    assert got.columns == list(want.columns)
+    assert found == [tuple(None if pd.isna(v) else v for v in r) for r in want.itertuples(index=False)]
+
+
+def test_quotes_are_followed_line_by_line():
+    for line, inside, open_ in [("a,b", False, False), ("a,b", True, True), ('"a', False, True), ('a"', False, False), ('a"', True, False), ('""', False, False),
+                                ('"""', False, True), ('x,"a""', False, True), ('"a"tail",b', False, False), ('a","b', True, True), ("", False, False), ("", True, True)]:
+        assert records.ends_open(line, inside) is open_, (line, inside)
+
+
 def test_type_suffix_is_text(spark, tmpdir_path):
     df = read_csv(spark, _csv_file(tmpdir_path, "code,n,e\n10d,1,1e3\n20f,-2,.5\n"))
     assert [t for _, t in df.dtypes] == ["string", "bigint", "double"]
