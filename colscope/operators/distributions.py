@@ -92,8 +92,8 @@ def interval_labels(edges: list[float], precision: int = LABEL_PRECISION) -> lis
     return [f"({br[i]}, {br[i + 1]}]" for i in range(len(br) - 1)]
 
 
-# exact distinct counts are needed only up to the bin cap; columns whose
-# HLL estimate is at least this large are far above any cap
+# Exact distinct counts are needed only up to the bin cap (10).  A column with n <= 10 values sets at most n of the
+# sketch's 512 registers, so its estimate is 10.1 at most: none that is estimated at 100 or more can be below the cap.
 _EXACT_BELOW = 100
 
 

@@ -1,11 +1,12 @@
 """Diverse-variable selection and chart data.
 
-Spark computes the profile (nulls, outliers) and the pairwise Pearson matrix;
-the greedy walk then runs over k columns and a k x k table on the driver.
+Spark ranks the variables from the profile and finds the pairs that are too similar; a k x k matrix of these is
+all that the driver needs to strike out neighbours.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,46 +20,43 @@ MAX_CHARTS = 12
 HIGH_CORRELATION = 0.70
 
 
-def _abs_matrix(df: DataFrame, numeric: list[str]) -> dict[tuple[int, int], float | None]:
-    num = corr.numeric_frame(df, numeric)
-    out = {}
-    for r in corr.pearson_pairs(num, numeric).collect():
-        v = None if r["r"] is None else abs(r["r"])
-        out[(r["i"], r["j"])] = v
-        out[(r["j"], r["i"])] = v
-    return out
+def similarity_graph(df: DataFrame, names: list[str], bound: float = HIGH_CORRELATION) -> np.ndarray:
+    """Boolean matrix over ``names``: True where |Pearson r| exceeds ``bound`` (a missing r is no similarity)."""
+    graph = np.zeros((len(names), len(names)), dtype=bool)
+    if len(names) > 1:
+        close = corr.pearson_pairs(corr.numeric_frame(df, names), names).where((F.col("i") < F.col("j")) & (F.abs("r") > bound))
+        for edge in close.select("i", "j").collect():
+            graph[edge.i, edge.j] = graph[edge.j, edge.i] = True
+    return graph
+
+
+def first_independent(graph: np.ndarray) -> list[int]:
+    """The independent set that takes the lowest remaining node and strikes out its neighbours, until none remains."""
+    remaining, taken = np.ones(len(graph), dtype=bool), []
+    while remaining.any():
+        node = int(np.flatnonzero(remaining)[0])
+        taken.append(node)
+        remaining &= ~graph[node]
+        remaining[node] = False
+    return taken
 
 
 def select_diverse(df: DataFrame, prof: Profile | None = None, limit: int = MAX_CHARTS) -> list[tuple[str, str]]:
     """(variable, type) in chart order.
 
-    Variables sorted by (nulls + outliers, valid) descending, stable; numerics
-    kept while |r| with every kept numeric is null or <= 0.70; then the others.
+    Variables rank by nulls and outliers together, then by valid values, then by place.  The numeric ones that are
+    independent of all better ranked ones taken come first, the others follow; the first ``limit`` are charted.
     """
-    prof = prof or profile(df, details=False)
-    order = sorted(prof.variables, key=lambda v: (v.nulls + (v.outliers or 0), v.valid), reverse=True)
-    numeric = [v for v in order if v.kind == NUMERIC]
-    others = [v for v in order if v.kind != NUMERIC]
-    chosen: list[tuple[str, str]] = []
-    if numeric:
-        names = [v.name for v in numeric]
-        mat = _abs_matrix(df, names) if len(names) > 1 else {}
-        kept: list[int] = []
-        for i, v in enumerate(numeric):
-            if all(mat.get((i, j)) is None or mat[(i, j)] <= HIGH_CORRELATION for j in kept):
-                kept.append(i)
-                chosen.append((v.name, v.kind))
-            if len(chosen) >= limit:
-                break
-    for v in others:
-        if len(chosen) >= limit:
-            break
-        chosen.append((v.name, v.kind))
-    return chosen
+    table = (prof or profile(df, details=False)).variables_frame()
+    trouble = F.col("nulls") + F.coalesce("outliers", F.lit(0))
+    ranked = table.orderBy(trouble.desc(), F.desc("valid"), "ordinal").select("variable", "variable_type").collect()
+    numeric = [r.variable for r in ranked if r.variable_type == NUMERIC]
+    charted = [(numeric[k], NUMERIC) for k in first_independent(similarity_graph(df, numeric))]
+    return [*charted, *((r.variable, r.variable_type) for r in ranked if r.variable_type != NUMERIC)][:limit]
 
 
 def selection_frame(df: DataFrame) -> DataFrame:
-    rows = [(i + 1, name, kind) for i, (name, kind) in enumerate(select_diverse(df))]
+    rows = [(place, *chosen) for place, chosen in enumerate(select_diverse(df), start=1)]
     return df.sparkSession.createDataFrame(rows, "position int, variable string, variable_type string")
 
 

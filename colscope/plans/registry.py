@@ -659,9 +659,13 @@ from colscope.operators import balance as bal  # noqa: E402
 from colscope.operators import selection as sel  # noqa: E402
 
 
+#: Words of an outcome, as the rule states them; written out, not taken from the operator.
+OUTCOME_WORDS = """target objetivo clase class label resultado status estado churn abandono fraude fraud default incumplimiento
+  aprobado cancel salida exited response respuesta diagnostico diagnóstico perdida pérdida loss attrition retencion retención retained"""
+
+
 def sql_class_balance(source: str, columns: list[str]) -> str:
-    words = " + ".join(f"CASE WHEN contains(lower(name), {lit(w)}) THEN 1 ELSE 0 END" for w in bal.TARGET_WORDS)
-    ids = ", ".join(lit(n) for n in sorted(bal.ID_NAMES))
+    words = " + ".join(f"CASE WHEN contains(lower(name), {lit(w)}) THEN 1 ELSE 0 END" for w in OUTCOME_WORDS.split())
     nd = "\nUNION ALL\n".join(
         f"SELECT {lit(c)} AS name, count(DISTINCT CAST({q(c)} AS VARCHAR)) AS nd FROM src" for c in columns)
     counts = "\nUNION ALL\n".join(
@@ -670,8 +674,8 @@ def sql_class_balance(source: str, columns: list[str]) -> str:
     return f"""WITH src AS ({source}),
 nd AS ({nd}),
 cand AS (SELECT name, nd, {words} AS hits FROM nd
-         WHERE nd BETWEEN {bal.MIN_CLASSES} AND {bal.MAX_CLASSES}
-           AND NOT (lower(name) IN ({ids}) OR suffix(lower(name), '_id'))),
+         WHERE nd BETWEEN 2 AND 10
+           AND NOT (lower(name) IN ('id', 'index', 'indice', 'índice') OR suffix(lower(name), '_id'))),
 pick AS (SELECT name FROM cand ORDER BY hits DESC, nd ASC, name DESC LIMIT 1),
 counts AS ({counts}),
 chosen AS (SELECT c.* FROM counts c JOIN pick p ON c.name = p.name),
@@ -683,12 +687,25 @@ ext AS (SELECT max(percent) FILTER (WHERE position = 1) AS major,
 rat AS (SELECT major, minor, CASE WHEN minor <> 0 THEN round(major / minor, 2) END AS ratio FROM ext)
 SELECT name AS variable, CAST(position AS INTEGER) AS position, class, count, percent,
   CAST(classes AS INTEGER) AS classes, major AS majority_pct, minor AS minority_pct, ratio,
-  CASE WHEN major >= {bal.MARKED_SHARE} OR coalesce(ratio, 0) >= {bal.MARKED_RATIO} THEN {lit(bal.MARKED)}
-       WHEN major >= {bal.MODERATE_SHARE} OR coalesce(ratio, 0) >= {bal.MODERATE_RATIO} THEN {lit(bal.MODERATE)}
-       ELSE {lit(bal.BALANCED)} END AS level
+  CASE WHEN major >= 80 OR coalesce(ratio, 0) >= 4 THEN 'desbalance marcado'
+       WHEN major >= 65 OR coalesce(ratio, 0) >= 2 THEN 'desbalance moderado'
+       ELSE 'balance relativo' END AS level
 FROM dist, rat"""
 
 
+def sql_balance_statement(source: str, columns: list[str]) -> str:
+    """One row: the balance of the assumed target, or the diagnosis that there is none."""
+    return f"""WITH b AS ({sql_class_balance(source, columns)}),
+s AS (SELECT any_value(variable) AS variable, any_value(classes) AS classes, any_value(majority_pct) AS majority_pct, any_value(minority_pct) AS minority_pct,
+  any_value(ratio) AS ratio, any_value(level) AS level, count(*) AS n FROM b)
+SELECT variable, classes, majority_pct, minority_pct, ratio, level,
+  CASE WHEN n = 0 THEN 'No se identificó una variable objetivo plausible con entre 2 y 10 clases.' END AS diagnosis,
+  CASE WHEN n > 0 THEN 'Marcado si la clase mayoritaria alcanza 80% o la razón mayoritaria/minoritaria es al menos 4; moderado desde 65% o razón 2.' END AS criterion,
+  CASE WHEN n = 0 THEN 'No es posible concluir si el dataset está balanceado sin definir el objetivo del estudio.'
+    ELSE 'El dataset no declara una variable objetivo. Esta variable se usa únicamente para ilustrar cómo sería el balance si se quisiera clasificar los registros con base en ella.'
+    END AS warning FROM s"""
+
+
 ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
@@ -702,6 +719,17 @@ def q_class_balance_labels(spark: SparkSession, sf: str) -> DataFrame:
     return bal.class_balance_frame(tb.load(spark, sf, "labels"))
 
 
+@register("balance_statement", sql_balance_statement("SELECT * FROM orders", ORDERS_COLS))
+def q_balance_statement(spark: SparkSession, sf: str) -> DataFrame:
+    return bal.balance_statement_frame(tb.load(spark, sf, "orders"))
+
+
+@register("balance_no_candidate", sql_balance_statement("SELECT o_orderkey, o_custkey, o_totalprice FROM orders", ["o_orderkey", "o_custkey", "o_totalprice"]))
+def q_balance_no_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    """A table without a column of 2 to 10 classes: one row with the diagnosis."""
+    return bal.balance_statement_frame(tb.load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+
+
 @register("diverse_selection")
 def q_diverse_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Rows-only: the greedy walk is checked against a brute-force walk in tests."""

@@ -34,6 +34,31 @@ def test_target_name_tie(spark):
 def test_no_target(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, v double")
     assert bal.class_balance(df)["variable"] is None
+    row = bal.balance_statement_frame(df).first()
+    assert row.variable is None and row.diagnosis == bal.NO_TARGET and row.warning == bal.NO_TARGET_WARNING and row.criterion is None
+    assert bal.class_balance_frame(df).collect() == []
+
+
+def test_columns_at_the_class_bounds(spark):
+    """2 and 10 classes are candidates, 1 and 11 are not; a skipped name is none either."""
+    rows = [(i % 2, i % 10, i % 11, 1, i % 3, None if i % 4 else f"k{i % 12}") for i in range(440)]
+    df = spark.createDataFrame(rows, "two int, ten int, eleven int, one int, user_id int, class string")
+    table = bal.class_table(df)
+    assert [(r.variable, r.classes) for r in bal.candidates(table).collect()] == [("class", 3), ("two", 2), ("ten", 10)]
+    assert bal.class_balance(df)["variable"] == "class"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_independent_is_the_greedy_walk(seed):
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    graph = np.triu(rng.random((15, 15)) < 0.2, 1)
+    graph |= graph.T
+    want = []
+    for node in range(15):
+        if not any(graph[node, other] for other in want):
+            want.append(node)
+    assert sel.first_independent(graph) == want and sel.first_independent(graph[:0, :0]) == []
 
 
 def _greedy(order, numeric_names, rabs, limit=12):
