@@ -1,4 +1,4 @@
-"""Histograms and frequency tables.
+"""Histograms.
 
 Edges are computed on the driver from per-column (min, max, distinct) — a
 handful of numbers per column — and enter the plan as literals; the counting
@@ -8,11 +8,12 @@ itself is one Spark aggregate over the whole table.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colscope.functions.scalar import as_text, col, finite_double
+from colscope.functions.scalar import col, finite_double
 
 RIGHT_CLOSED_MAX_BINS = 5   # profile detail histogram
 LEFT_CLOSED_MAX_BINS = 10   # report chart histogram
@@ -49,71 +50,45 @@ def left_closed_edges(mn: float, mx: float, distinct: int, max_bins: int = LEFT_
     return linspace(mn, mx, bins + 1)
 
 
-def right_closed_bin(v: Column, edges: list[float]) -> Column:
-    """1-based bin of (e[i-1], e[i]]; values outside every bin give NULL."""
-    expr = F.when(v <= F.lit(edges[1]), F.lit(1))
-    for i in range(2, len(edges)):
-        expr = expr.when(v <= F.lit(edges[i]), F.lit(i))
-    return F.when(v > F.lit(edges[0]), expr)
-
-
-def left_closed_bin(v: Column, edges: list[float]) -> Column:
-    """1-based bin of [e[i-1], e[i]), the last bin closed on the right."""
-    n = len(edges) - 1
-    expr = None
-    for i in range(1, n):
-        expr = (F.when if expr is None else expr.when)(v < F.lit(edges[i]), F.lit(i))
-    last = F.lit(n)
-    inside = (v >= F.lit(edges[0])) & (v <= F.lit(edges[-1]))
-    return F.when(inside, last if expr is None else expr.otherwise(last))
-
-
-def _round_frac(x: float, precision: int) -> float:
-    """Round to ``precision`` significant digits after the leading zeros of a fraction."""
-    if not math.isfinite(x) or x == 0:
+def label_number(x: float, precision: int) -> float:
+    """An edge as its label shows it: ``precision`` decimals, or below 1 as many significant digits."""
+    if x == 0 or not math.isfinite(x):
         return x
-    whole = math.trunc(x)
-    frac = x - whole
-    if whole == 0:
-        digits = -int(math.floor(math.log10(abs(frac)))) - 1 + precision
-    else:
-        digits = precision
-    return round(x, digits)
+    # Place of the first significant digit: 0 for units, -1 for tenths, ...
+    first = min(0, Decimal(repr(x)).adjusted() + 1)
+    return round(x, precision - first)
 
 
 def interval_labels(edges: list[float], precision: int = LABEL_PRECISION) -> list[str]:
     """Text labels ``(a, b]`` with the smallest precision >= 3 that keeps edges distinct."""
-    chosen = precision
-    for p in range(precision, 20):
-        if len({_round_frac(e, p) for e in edges}) == len(edges):
-            chosen = p
-            break
-    br = [float(_round_frac(e, chosen)) for e in edges]
-    return [f"({br[i]}, {br[i + 1]}]" for i in range(len(br) - 1)]
+    tried = ([label_number(e, p) for e in edges] for p in range(precision, 20))
+    shown = next((t for t in tried if len(set(t)) == len(t)), [label_number(e, precision) for e in edges])
+    return [f"({float(low)}, {float(high)}]" for low, high in zip(shown, shown[1:])]
 
 
 # Exact distinct counts are needed only up to the bin cap (10).  A column with n <= 10 values sets at most n of the
 # sketch's 512 registers, so its estimate is 10.1 at most: none that is estimated at 100 or more can be below the cap.
 _EXACT_BELOW = 100
+#: Columns of one aggregate.
+_BATCH = 16
 
 
 def numeric_range_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
     """(min, max, distinct-or-at-least-100) per numeric column.
 
-    One long-form aggregate gives min, max and an HLL estimate of the distinct
-    count; only columns estimated below 100 distinct values get an exact
-    count (their value-count table is tiny), so no full distinct shuffle.
+    Aggregates without a grouping key give min, max and an estimate of the distinct count; only columns estimated below
+    100 distinct values get an exact count (their value-count table is tiny), so no full distinct shuffle.
     """
     if not columns:
         return {}
     dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("vi"), finite_double(col(c), dtypes[c]).alias("v"))
-        for i, c in enumerate(columns)
-    ])).alias("e")).select("e.*").where(F.col("v").isNotNull())
-    rows = long.groupBy("vi").agg(
-        F.min("v").alias("mn"), F.max("v").alias("mx"), F.approx_count_distinct("v").alias("nd")
-    ).collect()
+    rows = []
+    for start in range(0, len(columns), _BATCH):
+        batch = list(enumerate(columns))[start:start + _BATCH]
+        values = df.select(*(finite_double(col(c), dtypes[c]).alias(f"v{i}") for i, c in batch))
+        row = values.agg(*(F.struct(F.lit(i).alias("vi"), F.min(f"v{i}").alias("mn"), F.max(f"v{i}").alias("mx"),
+                                    F.approx_count_distinct(f"v{i}").alias("nd")) for i, _ in batch)).first()
+        rows += [r for r in row if r["mn"] is not None]
     out = {c: (None, None, 0) for c in columns}
     small = []
     for r in rows:
@@ -121,7 +96,9 @@ def numeric_range_stats(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
         if r["nd"] < _EXACT_BELOW:
             small.append(r["vi"])
     if small:
-        exact = (long.where(F.col("vi").isin(small)).groupBy("vi", "v").agg(F.count(F.lit(1)).alias("c"))
+        long = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("vi"), finite_double(col(columns[i]), dtypes[columns[i]]).alias("v"))
+                                             for i in small))).alias("e")).select("e.*").where(F.col("v").isNotNull())
+        exact = (long.groupBy("vi", "v").agg(F.count(F.lit(1)).alias("c"))
                  .groupBy("vi").agg(F.count(F.lit(1)).alias("nd")).collect())
         for r in exact:
             mn, mx, _ = out[columns[r["vi"]]]
@@ -220,97 +197,3 @@ def histogram_frame(df: DataFrame, columns: list[str], right_closed: bool = True
             rows.append((c, j, float(edges[j - 1]), float(edges[j]), labels[j - 1], int(cnt)))
     schema = "variable string, bin int, lower double, upper double, label string, count long"
     return df.sparkSession.createDataFrame(rows, schema)
-
-
-def frequency_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(vi, value, cnt): how often each non-null value (as text) occurs, per column."""
-    dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("vi"), as_text(col(c), dtypes[c]).alias("value"))
-        for i, c in enumerate(columns)
-    ])).alias("e")).select("e.*").where(F.col("value").isNotNull())
-    return long.groupBy("vi", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def top_values(freq: DataFrame, k: int) -> DataFrame:
-    """Top-k per column by count desc, value asc (ties are deterministic, T10).
-
-    ``row_number() <= k`` is planned with a partial group limit before the
-    shuffle, so each task sends at most k rows per column.
-    """
-    w = Window.partitionBy("vi").orderBy(F.col("cnt").desc(), F.col("value").asc())
-    return freq.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
-
-
-def frequency_summary(df: DataFrame, columns: list[str], k: int, typed: list[str] = ()) -> tuple[dict, dict, dict]:
-    """One job over the per-value counts of ``columns`` (a single shared shuffle):
-
-    * top-k values per column (count desc, value asc) and distinct counts, when k > 0;
-    * for the text columns in ``typed``: non-null count and, per date layout,
-      how many values parse -- each distinct value is parsed once, weighted by
-      its count.
-
-    Returns ({column: [(value, count), ...]}, {column: distinct}, {column: [nn, p0, p1, ...]}).
-    """
-    from colscope.operators.semtypes import parsed_weight_exprs
-
-    if not columns:
-        return {}, {}, {}
-    freq = frequency_long(df, columns)
-    arr = "array<bigint>"
-    branches = []
-    if k > 0:
-        branches.append(top_values(freq, k).select(
-            "vi", "value", "cnt", "pos", F.lit(None).cast(arr).alias("parse")))
-        branches.append(freq.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
-            "vi", F.lit(None).cast("string").alias("value"), "cnt", F.lit(0).alias("pos"),
-            F.lit(None).cast(arr).alias("parse")))
-    typed_idx = [columns.index(c) for c in typed]
-    if typed_idx:
-        branches.append(
-            freq.where(F.col("vi").isin(typed_idx)).groupBy("vi")
-            .agg(F.array(F.sum("cnt"), *parsed_weight_exprs("value", "cnt")).alias("parse"))
-            .select("vi", F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("cnt"),
-                    F.lit(-1).alias("pos"), "parse"))
-    tops = {c: [] for c in columns}
-    distinct = {c: 0 for c in columns}
-    parse: dict = {}
-    if not branches:
-        return tops, distinct, parse
-    union = branches[0]
-    for br in branches[1:]:
-        union = union.unionByName(br)
-    for r in sorted(union.collect(), key=lambda r: (r["vi"], r["pos"])):
-        name = columns[r["vi"]]
-        if r["pos"] == -1:
-            parse[name] = list(r["parse"])
-        elif r["pos"] == 0:
-            distinct[name] = r["cnt"]
-        else:
-            tops[name].append((r["value"], r["cnt"]))
-    return tops, distinct, parse
-
-
-def top_k_frame(df: DataFrame, columns: list[str], k: int, ascending: bool = False) -> DataFrame:
-    """(variable, position, value, count, percent) for the k most frequent values.
-
-    ``percent`` is the share of non-null rows, 1 dp.  ``ascending`` re-numbers
-    the k rows from the least frequent (chart order, A17).
-    """
-    dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
-    freq = frequency_long(df, columns)
-    valid = df.agg(*[F.count(as_text(col(c), dtypes[c])).alias(f"n{i}") for i, c in enumerate(columns)])
-    valid_long = valid.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("vi"), F.col(f"n{i}").alias("valid")) for i in range(len(columns))
-    ])).alias("e")).select("e.*")
-    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("vi") + 1)
-    top = top_values(freq, k).join(F.broadcast(valid_long), "vi")
-    pos = F.col("pos")
-    if ascending:
-        w = Window.partitionBy("vi").orderBy(F.col("cnt").asc(), F.col("value").desc())
-        top = top.withColumn("pos", F.row_number().over(w))
-    return top.select(
-        names.alias("variable"), pos.cast("int").alias("position"), "value",
-        F.col("cnt").alias("count"),
-        F.round(F.col("cnt") / F.col("valid") * 100, 1).alias("percent"),
-    )

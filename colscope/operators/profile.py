@@ -27,10 +27,11 @@ from colscope.functions.scalar import (
     is_numeric_type, null_or_nan,
 )
 from colscope.operators.distributions import (
-    binned_counts, frequency_summary, histogram_counts, interval_labels, right_closed_edges,
+    binned_counts, interval_labels, right_closed_edges,
 )
+from colscope.operators.frequencies import frequency_summary
 from colscope.operators.ranks import range_tag, running_before_tagged
-from colscope.operators.semtypes import kind_of
+from colscope.operators.semtypes import kind_of, parse_counts
 
 QUARTILES = [0.25, 0.5, 0.75]
 IQR_FACTOR = 1.5
@@ -318,41 +319,14 @@ def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile], with_h
             v.histogram = list(zip(interval_labels(specs[v.name]), got[v.name]))
 
 
-def _pass4(df: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
-    """Outlier counts (A8), and right-closed histograms (A13) when asked.
-
-    Outliers alone: wide aggregates per batch (fences are literals).  With
-    histograms: one long-form pass (rows exploded to (column, value), binned
-    by one short expression over that column's edges) that counts outliers
-    too; wide per-bin counters would repeat the value expression per bin and
-    blow up the generated code.
-    """
-    if not numeric:
-        return
-    fence = {}
-    for v in numeric:
-        q1, _, q3 = v.quartiles
-        f = fences(q1, q3) if q1 is not None else None
-        if f is not None:
-            fence[v.name] = f
-    if with_histograms:
-        specs = {v.name: right_closed_edges(v.minimum, v.maximum, v.distinct)
-                 for v in numeric if v.minimum is not None and v.n_numeric}
-        counts = histogram_counts(df, specs, True, fence)
-        for v in numeric:
-            v.outliers = int(counts.get(v.name + "#outliers", 0))
-            if v.name in specs:
-                v.histogram = list(zip(interval_labels(specs[v.name]), counts[v.name]))
-        return
+def _fence_counts(df: DataFrame, numeric: list[VariableProfile]) -> None:
+    """Outlier counts (A8) as wide aggregates per batch; the fences are literals."""
     for start in range(0, len(numeric), BATCH):
-        chunk = numeric[start:start + BATCH]
-        exprs = []
+        chunk, exprs = numeric[start:start + BATCH], []
         for v in chunk:
-            d = finite_double(col(v.name), v.dtype)
-            f = fence.get(v.name)
-            cnt = F.count_if((d < F.lit(f[0])) | (d > F.lit(f[1]))) if f else F.lit(0).cast("long")
-            exprs.append(cnt.alias(f"out{v.ordinal}"))
-        r = df.agg(*exprs).first()
+            d, bounds = finite_double(col(v.name), v.dtype), fences(v.quartiles[0], v.quartiles[2]) if v.quartiles[0] is not None else None
+            exprs.append((F.count_if((d < bounds[0]) | (d > bounds[1])) if bounds else F.lit(0).cast("long")).alias(f"out{v.ordinal}"))
+        r = df.agg(F.count(F.lit(1)), *exprs).first()
         for v in chunk:
             v.outliers = int(r[f"out{v.ordinal}"])
 
@@ -386,9 +360,9 @@ def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: i
         counts = _numeric_pass(df, numeric, details)
     elif numeric:
         _approx_quartiles(df, numeric, accuracy)
-    text = [v.name for v in vars_ if isinstance(v.dtype, T.StringType)]
-    others = [v.name for v in vars_ if v.kind != NUMERIC] if details else text
-    tops, distinct, parse = frequency_summary(df, others, TOP_K if details else 0, text)
+    parse = parse_counts(df, [v.name for v in vars_ if isinstance(v.dtype, T.StringType)])
+    if details:
+        tops, distinct, _ = frequency_summary(df, [v.name for v in vars_ if v.kind != NUMERIC], TOP_K)
     for v in vars_:
         if isinstance(v.dtype, T.StringType):
             v.kind = kind_of(v.dtype, parse.get(v.name))
@@ -397,5 +371,5 @@ def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: i
     if counts is not None:
         _pass4_from_counts(counts, numeric, with_histograms=details)
     else:
-        _pass4(df, numeric, with_histograms=details)
+        _fence_counts(df, numeric)
     return Profile(df.sparkSession, rows, vars_)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colscope.functions.scalar import NUMERIC
 from colscope.operators import correlation as corr
 from colscope.operators import distributions as dist
+from colscope.operators.frequencies import top_k_frame
 from colscope.operators.profile import Profile, profile
 
 # Charts per report and the "too similar" correlation bound.
@@ -74,7 +75,7 @@ def chart_data(df: DataFrame, variables: list[tuple[str, str]]) -> DataFrame:
         parts.append(h.select("variable", F.lit("histogram").alias("chart"), F.col("bin").alias("position"),
                               "label", "count"))
     if other:
-        t = dist.top_k_frame(df, other, 8, ascending=True)
+        t = top_k_frame(df, other, 8, ascending=True)
         parts.append(t.select("variable", F.lit("bars").alias("chart"), "position",
                               F.col("value").alias("label"), "count"))
     if not parts:

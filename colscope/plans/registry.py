@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.scalar import CATEGORICAL, NUMERIC, TEMPORAL
 from colscope.operators import distributions as dist
+from colscope.operators.frequencies import top_k_frame
 from colscope.operators.profile import profile
 from colscope.operators.semtypes import DATE_FORMATS, SHAPES, TEMPORAL_RATIO, semantic_types
 from colscope.plans import tables as tb
@@ -221,23 +222,24 @@ FROM (SELECT value, cnt FROM (SELECT CAST({q(c)} AS VARCHAR) AS value, count(*)
     return f"WITH src AS ({source})\n" + "\nUNION ALL\n".join(parts)
 
 
-ORDERS_TOPK = ["o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
-DL_TOPK = ["lang", "source", "quality", "toxic"]
+ORDERS_TOPK = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+DL_TOPK = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 
 
 @register("top5_counts", sql_top_k("SELECT * FROM orders", ORDERS_TOPK, 5))
 def q_top5_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return dist.top_k_frame(tb.load(spark, sf, "orders"), ORDERS_TOPK, 5)
+    return top_k_frame(tb.load(spark, sf, "orders"), ORDERS_TOPK, 5)
 
 
 @register("top5_percent", sql_top_k(tb.DL_SQL, DL_TOPK, 5))
 def q_top5_percent(spark: SparkSession, sf: str) -> DataFrame:
-    return dist.top_k_frame(tb.dl(spark, sf), DL_TOPK, 5)
+    """All columns of documents with their labels, the whole texts among them."""
+    return top_k_frame(tb.dl(spark, sf), DL_TOPK, 5)
 
 
 @register("top8_counts", sql_top_k("SELECT * FROM orders", ORDERS_TOPK, 8, ascending=True))
 def q_top8_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return dist.top_k_frame(tb.load(spark, sf, "orders"), ORDERS_TOPK, 8, ascending=True)
+    return top_k_frame(tb.load(spark, sf, "orders"), ORDERS_TOPK, 8, ascending=True)
 
 
 # ---------------------------------------------------- types and nulls
