@@ -5,13 +5,7 @@ Matrix plans, all pairwise-complete like pandas ``DataFrame.corr``:
 * Pearson: one pass; each task reduces its Arrow batches to k x k co-moment
   matrices (matrix products with null masks), the k(k+1)/2 rows per task are
   merged per pair with the parallel-variance formulas in a small aggregate.
-* Spearman: per pair, the (x, y) count table; average ranks of x and of y on
-  the pair's complete rows from the distributed running counts; Pearson of the
-  ranks as weighted sums.
-* Kendall tau-b: the same count table; ties from the side tables; the
-  discordant count D from the bits of the dense rank of y (per bit level and
-  prefix, each "0" row counts the "1" rows with a strictly smaller x, a
-  distributed running sum again).  Exact, O(n log n), no pair enumeration.
+* Spearman and Kendall tau-b: ``rank_correlation``.
 """
 
 from __future__ import annotations
@@ -23,8 +17,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.scalar import as_double, col, numeric_columns
 from colscope.functions.stats import pearson_pvalue_udf
-from colscope.operators.ranks import average_ranks, dense_ranks, running_before
-from colscope.session import reliable_checkpoint
+from colscope.operators.rank_correlation import kendall_sums, spearman_sums
 
 # Strategy and method names, threshold, labels and messages.
 STRATEGIES = ["ignorar", "eliminar_filas", "imputar_promedio"]
@@ -82,25 +75,6 @@ def _clamp(r):
     return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
-def _pair_literal(k: int, diagonal: bool, only: list[tuple[int, int]] | None = None):
-    pairs = only if only is not None else [(i, j) for i in range(k) for j in range(i if diagonal else i + 1, k)]
-    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-
-
-def pair_rows(num: DataFrame, cols: list[str], diagonal: bool = True,
-              only: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(i, j, x, y) for every column pair (or the pairs in ``only``) and every row
-    where both sides are present."""
-    values = F.array(*[col(c) for c in cols])
-    return (
-        num.select(values.alias("v"))
-        .select(F.explode(_pair_literal(len(cols), diagonal, only)).alias("p"), "v")
-        .select(F.col("p.i").alias("i"), F.col("p.j").alias("j"),
-                F.get("v", F.col("p.i")).alias("x"), F.get("v", F.col("p.j")).alias("y"))
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    )
-
-
 _MOMENTS_SCHEMA = (
     "i int, j int, n long, bad long, mx double, my double, m2x double, m2y double, cxy double, "
     "lox double, hix double, loy double, hiy double"
@@ -206,135 +180,24 @@ def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
     return m.select("i", "j", (F.col("n") + F.col("bad")).alias("n"), _clamp(r).alias("r"))
 
 
-def _pair_counts(num: DataFrame, cols: list[str], only: list[tuple[int, int]] | None = None) -> DataFrame:
-    """(i, j, x, y, c): how many complete rows of pair (i, j) hold (x, y).
-
-    Written once to the checkpoint folder: every later step (ranks, ties,
-    discordance) reads this table instead of re-running the explode.
-    """
-    counts = (pair_rows(num, cols, diagonal=False, only=only)
-              .groupBy("i", "j", "x", "y").agg(F.count(F.lit(1)).alias("c")))
-    return reliable_checkpoint(counts)
-
-
-def _side_counts(counts: DataFrame) -> DataFrame:
-    """(i, j, side, v, cnt): per pair, the counts of x values (side 0) and y values (side 1)."""
-    xs = counts.groupBy("i", "j", F.col("x").alias("v")).agg(F.sum("c").alias("cnt")).withColumn("side", F.lit(0))
-    ys = counts.groupBy("i", "j", F.col("y").alias("v")).agg(F.sum("c").alias("cnt")).withColumn("side", F.lit(1))
-    return xs.unionByName(ys)
-
-
-def _spearman_null_free(num: DataFrame, cols: list[str], idx: list[int]) -> DataFrame:
-    """(i, j, n, r) for pairs of columns without nulls: ranks per column, not per pair.
-
-    Each column is ranked once (value-count table -> distributed running
-    counts); ranks return to their rows through a stable row id (the numbered
-    rows are materialised first), the rows are regrouped by id, and Pearson of
-    the rank columns is the co-moment pass.  Two shuffles of n x k rows instead
-    of n x k(k-1)/2 pair rows.
-    """
-    sub = [cols[i] for i in idx]
-    base = reliable_checkpoint(num.select(*[col(c) for c in sub]).withColumn("_rid", F.monotonically_increasing_id()))
-    long = base.select("_rid", F.explode(F.array(*[
-        F.struct(F.lit(p).alias("vi"), col(c).alias("v")) for p, c in enumerate(sub)
-    ])).alias("e")).select("_rid", "e.vi", "e.v")
-    counts = long.groupBy("vi", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = average_ranks(counts, ["vi"], "v").select("vi", "v", "rank")
-    wide = (long.join(ranks, ["vi", "v"]).groupBy("_rid").pivot("vi", list(range(len(sub))))
-            .agg(F.first("rank")))
-    names = [f"r{p}" for p in range(len(sub))]
-    rank_cols = wide.select(*[F.col(f"`{p}`").alias(n) for p, n in enumerate(names)])
-    out = pearson_pairs(rank_cols, names).where("i < j")
-    back = F.array(*[F.lit(i) for i in idx])
-    return out.select(F.element_at(back, F.col("i") + 1).alias("i"), F.element_at(back, F.col("j") + 1).alias("j"),
-                      "n", "r")
-
-
 def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows.
+    """(i, j, n, r) for i < j: Pearson of average ranks taken on each pair's complete rows, as pandas ranks them.
 
-    Pairs of null-free columns have the same rows, so they share per-column ranks; the
-    others are ranked pair by pair, as pandas ranks each pair on its own complete
-    rows.  A constant side gives NULL both ways, at any row count.
+    A constant side gives NULL: ranks are centred on their mean (n + 1) / 2, exact in binary, so it sums to exactly 0.
     """
-    missing = num.agg(*[F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    clean = [i for i in range(len(cols)) if missing[f"m{i}"] == 0]
-    parts = []
-    if len(clean) > 1:
-        parts.append(_spearman_null_free(num, cols, clean))
-    rest = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols)) if not (i in clean and j in clean)]
-    if rest:
-        parts.append(_spearman_per_pair(num, cols, rest))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _spearman_per_pair(num: DataFrame, cols: list[str], only: list[tuple[int, int]]) -> DataFrame:
-    """(i, j, n, r) for the listed pairs, each ranked on its own complete rows."""
-    counts = _pair_counts(num, cols, only)
-    ranks = average_ranks(_side_counts(counts), ["i", "j", "side"], "v").select("i", "j", "side", "v", "rank")
-    rx = ranks.where("side = 0").select("i", "j", F.col("v").alias("x"), F.col("rank").alias("rx"))
-    ry = ranks.where("side = 1").select("i", "j", F.col("v").alias("y"), F.col("rank").alias("ry"))
-    # Ranks are centred on their mean (n + 1) / 2, which is exact in binary: a constant side sums to exactly 0.
-    rows = counts.groupBy("i", "j").agg(F.sum("c").alias("n"))
-    joined = counts.join(rx, ["i", "j", "x"]).join(ry, ["i", "j", "y"]).join(rows, ["i", "j"])
-    middle = (F.col("n") + 1).cast("double") / 2
-    c, a, b = F.col("c"), F.col("rx") - middle, F.col("ry") - middle
-    m = joined.groupBy("i", "j").agg(
-        F.max("n").alias("n"), F.sum(c * a * a).alias("saa"), F.sum(c * b * b).alias("sbb"), F.sum(c * a * b).alias("sab"))
+    missing = num.agg(*[F.count_if(col(c).isNull()) for c in cols]).first()
+    sums = spearman_sums(num, cols, list(missing))
     r = F.when((F.col("saa") > 0) & (F.col("sbb") > 0), F.col("sab") / (F.sqrt("saa") * F.sqrt("sbb")))
-    return m.select("i", "j", "n", _clamp(r).alias("r"))
-
-
-#: Products of two counts, and their sums, leave the range of BIGINT from about 3e9 equal values on.
-_WIDE = "decimal(19,0)"
-
-
-def _pairs_among(count):
-    """Sum over the rows of count * (count - 1) / 2."""
-    return (F.sum(count.cast(_WIDE) * (count - 1).cast(_WIDE)).cast("double") / 2)
+    return sums.select("i", "j", "n", _clamp(r).alias("r"))
 
 
 def kendall_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i < j: tau-b = (n0 - n1 - n2 + n3 - 2D) / sqrt((n0 - n1)(n0 - n2))."""
-    counts = _pair_counts(num, cols)
-    sides = _side_counts(counts)
-    ties = sides.groupBy("i", "j").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("cnt"))).alias("n"),
-        _pairs_among(F.when(F.col("side") == 0, F.col("cnt"))).alias("n1"),
-        _pairs_among(F.when(F.col("side") == 1, F.col("cnt"))).alias("n2"),
-    )
-    both = counts.groupBy("i", "j").agg(_pairs_among(F.col("c")).alias("n3"))
-    # dense rank of y per pair, then its bits
-    yrank = dense_ranks(sides.where("side = 1").drop("side"), ["i", "j"], "v").select(
-        "i", "j", F.col("v").alias("y"), F.col("dense").alias("yr"))
-    ranked = counts.join(yrank, ["i", "j", "y"]).select("i", "j", "x", "yr", "c")
-    # bit levels per pair: enough for its largest dense rank (a k x k table)
-    levels = ranked.groupBy("i", "j").agg(
-        F.greatest(F.lit(1), F.ceil(F.log2(F.max("yr") + 1)).cast("int")).alias("levels"))
-    by_level = (
-        ranked.join(levels, ["i", "j"])
-        .select("i", "j", "x", "yr", "c", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("l"))
-        .select("i", "j", "l", "x", "c",
-                F.expr("shiftrightunsigned(yr, l + 1)").alias("prefix"),
-                F.expr("shiftrightunsigned(yr, l) & 1").alias("bit"))
-        .groupBy("i", "j", "l", "prefix", "x").agg(
-            F.sum(F.when(F.col("bit") == 1, F.col("c")).otherwise(0)).alias("ones"),
-            F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("zeros"),
-        )
-    )
-    disc = (
-        running_before(by_level, ["i", "j", "l", "prefix"], "x", "ones")
-        .groupBy("i", "j").agg(F.sum(F.col("zeros").cast(_WIDE) * F.col("before").cast(_WIDE)).cast("double").alias("d"))
-    )
-    t = ties.join(both, ["i", "j"]).join(disc, ["i", "j"], "left")
+    """(i, j, n, r) for i < j: tau-b = (n0 - n1 - n2 + n3 - 2 d) / sqrt((n0 - n1)(n0 - n2)), d the discordant pairs."""
+    sums = kendall_sums(num, cols)
     n0 = F.col("n").cast("double") * (F.col("n") - 1) / 2
-    num_ = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.coalesce(F.col("d"), F.lit(0))
-    den = (n0 - F.col("n1")) * (n0 - F.col("n2"))
-    r = F.when(den > 0, num_ / F.sqrt(den))
-    return t.select("i", "j", "n", _clamp(r).alias("r"))
+    above = n0 - F.col("n1") - F.col("n2") + F.col("n3") - 2 * F.col("d")
+    below = (n0 - F.col("n1")) * (n0 - F.col("n2"))
+    return sums.select("i", "j", "n", _clamp(F.when(below > 0, above / F.sqrt(below))).alias("r"))
 
 
 def matrix_pairs(num: DataFrame, cols: list[str], method: str) -> DataFrame:

@@ -600,6 +600,48 @@ def q_corr_kendall_customer(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix(tb.load(spark, sf, "customer").select(*CUSTOMER_CORR), "ignorar", "kendall")
 
 
+def sql_kendall_sorted(source: str, cols: list[str]) -> str:
+    """Tau-b of every pair for large tables: discordant pairs by the bits of the dense rank of y, each "0" row counting the
+    "1" rows of its prefix with a smaller x; ties from group counts."""
+    pairs = "\nUNION ALL\n".join(
+        f"SELECT {i} AS i, {j} AS j, {q(x)}::DOUBLE AS x, {q(cols[j])}::DOUBLE AS y FROM src WHERE {q(x)} IS NOT NULL AND {q(cols[j])} IS NOT NULL"
+        for i, x in enumerate(cols) for j in range(i + 1, len(cols)))
+    names = ", ".join(f"({i}, {lit(c)})" for i, c in enumerate(cols))
+    return f"""WITH src AS ({source}), p AS MATERIALIZED ({pairs}),
+c AS MATERIALIZED (SELECT i, j, x, dense_rank() OVER (PARTITION BY i, j ORDER BY y) - 1 AS yr, y, c FROM (SELECT i, j, x, y, count(*) AS c FROM p GROUP BY ALL)),
+lev AS (SELECT i, j, l, yr >> (l + 1) AS prefix, x, sum(CASE WHEN (yr >> l) & 1 = 1 THEN c ELSE 0 END) AS ones, sum(CASE WHEN (yr >> l) & 1 = 0 THEN c ELSE 0 END) AS zeros
+  FROM c, range(0, 24) r(l) WHERE l <= (SELECT floor(log2(greatest(max(yr), 1))) FROM c) GROUP BY ALL),
+run AS (SELECT i, j, zeros, sum(ones) OVER (PARTITION BY i, j, l, prefix ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lev),
+d AS (SELECT i, j, sum(zeros::DOUBLE * coalesce(before, 0)) AS d FROM run GROUP BY i, j),
+n3 AS (SELECT i, j, sum(c) AS n, sum(c::DOUBLE * (c - 1) / 2) AS n3 FROM c GROUP BY i, j),
+n1 AS (SELECT i, j, sum(t::DOUBLE * (t - 1) / 2) AS n1 FROM (SELECT i, j, x, sum(c) AS t FROM c GROUP BY i, j, x) GROUP BY i, j),
+n2 AS (SELECT i, j, sum(t::DOUBLE * (t - 1) / 2) AS n2 FROM (SELECT i, j, y, sum(c) AS t FROM c GROUP BY i, j, y) GROUP BY i, j),
+tau AS (SELECT i, j, CASE WHEN (n0 - n1) * (n0 - n2) > 0 THEN round((n0 - n1 - n2 + n3 - 2 * d) / (sqrt(n0 - n1) * sqrt(n0 - n2)), 4) END AS r
+  FROM (SELECT *, n::DOUBLE * (n - 1) / 2 AS n0 FROM d JOIN n1 USING (i, j) JOIN n2 USING (i, j) JOIN n3 USING (i, j))),
+names(k, name) AS (VALUES {names}),
+cells AS (SELECT i, j, r FROM tau UNION ALL SELECT j, i, r FROM tau UNION ALL SELECT k, k, 1.0 FROM names)
+SELECT a.name AS id_x, b.name AS id_y, c.r AS valor FROM cells c JOIN names a ON a.k = c.j JOIN names b ON b.k = c.i"""
+
+
+@register("corr_kendall_lineitem", sql_kendall_sorted(tb.LN_SQL, tb.LN_NUMERIC))
+def q_corr_kendall_lineitem(spark: SparkSession, sf: str) -> DataFrame:
+    """All numeric columns of lineitem, two of them with nulls."""
+    return _matrix(tb.ln(spark, sf).select(*tb.LN_NUMERIC), "ignorar", "kendall")
+
+
+RANK_EDGE_COLS = ["l_quantity", "l_extendedprice", "constant", "infinite", "l_discount"]
+
+
+@register("corr_spearman_edge", sql_matrix("""SELECT l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice, 7.0::DOUBLE AS constant,
+  CASE WHEN l_orderkey < 10 THEN 'Infinity'::DOUBLE WHEN l_orderkey % 5 > 0 THEN l_tax::DOUBLE END AS infinite, l_discount::DOUBLE AS l_discount FROM lineitem""",
+                                           RANK_EDGE_COLS, sql_spearman_cell))
+def q_corr_spearman_edge(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks beside a constant column and one with infinite and missing values."""
+    infinite = F.when(F.col("l_orderkey") < 10, float("inf")).when(F.col("l_orderkey") % 5 > 0, F.col("l_tax"))
+    df = tb.load(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", F.lit(7.0).alias("constant"), infinite.alias("infinite"), "l_discount")
+    return _matrix(df, "ignorar", "spearman")
+
+
 def sql_pair_table(source: str, cols: list[str]) -> str:
     parts = []
     for i, x in enumerate(cols):

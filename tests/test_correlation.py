@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from colscope.functions.stats import NORMAL_FROM, pearson_pvalue
 from colscope.operators import correlation as corr
+from colscope.operators import rank_correlation
 
 
 def cells(df, method="pearson", strategy="ignorar"):
@@ -171,14 +172,8 @@ def test_spearman_mixed_null_free_and_null_columns(spark):
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     names = ["a", "b", "c", "d"]
     num = corr.numeric_frame(df, names)
-    got = {}
-    every = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    # per-column ranks for a, b, c / every pair ranked on its own
-    for pairs in (corr.spearman_pairs(num, names).collect(), corr._spearman_per_pair(num, names, every).collect()):
-        for r in pairs:
-            got.setdefault((names[r["j"]], names[r["i"]]), set()).add(round(r["r"], 4))
-    assert all(len(v) == 1 for v in got.values())
-    got = {k: v.pop() for k, v in got.items()}
+    assert rank_correlation.presence_classes([0, 0, 0, 5]) == [0, 0, 0, 1]
+    got = {(names[r["j"]], names[r["i"]]): round(r["r"], 4) for r in corr.spearman_pairs(num, names).collect()}
     for i in range(4):
         for j in range(i + 1, 4):
             pairs = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
@@ -188,6 +183,48 @@ def test_spearman_mixed_null_free_and_null_columns(spark):
             assert got[(names[j], names[i])] == pytest.approx(round(want, 4), abs=1e-4)
 
 
+def _rank_frame(spark, seed, n=400):
+    """Heavy ties, a value that fills a third of a column, missing values, a constant, infinities, an empty column."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        a = float(rnd.choice([3, 3, rnd.randrange(60)]))
+        b = None if rnd.random() < 0.2 else a + rnd.randrange(-20, 20)
+        rows.append((a, b, rnd.random(), float(k % 3), None if rnd.random() < 0.3 else -a * rnd.random(), 7.0,
+                     rnd.choice([float("inf"), -float("inf"), 1.0, 2.0, 0.0, -0.0]), None, float(k) if k < 3 else None))
+    return spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(9))), rows
+
+
+@pytest.mark.parametrize("seed, strip_rows", [(1, 100_000), (2, 7)])
+@pytest.mark.parametrize("method", ["spearman", "kendall"])
+def test_rank_methods_on_odd_columns(spark, monkeypatch, method, seed, strip_rows):
+    monkeypatch.setattr(rank_correlation, "STRIP_ROWS", strip_rows)
+    df, rows = _rank_frame(spark, seed)
+    names = df.columns
+    pairs = corr.spearman_pairs(df, names) if method == "spearman" else corr.kendall_pairs(df, names)
+    got = {(r.i, r.j): (r.n, r.r) for r in pairs.collect()}
+    for i in range(9):
+        for j in range(i + 1, 9):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            x, y = (np.array([p[s] for p in both]) for s in (0, 1))
+            if not both:
+                assert (i, j) not in got
+                continue
+            assert got[i, j][0] == len(both)
+            if len(set(x)) < 2 or len(set(y)) < 2:
+                assert got[i, j][1] is None
+                continue
+            want = float(np.corrcoef(_avg_ranks(x), _avg_ranks(y))[0, 1]) if method == "spearman" else _tau_b(_avg_ranks(x), _avg_ranks(y))
+            assert got[i, j][1] == pytest.approx(want, abs=1e-9), (i, j)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_inversions(seed):
+    values = np.random.default_rng(seed).integers(0, [3, 50, 1000][seed], 300)
+    assert rank_correlation.inversions(values) == sum(int((values[k + 1:] < values[k]).sum()) for k in range(300))
+    assert rank_correlation.inversions(values[:0]) == 0 and rank_correlation.inversions(values[:1]) == 0
+
+
 def test_infinity_gives_null_whatever_the_batches(spark):
     df = spark.range(20_000).select(F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("b"),
                                     F.when(F.col("id") == 777, float("inf")).otherwise(F.col("id").cast("double")).alias("c"))
