@@ -27,8 +27,10 @@ from colscope.functions.scalar import col
 from colscope.session import Scratch
 
 #: Aimed rows of a range or a strip, and the most of each.
-RANGE_ROWS, MOST_RANGES = 500_000, 20_000
+RANGE_ROWS, MOST_RANGES = 250_000, 20_000
 STRIP_ROWS, MOST_STRIPS = 100_000, 2_048
+#: Presence bits that one BIGINT holds.
+_BITS = 60
 
 
 # ---------------------------------------------------------------- Spearman
@@ -43,97 +45,96 @@ def presence_classes(missing: list[int]) -> list[int]:
 
 
 def _local_ranks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one sorted range with counts inside the range, per class: smaller values (less) and equal ones (ties).
+    """Rows of one range of (column, value) with their average ranks inside the range, one per class.
 
-    Rows of kind 1 hold what other ranges need of a column: totals, and the ties of the first and of the last value.
+    Rows of kind 1 hold what other ranges need of a column: totals (as ranks), and the first and last value with their ties.
     """
     table = pa.Table.from_batches(list(batches))
     n = table.num_rows
     if not n:
         return
     vi, v, rid = (table.column(c).to_numpy() for c in ("vi", "v", "rid"))
-    here = np.stack([table.column(f"has{c}").to_numpy(zero_copy_only=False) for c in range(classes)], axis=1).astype(np.float64)
+    order = np.lexsort((v, vi))
+    vi, v, rid = vi[order], v[order], rid[order]
+    bits = [table.column(f"has{w}").to_numpy()[order] for w in range(-(-classes // _BITS))]
     fresh = np.r_[True, (vi[1:] != vi[:-1]) | (v[1:] != v[:-1])]
-    starts = np.flatnonzero(fresh)
-    group = np.cumsum(fresh) - 1
-    ties = np.add.reduceat(here, starts, axis=0)
+    starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
     column = vi[starts]
-    before = np.vstack([np.zeros((1, classes)), np.cumsum(ties, axis=0)[:-1]])
     first_of = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
     last_of = np.r_[first_of[1:], len(column)] - 1
-    less = before - np.repeat(before[first_of], np.diff(np.r_[first_of, len(column)]), axis=0)
+    sizes = last_of - first_of + 1
+    ranks, totals, first_ties, last_ties = [], [], [], []
+    for c in range(classes):
+        ties = np.add.reduceat((bits[c // _BITS] >> (c % _BITS)) & 1, starts)
+        ends = np.cumsum(ties)
+        begun = (ends - ties)[first_of]
+        ranks.append((ends - ties - np.repeat(begun, sizes)) + (ties + 1) / 2)
+        totals.append((ends[last_of] - begun).astype(np.float64))
+        first_ties.append(ties[first_of])
+        last_ties.append(ties[last_of])
     part = TaskContext.get().partitionId()
+    names = ["kind", "part", "vi", "v", "rid", *(f"r{c}" for c in range(classes)), "edge"]
 
-    def rows(kind, vi, v, rid, less, ties, extra):
-        size = len(vi)
-        columns = [pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, part, np.int32)), pa.array(vi.astype(np.int32)), pa.array(v), rid]
-        columns += [pa.array(m[:, c]) for m in (less, ties) for c in range(classes)]
-        columns.append(extra)
-        return pa.record_batch(columns, names)
+    def rows(kind, vi, v, rid, values, edges):
+        lead = [pa.array(np.full(len(vi), x, np.int32)) for x in (kind, part)]
+        return pa.record_batch([*lead, pa.array(vi.astype(np.int32)), pa.array(v), rid, *map(pa.array, values), edges], names)
 
-    names = ["kind", "part", "vi", "v", "rid", *(f"less{c}" for c in range(classes)), *(f"ties{c}" for c in range(classes)), "edge"]
-    for at in range(0, n, 100_000):
-        cut = slice(at, at + 100_000)
+    for at in range(0, n, 50_000):
+        cut = slice(at, at + 50_000)
         g = group[cut]
-        yield rows(0, vi[cut], v[cut], pa.array(rid[cut]), less[g], ties[g], pa.nulls(len(g), pa.list_(pa.float64())))
-    totals = np.add.reduceat(ties, first_of, axis=0)
-    edges = pa.array([[v[starts[f]], v[starts[z]], *ties[f]] for f, z in zip(first_of, last_of)], pa.list_(pa.float64()))
-    yield rows(1, column[first_of], v[starts[first_of]], pa.nulls(len(first_of), pa.int64()), totals, ties[last_of], edges)
+        yield rows(0, vi[cut], v[cut], pa.array(rid[cut]), [r[g] for r in ranks], pa.nulls(len(g), pa.list_(pa.float64())))
+    edges = [[v[starts[f]], v[starts[z]], *(t[k] for t in first_ties), *(t[k] for t in last_ties)] for k, (f, z) in enumerate(zip(first_of, last_of))]
+    yield rows(1, column[first_of], v[starts[first_of]], pa.nulls(len(first_of), pa.int64()), totals, pa.array(edges, pa.list_(pa.float64())))
 
 
-def _range_offsets(edges: list, classes: int) -> list[tuple]:
-    """(part, vi, offsets, first value, its smaller rows and ties, last value, its ties) for every column of every range.
+def _range_offsets(edges: list, classes: int) -> tuple[list[tuple], dict]:
+    """([(part, vi, offsets, first value, its ranks, last value, its ranks)], {vi: totals}) for every column of every range.
 
-    ``edges``: at most ranges + columns rows.
+    ``edges``: at most ranges + columns rows.  A value at the end of a range may go on in others: its ranks are whole ones.
     """
-    out, seen, columns = [], {}, {}
+    out, whole_columns = [], {}
+    columns: dict[int, list] = {}
     for e in sorted(edges, key=lambda e: (e.vi, e.part)):
         columns.setdefault(e.vi, []).append(e)
     for vi, parts in columns.items():
-        # Ties of a value over all ranges that it stands at the edge of.
-        whole: dict[float, np.ndarray] = {}
+        less: dict[float, np.ndarray] = {}
+        ties: dict[float, np.ndarray] = {}
+        seen = np.zeros(classes)
         for e in parts:
-            first = np.array(e.edge[2:])
-            whole[e.edge[0]] = whole.get(e.edge[0], 0) + first
-            if e.edge[1] != e.edge[0]:
-                whole[e.edge[1]] = whole.get(e.edge[1], 0) + np.array([e[f"ties{c}"] for c in range(classes)])
-        total, seen = np.zeros(classes), {}
-        for e in parts:
-            low, high = e.edge[0], e.edge[1]
-            smaller = total - seen.get(low, 0)
-            out.append((e.part, vi, total.tolist(), low, smaller.tolist(), whole[low].tolist(), high, whole[high].tolist()))
-            seen = {low: seen.get(low, 0) + np.array(e.edge[2:])} if low == high else {high: np.array([e[f"ties{c}"] for c in range(classes)])}
-            total = total + np.array([e[f"less{c}"] for c in range(classes)])
-    return out
+            totals = np.array([e[f"r{c}"] for c in range(classes)])
+            low, high = e.edge[:2]
+            at_low, at_high = np.array(e.edge[2:2 + classes]), np.array(e.edge[2 + classes:])
+            less.setdefault(low, seen)
+            ties[low] = ties.get(low, 0) + at_low
+            if high != low:
+                less.setdefault(high, seen + totals - at_high)
+                ties[high] = ties.get(high, 0) + at_high
+            out.append([e.part, vi, seen.tolist(), low, None, high, None])
+            seen = seen + totals
+        whole_columns[vi] = seen
+        for row in out[-len(parts):]:
+            row[4], row[6] = ((less[x] + (ties[x] + 1) / 2).tolist() for x in (row[3], row[5]))
+    return [tuple(r) for r in out], whole_columns
 
 
 def _pair_products(batches: Iterator[pa.RecordBatch], classes: list[int], middle: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sums of squares and products of centred ranks over the task's rows, which come sorted by row number."""
+    """Sums of squares and products of centred ranks over the task's rows (all columns of a row are in one task)."""
     k, width = len(classes), max(classes) + 1
     products, squares = np.zeros((k, k)), np.zeros((k, k))
-    kept = None
-    for batch in [*batches, None]:
-        if batch is not None:
-            fresh = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.stack([batch.column(2 + c).to_numpy() for c in range(width)], axis=1)]
-            kept = fresh if kept is None else [np.concatenate(p) for p in zip(kept, fresh)]
-        if kept is None or not len(kept[0]):
-            continue
-        # The last row number may go on in the next batch.
-        done = len(kept[0]) if batch is None else int(np.searchsorted(kept[0], kept[0][-1]))
-        rid, vi, ranks = (p[:done] for p in kept)
-        kept = [p[done:] for p in kept]
-        if not done:
-            continue
-        row = np.cumsum(np.r_[True, rid[1:] != rid[:-1]]) - 1
-        for at in range(0, row[-1] + 1, 4096):
-            mine = (row >= at) & (row < at + 4096)
-            cube = np.full((min(4096, row[-1] + 1 - at), k, width), np.nan)
-            cube[row[mine] - at, vi[mine]] = ranks[mine]
-            centred = cube[:, :, classes] - middle
-            other = centred.transpose(0, 2, 1)
-            both = ~(np.isnan(centred) | np.isnan(other))
-            products += np.where(both, centred * other, 0.0).sum(axis=0)
-            squares += np.where(both, centred * centred, 0.0).sum(axis=0)
+    table = pa.Table.from_batches(list(batches), pa.schema([("rid", pa.int64()), ("vi", pa.int32()), *((f"r{c}", pa.float64()) for c in range(width))]))
+    rid, vi = table.column("rid").to_numpy(), table.column("vi").to_numpy()
+    ranks = np.stack([table.column(f"r{c}").to_numpy() for c in range(width)], axis=1)
+    order = np.argsort(rid, kind="stable")
+    row = np.cumsum(np.diff(rid[order], prepend=rid[order][:1]) != 0) if len(rid) else rid
+    for at in range(0, int(row[-1]) + 1 if len(row) else 0, 2048):
+        mine = slice(*np.searchsorted(row, [at, at + 2048]))
+        cube = np.full((row[mine][-1] - at + 1, k, width), np.nan)
+        cube[row[mine] - at, vi[order[mine]]] = ranks[order[mine]]
+        centred = cube[:, :, classes] - middle
+        there = ~np.isnan(cube[:, :, 0])
+        centred[~(there[:, :, None] & there[:, None, :])] = 0.0
+        products += np.einsum("rij,rji->ij", centred, centred)
+        squares += np.einsum("rij,rij->ij", centred, centred)
     i, j = np.triu_indices(k, 1)
     yield pa.record_batch([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(products[i, j]), pa.array(squares[i, j]), pa.array(squares[j, i])],
                           ["i", "j", "sab", "saa", "sbb"])
@@ -144,41 +145,33 @@ def spearman_sums(num: DataFrame, cols: list[str], missing: list[int]) -> DataFr
     spark, k = num.sparkSession, len(cols)
     classes = presence_classes(missing)
     width = max(classes) + 1
-    # One column that stands for each class; class 0 is present in every row.
-    stands = [classes.index(c) if c in classes else None for c in range(width)]
-    has = [F.lit(True) if c == 0 else col(cols[stands[c]]).isNotNull() for c in range(width)]
+    # One bit a class: the column that stands for it is there; class 0 is there in every row.
+    present = [F.lit(True), *(col(cols[classes.index(c)]).isNotNull() for c in range(1, width))]
+    words = [sum((F.when(p, F.lit(1 << b)).otherwise(0) for b, p in enumerate(present[at:at + _BITS])), F.lit(0).cast("long")) for at in range(0, width, _BITS)]
+    has = [w.alias(f"has{n}") for n, w in enumerate(words)]
+    marks = [f"has{n}" for n in range(len(words))]
     with Scratch() as tables:
-        rows = num.select(F.monotonically_increasing_id().alias("rid"), *(col(c).alias(f"c{i}") for i, c in enumerate(cols)), *(h.alias(f"has{c}") for c, h in enumerate(has)))
-        rows = tables.keep(rows)
+        rows = tables.keep(num.select(F.monotonically_increasing_id().alias("rid"), *has, *(col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols))))
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("vi"), F.col(f"c{i}").alias("v")) for i in range(k)))).alias("e")
-        long = rows.select("rid", *(f"has{c}" for c in range(width)), cells).select("e.vi", "e.v", "rid", *(f"has{c}" for c in range(width))).where(F.col("v").isNotNull())
-        ranges = max(spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(rows.count() * k / RANGE_ROWS)))
-        kinds = ", ".join([f"less{c} double" for c in range(width)] + [f"ties{c} double" for c in range(width)])
-        ranked = (long.repartitionByRange(ranges, "vi", "v", "rid").sortWithinPartitions("vi", "v", "rid")
-                  .mapInArrow(lambda it: _local_ranks(it, width), f"kind int, part int, vi int, v double, rid long, {kinds}, edge array<double>"))
+        long = rows.select("rid", *marks, cells).select("e.vi", "e.v", "rid", *marks).where(F.col("v").isNotNull())
+        ranges = max(2 * spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(rows.count() * k / RANGE_ROWS)))
+        # The row number parts equal values, so that one value may fill many ranges.
+        ranked = long.repartitionByRange(ranges, "vi", "v", "rid").mapInArrow(
+            lambda it: _local_ranks(it, width), f"kind int, part int, vi int, v double, rid long, {', '.join(f'r{c} double' for c in range(width))}, edge array<double>")
         ranked = tables.keep(ranked)
-        edges = ranked.where("kind = 1").collect()
-        counts = np.zeros((k, width))
-        for e in edges:
-            counts[e.vi] += [e[f"less{c}"] for c in range(width)]
-        offsets = spark.createDataFrame(_range_offsets(edges, width) or [], "part int, vi int, off array<double>, low double, low_less array<double>, "
-                                        "low_ties array<double>, high double, high_ties array<double>")
-        at_low, at_high = F.col("v") == F.col("low"), F.col("v") == F.col("high")
+        offsets, totals = _range_offsets(ranked.where("kind = 1").collect(), width)
+        n = np.array([totals.get(i, np.zeros(width))[classes] for i in range(k)])
+        offsets = spark.createDataFrame(offsets, "part int, vi int, off array<double>, low double, at_low array<double>, high double, at_high array<double>")
 
         def rank(c: int):
-            less = F.when(at_low, F.get("low_less", F.lit(c))).otherwise(F.get("off", F.lit(c)) + F.col(f"less{c}"))
-            ties = F.when(at_low, F.get("low_ties", F.lit(c))).when(at_high, F.get("high_ties", F.lit(c))).otherwise(F.col(f"ties{c}"))
-            return (less + (ties + 1) / 2).alias(f"r{c}")
+            return (F.when(F.col("v") == F.col("low"), F.get("at_low", F.lit(c))).when(F.col("v") == F.col("high"), F.get("at_high", F.lit(c)))
+                    .otherwise(F.get("off", F.lit(c)) + F.col(f"r{c}"))).alias(f"r{c}")
 
         # The offsets have at most ranges + columns rows.
         back = ranked.where("kind = 0").join(F.broadcast(offsets), ["part", "vi"]).select("rid", "vi", *(rank(c) for c in range(width)))
-        back = back.repartition(ranges, "rid").sortWithinPartitions("rid")
-        n = counts[:, classes]
-        sums = back.mapInArrow(lambda it: _pair_products(it, classes, (n + 1) / 2), "i int, j int, sab double, saa double, sbb double")
+        sums = back.repartition(ranges, "rid").mapInArrow(lambda it: _pair_products(it, classes, (n + 1) / 2), "i int, j int, sab double, saa double, sbb double")
         sums = sums.groupBy("i", "j").agg(F.sum("sab").alias("sab"), F.sum("saa").alias("saa"), F.sum("sbb").alias("sbb")).collect()
-    found = {(s.i, s.j): s for s in sums}
-    out = [(i, j, int(n[i, j]), *((float(s.sab), float(s.saa), float(s.sbb)) if (s := found.get((i, j))) else (0.0, 0.0, 0.0)))
-           for i in range(k) for j in range(i + 1, k) if n[i, j] > 0]
+    out = [(s.i, s.j, int(n[s.i, s.j]), float(s.sab), float(s.saa), float(s.sbb)) for s in sums if n[s.i, s.j] > 0]
     return spark.createDataFrame(out, "i int, j int, n long, sab double, saa double, sbb double")
 
 

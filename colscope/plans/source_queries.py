@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.plans import tables as tb
-from colscope.plans.registry import register
+from colscope.operators.profile import profile
+from colscope.plans.registry import ORACLE, register
 from colscope.session import Scratch
 from colscope.sources.readers import read_csv
+from colscope.sources.store import load_profile, profile_tables, save_profile
 
 
 @register("csv_round_trip_orders", """SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, o_totalprice,
@@ -30,3 +32,13 @@ def q_csv_round_trip_orders(spark: SparkSession, sf: str) -> DataFrame:
         path = files.path(spark)
         rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         return read_csv(spark, path)
+
+
+@register("store_round_trip", ORACLE["profile_variables"])
+def q_store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The variable table of lineitem's profile, saved over an older profile and read from the store."""
+    with Scratch() as files:
+        store = files.path(spark)
+        save_profile(profile_tables(profile(tb.load(spark, sf, "region"))), store, 7)
+        save_profile(profile_tables(profile(tb.ln(spark, sf))), store, 7)
+        return files.result(load_profile(spark, store, 7)["variables"])

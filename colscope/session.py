@@ -71,6 +71,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system that Spark reaches; one that is not there is none."""
+    _delete(spark, path)
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path for an intermediate table below the shared checkpoint folder."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/colscope-{uuid.uuid4().hex}"

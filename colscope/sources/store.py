@@ -1,13 +1,14 @@
 """Profile store.
 
-The three profile tables are written beside each other under one store root,
-partitioned by ``dataset_id`` with dynamic partition overwrite, so saving one
-dataset's profile replaces only that dataset's partition (update-or-insert).
-A missing or unreadable partition means "recompute and save once".
+A save writes the three profile tables into a folder of a new version and then commits it with one manifest row: its file
+appears whole or not at all, so a save that fails on the way leaves the profile before it, and a reader never sees tables of
+two saves.  The manifest with the highest version counts (update-or-insert by dataset); the version before it is
+kept for readers that still hold it, older ones are deleted.  A missing or unreadable profile means "recompute and save once".
 """
 
 from __future__ import annotations
 
+import datetime
 import json
 
 from pyspark.errors import PySparkException
@@ -15,40 +16,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.operators.profile import Profile, profile
+from colscope.session import delete_path
 
 TABLES = ("summary", "variables", "details")
 #: Error conditions of a table that is missing or is no readable Parquet.
 ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER")
+RECORD_SCHEMA = "dataset_id long, version long, path string, size_mb double, saved_at timestamp"
 
 
 def profile_tables(prof: Profile) -> dict[str, DataFrame]:
     return {"summary": prof.summary_frame(), "variables": prof.variables_frame(), "details": prof.details_frame()}
 
 
-def save_profile(tables: dict[str, DataFrame], store: str, dataset_id: int) -> None:
-    """Overwrite this dataset's partition of every profile table."""
+def _absent(error: PySparkException) -> bool:
+    """Only "not there" and "not readable as Parquet" mean that there is no profile; all else is a failure."""
+    return str(error.getCondition() or "").startswith(ABSENT)
+
+
+def _folder(store: str, dataset_id: int) -> str:
+    return f"{store.rstrip('/')}/dataset_id={dataset_id}"
+
+
+def _records(spark: SparkSession, store: str, dataset_id: int) -> list:
+    """The committed saves of a dataset, the newest first."""
+    try:
+        return spark.read.schema(RECORD_SCHEMA).parquet(f"{_folder(store, dataset_id)}/manifest/*").orderBy(F.desc("version")).collect()
+    except PySparkException as error:
+        if _absent(error):
+            return []
+        raise
+
+
+def profile_record(spark: SparkSession, store: str, dataset_id: int) -> DataFrame:
+    """The registry row of the dataset's profile (path, size in MB with 6 decimals, date of the save); no row if there is none."""
+    return spark.createDataFrame(_records(spark, store, dataset_id)[:1], RECORD_SCHEMA)
+
+
+def save_profile(tables: dict[str, DataFrame], store: str, dataset_id: int) -> int:
+    """The version under which the tables are saved; it replaces the one before."""
+    spark, folder = tables["summary"].sparkSession, _folder(store, dataset_id)
+    known = _records(spark, store, dataset_id)
+    version = known[0].version + 1 if known else 1
+    path = f"{folder}/version={version}"
     for name in TABLES:
-        (tables[name].withColumn("dataset_id", F.lit(dataset_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("dataset_id").parquet(f"{store.rstrip('/')}/{name}"))
+        tables[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.sum("length")).first()[0]
+    row = (dataset_id, version, path, round((size or 0) / 1024 ** 2, 6), datetime.datetime.now())
+    # The commit: one file, and an error if another save took the version meanwhile.
+    spark.createDataFrame([row], RECORD_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{folder}/manifest/{version}")
+    for old in known[1:]:
+        delete_path(spark, f"{folder}/manifest/{old.version}")
+        delete_path(spark, old.path)
+    return version
 
 
 def load_profile(spark: SparkSession, store: str, dataset_id: int) -> dict[str, DataFrame] | None:
-    """The stored tables of one dataset, or None when any is missing or unreadable."""
-    out = {}
+    """The tables of the dataset's last committed save, or None when there is none or it is unreadable."""
+    known = _records(spark, store, dataset_id)
+    if not known:
+        return None
     try:
-        for name in TABLES:
-            df = (spark.read.parquet(f"{store.rstrip('/')}/{name}")
-                  .where(F.col("dataset_id") == dataset_id).drop("dataset_id"))
-            if df.isEmpty():
-                return None
-            out[name] = df
+        found = {name: spark.read.parquet(f"{known[0].path}/{name}") for name in TABLES}
+        return None if any(t.isEmpty() for t in found.values()) else found
     except PySparkException as error:
-        # Only "not there" and "not readable as Parquet" mean that there is no profile; all else is a failure.
-        if str(error.getCondition() or "").startswith(ABSENT):
+        if _absent(error):
             return None
         raise
-    return out
 
 
 def load_or_compute_profile(spark: SparkSession, store: str, dataset_id: int, df: DataFrame) -> dict[str, DataFrame]:
@@ -60,6 +93,22 @@ def load_or_compute_profile(spark: SparkSession, store: str, dataset_id: int, df
     return load_profile(spark, store, dataset_id)
 
 
+def stored_answer(spark: SparkSession, store: str, dataset_id: int, variable: str | None = None) -> DataFrame | None:
+    """The stored profile as one row: summary, variables, the detail of one variable, its name and the date of the save."""
+    tables = load_profile(spark, store, dataset_id)
+    if tables is None:
+        return None
+    # One row per profiled column: each side is a single row of a few numbers a column.
+    whole = [tables["summary"].select(F.struct("*").alias("summary")),
+             tables["variables"].agg(F.sort_array(F.collect_list(F.struct("ordinal", F.struct("*").alias("v")))).alias("v")).select(F.transform("v", lambda v: v["v"]).alias("variables")),
+             variable_detail(tables["details"], variable).select(F.struct("*").alias("detail"), F.col("variable").alias("selected")),
+             profile_record(spark, store, dataset_id).select("saved_at")]
+    out = whole[0]
+    for side in whole[1:]:
+        out = out.join(F.broadcast(side), F.lit(True))
+    return out
+
+
 def variable_detail(details: DataFrame, variable: str | None = None) -> DataFrame:
     """The requested variable's detail, else (also when unknown) the first variable's."""
     if variable:

@@ -199,6 +199,7 @@ def _rank_frame(spark, seed, n=400):
 @pytest.mark.parametrize("method", ["spearman", "kendall"])
 def test_rank_methods_on_odd_columns(spark, monkeypatch, method, seed, strip_rows):
     monkeypatch.setattr(rank_correlation, "STRIP_ROWS", strip_rows)
+    monkeypatch.setattr(rank_correlation, "RANGE_ROWS", strip_rows)
     df, rows = _rank_frame(spark, seed)
     names = df.columns
     pairs = corr.spearman_pairs(df, names) if method == "spearman" else corr.kendall_pairs(df, names)
@@ -218,6 +219,18 @@ def test_rank_methods_on_odd_columns(spark, monkeypatch, method, seed, strip_row
             assert got[i, j][1] == pytest.approx(want, abs=1e-9), (i, j)
 
 
+def test_more_classes_than_a_word_has_bits(spark):
+    """70 columns with a missing value each: the second word of presence bits counts too."""
+    rows = [tuple(None if k == c else float((k * (c + 3)) % 101) for c in range(70)) for k in range(101)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(70)))
+    got = {(r.i, r.j): (r.n, r.r) for r in corr.spearman_pairs(df, df.columns).collect()}
+    assert len(got) == 70 * 69 // 2
+    for i, j in ((0, 1), (3, 69), (61, 68)):
+        both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+        x, y = (_avg_ranks(np.array([p[s] for p in both])) for s in (0, 1))
+        assert got[i, j] == (99, pytest.approx(float(np.corrcoef(x, y)[0, 1])))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_inversions(seed):
     values = np.random.default_rng(seed).integers(0, [3, 50, 1000][seed], 300)

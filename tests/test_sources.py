@@ -8,13 +8,16 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.scalar import NUMERIC
 from colscope.operators.profile import profile
 from colscope.sources import records
 from colscope.sources.readers import SourceError, dedupe_headers, read_csv, read_table
-from colscope.sources.store import load_or_compute_profile, load_profile, profile_context, variable_detail
+from colscope.sources.store import (
+    load_or_compute_profile, load_profile, profile_context, profile_record, profile_tables, save_profile, stored_answer, variable_detail,
+)
 from colscope.sources.validation import ValidationError, validate_source
 
 
@@ -88,6 +91,27 @@ def test_store_roundtrip(spark, tmpdir_path):
     assert ctx["resumen"]["rows"] == 3 and set(ctx["detalles_variables"]) == {"v", "s"}
 
 
+def test_failed_save_leaves_the_old_profile(spark, tmpdir_path, monkeypatch):
+    store = os.path.join(tmpdir_path, "store")
+    old = profile_tables(profile(spark.createDataFrame([(1.0,), (2.0,)], "v double")))
+    new = profile_tables(profile(spark.createDataFrame([(1, "a")] * 5, "w int, s string")))
+    assert save_profile(old, store, 3) == 1
+    broken = dict(new, details=new["details"].select(F.raise_error(F.lit("disk full")).alias("x")))
+    with pytest.raises(Exception):
+        save_profile(broken, store, 3)
+    assert load_profile(spark, store, 3)["summary"].first()["rows"] == 2
+    assert [r["variable"] for r in load_profile(spark, store, 3)["variables"].collect()] == ["v"]
+    assert [save_profile(new, store, 3) for _ in range(3)] == [2, 3, 4]
+    assert load_profile(spark, store, 3)["summary"].first()["rows"] == 5
+    record = profile_record(spark, store, 3).collect()
+    assert len(record) == 1 and record[0].version == 4 and record[0].size_mb > 0 and record[0].path.endswith("version=4")
+    assert sorted(os.listdir(os.path.join(store, "dataset_id=3"))) == ["manifest", "version=3", "version=4"]
+    answer = stored_answer(spark, store, 3, "s").collect()
+    assert len(answer) == 1 and answer[0].summary.rows == 5 and answer[0].selected == "s" and answer[0].detail.variable == "s"
+    assert [v.variable for v in answer[0].variables] == ["w", "s"] and answer[0].saved_at == record[0].saved_at
+    assert stored_answer(spark, store, 4) is None and profile_record(spark, store, 4).collect() == []
+
+
 def _csv_file(folder, text):
     path = os.path.join(folder, "t.csv")
     with open(path, "w") as f:
