@@ -17,9 +17,11 @@ less above it; sets whose union is no larger than the sketch are treated exactly
    consist of such passages; a copy with many words of its own has none of the values of its like.
 4. In each list every member is compared with one member, its hub (the one whose values are the most
    common, then others), not with all others: the sketch of the union filters, the exact similarity of the
-   full sets decides.  Components are formed, and the next round only takes lists that are still in several.
-5. For the rest, members of different components in one list are compared in blocks inside the
-   tasks, which put out only pairs that pass the sketch filter; these are verified likewise.
+   full sets decides.  Components are formed, and the next round only takes lists that are still in several; rounds go on
+   while they join a fair share of what is open.
+5. For the rest, members of different components in one list are compared in blocks inside the tasks.  Pairs whose sketches
+   are their whole sets are decided there, so a block puts out only as many of them as connect its members; pairs of longer sets
+   that pass the sketch filter are verified likewise.
 
 Defined results: texts without words have an empty set and are linked with nothing; NULL text counts as
 empty; a NULL doc_id takes part, but names a component only if no member has an id; rows that repeat or share
@@ -45,14 +47,16 @@ from colscope.session import Scratch, reliable_checkpoint, settled
 SHORT, SKETCH, WIDE = 16, 64, 512
 #: Standard deviations that the overlap of a link may stay below its mean.
 DEVIATIONS = 5.5
-#: Rounds of hubs before the blocks.
-HUB_ROUNDS = 2
+#: Rounds of hubs before the blocks, at most, and the share of open documents that a round must join for another one to follow.
+HUB_ROUNDS, FAIR_SHARE = 16, 0.02
+#: Pairs of one hub that are verified in one group.
+HUB_PAIRS = 256
 #: Members of a list that one block holds.
 BLOCK = 256
 #: Values that a block compares at a time.
 _COLUMNS = 16_384
-#: A table of (row, few numbers) is broadcast up to this many rows: under 64 MB.
-BROADCAST_ROWS = 1_000_000
+#: A table of (row, few numbers) is broadcast up to this many rows: under 16 MB each.
+BROADCAST_ROWS = 250_000
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -169,28 +173,54 @@ def _similar(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n_pairs: int, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar; b is the side that stands in many pairs."""
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(_small(pairs, n_pairs), "a")
-    hubs = pairs.select(F.col("b").alias("row")).distinct()
-    right = texts.join(_small(hubs, n_pairs), "row", "left_semi").select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return (left.join(right, "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) whose full sets are similar; b is the side that stands in many pairs.
+
+    A text meets its hub's in groups of about ``HUB_PAIRS`` pairs, so a hub of countless documents is many groups.
+    """
+    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).alias("groups"))
+    dealt = pairs.join(_small(groups, n_pairs), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("group"))
+    left = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")).join(_small(dealt, n_pairs), "a")
+    hubs = groups.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
+    right = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")).join(_small(hubs, n_pairs), "b")
+    return (left.join(right, ["b", "group"]).select("a", "b", "text_a", "text_b")
             .mapInArrow(lambda it: _similar(it, width, percent), "a long, b long"))
 
 
-def _open_lists(lists: DataFrame, roots: DataFrame | None, n_roots: int) -> DataFrame:
+def _open_lists(lists: DataFrame, roots: DataFrame, n_roots: int) -> DataFrame:
     """(value, row, root) of lists in several components; of lists with the same members, one."""
-    if roots is None:
-        named = lists.withColumn("root", F.col("row"))
-    else:
-        named = lists.join(_small(roots, n_roots), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    named = lists.join(_small(roots, n_roots), "row")
     marks = named.groupBy("value").agg(F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("s"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(20,0)")).alias("t"),
                                        F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     one = marks.where("low < high").groupBy("s", "t", "n").agg(F.min("value").alias("value"), F.first("n").alias("members"))
     return named.join(one.select("value", "members"), "value")
 
 
+def _joined(roots: DataFrame, fresh: DataFrame, n_roots: int, tables: Scratch) -> DataFrame:
+    """(row, root) after the edges ``fresh``: components of components, then every row's."""
+    ends = [_small(roots.select(F.col("row").alias(s), F.col("root").alias(f"root_{s}")), n_roots) for s in ("a", "b")]
+    between = fresh.join(ends[0], "a").join(ends[1], "b").where("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    merged = connected_components(tables.keep(between)).select(F.col("row").alias("root"), F.col("root").alias("merged"))
+    return tables.keep(roots.join(_small(merged, n_roots), "root", "left").select("row", F.coalesce("merged", "root").alias("root")))
+
+
+def _spanning(pairs: np.ndarray, size: int) -> list[int]:
+    """Places of the pairs that connect something new when they are taken in turn."""
+    lead, taken = list(range(size)), []
+    for at, (a, b) in enumerate(pairs.tolist()):
+        while lead[a] != a:
+            lead[a] = lead[lead[a]]
+            a = lead[a]
+        while lead[b] != b:
+            lead[b] = lead[lead[b]]
+            b = lead[b]
+        if a != b:
+            lead[max(a, b)] = min(a, b)
+            taken.append(at)
+    return taken
+
+
 def _across(block: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block's two sides that lie in different components and pass the sketch filter."""
+    """Pairs of a block's two sides that connect its components, and pairs of long sets between components that pass the sketch filter."""
     side = block.column("side").to_numpy()
     rows, roots = (block.column(c).to_numpy() for c in ("row", "root"))
     sketches = [np.asarray(s) for s in block.column("sketch").to_pylist()]
@@ -210,10 +240,19 @@ def _across(block: pa.Table, percent: int) -> pa.Table:
         overlap += marks[left] @ marks[right].T
     sizes = np.array([len(s) for s in sketches], dtype=np.float32)
     union = sizes[left][:, None] + sizes[right][None, :] - overlap
-    hit = ((100 * overlap >= percent * union) | (union > WIDE)) & (roots[left][:, None] != roots[right][None, :])
+    apart = roots[left][:, None] != roots[right][None, :]
     if (side == 2).any():  # both sides are the same block: each pair once
-        hit &= rows[left][:, None] < rows[right][None, :]
-    found = [(int(rows[left[i]]), int(rows[right[j]])) for i, j in zip(*np.nonzero(hit)) if _passes(sketches[left[i]], sketches[right[j]], percent)]
+        apart &= rows[left][:, None] < rows[right][None, :]
+    short = sizes < WIDE
+    whole = short[left][:, None] & short[right][None, :]
+    # Whole sets decide a pair, so edges between components that are connected already are not needed.
+    sure = np.argwhere(apart & whole & (100 * overlap >= percent * union))
+    part = np.unique(roots, return_inverse=True)[1]
+    edges = np.stack([part[left[sure[:, 0]]], part[right[sure[:, 1]]]], axis=1)
+    found = [(left[sure[at, 0]], right[sure[at, 1]]) for at in _spanning(edges, len(rows))]
+    likely = np.argwhere(apart & ~whole & ((100 * overlap >= percent * union) | (union > WIDE)))
+    found += [(left[x], right[y]) for x, y in likely.tolist() if _passes(sketches[left[x]], sketches[right[y]], percent)]
+    found = [(int(rows[x]), int(rows[y])) for x, y in found]
     a, b = ([max(p) for p in found], [min(p) for p in found])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -235,8 +274,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tag"))
     similarity = percent / 100
-    sketched = reliable_checkpoint(rows.mapInArrow(lambda it: _sketches(it, width, similarity), _SKETCH_SCHEMA))
     with Scratch() as tables:
+        sketched = tables.keep(rows.mapInArrow(lambda it: _sketches(it, width, similarity), _SKETCH_SCHEMA))
         members = _members(sketched, tables)
         n_members = members.count()
         known = tables.keep(sketched.join(_small(members, n_members), "row").select("row", F.col("doc_id").alias("id"), F.col("tag").alias("mark")))
@@ -245,12 +284,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         texts = tables.keep(found.dropDuplicates(["row"]) if _repeats(sketched) else found)
         known = tables.keep(texts.mapInArrow(lambda it: _wide_sketches(it, width, similarity), "row long, sketch array<long>, least int"))
         lists = tables.keep(_candidate_lists(known))
-        edges, roots, n_roots = None, None, 0
-        for turn in range(HUB_ROUNDS + 1):
+        roots = tables.keep(known.select("row", F.col("row").alias("root")))
+        n_roots, turn = roots.count(), 0
+        while True:
             opened = tables.keep(_open_lists(lists, roots, n_roots))
-            if opened.isEmpty():
+            n_open = opened.select("row").distinct().count()
+            if not n_open:
                 break
-            if turn < HUB_ROUNDS:
+            hubs_go_on = turn < HUB_ROUNDS
+            if hubs_go_on:
                 order = F.struct(-F.col("weight") if turn == 0 else F.xxhash64("row", F.lit(turn)), F.col("row"), F.col("root"))
                 hubs = opened.groupBy("value").agg(F.min(order).alias("hub")).select("value", F.col("hub.row").alias("b"), F.col("hub.root").alias("hub_root"))
                 pairs = opened.join(hubs, "value").where(F.col("root") != F.col("hub_root")).select(F.col("row").alias("a"), "b").distinct()
@@ -261,11 +303,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 pairs = _block_pairs(opened, known, percent)
             pairs = tables.keep(pairs)
             fresh = tables.keep(_verified(pairs, texts, pairs.count(), width, percent))
-            edges = fresh if edges is None else edges.union(fresh)
-            if not fresh.isEmpty():
-                roots = connected_components(edges)
-                n_roots = roots.count()
-        return _named(sketched, roots)
+            n_fresh = fresh.count()
+            if n_fresh:
+                roots = _joined(roots, fresh, n_roots, tables)
+            if not hubs_go_on:
+                break
+            # The blocks follow when hubs find little more.
+            turn = turn + 1 if n_fresh > FAIR_SHARE * n_open else HUB_ROUNDS
+        return reliable_checkpoint(_named(sketched, roots))
 
 
 def _repeats(sketched: DataFrame) -> bool:
@@ -273,16 +318,13 @@ def _repeats(sketched: DataFrame) -> bool:
     return not sketched.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def _named(sketched: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _named(sketched: DataFrame, roots: DataFrame) -> DataFrame:
     """Components of representatives, spread to all members of their classes."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     slim = sketched.select("row", "doc_id", "tag", "n_shingles", F.coalesce("mark", F.encode(F.col("row").cast("string"), "utf-8")).alias("mark"))
     classes = slim.groupBy("mark").agg(first.alias("first"))
-    if roots is None:
-        joined = classes.select("mark", F.col("first.row").alias("root"), "first")
-    else:
-        joined = (classes.select("mark", "first", F.col("first.row").alias("row")).join(roots, "row", "left")
-                  .select("mark", F.coalesce("root", "row").alias("root"), "first"))
+    joined = (classes.select("mark", "first", F.col("first.row").alias("row")).join(roots, "row", "left")
+              .select("mark", F.coalesce("root", "row").alias("root"), "first"))
     names = joined.groupBy("root").agg(F.min("first").alias("name"))
     by_class = joined.join(names, "root").select("mark", F.col("name.doc_id").alias("component_id"), F.col("name.row").alias("leading"))
     return (slim.join(by_class, "mark")

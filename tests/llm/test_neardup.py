@@ -90,3 +90,27 @@ def test_one_row_of_each_component_stays(table, odd_rows):
 def test_least_overlap_is_exact_for_small_sets():
     assert [neardup.least_overlap(n, 64, 0.8) for n in (1, 5, 10, 50)] == [1, 4, 8, 40]
     assert all(neardup.least_overlap(n, 64, 0.8) <= -(-8 * n // 10) for n in range(1, 3000))
+
+
+def test_blocks_put_out_spanning_edges_only():
+    """20 copies in one block: 19 edges, not 190 pairs; already joined rows need none."""
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    base = rng.integers(-2**62, 2**62, 100)
+    sketches = [np.unique(np.r_[base, rng.integers(-2**62, 2**62, 3)]) for _ in range(20)]
+    rows = np.arange(20)
+
+    def block(roots):
+        return pa.table({"value": np.zeros(20, int), "row": rows, "root": roots, "side": np.full(20, 2), "sketch": pa.array([s.tolist() for s in sketches])})
+    found = neardup._across(block(rows), 80)
+    assert found.num_rows == 19 and neardup._across(block(np.zeros(20, int)), 80).num_rows == 0
+    assert neardup._across(block(rows // 10), 80).num_rows == 1
+
+
+def test_a_hub_of_many_documents_is_verified_in_groups(table, monkeypatch):
+    monkeypatch.setattr(neardup, "HUB_PAIRS", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    rng, base = random.Random(8), prose(63, 100)
+    rows = [(k, mutated(base, rng, 0.01)) for k in range(30)] + [(100 + k, prose(70 + k, 40)) for k in range(5)]
+    assert found(table(rows)) == brute(rows)
