@@ -700,7 +700,6 @@ def q_corr_significance(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------ balance, selection, charts
 
 from colscope.operators import balance as bal  # noqa: E402
-from colscope.operators import selection as sel  # noqa: E402
 
 
 #: Words of an outcome, as the rule states them; written out, not taken from the operator.
@@ -774,19 +773,6 @@ def q_balance_no_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return bal.balance_statement_frame(tb.load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
-@register("diverse_selection")
-def q_diverse_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only: the greedy walk is checked against a brute-force walk in tests."""
-    return sel.selection_frame(tb.lnc_all(spark, sf))
-
-
-@register("chart_data")
-def q_chart_data(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only (bin labels are display text); its counts are the A14/A17 queries."""
-    df = tb.ln(spark, sf)
-    return sel.chart_data(df, sel.select_diverse(df))
-
-
 # ------------------------------------------------------- paging, catalog (L1, X11)
 
 from colscope.operators.catalog import list_all_datasets, list_datasets  # noqa: E402
@@ -859,24 +845,6 @@ def q_owner_listing(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("uploaded_at", F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss"))
 
 
-# ------------------------------------------------------------- store, context
-
-from colscope.sources.store import profile_context, profile_tables  # noqa: E402
-
-
-@register("profile_details")
-def q_profile_details(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only: the full detail table (labelled statistics, histograms, top-5 shares)."""
-    return profile(tb.ln(spark, sf)).details_frame()
-
-
-@register("profile_json")
-def q_profile_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows-only: the compact JSON context of the lineitem profile (one row)."""
-    tables = profile_tables(profile(tb.ln(spark, sf)))
-    return profile_context(tables, {"id": 1, "name": "lineitem", "file_name": "lineitem.parquet"})
-
-
 # ------------------------------------------------------------ report tables
 
 from colscope.operators import report as rep  # noqa: E402
@@ -928,4 +896,4 @@ def q_owner_listing_all(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------ queries kept in modules of their own
 
-from colscope.plans import source_queries  # noqa: E402, F401
+from colscope.plans import detail_queries, source_queries  # noqa: E402, F401
