@@ -8,6 +8,7 @@ from colscope.functions.scalar import NUMERIC
 from colscope.operators import balance as bal
 from colscope.operators import selection as sel
 from colscope.operators.catalog import NotFound, get_dataset, list_datasets
+from colscope.operators import paging
 from colscope.operators.paging import page_rows
 from colscope.operators.profile import profile
 
@@ -115,6 +116,39 @@ def test_pages_of_equal_keys_do_not_overlap(spark):
     assert [k for k, _, _ in seen] == sorted((k for k, _, _ in rows), key=lambda k: -1 if k is None else k)
 
 
+@pytest.mark.parametrize("step, ties", [(3, 100_000), (40, 100_000), (7, 2)])
+def test_one_index_serves_all_pages(spark, monkeypatch, step, ties):
+    """NULLs, NaN, hot keys and repeated rows; the second page reads marks and ranks nothing."""
+    monkeypatch.setattr(paging, "STEP", step)
+    monkeypatch.setattr(paging, "MOST_TIES", ties)
+    rows = [(None if i % 10 == 0 else float("nan") if i % 11 == 0 else float(i % 3), f"s{i % 40}") for i in range(130)] + [(1.0, "same")] * 60
+    df = spark.createDataFrame(rows, "v double, s string")
+    index = paging.PageIndex(df, ["v"])
+    assert index.total == 190
+    seen = []
+    calls = []
+    ranks = paging.running_before
+    monkeypatch.setattr(paging, "running_before", lambda *a, **k: calls.append(a) or ranks(*a, **k))
+    for page in range(1, 9):
+        got, meta = page_rows(df.repartition(page), ["v"], page=page, size=25, index=index)
+        assert meta["total_pages"] == 8
+        seen += [(r.v, r.s) for r in got.collect()]
+    assert bool(calls) == (ties == 2)
+    assert sorted(map(str, seen)) == sorted(str((None if v is None or v != v else v, s)) for v, s in rows)
+    place = {None: 0, 0.0: 1, 1.0: 2, 2.0: 3}
+    shown = [place[v] for v, _ in seen]
+    nulls = sum(v is None for v, _ in rows)
+    assert shown[nulls:190 - sum(v is not None and v != v for v, _ in rows)] == sorted(shown[nulls:190 - sum(v is not None and v != v for v, _ in rows)])
+    index.drop()
+
+
+def test_page_with_its_dataset(spark):
+    df = spark.createDataFrame([(i,) for i in range(30)], "k long")
+    rows, answer = paging.dataset_page({"id": 4, "name": "n", "description": "d", "file_name": None, "path": "/x/ventas.csv"}, df, ["k"], page=2)
+    assert (answer["id"], answer["name"], answer["file_name"], answer["format"], answer["current_page"]) == (4, "n", "ventas.csv", "CSV", 2)
+    assert [r.k for r in rows.collect()] == [25, 26, 27, 28, 29]
+
+
 def test_paging(spark):
     df = spark.createDataFrame([(i, f"r{i}") for i in range(26)], "k long, s string")
     rows, meta = page_rows(df, ["k"], page=9, size=25)
