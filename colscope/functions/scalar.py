@@ -79,6 +79,19 @@ def safe_name(c: Column) -> Column:
     return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("dataset"))
 
 
+def folder_name(c: Column) -> Column:
+    """F8, folder of an owner: lower case, runs outside ``[a-zA-Z0-9._-]`` become ``_``; fallback ``usuario_sin_identificador``."""
+    cleaned = F.regexp_replace(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), r"[^a-zA-Z0-9._-]+", "_")
+    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("usuario_sin_identificador"))
+
+
+def file_name(c: Column, lower: bool = False) -> Column:
+    """F8, file of a dataset (``lower``: its folder): as ``folder_name``, without ``.``, ``_`` and ``-`` at the ends; fallback ``dataset``."""
+    text = F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")) if lower else c
+    cleaned = F.regexp_replace(F.regexp_replace(text, r"[^a-zA-Z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
+    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("dataset"))
+
+
 def format_label(c: Column) -> Column:
     """file extension without the dot, upper case (empty when none)."""
     return F.upper(F.regexp_extract(c, r"\.([^./]+)$", 1))

@@ -17,6 +17,10 @@ from colscope.operators.ranks import running_before
 AVAILABLE = "Disponible"
 
 
+#: Fixed value: address of a dataset's report.
+REPORT_URL = "/resumen/datasets/%s/pdf"
+
+
 class NotFound(LookupError):
     pass
 
@@ -48,6 +52,8 @@ def list_datasets(catalog: DataFrame, owner_id, reports: DataFrame | None = None
             "report_available", F.coalesce(F.col("report_available"), F.lit(False)))
     else:
         out = out.withColumn("report_available", F.lit(False))
+    # The report's address is there when the report is.
+    out = out.withColumn("report_url", F.when(F.col("report_available"), F.format_string(REPORT_URL, F.col("id").cast("string"))))
     return out.orderBy(F.col("uploaded_at").desc(), F.col("id").desc())
 
 

@@ -199,7 +199,9 @@ def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
             exprs.append(F.count_if(null_or_nan(c, v.dtype)).alias(f"nulls{i}"))
             if is_numeric_type(v.dtype):
                 d = finite_double(c, v.dtype)
-                exprs += [F.min(d).alias(f"min{i}"), F.max(d).alias(f"max{i}"), F.avg(d).alias(f"avg{i}"),
+                # Whole numbers beyond 2^53 keep all their digits.
+                ends = c if _is_integral(v.dtype) else d
+                exprs += [F.min(ends).alias(f"min{i}"), F.max(ends).alias(f"max{i}"), F.avg(d).alias(f"avg{i}"),
                           F.stddev_samp(d).alias(f"std{i}"), F.count(d).alias(f"nnum{i}")]
         r = df.agg(*exprs).first()
         rows = r["__rows"]
@@ -310,7 +312,7 @@ def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile], with_h
         if f is not None:
             fence[v.name] = f
         if with_histograms and v.minimum is not None and v.n_numeric:
-            specs[v.name] = right_closed_edges(v.minimum, v.maximum, v.distinct)
+            specs[v.name] = right_closed_edges(float(v.minimum), float(v.maximum), v.distinct)
     names = [v.name for v in numeric]
     got = binned_counts(counts.select("vi", "v", "cnt"), names, specs, True, fence, weight="cnt")
     for v in numeric:

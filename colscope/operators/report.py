@@ -6,10 +6,11 @@ profiled table), so they cost nothing beyond the profile.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colscope.functions.scalar import safe_name
+from colscope.sources.store import load_profile
 
 # Indicator labels in display order, the missing-outliers mark
 # and the download name prefix.
@@ -21,9 +22,14 @@ INDICATORS = [
     ("outliers", "Atípicos"),
 ]
 NO_OUTLIERS = "N/A"
+PROFILE_REQUIRED = "El dataset debe tener un perfilado de datos válido antes de generar el resumen ejecutivo"
 REPORT_PREFIX = "resumen_ejecutivo_"
 
 
+class ProfileRequired(LookupError):
+    pass
+
+
 def indicators(summary: DataFrame) -> DataFrame:
     """Headline indicators as (position, label, value) text rows; completeness as ``x%``."""
     cells = []
@@ -41,6 +47,14 @@ def appendix(variables: DataFrame) -> DataFrame:
     )
 
 
+def report_tables(spark: SparkSession, store: str, dataset_id: int) -> dict[str, DataFrame]:
+    """Indicators and appendix of a stored profile; without a valid one the report is refused."""
+    found = load_profile(spark, store, dataset_id)
+    if found is None:
+        raise ProfileRequired(PROFILE_REQUIRED)
+    return {"indicators": indicators(found["summary"]), "appendix": appendix(found["variables"])}
+
+
 def download_names(catalog: DataFrame) -> DataFrame:
     """(id, report_file): ``resumen_ejecutivo_<safe name>.pdf`` per dataset."""
     return catalog.select("id", F.concat(F.lit(REPORT_PREFIX), safe_name(F.col("name")), F.lit(".pdf")).alias("report_file"))

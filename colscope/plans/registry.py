@@ -836,7 +836,8 @@ mine AS (SELECT *, coalesce(nullif(file_name, ''), string_split(path, '/')[-1])
 SELECT id, name, description, shown AS file_name, size_bytes,
        strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') AS uploaded_at,
        upper(regexp_extract(shown, '\\.([^./]+)$', 1)) AS format, 'Disponible' AS state,
-       id IN (SELECT id FROM cat WHERE status = 'P') AS report_available
+       id IN (SELECT id FROM cat WHERE status = 'P') AS report_available,
+       CASE WHEN id IN (SELECT id FROM cat WHERE status = 'P') THEN '/resumen/datasets/' || id::VARCHAR || '/pdf' END AS report_url
 FROM mine""")
 def q_owner_listing(spark: SparkSession, sf: str) -> DataFrame:
     cat = orders_catalog(spark, sf)
@@ -873,6 +874,23 @@ def q_report_file_names(spark: SparkSession, sf: str) -> DataFrame:
     return rep.download_names(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")))
 
 
+@register("safe_names", r"""WITH raw AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '  Año 2024/ventas.csv ' WHEN 1 THEN '..' WHEN 2 THEN o_orderpriority
+    WHEN 3 THEN 'Ana.Ruiz+' || o_custkey::VARCHAR || '@correo.es' ELSE '_' || o_orderstatus || '-.' END AS raw FROM orders),
+t AS (SELECT id, raw, lower(regexp_replace(raw, '^\s+|\s+$', '', 'g')) AS low FROM raw)
+SELECT id, coalesce(nullif(regexp_replace(low, '[^a-zA-Z0-9._-]+', '_', 'g'), ''), 'usuario_sin_identificador') AS owner_folder,
+  coalesce(nullif(regexp_replace(regexp_replace(low, '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'dataset') AS dataset_folder,
+  coalesce(nullif(regexp_replace(regexp_replace(raw, '[^a-zA-Z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'dataset') AS dataset_file FROM t""")
+def q_safe_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Folder and file names made safe, from names derived from all orders."""
+    from colscope.functions.scalar import file_name, folder_name
+    key = F.col("o_orderkey")
+    raw = (F.when(key % 5 == 0, "  Año 2024/ventas.csv ").when(key % 5 == 1, "..").when(key % 5 == 2, F.col("o_orderpriority"))
+           .when(key % 5 == 3, F.concat(F.lit("Ana.Ruiz+"), F.col("o_custkey").cast("string"), F.lit("@correo.es")))
+           .otherwise(F.concat(F.lit("_"), F.col("o_orderstatus"), F.lit("-."))))
+    return tb.load(spark, sf, "orders").select(key.alias("id"), folder_name(raw).alias("owner_folder"), file_name(raw, lower=True).alias("dataset_folder"),
+                                               file_name(raw).alias("dataset_file"))
+
+
 @register("owner_listing_all", """WITH cat AS (
   SELECT o_orderkey AS id, o_custkey AS owner_id,
          CASE WHEN o_orderstatus = 'F' THEN 'ventas ' || CAST(o_orderkey AS VARCHAR) || '.csv' END AS file_name,

@@ -108,3 +108,9 @@ def test_number_format_column(spark):
     from colscope.functions.scalar import format_number_es
     df = spark.createDataFrame([(1234567.891,), (None,)], "x double")
     assert [r[0] for r in df.select(format_number_es(df["x"])).collect()] == ["1.234.567,89", "N/D"]
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([(2**53 + 1, -(2**62) - 1), (5, 7)], "a long, b long")
+    shown = {r.variable: dict((s.label, s.value) for s in r.stats) for r in profile(df).details_frame().collect()}
+    assert shown["a"]["Máximo"] == "9007199254740993" and shown["b"]["Mínimo"] == str(-(2**62) - 1)

@@ -220,3 +220,13 @@ def test_all_owners_listing_positions(spark):
         want = sorted((r for r in rows if r[7] == owner), key=lambda r: (r[6], r[0]), reverse=True)
         assert [r["id"] for r in mine] == [r[0] for r in want]
         assert [r["position"] for r in mine] == list(range(1, len(want) + 1))
+
+
+def test_report_needs_a_profile(spark, tmpdir_path):
+    from colscope.operators import report as rep
+    from colscope.sources.store import load_or_compute_profile
+    with pytest.raises(rep.ProfileRequired):
+        rep.report_tables(spark, tmpdir_path, 1)
+    load_or_compute_profile(spark, tmpdir_path, 1, spark.createDataFrame([(2.0,), (None,)], "v double"))
+    tables = rep.report_tables(spark, tmpdir_path, 1)
+    assert [r.value for r in tables["indicators"].collect()][:2] == ["2", "1"] and tables["appendix"].first().nulls == 1
