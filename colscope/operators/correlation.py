@@ -4,7 +4,8 @@ Matrix plans, all pairwise-complete like pandas ``DataFrame.corr``:
 
 * Pearson: one pass; each task reduces its Arrow batches to k x k co-moment
   matrices (matrix products with null masks), the k(k+1)/2 rows per task are
-  merged per pair with the parallel-variance formulas in a small aggregate.
+  merged per pair with the parallel-variance formulas in two levels; the same pass carries
+  the listwise moments and the null counts.
 * Spearman and Kendall tau-b: ``rank_correlation``.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +77,12 @@ def _clamp(r):
     return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
 
 
-_MOMENTS_SCHEMA = (
-    "i int, j int, n long, bad long, mx double, my double, m2x double, m2y double, cxy double, "
-    "lox double, hix double, loy double, hiy double"
-)
+#: Pairwise moments come from the rows where both columns are there, listwise ones from the rows where all are.
+PAIRWISE, LISTWISE = 0, 1
+_MOMENTS = ["n", "bad", "mx", "my", "m2x", "m2y", "cxy", "lox", "hix", "loy", "hiy"]
+_MOMENTS_SCHEMA = "kind int, part int, i int, j int, " + ", ".join(f"{m} double" for m in _MOMENTS)
+#: Groups of tasks whose moments are combined before all are.
+_FIRST_LEVEL = 64
 
 
 def _batch_moments(x: np.ndarray):
@@ -110,74 +114,67 @@ def _batch_moments(x: np.ndarray):
     return n, mean_x + shift[:, None], np.maximum(m2x, 0.0), cxy, lo, hi, bad
 
 
-def _merge(a, b):
-    """Parallel combination of two moment sets (Chan et al.), elementwise over pairs."""
-    na, mxa, m2a, ca, loa, hia, bada = a
-    nb, mxb, m2b, cb, lob, hib, badb = b
-    n = na + nb
-    with np.errstate(invalid="ignore", divide="ignore"):
-        wa = np.where(n > 0, na / n, 0.0)
-        wb = np.where(n > 0, nb / n, 0.0)
-        mxa0, mxb0 = np.nan_to_num(mxa), np.nan_to_num(mxb)
-        mean = mxa0 * wa + mxb0 * wb
-        d = mxb0 - mxa0                          # of column i (rows with j present)
-        m2 = np.nan_to_num(m2a) + np.nan_to_num(m2b) + d * d * na * wb
-        c = np.nan_to_num(ca) + np.nan_to_num(cb) + d * d.T * na * wb
-    return n, np.where(n > 0, mean, np.nan), m2, c, np.minimum(loa, lob), np.maximum(hia, hib), bada + badb
+def _moment_rows(kind: int, part: int, x: np.ndarray) -> pd.DataFrame:
+    """Moments of all pairs i <= j over the rows of one batch."""
+    n, mean, m2, c, lo, hi, bad = _batch_moments(x)
+    mean, m2, c = (np.where(n > 0, values, 0.0) for values in (mean, m2, c))
+    i, j = np.triu_indices(x.shape[1])
+    columns = (n[i, j], bad[i, j], mean[i, j], mean[j, i], m2[i, j], m2[j, i], c[i, j], lo[i, j], hi[i, j], lo[j, i], hi[j, i])
+    return pd.DataFrame({"kind": np.full(len(i), kind, np.int32), "part": np.full(len(i), part, np.int32), "i": i.astype(np.int32), "j": j.astype(np.int32),
+                         **dict(zip(_MOMENTS, columns))})
+
+
+def _combined(rows: pd.DataFrame) -> pd.DataFrame:
+    """Moments of (kind, part, i, j) groups taken together: the parallel-variance formulas for any number of sets at once."""
+    keys = ["kind", "part", "i", "j"]
+    n = rows["n"].to_numpy()
+    weighted = rows[keys].assign(n=n, bad=rows["bad"], mx=n * rows["mx"], my=n * rows["my"]).groupby(keys, sort=False, as_index=False).sum()
+    total = np.maximum(weighted["n"].to_numpy(), 1.0)
+    weighted["mx"], weighted["my"] = weighted["mx"] / total, weighted["my"] / total
+    own = rows[keys].merge(weighted[[*keys, "mx", "my"]], on=keys)
+    dx, dy = rows["mx"].to_numpy() - own["mx"].to_numpy(), rows["my"].to_numpy() - own["my"].to_numpy()
+    centred = rows.assign(m2x=rows["m2x"] + n * dx * dx, m2y=rows["m2y"] + n * dy * dy, cxy=rows["cxy"] + n * dx * dy)
+    rest = centred.groupby(keys, sort=False, as_index=False).agg({"m2x": "sum", "m2y": "sum", "cxy": "sum", "lox": "min", "hix": "max", "loy": "min", "hiy": "max"})
+    return weighted.merge(rest, on=keys)[[*keys, *_MOMENTS]]
 
 
-def _moments_of_partition(k: int):
+def _moments_of_partition(listwise: bool):
     def run(batches):
-        acc = None
+        part = TaskContext.get().partitionId()
+        kept = None
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            cur = _batch_moments(pdf.to_numpy(dtype=np.float64, na_value=np.nan))
-            acc = cur if acc is None else _merge(acc, cur)
-        if acc is None:
-            return
-        n, mean, m2, c, lo, hi, bad = acc
-        mean, m2, c = (np.where(n > 0, part, 0.0) for part in (mean, m2, c))
-        iu, ju = np.triu_indices(k)
-        keep = (n[iu, ju] > 0) | (bad[iu, ju] > 0)
-        iu, ju = iu[keep], ju[keep]
-        yield pd.DataFrame({
-            "i": iu.astype(np.int32), "j": ju.astype(np.int32), "n": n[iu, ju].astype(np.int64),
-            "bad": bad[iu, ju].astype(np.int64),
-            "mx": mean[iu, ju], "my": mean[ju, iu], "m2x": m2[iu, ju], "m2y": m2[ju, iu], "cxy": c[iu, ju],
-            "lox": lo[iu, ju], "hix": hi[iu, ju], "loy": lo[ju, iu], "hiy": hi[ju, iu],
-        })
+            x = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            sets = [_moment_rows(PAIRWISE, part, x)]
+            complete = x[~np.isnan(x).any(axis=1)]
+            if listwise and len(complete):
+                sets.append(_moment_rows(LISTWISE, part, complete))
+            kept = _combined(pd.concat([*sets, *([] if kept is None else [kept])], ignore_index=True))
+        if kept is not None:
+            yield kept
     return run
 
 
-def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
-    """(i, j, n, r) for i <= j, pairwise-complete; r null for a constant side, an infinite value or < 2 rows.
+def moments(num: DataFrame, cols: list[str], listwise: bool = False) -> DataFrame:
+    """(kind, i, j, n, r) for i <= j from one scan; r null for a constant side, an infinite value or < 2 rows.
 
-    Each task turns its Arrow batches into k x k co-moment matrices with a few
-    matrix products (null masks included) and emits k(k+1)/2 rows; the rows of
-    all tasks are merged per pair with the parallel-variance formulas in one
-    small grouped aggregate.  No per-row explode, no per-row Python.
+    Each task turns its Arrow batches into k x k co-moment matrices with a few matrix products (null masks included) and
+    puts out one set of k(k+1)/2 rows; the sets are combined in 64 groups of tasks, then to one.  No per-row explode, no
+    per-row Python, no window.
     """
-    k = len(cols)
-    parts = num.select(*[col(c) for c in cols]).mapInPandas(_moments_of_partition(k), _MOMENTS_SCHEMA)
-    w = Window.partitionBy("i", "j")
-    total = F.sum("n").over(w)
-    mx_all = F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("mx")).over(w), total), F.lit(0.0))
-    my_all = F.coalesce(F.try_divide(F.sum(F.col("n") * F.col("my")).over(w), total), F.lit(0.0))
-    centred = parts.select(
-        "i", "j", "n", "bad", "m2x", "m2y", "cxy", "lox", "hix", "loy", "hiy",
-        (F.col("mx") - mx_all).alias("dx"), (F.col("my") - my_all).alias("dy"))
-    m = centred.groupBy("i", "j").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"),
-        F.sum(F.col("m2x") + F.col("n") * F.col("dx") * F.col("dx")).alias("sxx"),
-        F.sum(F.col("m2y") + F.col("n") * F.col("dy") * F.col("dy")).alias("syy"),
-        F.sum(F.col("cxy") + F.col("n") * F.col("dx") * F.col("dy")).alias("sxy"),
-        F.min("lox").alias("lox"), F.max("hix").alias("hix"),
-        F.min("loy").alias("loy"), F.max("hiy").alias("hiy"),
-    )
-    spread = (F.col("bad") == 0) & (F.col("hix") > F.col("lox")) & (F.col("hiy") > F.col("loy")) & (F.col("sxx") > 0) & (F.col("syy") > 0)
-    r = F.when(spread, F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    return m.select("i", "j", (F.col("n") + F.col("bad")).alias("n"), _clamp(r).alias("r"))
+    parts = num.select(*[col(c) for c in cols]).mapInPandas(_moments_of_partition(listwise), _MOMENTS_SCHEMA)
+    for level in (F.pmod("part", F.lit(_FIRST_LEVEL)), F.lit(0)):
+        parts = parts.withColumn("part", level.cast("int")).groupBy("part").applyInPandas(_combined, _MOMENTS_SCHEMA)
+    spread = (F.col("bad") == 0) & (F.col("hix") > F.col("lox")) & (F.col("hiy") > F.col("loy")) & (F.col("m2x") > 0) & (F.col("m2y") > 0)
+    r = F.when(spread, F.col("cxy") / F.sqrt(F.col("m2x") * F.col("m2y")))
+    seen = (F.col("n") + F.col("bad")).cast("long")
+    return parts.where(seen > 0).select("kind", "i", "j", seen.alias("n"), _clamp(r).alias("r"))
+
+
+def pearson_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, j, n, r) for i <= j, pairwise-complete."""
+    return moments(num, cols).select("i", "j", "n", "r")
 
 
 def spearman_pairs(num: DataFrame, cols: list[str]) -> DataFrame:
@@ -268,13 +265,17 @@ def key_variables(strong: DataFrame) -> DataFrame:
     return counted.select("variable", "count", F.row_number().over(w).cast("int").alias("position"))
 
 
-def significance(num: DataFrame, cols: list[str], decimals: int = 4) -> DataFrame:
-    """Two-sided Pearson p-values on listwise-complete rows, all k^2 cells, diagonal 0.0."""
-    complete = num.na.drop("any", subset=cols)
+def significance(num: DataFrame, cols: list[str], decimals: int = 4, listwise: DataFrame | None = None) -> DataFrame:
+    """Two-sided Pearson p-values on listwise-complete rows, all k^2 cells, diagonal 0.0.
+
+    ``listwise``: (i, j, n, r) of the complete rows, if a scan has them already.
+    """
     k = len(cols)
+    if listwise is None:
+        listwise = moments(num, cols, listwise=True).where(F.col("kind") == LISTWISE)
     grid = num.sparkSession.createDataFrame([(i, j) for i in range(k) for j in range(i + 1, k)], "i int, j int")
     # Pairs without a coefficient have a cell too, a NULL one.
-    pairs = grid.join(pearson_pairs(complete, cols).select(F.col("i").cast("int"), F.col("j").cast("int"), "n", "r"), ["i", "j"], "left")
+    pairs = grid.join(listwise.select(F.col("i").cast("int"), F.col("j").cast("int"), "n", "r"), ["i", "j"], "left")
     p = pairs.select("i", "j", F.round(pearson_pvalue_udf("r", "n"), decimals).alias("p_value"))
     both = p.unionByName(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "p_value"))
     diag = num.sparkSession.range(len(cols)).select(
@@ -292,19 +293,30 @@ def omission_notice(missing: dict[str, int], strategy: str) -> str:
 
 
 def correlation_report(df: DataFrame, strategy: str = "ignorar", method: str = "pearson") -> dict:
-    """Numeric selection -> null counts -> strategy -> matrix -> p-values -> views.
+    """Numeric selection -> strategy -> matrix, p-values and null counts from one scan -> views.
 
-    The pair table (k^2 rows) is materialised once and feeds every view.
+    The pair tables (k^2 rows) feed every view; the row count comes from the table's metadata where the source has it.
     """
     if strategy not in STRATEGIES:
         raise CorrelationError(f"Estrategia de nulos desconocida: {strategy}. Opciones: {STRATEGIES}")
     if method not in METHODS:
         matrix_pairs(df, [], method)
     cols = select_numeric(df)
-    missing = missing_counts(df, cols)
-    ready = apply_null_strategy(df, cols, strategy)
-    pairs = df.sparkSession.createDataFrame(matrix_pairs(ready, cols, method).collect(),
-                                            "i int, j int, n long, r double")
+    spark, ready = df.sparkSession, apply_null_strategy(df, cols, strategy)
+    schema = "i int, j int, n long, r double"
+    # One scan has the pairwise and the listwise coefficients and, as the rows where a column meets itself, the null counts.
+    found = moments(ready, cols, listwise=True).collect()
+    listwise = spark.createDataFrame([(f.i, f.j, f.n, f.r) for f in found if f.kind == LISTWISE], schema)
+    if strategy == "ignorar":
+        present = {f.i: f.n for f in found if f.kind == PAIRWISE and f.i == f.j}
+        total = df.count()
+        missing = {c: total - present.get(i, 0) for i, c in enumerate(cols)}
+    else:
+        missing = missing_counts(df, cols)
+    if method == "pearson":
+        pairs = spark.createDataFrame([(f.i, f.j, f.n, f.r) for f in found if f.kind == PAIRWISE], schema)
+    else:
+        pairs = spark.createDataFrame(matrix_pairs(ready, cols, method).collect(), schema)
     strong = strong_pairs(pairs, cols)
     return {
         "configuration": {"estrategia_nulos": strategy, "metodo": method},
@@ -312,5 +324,5 @@ def correlation_report(df: DataFrame, strategy: str = "ignorar", method: str = "
         "heatmap": heatmap_cells(pairs, cols),
         "strong_pairs": strong,
         "key_variables": key_variables(strong),
-        "significance": significance(ready, cols),
+        "significance": significance(ready, cols, listwise=listwise),
     }

@@ -54,7 +54,7 @@ class PageIndex:
         self._tables = Scratch()
         with Scratch() as tables:
             counted = df.select(self._key().alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-            placed = tables.keep(running_before(counted, [], "_key", "_n", out="_pos"))
+            placed = tables.keep(running_before(counted, [], "_key", "_n", out="_pos", tables=tables))
             self.total = placed.agg(F.sum("_n")).first()[0] or 0
             self.marks = self._tables.keep(placed.where(F.ceil(F.col("_pos") / STEP) * STEP < F.col("_pos") + F.col("_n")))
 
@@ -98,7 +98,7 @@ class PageIndex:
             # Countless rows share the page's keys: their hashes are ranked, too, and only the page's rows stay.
             with Scratch() as tables:
                 counted = held.select(F.struct("_key", "_hash").alias("_order")).groupBy("_order").agg(F.count(F.lit(1)).alias("_n"))
-                placed = tables.keep(running_before(counted, [], "_order", "_n", out="_pos"))
+                placed = tables.keep(running_before(counted, [], "_order", "_n", out="_pos", tables=tables))
                 ends = placed.where((F.col("_pos") < skip + size) & (F.col("_pos") + F.col("_n") > skip)).agg(
                     F.min(F.struct("_order", "_pos")).alias("first"), F.max("_order").alias("last")).first()
             first, last = ends["first"]["_order"], ends["last"]

@@ -1,14 +1,11 @@
 """Column profile in a fixed number of passes.
 
 pass 1  wide aggregates per batch of 16 columns: rows, nulls, min/max/mean/std
-        (text columns are typed from their distinct values in pass 3, X1)
-pass 2  one value-count table of all numeric columns (distributed ranks):
-        exact quartiles, distinct counts and top-5 values in one query
-pass 3  value frequencies of the other columns: distinct counts, mode, top-5
-        counts and shares, date sniffing on distinct text values
-pass 4  IQR outlier counts and, for the details, histogram bins, read off the
-        materialised count table of pass 2 (no second scan of the data);
-        fences and edges are literals
+pass 2  without details: exact quartiles from sketched brackets; with details one value-count table
+        of all numeric columns (distributed ranks): exact quartiles, distinct counts and top-5 values
+pass 3  parse counts of text columns (X1); for the details value frequencies of the other columns by hash
+pass 4  IQR outlier counts as one aggregate; for the details read off the materialised count table of pass 2, with the
+        histogram bins; fences and edges are literals
 
 Each pass returns a few numbers per column; the profile tables are built from
 those (their size is bounded by the number of columns, not rows).
@@ -16,6 +13,7 @@ those (their size is bounded by the number of columns, not rows).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -30,8 +28,9 @@ from colscope.operators.distributions import (
     binned_counts, interval_labels, right_closed_edges,
 )
 from colscope.operators.frequencies import frequency_summary
-from colscope.operators.ranks import range_tag, running_before_tagged
+from colscope.operators.ranks import range_tag, running_before, running_before_tagged
 from colscope.operators.semtypes import kind_of, parse_counts
+from colscope.session import Scratch
 
 QUARTILES = [0.25, 0.5, 0.75]
 IQR_FACTOR = 1.5
@@ -218,7 +217,7 @@ def _pass1(df: DataFrame, vars_: list[VariableProfile]) -> int:
     return rows
 
 
-def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool) -> DataFrame | None:
+def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], tables: Scratch) -> DataFrame | None:
     """Pass 2: one value-count table of all numeric columns feeds, in one query,
     the exact quartiles, the distinct counts and the top-5 values.
 
@@ -228,7 +227,7 @@ def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool)
     """
     if not numeric:
         return
-    text = [as_text(col(v.name), v.dtype) if details else F.lit(None).cast("string") for v in numeric]
+    text = [as_text(col(v.name), v.dtype) for v in numeric]
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("vi"), finite_double(col(v.name), v.dtype).alias("v"), text[i].alias("t"))
         for i, v in enumerate(numeric)
@@ -236,7 +235,7 @@ def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool)
     # the text form (needed only for the top-5 table) is a grouping key, not an
     # aggregate: hash aggregation stays available, 64-bit integers keep exact text
     counts = long.groupBy("vi", "v", "t").agg(F.count(F.lit(1)).alias("cnt"))
-    tagged = range_tag(counts, ["vi"], "v")
+    tagged = range_tag(counts, ["vi"], "v", tables=tables)
     ranked = running_before_tagged(tagged, ["vi"], "v", "cnt", total="n")
     pos = F.col("n") - 1
     targets = F.array(*[
@@ -253,16 +252,15 @@ def _numeric_pass(df: DataFrame, numeric: list[VariableProfile], details: bool)
         F.when(in_lo, F.col("v")).alias("a"), F.when(in_hi, F.col("v")).alias("b"),
         F.col("t.f").alias("f"), F.lit(None).cast("string").alias("value"), F.col("cnt"))
     parts = [hits]
-    if details:
-        w = Window.partitionBy("vi").orderBy(F.col("cnt").desc(), F.col("t").asc())
-        parts.append(tagged.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= TOP_K).select(
-            F.lit(2).alias("kind"), "vi", "pos", F.lit(None).cast("double").alias("a"),
-            F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
-            F.col("t").alias("value"), "cnt"))
-        parts.append(tagged.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
-            F.lit(3).alias("kind"), "vi", F.lit(0).alias("pos"), F.lit(None).cast("double").alias("a"),
-            F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
-            F.lit(None).cast("string").alias("value"), "cnt"))
+    w = Window.partitionBy("vi").orderBy(F.col("cnt").desc(), F.col("t").asc())
+    parts.append(tagged.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= TOP_K).select(
+        F.lit(2).alias("kind"), "vi", "pos", F.lit(None).cast("double").alias("a"),
+        F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
+        F.col("t").alias("value"), "cnt"))
+    parts.append(tagged.groupBy("vi").agg(F.count(F.lit(1)).alias("cnt")).select(
+        F.lit(3).alias("kind"), "vi", F.lit(0).alias("pos"), F.lit(None).cast("double").alias("a"),
+        F.lit(None).cast("double").alias("b"), F.lit(None).cast("double").alias("f"),
+        F.lit(None).cast("string").alias("value"), "cnt"))
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -302,7 +300,7 @@ def fences(q1: float, q3: float) -> tuple[float, float] | None:
     return q1 - IQR_FACTOR * iqr, q3 + IQR_FACTOR * iqr
 
 
-def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile], with_histograms: bool) -> None:
+def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile]) -> None:
     """Outliers (A8) and histograms (A13) from the materialised value-count table
     of pass 2: work proportional to distinct values, no second scan of the data."""
     specs, fence = {}, {}
@@ -311,7 +309,7 @@ def _pass4_from_counts(counts: DataFrame, numeric: list[VariableProfile], with_h
         f = fences(q1, q3) if q1 is not None else None
         if f is not None:
             fence[v.name] = f
-        if with_histograms and v.minimum is not None and v.n_numeric:
+        if v.minimum is not None and v.n_numeric:
             specs[v.name] = right_closed_edges(float(v.minimum), float(v.maximum), v.distinct)
     names = [v.name for v in numeric]
     got = binned_counts(counts.select("vi", "v", "cnt"), names, specs, True, fence, weight="cnt")
@@ -347,6 +345,75 @@ def _approx_quartiles(df: DataFrame, numeric: list[VariableProfile], accuracy: i
         v.quartiles = tuple(got[i]) if got.get(i) else (None, None, None)
 
 
+#: Accuracy of the sketches that give the brackets, and the share of the rows by which a bracket goes beyond a quartile on each side.
+_SKETCH_ACCURACY, _MARGIN = 10_000, 0.0004
+
+
+def _bracket_quartiles(df: DataFrame, numeric: list[VariableProfile]) -> None:
+    """Exact quartiles (A6) without a shuffle of all distinct values.
+
+    Sketches give a bracket of values round every quartile; one scan counts the rows below each bracket and the values inside it,
+    and the quartile's neighbours are picked by running counts over these few values.  Counts prove that a bracket holds
+    them; one that does not (none is known) gives way to the column's whole range.
+    """
+    present = [v for v in numeric if v.n_numeric]
+    values = df.select(*(finite_double(col(v.name), v.dtype).alias(f"v{v.ordinal}") for v in present))
+    shares = [min(1.0, max(0.0, p + d)) for p in QUARTILES for d in (-_MARGIN, _MARGIN)]
+    bounds = {}
+    for start in range(0, len(present), BATCH):
+        chunk = present[start:start + BATCH]
+        row = values.agg(*(F.percentile_approx(f"v{v.ordinal}", shares, _SKETCH_ACCURACY) for v in chunk)).first()
+        for v, cut in zip(chunk, row):
+            for q in range(len(QUARTILES)):
+                bounds[v.ordinal, q] = (cut[2 * q], cut[2 * q + 1])
+    for _ in range(2):
+        bounds = _picked(values, present, bounds) if bounds else {}
+    if bounds:
+        raise AssertionError(f"no quartile within the whole range of columns {sorted({i for i, _ in bounds})}")
+
+
+def _picked(values: DataFrame, present: list[VariableProfile], bounds: dict) -> dict:
+    """Sets the quartiles whose neighbours lie inside their bounds; the others with the column's whole range."""
+    by_ordinal = {v.ordinal: v for v in present}
+    keys = sorted(bounds)
+    below = {}
+    for start in range(0, len(keys), 3 * BATCH):
+        chunk = keys[start:start + 3 * BATCH]
+        row = values.agg(F.count(F.lit(1)), *(F.count_if(F.col(f"v{i}") < bounds[i, q][0]) for i, q in chunk)).first()
+        below.update(zip(chunk, row[1:]))
+    cells = [F.when(F.col(f"v{i}").between(*bounds[i, q]), F.struct(F.lit(i).alias("vi"), F.lit(q).alias("q"), F.col(f"v{i}").alias("v"))) for i, q in keys]
+    inside = values.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).select("e.*").groupBy("vi", "q", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    places = {}
+    for i, q in keys:
+        at = (by_ordinal[i].n_numeric - 1) * QUARTILES[q]
+        low = math.floor(at)
+        places[i, q] = (low - below[i, q], min(math.ceil(at), by_ordinal[i].n_numeric - 1) - below[i, q], at - low)
+    spec = _places(values, [(i, q, low, high) for (i, q), (low, high, _) in places.items()])
+    with Scratch() as tables:
+        placed = running_before(inside, ["vi", "q"], "v", "cnt", tables=tables).join(F.broadcast(spec), ["vi", "q"])
+        end = F.col("before") + F.col("cnt")
+        found = tables.keep(placed.where(((F.col("before") <= F.col("low")) & (end > F.col("low"))) | ((F.col("before") <= F.col("high")) & (end > F.col("high")))))
+        rows = found.groupBy("vi", "q").agg(F.min(F.when((F.col("before") <= F.col("low")) & (end > F.col("low")), F.col("v"))).alias("a"),
+                                            F.max(F.when((F.col("before") <= F.col("high")) & (end > F.col("high")), F.col("v"))).alias("b")).collect()
+    got = {(r.vi, r.q): (r.a, r.b) for r in rows}
+    missed = {}
+    for i, q in keys:
+        a, b = got.get((i, q), (None, None))
+        v = by_ordinal[i]
+        if a is None or b is None:
+            missed[i, q] = (float(v.minimum), float(v.maximum))
+            continue
+        known = list(v.quartiles)
+        known[q] = _lerp(a, b, places[i, q][2])
+        v.quartiles = tuple(known)
+    return missed
+
+
+def _places(like: DataFrame, rows: list[tuple]) -> DataFrame:
+    """The places of the quartiles: three rows a column."""
+    return like.sparkSession.createDataFrame(rows, "vi int, q int, low long, high long")
+
+
 def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: int = 10000) -> Profile:
     """Profile every column of ``df``.
 
@@ -357,21 +424,24 @@ def profile(df: DataFrame, details: bool = True, exact: bool = True, accuracy: i
     vars_ = [VariableProfile(i, f.name, f.dataType) for i, f in enumerate(df.schema.fields)]
     rows = _pass1(df, vars_)
     numeric = [v for v in vars_ if v.kind == NUMERIC]
-    counts = None
-    if exact or details:
-        counts = _numeric_pass(df, numeric, details)
-    elif numeric:
-        _approx_quartiles(df, numeric, accuracy)
-    parse = parse_counts(df, [v.name for v in vars_ if isinstance(v.dtype, T.StringType)])
-    if details:
-        tops, distinct, _ = frequency_summary(df, [v.name for v in vars_ if v.kind != NUMERIC], TOP_K)
-    for v in vars_:
-        if isinstance(v.dtype, T.StringType):
-            v.kind = kind_of(v.dtype, parse.get(v.name))
-        if details and v.kind != NUMERIC:
-            v.top, v.distinct = tops[v.name], distinct[v.name]
-    if counts is not None:
-        _pass4_from_counts(counts, numeric, with_histograms=details)
-    else:
-        _fence_counts(df, numeric)
+    with Scratch() as tables:
+        counts = None
+        if details:
+            counts = _numeric_pass(df, numeric, tables)
+        elif exact:
+            _bracket_quartiles(df, numeric)
+        elif numeric:
+            _approx_quartiles(df, numeric, accuracy)
+        parse = parse_counts(df, [v.name for v in vars_ if isinstance(v.dtype, T.StringType)])
+        if details:
+            tops, distinct, _ = frequency_summary(df, [v.name for v in vars_ if v.kind != NUMERIC], TOP_K)
+        for v in vars_:
+            if isinstance(v.dtype, T.StringType):
+                v.kind = kind_of(v.dtype, parse.get(v.name))
+            if details and v.kind != NUMERIC:
+                v.top, v.distinct = tops[v.name], distinct[v.name]
+        if counts is not None:
+            _pass4_from_counts(counts, numeric)
+        else:
+            _fence_counts(df, numeric)
     return Profile(df.sparkSession, rows, vars_)

@@ -25,19 +25,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.session import reliable_checkpoint
+from colscope.session import Scratch, reliable_checkpoint
 
 
-def range_tag(rows: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
+def range_tag(rows: DataFrame, keys: list[str], order: str, partitions: int | None = None, tables: Scratch | None = None) -> DataFrame:
     """Step 1: range-partition on (keys, order), tag rows with their range, checkpoint.
 
     Without an explicit count the ranges follow ``spark.sql.shuffle.partitions``
     and adaptive execution may merge small neighbours; merged ranges stay in
-    value order, so the tags still order the ranges.
+    value order, so the tags still order the ranges.  ``tables`` deletes the written rows at its end; without it they
+    stay until ``settled`` or the end of the driver.
     """
     by = [F.col(k) for k in keys] + [F.col(order)]
     ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
-    return reliable_checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
+    return (tables.keep if tables else reliable_checkpoint)(ranged.withColumn("_pid", F.spark_partition_id()))
 
 
 def running_before_tagged(
@@ -81,12 +82,13 @@ def running_before(
     out: str = "before",
     total: str | None = None,
     partitions: int | None = None,
+    tables: Scratch | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``weight`` over rows with equal keys and smaller ``order``.
 
     ``total`` (optional) names a column with the key's whole weight.
     """
-    return running_before_tagged(range_tag(rows, keys, order, partitions), keys, order, weight, out, total)
+    return running_before_tagged(range_tag(rows, keys, order, partitions, tables), keys, order, weight, out, total)
 
 
 def value_counts(long: DataFrame, keys: list[str], value: str) -> DataFrame:

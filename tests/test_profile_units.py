@@ -1,6 +1,7 @@
 """Hand-computed profile fixtures (FIXTURES.md section 2)."""
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.functions.scalar import CATEGORICAL, NUMERIC, TEMPORAL
@@ -114,3 +115,42 @@ def test_whole_numbers_keep_their_digits(spark):
     df = spark.createDataFrame([(2**53 + 1, -(2**62) - 1), (5, 7)], "a long, b long")
     shown = {r.variable: dict((s.label, s.value) for s in r.stats) for r in profile(df).details_frame().collect()}
     assert shown["a"]["Máximo"] == "9007199254740993" and shown["b"]["Mínimo"] == str(-(2**62) - 1)
+
+
+def _numpy_quartiles(values):
+    import numpy as np
+    return tuple(float(q) for q in np.quantile(np.array(values), [0.25, 0.5, 0.75])) if values else (None, None, None)
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 5, 40_000])
+def test_bracketed_quartiles_are_exact(spark, rows):
+    """Unique, tied, constant, missing and infinite values; the variable table and the details agree."""
+    import random
+    rng = random.Random(rows)
+    data = [(rng.random(), float(rng.randrange(4)), 3, None if k % 3 else float(k), None, float("inf") if k % 5 == 0 else rng.gauss(0, 1)) for k in range(rows)]
+    df = spark.createDataFrame(data, "u double, t double, c long, m double, n double, i double")
+    slim = {v.name: v for v in profile(df, details=False).variables}
+    for place, name in enumerate(df.columns):
+        values = [r[place] for r in data if r[place] is not None and abs(r[place]) != float("inf")]
+        want = _numpy_quartiles([float(v) for v in values])
+        assert slim[name].quartiles == (pytest.approx(want) if values else want), name
+    if rows <= 5:
+        assert [v.quartiles for v in profile(df).variables] == [v.quartiles for v in slim.values()]
+
+
+def test_a_bracket_that_misses_gives_way(spark, monkeypatch):
+    from colscope.operators import profile as module
+    monkeypatch.setattr(module, "_MARGIN", -0.2)
+    df = spark.range(1000).select((F.col("id") * 1.5).alias("v"))
+    assert profile(df, details=False).variables[0].quartiles == (374.625, 749.25, 1123.875)
+
+
+def test_a_profile_leaves_no_tables(spark):
+    import os
+    from colscope import session
+    folder = session.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (None, "b")], "v double, s string")
+    profile(df).details_frame().collect()
+    profile(df, details=False).variables_frame().collect()
+    assert set(os.listdir(folder)) == before
