@@ -347,6 +347,8 @@ def _approx_quartiles(df: DataFrame, numeric: list[VariableProfile], accuracy: i
 
 #: Accuracy of the sketches that give the brackets, and the share of the rows by which a bracket goes beyond a quartile on each side.
 _SKETCH_ACCURACY, _MARGIN = 10_000, 0.0004
+#: Counted values of all brackets that the driver may pick from; more are picked by running counts in Spark.
+_FEW_VALUES = 50_000
 
 
 def _bracket_quartiles(df: DataFrame, numeric: list[VariableProfile]) -> None:
@@ -388,14 +390,17 @@ def _picked(values: DataFrame, present: list[VariableProfile], bounds: dict) ->
         at = (by_ordinal[i].n_numeric - 1) * QUARTILES[q]
         low = math.floor(at)
         places[i, q] = (low - below[i, q], min(math.ceil(at), by_ordinal[i].n_numeric - 1) - below[i, q], at - low)
-    spec = _places(values, [(i, q, low, high) for (i, q), (low, high, _) in places.items()])
     with Scratch() as tables:
-        placed = running_before(inside, ["vi", "q"], "v", "cnt", tables=tables).join(F.broadcast(spec), ["vi", "q"])
-        end = F.col("before") + F.col("cnt")
-        found = tables.keep(placed.where(((F.col("before") <= F.col("low")) & (end > F.col("low"))) | ((F.col("before") <= F.col("high")) & (end > F.col("high")))))
-        rows = found.groupBy("vi", "q").agg(F.min(F.when((F.col("before") <= F.col("low")) & (end > F.col("low")), F.col("v"))).alias("a"),
-                                            F.max(F.when((F.col("before") <= F.col("high")) & (end > F.col("high")), F.col("v"))).alias("b")).collect()
-    got = {(r.vi, r.q): (r.a, r.b) for r in rows}
+        inside = tables.keep(inside)
+        if inside.count() <= _FEW_VALUES:
+            got = _neighbours(inside.orderBy("vi", "q", "v").collect(), places)
+        else:
+            spec = _places(values, [(i, q, low, high) for (i, q), (low, high, _) in places.items()])
+            placed = running_before(inside, ["vi", "q"], "v", "cnt", tables=tables).join(F.broadcast(spec), ["vi", "q"])
+            end = F.col("before") + F.col("cnt")
+            at_low, at_high = ((F.col("before") <= F.col(c)) & (end > F.col(c)) for c in ("low", "high"))
+            rows = placed.where(at_low | at_high).groupBy("vi", "q").agg(F.min(F.when(at_low, F.col("v"))).alias("a"), F.max(F.when(at_high, F.col("v"))).alias("b"))
+            got = {(r.vi, r.q): (r.a, r.b) for r in rows.collect()}
     missed = {}
     for i, q in keys:
         a, b = got.get((i, q), (None, None))
@@ -409,6 +414,18 @@ def _picked(values: DataFrame, present: list[VariableProfile], bounds: dict) ->
     return missed
 
 
+def _neighbours(rows: list, places: dict) -> dict:
+    """The values at the two places of every quartile, from its bracket's counted values in ascending order."""
+    got, before = {}, {}
+    for r in rows:
+        start = before.get((r.vi, r.q), 0)
+        before[r.vi, r.q] = end = start + r.cnt
+        a, b = got.get((r.vi, r.q), (None, None))
+        low, high, _ = places[r.vi, r.q]
+        got[r.vi, r.q] = (r.v if start <= low < end else a, r.v if start <= high < end else b)
+    return got
+
+
 def _places(like: DataFrame, rows: list[tuple]) -> DataFrame:
     """The places of the quartiles: three rows a column."""
     return like.sparkSession.createDataFrame(rows, "vi int, q int, low long, high long")

@@ -122,10 +122,13 @@ def _numpy_quartiles(values):
     return tuple(float(q) for q in np.quantile(np.array(values), [0.25, 0.5, 0.75])) if values else (None, None, None)
 
 
-@pytest.mark.parametrize("rows", [0, 1, 2, 5, 40_000])
-def test_bracketed_quartiles_are_exact(spark, rows):
+@pytest.mark.parametrize("rows, few", [(0, 50_000), (1, 50_000), (5, 0), (5, 50_000), (20_000, 0), (20_000, 50_000)])
+def test_bracketed_quartiles_are_exact(spark, monkeypatch, rows, few):
     """Unique, tied, constant, missing and infinite values; the variable table and the details agree."""
     import random
+
+    from colscope.operators import profile as module
+    monkeypatch.setattr(module, "_FEW_VALUES", few)
     rng = random.Random(rows)
     data = [(rng.random(), float(rng.randrange(4)), 3, None if k % 3 else float(k), None, float("inf") if k % 5 == 0 else rng.gauss(0, 1)) for k in range(rows)]
     df = spark.createDataFrame(data, "u double, t double, c long, m double, n double, i double")
