@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -126,6 +127,33 @@ def test_unlabelled_formats_are_found_whatever_their_share(table):
         assert not any(got[i] for i, _ in rows if 1000 <= i < 10_000)
 
 
+def test_short_candidates_and_what_base_spans_leave_of_a_run(table):
+    rng = random.Random(6)
+
+    def digits(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"word password: {digits(12)} and words follow") for k in range(300)]
+    syllables = ["lich", "keit", "ung", "schaft", "heit", "tion", "ouel", "rre", "mente"]
+    rows += [(1000 + k, f"some ordinary {''.join(rng.choice(syllables) for _ in range(rng.randint(3, 6)))} sentences") for k in range(300)]
+    planted = [digits(12) for _ in range(40)]
+    rows += [(2000 + k, f"bare {v} value") for k, v in enumerate(planted)]
+    rows += [(3000 + k, f"{digits(12)}token={digits(12)}") for k in range(20)]  # one run each
+    got = {r.doc_id: r.spans for r in secrets.span_digests(secrets.find_secrets(table(rows))).collect()}
+    assert sum(got[2000 + k] == "format:5:17" for k in range(40)) >= 38
+    assert not any(got[1000 + k] for k in range(300))
+    assert sum(got[3000 + k] == "format:0:12,assign:12:30" for k in range(20)) >= 18
+
+
+def test_candidates():
+    assert secrets.candidates([("hex", 10, 42, ""), ("assign", 5, 20, "")][::-1], [(0, 50)]) == [(42, 50)]
+    assert secrets.candidates([("assign", 8, 20, ""), ("hex", 28, 60, "")], [(0, 36), (40, 70), (80, 87), (90, 98)]) == [(0, 8), (20, 28), (60, 70), (90, 98)]
+    assert secrets.candidates([], []) == []
+    smallest = secrets.Smallest(3)
+    for k in range(100):
+        smallest.add(str(k % 50))
+    assert smallest.sorted() == sorted((zlib.crc32(str(k).encode()), str(k)) for k in range(50))[:3]
+
+
 def test_redaction(table, odd_rows):
     rows = [(100 + k, t) for k, t in enumerate(SECRET_TEXTS)] + odd_rows
     docs = table(rows)
