@@ -1,7 +1,8 @@
 """Licence scans by Dice coefficient over word bigrams, in native expressions.
 
 Segments are every line, paragraph (lines up to a blank one) and whole text; runs of neighbouring lines, paragraphs and
-sentences (up to a template's largest size in bigrams); and windows of as many words as a template, wherever they start.  A segment is normalised (lower
+sentences; and windows of as many words as a template and more, wherever they start.  Runs and windows go up to ``reach``
+bigrams, half as many again as the template at 0.8, so a licence with foreign words in between is found.  A segment is normalised (lower
 case, runs of other characters than a-z and 0-9 as one space) and its distinct word bigrams are compared with
 those of the licence templates: 2 * common / (size + size).  Two bounds spare nearly all of that work and lose nothing:
 
@@ -9,9 +10,9 @@ those of the licence templates: 2 * common / (size + size).  Two bounds spare ne
   touch so many bigrams of every template that a segment without any of them cannot reach it.
 * The sizes of both sides can differ by the factor t / (2 - t) at most, so a segment joins, by its size, only the templates
   whose range holds it; the table of sizes is as large as the templates' texts together, whatever the corpus.
-* A text can hold a run or window that reaches t only if it holds that share of the template's bigrams; only such texts are cut
-  into them.  A run begins and ends with a part that holds a bigram of the template, a window begins with such a bigram:
-  what else stands at the ends adds nothing in common.
+* A text can hold a run or window that reaches t only if it holds that share of the template's bigrams, and only near a place
+  where so many stand within ``reach``.  A run begins with a part that holds such a place, a window begins there: what stands before adds
+  nothing in common.  From each start one walk over the next ``reach`` bigrams counts distinct and common ones up to every end.
 
 Defined results: NULL and empty texts match nothing; a segment of one word has no bigram and matches nothing; a
 document that holds a licence in several segments gives one row with its best coefficient; rows that
@@ -91,13 +92,29 @@ def bigrams(segment: Column) -> Column:
 _END = "\x01"
 
 
-def inner_segments(rows: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, license, dice of the best run of lines or sentences or window (below the threshold or NULL, too), for texts that hold enough of a template's bigrams."""
-    def part(grams: Column, first: Column, n: Column) -> Column:
-        return F.slice(grams, (first + 1).cast("int"), n.cast("int"))
+def reach(length: int, threshold: float) -> int:
+    """Bigrams (repeats counted) of the longest run or window that is compared with a template of ``length`` bigrams."""
+    return math.floor(round(length / (threshold / (2 - threshold)), 9))
 
-    def dice(grams: Column, template: Column) -> Column:
-        return (2 * F.size(F.array_intersect(grams, template))).cast("double") / (F.size(F.array_distinct(grams)) + F.size(template))
+
+def inner_segments(rows: DataFrame, templates: list[tuple[str, list[str], int, int, int]], threshold: float) -> DataFrame:
+    """doc_id, license, dice of the best run of lines or sentences or window (below the threshold or NULL, too), for texts that hold enough of a template's bigrams.
+
+    ``templates``: name, bigrams, bigrams with repeats, least common bigrams, reach.  They are one literal of the plan.
+    """
+    table = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(length).alias("length"),
+                               F.lit(least).alias("least"), F.lit(far).alias("reach")) for name, grams, length, least, far in templates))
+    every = F.array(*(F.lit(g) for g in sorted({g for _, grams, *_ in templates for g in grams})))
+
+    def best(first: Column, allowed) -> Column:
+        """Best coefficient of the bigrams from ``first`` to any allowed last one; a bigram is new if it does not stand between."""
+        def step(so_far: Column, m: Column) -> Column:
+            new = m["before"] < first
+            size, common = so_far["size"] + new.cast("int"), so_far["common"] + (new & m["hit"]).cast("int")
+            dice = (2 * common).cast("double") / (size + F.size("template.grams"))
+            return F.struct(size.alias("size"), common.alias("common"), F.when(allowed(m), F.greatest(so_far["best"], dice)).otherwise(so_far["best"]).alias("best"))
+        nothing = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.slice("marks", first + 1, F.col("template.reach")), nothing, step, lambda end: end["best"])
 
     ended = F.regexp_replace(F.lower("text"), r"\n|(?<=[.!?:;])\s", f" {_END} ")
     tokens = F.split(F.trim(F.regexp_replace(ended, f"[^a-z0-9{_END}]+", " ")), " ")
@@ -108,19 +125,26 @@ def inner_segments(rows: DataFrame, templates: DataFrame, threshold: float) -> D
     pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))),
                        lambda a, b: F.concat_ws(" ", a, b))
     cut = cut.select("doc_id", pairs.alias("grams"), F.array_distinct(F.concat(F.array(F.lit(0)), "ends", F.array(F.size("words")))).alias("ends"))
-    held = cut.join(F.broadcast(templates), F.size(F.array_intersect("grams", "template")) >= F.col("least"))
-    held = held.withColumn("hits", F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("template", g), i)), lambda i: i.isNotNull()))
-    held = held.withColumn("parts", F.filter(
-        F.transform("ends", lambda a, k: F.struct(a.alias("first"), F.get("ends", k + 1).alias("end"))),
-        lambda p: F.exists("hits", lambda h: (h >= p["first"]) & (h < p["end"]))))
+    # Where the line or sentence of each word begins.
+    begins = F.flatten(F.transform("ends", lambda a, k: F.array_repeat(a, F.coalesce(F.get("ends", k + 1) - a, F.lit(0)))))
+    held = cut.select("doc_id", "grams", begins.alias("begins"), F.array_intersect("grams", every).alias("known"))
+    held = held.select("doc_id", "grams", "begins", F.explode(F.filter(table, lambda t: (F.size("known") >= t["least"])
+                                                                      & (F.size(F.array_intersect(t["grams"], F.col("known"))) >= t["least"]))).alias("template"))
+    held = held.withColumn("hits", F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("template.grams", g), i)), lambda i: i.isNotNull()))
+    held = held.withColumn("starts", F.filter("hits", lambda h, k: F.get("hits", k + F.col("template.least") - 1) < h + F.col("template.reach")))
+    held = held.withColumn("ordered", F.when(F.size("starts") > 0, F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), i.alias("place"))))))
+    held = held.withColumn("marks", F.array_sort(F.transform("ordered", lambda x, k: F.struct(
+        x["place"].alias("place"),
+        F.when(F.get("ordered", k - 1)["gram"] == x["gram"], F.get("ordered", k - 1)["place"]).otherwise(-1).alias("before"),
+        F.array_contains("template.grams", x["gram"]).alias("hit"),
+        # The bigram's second word ends a line or sentence, or the text.
+        F.coalesce(F.get("begins", x["place"] + 2) == x["place"] + 2, F.lit(True)).alias("ends")))))
     windows = F.transform(
-        F.filter("hits", lambda h, k: F.get("hits", (k + F.col("least") - 1).cast("int")) < h + F.col("length")),
-        lambda h: dice(part(F.col("grams"), F.greatest(F.lit(0), F.least(h, F.size("grams") - F.col("length"))), F.col("length")), F.col("template")))
-    runs = F.flatten(F.transform("parts", lambda a: F.transform(
-        F.filter("parts", lambda b: (b["end"] - a["first"] - 1).between(F.col("least"), F.col("most"))),
-        lambda b: dice(part(F.col("grams"), a["first"], b["end"] - a["first"] - 1), F.col("template")))))
+        F.array_distinct(F.transform("starts", lambda h: F.greatest(F.lit(0), F.least(h, F.size("grams") - F.col("template.length"))))),
+        lambda a: best(a, lambda m: m["place"] - a + 1 >= F.col("template.length")))
+    runs = F.transform(F.array_distinct(F.transform("starts", lambda h: F.get("begins", h))), lambda a: best(a, lambda m: m["ends"]))
     # No filter on dice here: Spark would push it, with all that it is made of, into every step above.
-    return held.select("doc_id", "license", F.array_max(F.concat(windows, runs)).alias("dice"))
+    return held.select("doc_id", "template.license", F.array_max(F.concat(windows, runs)).alias("dice"))
 
 
 def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None,
@@ -146,9 +170,11 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     sized = grams.select("doc_id", "grams", F.size("grams").alias("size"))
     common = F.size(F.array_intersect("grams", "template"))
     dice = (2 * common).cast("double") / (F.col("size") + F.col("template_size"))
-    lengths = [(name, sorted(grams), len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split()) - 1, *size_range(len(grams), threshold))
-               for name, body in templates.items() if (grams := template_bigrams(body))]
-    inner = inner_segments(rows, spark.createDataFrame(lengths, "license string, template array<string>, length int, least int, most int"), threshold)
-    return (sized.join(F.broadcast(ranges), "size").select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= threshold).unionByName(inner)
+    lengths = [(name, sorted(grams), n, size_range(len(grams), threshold)[0], reach(n, threshold)) for name, body in templates.items()
+               if (grams := template_bigrams(body)) and (n := len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split()) - 1)]
+    found = sized.join(F.broadcast(ranges), "size").select("doc_id", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    if lengths:
+        found = found.unionByName(inner_segments(rows, lengths, threshold))
+    return (found
             .groupBy("doc_id", "license").agg(F.max("dice").alias("best")).where(F.col("best") >= threshold)
             .select("doc_id", "license", F.round("best", 6).alias("dice")))

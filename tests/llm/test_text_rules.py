@@ -205,6 +205,52 @@ def test_licenses_over_paragraphs_and_inside_lines(table):
     assert got[6].keys() == {"MIT"} and 0.8 <= got[6]["MIT"] < 0.9  # two of three paragraphs: a run shorter than the template
 
 
+def all_segments(text, length, far):
+    """Bigrams of all runs of lines and sentences, and of all windows of a template's length and more, up to ``far``."""
+    parts = [re.sub(r"[^a-z0-9]+", " ", p).split() for p in re.split(r"\n|(?<=[.!?:;])\s", text.lower())]
+    grams = [f"{a} {b}" for words in [sum(parts, [])] for a, b in zip(words, words[1:])]
+    edges = sorted({0, *np.cumsum([len(p) for p in parts]).tolist()})
+    for k, a in enumerate(edges):
+        yield from (grams[a:b - 1] for b in edges[k + 1:] if 0 < b - 1 - a <= far)
+    for a in range(len(grams)):
+        yield from (grams[a:a + n] for n in range(length, min(far, len(grams) - a) + 1))
+
+
+def test_licenses_against_all_runs_and_windows(table):
+    rng = random.Random(8)
+    templates = {k: v for k, v in licenses.TEMPLATES.items() if k in ("MIT (notice)", "Apache-2.0 (notice)", "All rights reserved", "ISC", "BSD (redistribution)")}
+    rows = []
+    for k in range(60):
+        words = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at:at + rng.randint(0, 1)] = rng.choice([["more"], ["x.", "y"], ["a\n"], [], words[:3]])
+        around = [" ".join(rng.choice(["the", "license", "some", "is.", "under\n", "all rights", "words", "permission"]) for _ in range(rng.randint(0, 30))) for _ in range(2)]
+        rows.append((k, f"{around[0]}{rng.choice([' ', '. ', chr(10)])}{' '.join(words)} {around[1]}"))
+    want = {}
+    for i, text in rows:
+        for name, body in templates.items():
+            whole = licenses.template_bigrams(body)
+            length = len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split()) - 1
+            cut = [licenses.template_bigrams(p) for p in {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")}]
+            cut += map(set, all_segments(text, length, licenses.reach(length, 0.8)))
+            dice = max(2 * len(c & whole) / (len(c) + len(whole)) for c in cut)
+            if dice >= 0.8:
+                want[i, name] = round(dice, 6)
+    got = licenses.find_licenses(table(rows), templates=templates).collect()
+    assert {(r.doc_id, r.license): r.dice for r in got} == want and len(want) == len(got) > 20
+    assert licenses.find_licenses(table(rows), templates={}).collect() == []
+
+
+def test_licenses_with_foreign_words_and_in_long_texts(table):
+    words = licenses.TEMPLATES["MIT"].split()
+    mixed = " ".join(w if k % 8 else f"{w} zzz{k}" for k, w in enumerate(words, 1))
+    long = " ".join(["license words of the software and to permit."] * 3000)
+    rows = [(1, f"{prose(70, 150)} {mixed} {prose(71, 150)}".replace("\n", " ")), (2, f"{long} {licenses.TEMPLATES['MIT']} {long}"), (3, long)]
+    got = {(r.doc_id, r.license): r.dice for r in licenses.find_licenses(table(rows)).collect()}
+    assert got.keys() == {(1, "MIT"), (2, "MIT")} and got[2, "MIT"] == 1.0 and 0.8 <= got[1, "MIT"] < 0.9
+
+
 def test_marker_words_lose_nothing():
     """Whatever third of a template's bigrams is missing, a marker is left."""
     marks = set(licenses.marker_words(licenses.TEMPLATES, 0.8))
