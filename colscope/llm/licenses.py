@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,10 +160,8 @@ def find_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", temp
     ranges = spark.createDataFrame(sizes, "size int, license string, template_size int, template array<string>")
 
     def marked(body: Column) -> Column:
-        lowered, out = F.lower(body), F.lit(False)
-        for mark in marks:
-            out = out | F.contains(lowered, F.lit(mark))
-        return out
+        # An array of one: its element is lower-cased once, not once a marker.
+        return F.exists(F.array(F.lower(body)), lambda lowered: reduce(or_, (F.contains(lowered, F.lit(mark)) for mark in marks), F.lit(False)))
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(marked(F.col("text")))
     parts = F.concat(F.array("text"), F.split("text", r"\n[ \t\r]*\n", -1), F.split("text", "\n", -1))
