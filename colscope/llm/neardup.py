@@ -19,7 +19,7 @@ less above it; sets whose union is no larger than the sketch are treated exactly
    common, then others), not with all others: the sketch of the union filters, the exact similarity of the
    full sets decides.  Components are formed, and the next round only takes lists that are still in several; rounds go on
    while they join a fair share of what is open.
-5. For the rest, members of different components in one list are compared in blocks inside the tasks.  Pairs whose sketches
+5. For the rest, members of different components in one list are compared in blocks inside the tasks, each pair in the first of its lists only.  Pairs whose sketches
    are their whole sets are decided there, so a block puts out only as many of them as connect its members; pairs of longer sets
    that pass the sketch filter are verified likewise.
 
@@ -31,6 +31,7 @@ a doc_id are rows of their own; empty in, empty out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -219,53 +220,80 @@ def _spanning(pairs: np.ndarray, size: int) -> list[int]:
     return taken
 
 
-def _across(block: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block's two sides that connect its components, and pairs of long sets between components that pass the sketch filter."""
-    side = block.column("side").to_numpy()
-    rows, roots = (block.column(c).to_numpy() for c in ("row", "root"))
-    sketches = [np.asarray(s) for s in block.column("sketch").to_pylist()]
-    # Overlaps of all sketches at once: a 0/1 matrix over the values that several members hold.
-    values, place = np.unique(np.concatenate(sketches), return_inverse=True)
-    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+def _numbers(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The arrays of a list column."""
+    return [part.values.to_numpy()[at:to] for part in column.chunks for at, to in pairwise(part.offsets.to_numpy())]
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common values of every set of one side with every set of the other: products of a 0/1 matrix over the values that several sets hold."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = np.flatnonzero(np.bincount(place, minlength=len(values)) > 1)
     column = np.full(len(values), -1)
     column[shared] = np.arange(len(shared))
     column = column[place]
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     overlap = np.zeros((len(left), len(right)), dtype=np.float32)
     for first in range(0, len(shared), _COLUMNS):
         here = (column >= first) & (column < first + _COLUMNS)
-        marks = np.zeros((len(sketches), min(_COLUMNS, len(shared) - first)), dtype=np.float32)
+        marks = np.zeros((len(sets), min(_COLUMNS, len(shared) - first)), dtype=np.float32)
         marks[owner[here], column[here] - first] = 1
         overlap += marks[left] @ marks[right].T
-    sizes = np.array([len(s) for s in sketches], dtype=np.float32)
-    union = sizes[left][:, None] + sizes[right][None, :] - overlap
+    return overlap
+
+
+def _across(block: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block's two sides that connect its components, and pairs of long sets between components that pass the sketch filter.
+
+    Pairs that stand together in an earlier list (column ``earlier``, if there) are left to it.
+    """
+    side = block.column("side").to_numpy()
+    rows, roots = (block.column(c).to_numpy() for c in ("row", "root"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     apart = roots[left][:, None] != roots[right][None, :]
     if (side == 2).any():  # both sides are the same block: each pair once
         apart &= rows[left][:, None] < rows[right][None, :]
-    short = sizes < WIDE
-    whole = short[left][:, None] & short[right][None, :]
-    # Whole sets decide a pair, so edges between components that are connected already are not needed.
-    sure = np.argwhere(apart & whole & (100 * overlap >= percent * union))
-    part = np.unique(roots, return_inverse=True)[1]
-    edges = np.stack([part[left[sure[:, 0]]], part[right[sure[:, 1]]]], axis=1)
-    found = [(left[sure[at, 0]], right[sure[at, 1]]) for at in _spanning(edges, len(rows))]
-    likely = np.argwhere(apart & ~whole & ((100 * overlap >= percent * union) | (union > WIDE)))
-    found += [(left[x], right[y]) for x, y in likely.tolist() if _passes(sketches[left[x]], sketches[right[y]], percent)]
+    if "earlier" in block.column_names and apart.any():
+        apart &= _overlaps(_numbers(block.column("earlier")), left, right) == 0
+    # Most lists hold next to no pair that is new.
+    some, other = apart.any(axis=1), apart.any(axis=0)
+    left, right, apart = left[some], right[other], apart[some][:, other]
+    found: list[tuple[int, int]] = []
+    if len(left):
+        sketches = _numbers(block.column("sketch"))
+        used = np.unique(np.r_[left, right])
+        overlap = _overlaps([sketches[x] for x in used], np.searchsorted(used, left), np.searchsorted(used, right))
+        sizes = np.array([len(s) for s in sketches], dtype=np.float32)
+        union = sizes[left][:, None] + sizes[right][None, :] - overlap
+        short = sizes < WIDE
+        whole = short[left][:, None] & short[right][None, :]
+        # Whole sets decide a pair, so edges between components that are connected already are not needed.
+        sure = np.argwhere(apart & whole & (100 * overlap >= percent * union))
+        part = np.unique(roots, return_inverse=True)[1]
+        edges = np.stack([part[left[sure[:, 0]]], part[right[sure[:, 1]]]], axis=1)
+        found = [(left[sure[at, 0]], right[sure[at, 1]]) for at in _spanning(edges, len(rows))]
+        likely = np.argwhere(apart & ~whole & ((100 * overlap >= percent * union) | (union > WIDE)))
+        found += [(left[x], right[y]) for x, y in likely.tolist() if _passes(sketches[left[x]], sketches[right[y]], percent)]
     found = [(int(rows[x]), int(rows[y])) for x, y in found]
     a, b = ([max(p) for p in found], [min(p) for p in found])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _block_pairs(opened: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """(a, b) across components, found block by block: a block of a list meets every block of it once."""
+    """(a, b) across components, found block by block: a block of a list meets every block of it once.
+
+    Near copies share many lists, so a pair is compared in the first of its lists only.
+    """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
     placed = opened.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("row", F.lit(7)), F.col("blocks")))
     met = placed.select("value", "row", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     met = met.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "root", side.alias("side"))
-    full = met.join(wide.select("row", "sketch"), "row")
-    return full.groupBy("value", "i", "j").applyInArrow(lambda block: _across(block, percent), "a long, b long").distinct()
+    # No more lists than values of a wide sketch.
+    held = opened.groupBy("row").agg(F.sort_array(F.collect_list("value")).alias("lists"))
+    earlier = F.filter("lists", lambda v: v < F.col("value")).alias("earlier")
+    full = met.join(held, "row").select(*met.columns, earlier).join(wide.select("row", "sketch"), "row")
+    return full.groupBy("value", "i", "j").applyInArrow(lambda block: _across(block, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:

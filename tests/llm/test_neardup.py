@@ -114,3 +114,26 @@ def test_a_hub_of_many_documents_is_verified_in_groups(table, monkeypatch):
     rng, base = random.Random(8), prose(63, 100)
     rows = [(k, mutated(base, rng, 0.01)) for k in range(30)] + [(100 + k, prose(70 + k, 40)) for k in range(5)]
     assert found(table(rows)) == brute(rows)
+
+
+def test_a_pair_of_many_lists_is_put_out_once(spark, monkeypatch):
+    """12 long texts that are nearly alike in 30 lists each: 66 pairs to verify, not 66 a list; what the lists share stays connected."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    base = rng.choice(2**40, 500, replace=False) - 2**39
+    wide = [(k, np.unique(np.r_[base, rng.integers(2**41, 2**42, 40)])[:neardup.WIDE].tolist()) for k in range(12)]
+    # Two short sets that are alike meet in the last list only.
+    wide += [(12, list(range(50))), (13, list(range(1, 51)))]
+    lists = [(v, k, k, 12) for v in range(30) for k in range(12)] + [(30, 12, 12, 2), (30, 13, 13, 2)]
+    made, inner = spark.sparkContext.accumulator(0), neardup._across
+
+    def counted(block, percent):
+        out = inner(block, percent)
+        made.add(out.num_rows)
+        return out
+
+    monkeypatch.setattr(neardup, "_across", counted)
+    opened = spark.createDataFrame(lists, "value long, row long, root long, members long")
+    pairs = neardup._block_pairs(opened, spark.createDataFrame(wide, "row long, sketch array<long>"), 80).collect()
+    assert {(p.a, p.b) for p in pairs} == {(a, b) for a in range(12) for b in range(a)} | {(13, 12)}
+    assert made.value == 67
