@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.scalar import col
-from colscope.session import Scratch
+from colscope.session import Scratch, small_scans
 
 #: Aimed rows of a range or a strip, and the most of each.
 RANGE_ROWS, MOST_RANGES = 250_000, 20_000
 STRIP_ROWS, MOST_STRIPS = 100_000, 2_048
+#: Cells of a file of the rows that are ranked, and bytes of files that a task reads (a file counts as 4 MB at least): a task that deals cells out keeps
+#: all of its own in memory, so its share must not follow the input.
+FILE_CELLS, SPLIT_BYTES = 1_000_000, 16 << 20
 #: Presence bits that one BIGINT holds.
 _BITS = 60
 
@@ -150,8 +153,9 @@ def spearman_sums(num: DataFrame, cols: list[str], missing: list[int]) -> DataFr
     words = [sum((F.when(p, F.lit(1 << b)).otherwise(0) for b, p in enumerate(present[at:at + _BITS])), F.lit(0).cast("long")) for at in range(0, width, _BITS)]
     has = [w.alias(f"has{n}") for n, w in enumerate(words)]
     marks = [f"has{n}" for n in range(len(words))]
-    with Scratch() as tables:
-        rows = tables.keep(num.select(F.monotonically_increasing_id().alias("rid"), *has, *(col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols))))
+    with Scratch() as tables, small_scans(spark, SPLIT_BYTES):
+        rows = num.select(F.monotonically_increasing_id().alias("rid"), *has, *(col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
+        rows = tables.keep(rows, max(1, FILE_CELLS // k))
         cells = F.explode(F.array(*(F.struct(F.lit(i).alias("vi"), F.col(f"c{i}").alias("v")) for i in range(k)))).alias("e")
         long = rows.select("rid", *marks, cells).select("e.vi", "e.v", "rid", *marks).where(F.col("v").isNotNull())
         ranges = max(2 * spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(rows.count() * k / RANGE_ROWS)))

@@ -261,3 +261,24 @@ def test_p_values_of_very_many_rows():
     # Both ways agree where they meet.
     for r in (0.001, 0.005, 0.01):
         assert pearson_pvalue(r, NORMAL_FROM + 1) == pytest.approx(pearson_pvalue(r, NORMAL_FROM + 2), abs=1e-5)
+
+
+def test_tasks_that_deal_out_cells_do_not_follow_the_input(spark, monkeypatch):
+    """One partition of 12,000 rows is dealt out by 12 tasks of 1,000 rows, and their cells by tasks of one range each."""
+    from colscope.operators import rank_correlation
+    monkeypatch.setattr(rank_correlation, "FILE_CELLS", 2_000, raising=False)
+    monkeypatch.setattr(rank_correlation, "SPLIT_BYTES", 4 << 20, raising=False)
+    monkeypatch.setattr(rank_correlation, "RANGE_ROWS", 500)
+    df = spark.range(0, 12_000, 1, 1).selectExpr("id % 977 as a", "if(id % 7 = 0, null, id % 31) as b")
+    dealt, scan = [], "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(scan)
+
+    def counting(method):
+        return lambda self, *args: dealt.append(self.rdd.getNumPartitions()) or method(self, *args)
+
+    for name in ("repartitionByRange", "repartition"):
+        monkeypatch.setattr(type(df), name, counting(getattr(type(df), name)))
+    got = [(r.i, r.j, r.n) for r in corr.spearman_pairs(df, ["a", "b"]).collect()]
+    assert got == [(0, 1, 10_285)]
+    assert dealt[0] == 12 and dealt[1] >= 40
+    assert spark.conf.get(scan) == before
