@@ -2,14 +2,14 @@
 
 1. Every whole text is scanned for base spans and candidates: what the base spans leave of its runs of
    credential characters, ``RUN`` characters and more.
-2. Of the distinct values of each base kind, a bounded sample (the smallest hashes: every task puts out its own, the smallest
-   of all are taken) goes into a prefix tree over character classes.  States whose
-   ending and continuing frequencies agree (Hoeffding's bound, the ALERGIA algorithm) are
-   merged in breadth-first order; the result is a probabilistic automaton of the format.
+2. Of the distinct values of each base kind, a bounded sample (the smallest hashes) goes into a prefix tree over character
+   classes.  States whose ending and continuing frequencies agree (Hoeffding's bound, the ALERGIA algorithm) are
+   merged in breadth-first order; the result is a probabilistic automaton of the format.  Its frequencies are then counted
+   over all values, by tasks.
 3. Every candidate is scored by each automaton: log-likelihood per character against a
-   background of other candidates (a bounded sample, pairs of neighbouring classes).  What comes nearer to the labelled values' scores
-   than to zero, where both models fit alike, becomes a span of kind ``format``, however many candidates do;
-   the background is fitted again without what comes half as near, until that stays the same.
+   background of all other candidates (pairs of neighbouring classes).  What comes nearer to the labelled values' scores
+   (a low quantile of all of them) than to zero, where both models fit alike, becomes a span of kind ``format``, however many
+   candidates do; the background is fitted again without what comes half as near, until that stays the same.
 
 Defined results: NULL text counts as empty; every row gives one row, also rows that repeat or share a
 doc_id; NULL doc_id stays NULL; without labelled values no span is added; empty in, empty out.
@@ -21,7 +21,7 @@ import math
 import re
 import zlib
 from collections import Counter, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -42,8 +42,10 @@ KEYS = ("passw", "secret", "token", "api")
 
 #: Least length of a candidate run.
 RUN = 8
-#: Distinct values per kind, and other candidates, that the automata and the background are fitted on; longer values are left out of it.
-MAX_VALUES, MAX_BACKGROUND, MAX_LENGTH = 2_000, 4_000, 256
+#: Distinct values per kind that the states of an automaton come from, and the longest of them; its frequencies, the thresholds and the background come from all.
+MAX_VALUES, MAX_LENGTH = 2_000, 256
+#: Kind of other candidates, values that a task remembers before it puts them out, and width of the steps in which labelled scores are counted.
+OTHER, HELD, STEP = "other", 50_000, 1e-4
 #: Confidence of the merge test; quantile of the labelled scores that the threshold is half of; most fits of the background.
 ALPHA, LABELLED_QUANTILE, MAX_FITS = 0.05, 0.05, 20
 #: Verdicts on short class words that a task remembers.
@@ -196,6 +198,26 @@ class Automaton:
         for state in sorted(red, key=lambda r: self.states[r].passes):
             self._back.update(self.states[state].next)
 
+    def transitions(self, word: str) -> Iterator[tuple[int, str]]:
+        """(state, class that follows) along the word, "" at its end."""
+        at = 0
+        for symbol in word:
+            yield at, symbol
+            at = self.states[at].next.get(symbol, self._back.get(symbol, at))
+        yield at, ""
+
+    def recount(self, seen: dict[tuple[int, str], int]) -> None:
+        """Replaces the frequencies by counted transitions; states and ways stay."""
+        for state in self.red:
+            self.states[state].ends, self.states[state].passes, self.states[state].counts = 0, 0, Counter()
+        for (at, symbol), n in seen.items():
+            state = self.states[at]
+            state.passes += n
+            if symbol:
+                state.counts[symbol] += n
+            else:
+                state.ends += n
+
     def log_likelihood(self, word: str) -> float:
         """Natural logarithm, with one added occurrence for each class and for the end."""
         at, total, spread = 0, 0.0, len(CLASSES) + 1
@@ -227,40 +249,85 @@ class Formats:
 
 
 def score(word: str, automaton: Automaton, background: dict[tuple[str, str], float]) -> float:
-    return (automaton.log_likelihood(word) - sum(background[p] for p in zip("^" + word, word))) / len(word)
+    return against(word, automaton.log_likelihood(word), background)
+
+
+def against(word: str, likelihood: float, background: dict[tuple[str, str], float]) -> float:
+    return (likelihood - sum(background[p] for p in zip("^" + word, word))) / len(word)
 
 
 def _quantile(values: list[float], q: float) -> float:
     return sorted(values)[min(len(values) - 1, int(q * len(values)))]
 
 
-def _background(words: list[str]) -> dict[tuple[str, str], float]:
-    pairs = Counter(p for w in words for p in zip("^" + w, w))
+def _pairs(words: Iterable[tuple[str, int]]) -> Counter:
+    """Pairs of neighbouring classes of counted words."""
+    out = Counter()
+    for word, n in words:
+        for p in zip("^" + word, word):
+            out[p] += n
+    return out
+
+
+def _background(pairs: Counter) -> dict[tuple[str, str], float]:
     firsts = Counter()
     for (a, _), n in pairs.items():
         firsts[a] += n
     return {(a, b): math.log((pairs[a, b] + 1) / (firsts[a] + len(CLASSES))) for a in "^" + CLASSES for b in CLASSES}
 
 
-def learn_formats(labelled: dict[str, list[str]], others: list[str]) -> Formats:
-    """Automata from labelled values per kind, thresholds by their scores alone; the background is fitted on what stays below half of each threshold."""
-    others = [classes(w) for w in sorted(others)]
-    known = [[classes(w) for w in sorted(labelled[kind])] for kind in sorted(labelled) if labelled[kind]]
-    automata = [Automaton(words) for words in known]
-    rest = others
+def _fitted(automata: list[Automaton], others: Callable[[dict | None, list[float]], Counter], labelled: Callable[[dict], list[float]]) -> Formats:
+    """Thresholds by the labelled values' scores alone; the background is fitted on what stays below half of each threshold.
+
+    ``others`` gives the pairs of other candidates that stay below half of the thresholds against a background (None: of all),
+    ``labelled`` the low quantile of each automaton's own scores.
+    """
+    rest = others(None, [])
     for _ in range(MAX_FITS):
         background = _background(rest)
-        leasts = [max(0.0, _quantile([score(w, a, background) for w in words], LABELLED_QUANTILE) / 2) for words, a in zip(known, automata)]
-        left = [w for w in others if not any(score(w, a, background) > least / 2 for a, least in zip(automata, leasts))]
+        leasts = [max(0.0, low / 2) for low in labelled(background)]
+        left = others(background, leasts)
         if left == rest:
             break
         rest = left
     return Formats(background, list(zip(automata, leasts)))
 
 
+def learn_formats(labelled: dict[str, list[str]], others: list[str]) -> Formats:
+    """Formats of values at hand."""
+    others = [classes(w) for w in others]
+    known = [[classes(w) for w in sorted(labelled[kind])] for kind in sorted(labelled) if labelled[kind]]
+    automata = [Automaton(words) for words in known]
+
+    def pairs(background: dict | None, leasts: list[float]) -> Counter:
+        return _pairs((w, 1) for w in others if not any(score(w, a, background) > least / 2 for a, least in zip(automata, leasts)))
+
+    return _fitted(automata, pairs, lambda background: [_quantile([score(w, a, background) for w in words], LABELLED_QUANTILE) for words, a in zip(known, automata)])
+
+
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, value, word) of all values and other candidates, each once as far as the task remembers."""
+    def rows(held: set) -> pa.RecordBatch:
+        pairs = sorted(held)
+        return pa.record_batch([pa.array(c, pa.string()) for c in ([k for k, _ in pairs], [v for _, v in pairs], [classes(v) for _, v in pairs])], ["kind", "value", "word"])
+
+    held: set[tuple[str, str]] = set()
+    for _, texts in text_chunks(batches):
+        for text in texts:
+            runs = candidate_runs(text)
+            spans = base_spans(text, runs)
+            held.update((kind, value) for kind, _, _, value in spans)
+            held.update((OTHER, text[a:b]) for a, b in candidates(spans, runs))
+        if len(held) >= HELD:
+            yield rows(held)
+            held.clear()
+    yield rows(held)
+    release_memory()
+
+
 class Smallest:
     """The ``bound`` distinct values of the smallest hashes (CRC-32, then the value) among those added."""
 
@@ -283,25 +350,52 @@ class Smallest:
         return sorted((zlib.crc32(v.encode()), v) for v in self._values)[:self.bound]
 
 
-#: Kinds that values are sampled for, the last one for other candidates.
-_BOUNDS = {**dict.fromkeys(LEAST, MAX_VALUES), "other": MAX_BACKGROUND}
-
-
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = {kind: Smallest(bound) for kind, bound in _BOUNDS.items()}
-    for _, texts in text_chunks(batches):
-        for text in texts:
-            runs = candidate_runs(text)
-            spans = base_spans(text, runs)
-            for kind, _, _, value in spans:
-                kept[kind].add(value)
-            for a, b in candidates(spans, runs):
-                kept["other"].add(text[a:b])
+def _sampled(batches: Iterator[pa.RecordBatch], bound: int) -> Iterator[pa.RecordBatch]:
+    """(kind, place, value): the task's values of the smallest hashes, by kind."""
+    kept = {kind: Smallest(bound) for kind in LEAST}
+    for batch in batches:
+        for kind, value in zip(batch.column("kind").to_pylist(), batch.column("value").to_pylist()):
+            kept[kind].add(value)
     for kind, smallest in kept.items():
         rows = smallest.sorted()
         yield pa.record_batch([pa.array([kind] * len(rows), pa.string()), pa.array([p for p, _ in rows], pa.int64()), pa.array([v for _, v in rows], pa.string())],
                               ["kind", "place", "value"])
-    release_memory()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], automata: dict[str, Automaton]) -> Iterator[pa.RecordBatch]:
+    """(kind, state, symbol, n): transitions of the labelled words."""
+    seen = Counter()
+    for batch in batches:
+        for kind, word, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "word", "n"))):
+            for at, symbol in automata[kind].transitions(word):
+                seen[kind, at, symbol] += n
+    rows = list(seen)
+    yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()),
+                           pa.array(list(seen.values()), pa.int64())], ["kind", "state", "symbol", "n"])
+
+
+def _likelihoods(batches: Iterator[pa.RecordBatch], automata: dict[str, Automaton]) -> Iterator[pa.RecordBatch]:
+    """Words with their log-likelihoods: labelled ones by their own kind's automaton, others by each."""
+    for batch in batches:
+        out = [[a.log_likelihood(word) for kind, a in automata.items() if own in (kind, OTHER)] for own, word in zip(batch.column("kind").to_pylist(), batch.column("word").to_pylist())]
+        yield pa.record_batch([*(batch.column(c) for c in ("kind", "word", "n")), pa.array(out, pa.list_(pa.float64()))], ["kind", "word", "n", "fits"])
+
+
+def _pairs_left(batches: Iterator[pa.RecordBatch], background: dict | None, leasts: list[float]) -> Iterator[pa.RecordBatch]:
+    pairs = Counter()
+    for batch in batches:
+        pairs.update(_pairs((word, n) for word, n, fits in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "fits")))
+                            if background is None or not any(against(word, fit, background) > least / 2 for fit, least in zip(fits, leasts))))
+    yield pa.record_batch([pa.array(c, t) for c, t in (([a for a, _ in pairs], pa.string()), ([b for _, b in pairs], pa.string()), (list(pairs.values()), pa.int64()))], ["a", "b", "n"])
+
+
+def _own_scores(batches: Iterator[pa.RecordBatch], background: dict) -> Iterator[pa.RecordBatch]:
+    """(kind, step, n): labelled words by their score in whole steps."""
+    steps = Counter()
+    for batch in batches:
+        for kind, word, n, fits in zip(*(batch.column(c).to_pylist() for c in ("kind", "word", "n", "fits"))):
+            steps[kind, math.floor(against(word, fits[0], background) / STEP)] += n
+    yield pa.record_batch([pa.array(c, t) for c, t in (([k for k, _ in steps], pa.string()), ([x for _, x in steps], pa.int64()), (list(steps.values()), pa.int64()))], ["kind", "step", "n"])
 
 
 def _all_spans(text: str, formats: Formats) -> list[tuple[str, int, int]]:
@@ -325,14 +419,49 @@ def _scored(batches: Iterator[pa.RecordBatch], formats: Formats) -> Iterator[pa.
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Formats:
-    """Formats from bounded samples of the distinct values and candidates of all texts; one scan, of which each task puts out its bounded samples."""
-    labelled = {}
+    """Formats from all distinct values and candidates of all texts; only the automata's states come from bounded samples."""
     with Scratch() as tables:
-        values = tables.keep(id_and_text(docs, key, text).mapInArrow(_values, "kind string, place long, value string"))
-        for kind, bound in _BOUNDS.items():
-            sample = values.where(F.col("kind") == kind).select("place", "value").distinct().orderBy("place", "value").limit(bound)
-            labelled[kind] = [r["value"] for r in sample.collect()]
-    return learn_formats(labelled, labelled.pop("other"))
+        values = tables.keep(id_and_text(docs, key, text).mapInArrow(_values, "kind string, value string, word string").distinct())
+        sampled = tables.keep(values.where(F.col("kind") != OTHER).mapInArrow(lambda it: _sampled(it, MAX_VALUES), "kind string, place long, value string"))
+        automata = {}
+        for kind in sorted(LEAST):
+            sample = sampled.where(F.col("kind") == kind).orderBy("place", "value").limit(MAX_VALUES).collect()
+            if sample:
+                automata[kind] = Automaton([classes(v) for v in sorted(r["value"] for r in sample)])
+        words = tables.keep(values.groupBy("kind", "word").agg(F.count(F.lit(1)).alias("n")))
+        labelled, other = F.col("kind").isin(list(automata)), F.col("kind") == OTHER
+        seen: dict[str, dict] = {kind: {} for kind in automata}
+        if automata:
+            counted = words.where(labelled).mapInArrow(lambda it: _counted(it, automata), "kind string, state int, symbol string, n long")
+            for r in counted.groupBy("kind", "state", "symbol").agg(F.sum("n").alias("n")).collect():
+                seen[r["kind"]][r["state"], r["symbol"]] = r["n"]
+            for kind, automaton in automata.items():
+                automaton.recount(seen[kind])
+        fits = tables.keep(words.where(labelled | other).mapInArrow(lambda it: _likelihoods(it, automata), "kind string, word string, n long, fits array<double>"))
+
+        def pairs(background: dict | None, leasts: list[float]) -> Counter:
+            left = fits.where(other).mapInArrow(lambda it: _pairs_left(it, background, leasts), "a string, b string, n long")
+            return Counter({(r["a"], r["b"]): r["n"] for r in left.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()})
+
+        def lows(background: dict) -> list[float]:
+            if not automata:
+                return []
+            steps = fits.where(~other).mapInArrow(lambda it: _own_scores(it, background), "kind string, step long, n long")
+            rows = steps.groupBy("kind", "step").agg(F.sum("n").alias("n")).collect()
+            return [_low([(r["step"], r["n"]) for r in rows if r["kind"] == kind]) for kind in automata]
+
+        return _fitted(list(automata.values()), pairs, lows)
+
+
+def _low(steps: list[tuple[int, int]]) -> float:
+    """The low quantile of scores counted by steps, at the step's lower end."""
+    total = sum(n for _, n in steps)
+    rank, seen = min(total - 1, int(LABELLED_QUANTILE * total)), 0
+    for step, n in sorted(steps):
+        seen += n
+        if seen > rank:
+            return step * STEP
+    raise ValueError("no scores")
 
 
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -257,3 +257,28 @@ def test_marker_words_lose_nothing():
     for body in licenses.TEMPLATES.values():
         grams = licenses.template_bigrams(body)
         assert sum(not marks & set(g.split()) for g in grams) < len(grams) * 0.8 / 1.2
+
+
+def test_formats_are_counted_over_all_values(table):
+    """2,500 hexadecimal keys and 6,000 words: frequencies, threshold and background are those of all, as learnt from them at hand."""
+    rng = random.Random(41)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(2_500)]
+    words = ["".join(rng.choice("ghijklmnopqrstuvwxyz") for _ in range(rng.randrange(8, 14))) for _ in range(6_000)]
+    rows = [(k, " ".join(hexes[k::50] + words[k::50] + words[:3])) for k in range(50)]
+    formats = secrets.fit(table(rows))
+    (automaton, least), = formats.automata
+    assert automaton.states[0].passes >= len(set(hexes))
+    assert sum(automaton.states[s].ends for s in automaton.red) == len(set(hexes))
+    background = secrets._background(secrets._pairs((secrets.classes(w), 1) for w in set(words)))
+    assert formats.background == background
+    scores = sorted(secrets.score(secrets.classes(h), automaton, background) for h in set(hexes))
+    assert 0 <= scores[int(0.05 * len(scores))] / 2 - least <= secrets.STEP
+
+
+def test_recounted_automaton_of_its_own_words_stays_the_same():
+    rng = random.Random(42)
+    words = [secrets.classes("AKIA" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(rng.randrange(12, 18)))) for _ in range(300)]
+    automaton = secrets.Automaton(words)
+    before = [automaton.log_likelihood(w) for w in words]
+    automaton.recount(Counter(t for w in words for t in automaton.transitions(w)))
+    assert [automaton.log_likelihood(w) for w in words] == before
