@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -161,3 +162,16 @@ def test_without_labels(spark, table, odd_rows):
     got = toxicity.score_documents(table(odd_rows), none).collect()
     assert len(got) == len(odd_rows) and all(r.predicted == 0 for r in got)
     assert toxicity.score_documents(table([]), none).collect() == []
+
+
+def test_terms_are_the_most_frequent_words_of_all_documents(table, spark, monkeypatch):
+    """A word of every document but those of the sample is a term, with its frequency in all of them."""
+    monkeypatch.setattr(decontaminate, "CORPUS_TERMS", 2)
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", 4)
+    monkeypatch.setattr(decontaminate, "bounded_sample", lambda ids, key, bound: ids.where(F.col(key) < bound))
+    docs = table([(k, f"Alpha, alpha unsampled w{k}" if k >= 4 else "alpha rare rarer") for k in range(40)]).select("doc_id", "text")
+    benchmark = spark.createDataFrame([(1, "beta gamma w7 alpha delta epsilon zeta eta theta")], "item_id long, text string")
+    index = decontaminate.build_index(docs, benchmark)
+    assert b"unsampled" in index.terms and b"rare" not in index.terms
+    weight = {w: round(float(index.idf[n]), 4) for w, n in index.terms.items()}
+    assert [weight[w] for w in (b"unsampled", b"w7", b"beta")] == [round(math.log(41 / (n + 1)), 4) for n in (36, 1, 0)]
