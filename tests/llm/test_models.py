@@ -1,7 +1,9 @@
 import math
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import prose
@@ -175,3 +177,42 @@ def test_terms_are_the_most_frequent_words_of_all_documents(table, spark, monkey
     assert b"unsampled" in index.terms and b"rare" not in index.terms
     weight = {w: round(float(index.idf[n]), 4) for w, n in index.terms.items()}
     assert [weight[w] for w in (b"unsampled", b"w7", b"beta")] == [round(math.log(41 / (n + 1)), 4) for n in (36, 1, 0)]
+
+
+def test_words_without_a_call_each():
+    """Seeing a word for the first time costs no Python call, neither when documents are counted nor when terms are looked up."""
+    words = [f"W{k}" for k in range(20_000)]
+    text, numbers, calls = ", ".join(words), decontaminate._Numbers({b"w7": 1, b"w19999": 2}), []
+    batch = pa.record_batch([pa.array([1, 2]), pa.array([text, "W7 w7. -w8-"])], ["doc_id", "text"])
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if frame.f_code.co_filename == decontaminate.__file__ else None)
+    try:
+        got = numbers.of(text)
+        counted = list(decontaminate._document_frequencies(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 2_000
+    assert len(got) == len(words) and {int(k): int(got[k]) for k in np.flatnonzero(got)} == {7: 1, 19_999: 2}
+    counts = [(r["word"], r["n"]) for part in counted for r in part.to_pylist()]
+    assert sorted(counts) == sorted((w.lower().encode(), 2 if w in ("W7", "W8") else 1) for w in words)
+
+
+def test_bare_words(monkeypatch):
+    """As words split and stripped one by one; counts in several parts add up to the texts that hold the word."""
+    rng, characters = random.Random(3), [*" \t\n\r\x0b\x0c\x1c\x85\xa0.,;:!?\"'()[]{}|#$%&*<>-_@/\\~aA9\x00", "É", "ß", "İ", "Σ", "東", "\U0001f600", "\u0301", "\ud800"]
+    plain = lambda t: [w for w in (x.strip(b".,;:!?\"'()[]{}|#$%&*<>-_") for x in t.lower().encode("utf-8", "surrogatepass").split()) if w]
+    texts = ["", " ", "--", "a", *("".join(rng.choices(characters, k=rng.randrange(30))) for _ in range(2_000))]
+    words, ends = decontaminate.bare_words(texts)
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip([0, *ends[:-1]], ends)] == [plain(t) for t in texts] == [decontaminate.words_of(t) for t in texts]
+    assert len(decontaminate.bare_words([])[0]) == len(decontaminate._text_counts([])) == 0
+
+    monkeypatch.setattr(decontaminate, "HELD_WORDS", 50)
+    texts = [t for t in texts if "\ud800" not in t]
+    batches = [pa.record_batch([pa.array(range(len(part))), pa.array(part, pa.string())], ["doc_id", "text"]) for part in (texts[k:k + 40] for k in range(0, len(texts), 40))]
+    want, got = {}, {}
+    for word in (w for t in texts for w in set(plain(t))):
+        want[word] = want.get(word, 0) + 1
+    parts = [part.to_pylist() for part in decontaminate._document_frequencies(iter(batches))]
+    for row in (r for part in parts for r in part):
+        got[row["word"]] = got.get(row["word"], 0) + row["n"]
+    assert len(parts) > 5 and got == want
