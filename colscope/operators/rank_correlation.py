@@ -1,10 +1,11 @@
 """Spearman and Kendall matrices on pairwise-complete rows (C3, C4), from n x k shuffled rows instead of n x pairs.
 
 Spearman.  Every column is sorted once.  A value's rank for a partner column counts only the rows in which the partner is present,
-so the sort carries one counter per *presence class*: columns without missing values share one, each other column has its own.  The sort
-is dealt into ranges on (column, value, row), so a value that fills a third of a column spreads over many tasks; what a
-range lacks (rows before it, ties beyond its ends) is a few numbers per range.  Ranks go back to their rows in one shuffle, where
-each task sums the products of all pairs.
+so the sort carries one counter per *presence class*: columns that are missing in the same rows share one, so do those without missing
+values.  The sort is dealt into ranges on (column, value, row), so a value that fills a third of a column spreads over many tasks; what a
+range lacks (rows before it, ties beyond its ends) is a few numbers per range.  Ranks go back to their rows in a second shuffle, where
+each task sums the products of all pairs.  Both shuffles go in steps of a bounded number of cells (some columns, then some rows), whose
+files are deleted before the next step; only the ranks inside ranges, as whole numbers by row, are kept for all cells.
 
 Kendall's tau-b.  Columns are cut into strips of about equal row counts; a value heavy enough to fill a strip is a strip by itself.
 Two rows in different strips of both columns are compared by counts of grid cells.  Rows that share a strip of one
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colscope.functions.scalar import col
-from colscope.session import Scratch, small_scans
+from colscope.session import Scratch, brief_shuffles, small_scans
 
 #: Aimed rows of a range or a strip, and the most of each.
 RANGE_ROWS, MOST_RANGES = 250_000, 20_000
@@ -32,25 +34,41 @@ STRIP_ROWS, MOST_STRIPS = 100_000, 2_048
 #: Cells of a file of the rows that are ranked, and bytes of files that a task reads (a file counts as 4 MB at least): a task that deals cells out keeps
 #: all of its own in memory, so its share must not follow the input.
 FILE_CELLS, SPLIT_BYTES = 1_000_000, 16 << 20
+#: Aimed cells of one step's shuffle (about 25 bytes each on disk); a step takes one column at least.
+STEP_CELLS = 200_000_000
 #: Presence bits that one BIGINT holds.
 _BITS = 60
 
 
 # ---------------------------------------------------------------- Spearman
 
-def presence_classes(missing: list[int]) -> list[int]:
-    """Class of each column: 0 for columns without missing values, one of its own for every other."""
+def presence_classes(missing: list[int], twins: dict[int, int] | None = None) -> list[int]:
+    """Class of each column: 0 for columns without missing values, that of an earlier column for its twin, one of its own for every other."""
     classes, fresh = [], 0
-    for m in missing:
+    for i, m in enumerate(missing):
+        if m and twins and i in twins:
+            classes.append(classes[twins[i]])
+            continue
         fresh += m > 0
         classes.append(fresh if m else 0)
     return classes
 
 
+def _twins(rows: DataFrame, missing: list[int]) -> dict[int, int]:
+    """Columns that are missing in the same rows as the first one with as many missing values."""
+    first = {m: i for i, m in reversed(list(enumerate(missing)))}
+    pairs = [(i, first[m]) for i, m in enumerate(missing) if m and first[m] < i]
+    if not pairs:
+        return {}
+    apart = rows.agg(*(F.count_if(F.col(f"c{i}").isNull() != F.col(f"c{j}").isNull()) for i, j in pairs)).first()
+    return {i: j for (i, j), n in zip(pairs, apart) if n == 0}
+
+
 def _local_ranks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one range of (column, value) with their average ranks inside the range, one per class.
+    """Rows of one range of (column, value) by row number, with twice their average ranks inside the range, one per class, and a mark (1: the
+    column's first value in the range, 2: its last).
 
-    Rows of kind 1 hold what other ranges need of a column: totals (as ranks), and the first and last value with their ties.
+    Rows of kind 1 hold what other ranges need of a column: the first and last value, totals, and both values' ties.
     """
     table = pa.Table.from_batches(list(batches))
     n = table.num_rows
@@ -66,32 +84,38 @@ def _local_ranks(batches: Iterator[pa.RecordBatch], classes: int) -> Iterator[pa
     first_of = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
     last_of = np.r_[first_of[1:], len(column)] - 1
     sizes = last_of - first_of + 1
+    marks = np.zeros(len(starts), np.int8)
+    marks[last_of] = 2
+    marks[first_of] = 1
     ranks, totals, first_ties, last_ties = [], [], [], []
     for c in range(classes):
         ties = np.add.reduceat((bits[c // _BITS] >> (c % _BITS)) & 1, starts)
         ends = np.cumsum(ties)
         begun = (ends - ties)[first_of]
-        ranks.append((ends - ties - np.repeat(begun, sizes)) + (ties + 1) / 2)
+        ranks.append((2 * (ends - ties - np.repeat(begun, sizes)) + ties + 1).astype(np.int32))
         totals.append((ends[last_of] - begun).astype(np.float64))
         first_ties.append(ties[first_of])
         last_ties.append(ties[last_of])
     part = TaskContext.get().partitionId()
-    names = ["kind", "part", "vi", "v", "rid", *(f"r{c}" for c in range(classes)), "edge"]
+    names = ["kind", "part", "vi", "rid", "mark", *(f"r{c}" for c in range(classes)), "edge"]
 
-    def rows(kind, vi, v, rid, values, edges):
+    def rows(kind, vi, rid, marks, values, edges):
         lead = [pa.array(np.full(len(vi), x, np.int32)) for x in (kind, part)]
-        return pa.record_batch([*lead, pa.array(vi.astype(np.int32)), pa.array(v), rid, *map(pa.array, values), edges], names)
+        return pa.record_batch([*lead, pa.array(vi.astype(np.int32)), rid, pa.array(marks), *map(pa.array, values), edges], names)
 
+    # In the order of the rows, numbers of rows and ranks of a column take a few bytes on disk.
+    by_row = np.lexsort((rid, vi))
     for at in range(0, n, 50_000):
-        cut = slice(at, at + 50_000)
+        cut = by_row[at:at + 50_000]
         g = group[cut]
-        yield rows(0, vi[cut], v[cut], pa.array(rid[cut]), [r[g] for r in ranks], pa.nulls(len(g), pa.list_(pa.float64())))
-    edges = [[v[starts[f]], v[starts[z]], *(t[k] for t in first_ties), *(t[k] for t in last_ties)] for k, (f, z) in enumerate(zip(first_of, last_of))]
-    yield rows(1, column[first_of], v[starts[first_of]], pa.nulls(len(first_of), pa.int64()), totals, pa.array(edges, pa.list_(pa.float64())))
+        yield rows(0, vi[cut], pa.array(rid[cut]), marks[g], [r[g] for r in ranks], pa.nulls(len(g), pa.list_(pa.float64())))
+    edges = [[v[starts[f]], v[starts[z]], *(t[k] for s in (totals, first_ties, last_ties) for t in s)] for k, (f, z) in enumerate(zip(first_of, last_of))]
+    none = np.zeros(len(first_of), np.int32)
+    yield rows(1, column[first_of], pa.nulls(len(first_of), pa.int64()), none.astype(np.int8), [none] * classes, pa.array(edges, pa.list_(pa.float64())))
 
 
 def _range_offsets(edges: list, classes: int) -> tuple[list[tuple], dict]:
-    """([(part, vi, offsets, first value, its ranks, last value, its ranks)], {vi: totals}) for every column of every range.
+    """([(part, vi, offsets, ranks of the first value, of the last)], {vi: totals}) for every column of every range.
 
     ``edges``: at most ranges + columns rows.  A value at the end of a range may go on in others: its ranks are whole ones.
     """
@@ -104,19 +128,18 @@ def _range_offsets(edges: list, classes: int) -> tuple[list[tuple], dict]:
         ties: dict[float, np.ndarray] = {}
         seen = np.zeros(classes)
         for e in parts:
-            totals = np.array([e[f"r{c}"] for c in range(classes)])
             low, high = e.edge[:2]
-            at_low, at_high = np.array(e.edge[2:2 + classes]), np.array(e.edge[2 + classes:])
+            totals, at_low, at_high = np.array(e.edge[2:]).reshape(3, classes)
             less.setdefault(low, seen)
             ties[low] = ties.get(low, 0) + at_low
             if high != low:
                 less.setdefault(high, seen + totals - at_high)
                 ties[high] = ties.get(high, 0) + at_high
-            out.append([e.part, vi, seen.tolist(), low, None, high, None])
+            out.append([e.part, vi, seen.tolist(), low, high])
             seen = seen + totals
         whole_columns[vi] = seen
         for row in out[-len(parts):]:
-            row[4], row[6] = ((less[x] + (ties[x] + 1) / 2).tolist() for x in (row[3], row[5]))
+            row[3:] = ((less[x] + (ties[x] + 1) / 2).tolist() for x in row[3:])
     return [tuple(r) for r in out], whole_columns
 
 
@@ -146,36 +169,53 @@ def _pair_products(batches: Iterator[pa.RecordBatch], classes: list[int], middle
 def spearman_sums(num: DataFrame, cols: list[str], missing: list[int]) -> DataFrame:
     """(i, j, n, sab, saa, sbb) for i < j: sums over the pair's complete rows of products of centred average ranks."""
     spark, k = num.sparkSession, len(cols)
-    classes = presence_classes(missing)
-    width = max(classes) + 1
-    # One bit a class: the column that stands for it is there; class 0 is there in every row.
-    present = [F.lit(True), *(col(cols[classes.index(c)]).isNotNull() for c in range(1, width))]
-    words = [sum((F.when(p, F.lit(1 << b)).otherwise(0) for b, p in enumerate(present[at:at + _BITS])), F.lit(0).cast("long")) for at in range(0, width, _BITS)]
-    has = [w.alias(f"has{n}") for n, w in enumerate(words)]
-    marks = [f"has{n}" for n in range(len(words))]
-    with Scratch() as tables, small_scans(spark, SPLIT_BYTES):
-        rows = num.select(F.monotonically_increasing_id().alias("rid"), *has, *(col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
-        rows = tables.keep(rows, max(1, FILE_CELLS // k))
-        cells = F.explode(F.array(*(F.struct(F.lit(i).alias("vi"), F.col(f"c{i}").alias("v")) for i in range(k)))).alias("e")
-        long = rows.select("rid", *marks, cells).select("e.vi", "e.v", "rid", *marks).where(F.col("v").isNotNull())
-        ranges = max(2 * spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(rows.count() * k / RANGE_ROWS)))
-        # The row number parts equal values, so that one value may fill many ranges.
-        ranked = long.repartitionByRange(ranges, "vi", "v", "rid").mapInArrow(
-            lambda it: _local_ranks(it, width), f"kind int, part int, vi int, v double, rid long, {', '.join(f'r{c} double' for c in range(width))}, edge array<double>")
-        ranked = tables.keep(ranked)
+    with Scratch() as tables, small_scans(spark, SPLIT_BYTES), brief_shuffles(spark):
+        source = Scratch()
+        rows = num.select(F.monotonically_increasing_id().alias("rid"), *(col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)))
+        rows = source.keep(rows, max(1, FILE_CELLS // k), "zstd")
+        total = rows.count()
+        classes = presence_classes(missing, _twins(rows, missing))
+        width = max(classes) + 1
+        # One bit a class: the column that stands for it is there; class 0 is there in every row.
+        present = [F.lit(True), *(F.col(f"c{classes.index(c)}").isNotNull() for c in range(1, width))]
+        words = [sum((F.when(p, F.lit(1 << b)).otherwise(0) for b, p in enumerate(present[at:at + _BITS])), F.lit(0).cast("long")) for at in range(0, width, _BITS)]
+        has = [w.alias(f"has{n}") for n, w in enumerate(words)]
+        marks = [f"has{n}" for n in range(len(words))]
+
+        def range_count(cells: int) -> int:
+            return max(2 * spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(cells / RANGE_ROWS)))
+
+        kept = f"kind int, part int, vi int, rid long, mark tinyint, {', '.join(f'r{c} int' for c in range(width))}, edge array<double>"
+        together, ranked = max(1, STEP_CELLS // max(1, total)), []
+        for at in range(0, k, together):
+            step = range(at, min(at + together, k))
+            cells = F.explode(F.array(*(F.struct(F.lit(i).alias("vi"), F.col(f"c{i}").alias("v")) for i in step))).alias("e")
+            long = rows.select("rid", *has, cells).select("e.vi", "e.v", "rid", *marks).where(F.col("v").isNotNull())
+            # The row number parts equal values, so that one value may fill many ranges.
+            found = long.repartitionByRange(range_count(total * len(step)), "vi", "v", "rid").mapInArrow(lambda it: _local_ranks(it, width), kept)
+            ranked.append(tables.keep(found, compression="zstd"))
+        source.drop()
+        ranked = reduce(DataFrame.unionByName, ranked)
         offsets, totals = _range_offsets(ranked.where("kind = 1").collect(), width)
         n = np.array([totals.get(i, np.zeros(width))[classes] for i in range(k)])
-        offsets = spark.createDataFrame(offsets, "part int, vi int, off array<double>, low double, at_low array<double>, high double, at_high array<double>")
+        # At most ranges + columns rows; a column's ranges are all of one step, so their numbers are its own.
+        offsets = spark.createDataFrame(offsets, "part int, vi int, off array<double>, at_low array<double>, at_high array<double>")
 
         def rank(c: int):
-            return (F.when(F.col("v") == F.col("low"), F.get("at_low", F.lit(c))).when(F.col("v") == F.col("high"), F.get("at_high", F.lit(c)))
-                    .otherwise(F.get("off", F.lit(c)) + F.col(f"r{c}"))).alias(f"r{c}")
-
-        # The offsets have at most ranges + columns rows.
-        back = ranked.where("kind = 0").join(F.broadcast(offsets), ["part", "vi"]).select("rid", "vi", *(rank(c) for c in range(width)))
-        sums = back.repartition(ranges, "rid").mapInArrow(lambda it: _pair_products(it, classes, (n + 1) / 2), "i int, j int, sab double, saa double, sbb double")
-        sums = sums.groupBy("i", "j").agg(F.sum("sab").alias("sab"), F.sum("saa").alias("saa"), F.sum("sbb").alias("sbb")).collect()
-    out = [(s.i, s.j, int(n[s.i, s.j]), float(s.sab), float(s.saa), float(s.sbb)) for s in sums if n[s.i, s.j] > 0]
+            return (F.when(F.col("mark") == 1, F.get("at_low", F.lit(c))).when(F.col("mark") == 2, F.get("at_high", F.lit(c)))
+                    .otherwise(F.get("off", F.lit(c)) + F.col(f"r{c}") / 2)).alias(f"r{c}")
+
+        steps, sums = max(1, math.ceil(total * k / STEP_CELLS)), {}
+        for step in range(steps):
+            mine = ranked.where("kind = 0")
+            if steps > 1:
+                mine = mine.where(F.pmod(F.xxhash64("rid"), F.lit(steps)) == step)
+            back = mine.join(F.broadcast(offsets), ["part", "vi"]).select("rid", "vi", *(rank(c) for c in range(width)))
+            back = back.repartition(range_count(math.ceil(total * k / steps)), "rid")
+            found = back.mapInArrow(lambda it: _pair_products(it, classes, (n + 1) / 2), "i int, j int, sab double, saa double, sbb double")
+            for s in found.groupBy("i", "j").agg(F.sum("sab").alias("sab"), F.sum("saa").alias("saa"), F.sum("sbb").alias("sbb")).collect():
+                sums[s.i, s.j] = sums.get((s.i, s.j), np.zeros(3)) + [s.sab, s.saa, s.sbb]
+    out = [(i, j, int(n[i, j]), *map(float, s)) for (i, j), s in sums.items() if n[i, j] > 0]
     return spark.createDataFrame(out, "i int, j int, n long, sab double, saa double, sbb double")
 
 

@@ -1,6 +1,7 @@
 """Correlation fixtures and brute-force cross-checks (Spearman, Kendall, p-values)."""
 
 import math
+import time
 import random
 
 import numpy as np
@@ -282,3 +283,39 @@ def test_tasks_that_deal_out_cells_do_not_follow_the_input(spark, monkeypatch):
     assert got == [(0, 1, 10_285)]
     assert dealt[0] == 12 and dealt[1] >= 40
     assert spark.conf.get(scan) == before
+
+
+def test_spearman_deals_out_a_bounded_number_of_cells_at_a_time(spark, monkeypatch):
+    """Steps of one column, then of some rows; no step's shuffle files outlive it; columns missing in the same rows share their ranks."""
+    monkeypatch.setattr(rank_correlation, "STEP_CELLS", 4_000, raising=False)
+    monkeypatch.setattr(rank_correlation, "RANGE_ROWS", 1_000)
+    df = spark.range(0, 3_000, 1, 4).selectExpr("id * 7919 % 977 as a", "if(id % 10 = 0, null, id % 31) as b", "if(id % 10 = 0, null, id * id % 13) as c",
+                                                "if(id % 10 = 3, null, id % 59) as d")
+    twins = rank_correlation._twins(df.toDF("c0", "c1", "c2", "c3"), [0, 300, 300, 300])
+    assert twins == {2: 1} and rank_correlation.presence_classes([0, 300, 300, 300], twins) == [0, 1, 1, 2]
+    dealt = {"repartitionByRange": [], "repartition": []}
+
+    def counting(method, counts):
+        def run(self, *args):
+            counts.append(self.count())
+            return method(self, *args)
+        return run
+
+    for name, counts in dealt.items():
+        monkeypatch.setattr(type(df), name, counting(getattr(type(df), name), counts))
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffled()
+    got = {(r.i, r.j): (r.n, r.sab / math.sqrt(r.saa * r.sbb)) for r in rank_correlation.spearman_sums(df, df.columns, [0, 300, 300, 300]).collect()}
+    assert dealt["repartitionByRange"] == [3_000, 2_700, 2_700, 2_700]
+    assert len(dealt["repartition"]) == 3 and sum(dealt["repartition"]) == 11_100 and max(dealt["repartition"]) < 4_300
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    rows = df.collect()
+    for i in range(4):
+        for j in range(i + 1, 4):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            x, y = (_avg_ranks(np.array([p[s] for p in both], float)) for s in (0, 1))
+            assert got[i, j] == (len(both), pytest.approx(float(np.corrcoef(x, y)[0, 1])))
