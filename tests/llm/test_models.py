@@ -216,3 +216,53 @@ def test_bare_words(monkeypatch):
     for row in (r for part in parts for r in part):
         got[row["word"]] = got.get(row["word"], 0) + row["n"]
     assert len(parts) > 5 and got == want
+
+
+def _topics(table, spark):
+    """Documents whose topic follows their number, the last one longer than 50,000 characters; a benchmark of one item."""
+    topics = [[f"{name}{k}" for k in range(30)] for name in ("near", "far", "long")]
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices(topics[k >= 4], k=60))) for k in range(80)] + [(80, " ".join(rng.choices(topics[2], k=12_000)))]
+    return table(rows), spark.createDataFrame([(1, "beta gamma alpha delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+
+
+def test_latent_space_comes_from_all_documents(table, spark, monkeypatch):
+    """Words that stand only in documents that a sample would leave out, or in a very long one, have their place in the space."""
+    monkeypatch.setattr(decontaminate, "SAMPLE_DOCS", 4)
+    monkeypatch.setattr(decontaminate, "bounded_sample", lambda ids, key, bound: ids.where(F.col(key) < bound))
+    docs, benchmark = _topics(table, spark)
+    index = decontaminate.build_index(docs.select("doc_id", "text"), benchmark)
+    for name in (b"near", b"far", b"long"):
+        places = [index.terms[w] for w in index.terms if w.startswith(name)]
+        assert len(places) == 30 and all(np.linalg.norm(index.space[places], axis=1) > 1e-3)
+
+
+@pytest.mark.parametrize("piece, held", [(8_192, 131_072), (100, 600)])
+def test_products_are_those_of_every_window(spark, table, odd_rows, monkeypatch, piece, held):
+    """As window by window; a text of more windows than a row holds goes over several rows."""
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    monkeypatch.setattr(decontaminate, "HELD_WINDOWS", held)
+    texts = [t or "" for _, t in odd_rows] + ["the the the the a the", "w " * 40, prose(5, 400), prose(6, 45), prose(7, 46)]
+    texts[9] = texts[9][:20_000]
+    known = [w for w in dict.fromkeys(w for t in texts for w in decontaminate.words_of(t)) if len(w) % 4]
+    terms = {w: k + 1 for k, w in enumerate(known)}
+    rng = np.random.default_rng(2)
+    idf, basis = rng.uniform(0.1, 5, len(terms) + 1).astype(np.float32), rng.standard_normal((len(terms) + 1, 5)).astype(np.float32)
+    lookup, want = decontaminate._Numbers(terms), np.zeros(basis.shape)
+    for text in texts:
+        numbers = lookup.of(text)
+        for a in decontaminate.window_starts(len(numbers), 45):
+            found, tf = np.unique(numbers[a:a + 45], return_counts=True)
+            weights = (tf * idf[found])[found > 0].astype(float)
+            found = found[found > 0]
+            if len(found):
+                weights /= np.sqrt((weights ** 2).sum())
+                want[found] += np.outer(weights, weights @ basis[found])
+    halves = [pa.record_batch([pa.array(range(len(part))), pa.array(part, pa.string())], ["doc_id", "text"]) for part in (texts[:8], texts[8:])]
+    rows = list(decontaminate._numbered(iter(halves), terms, idf, 45))
+    assert piece > 1_000 or sum(r.num_rows for r in rows) > 20
+    got = np.zeros(basis.shape)
+    for part in decontaminate._products(iter(rows), idf, basis):
+        for first, block in zip(part.column("first").to_pylist(), part.column("rows").to_pylist()):
+            got[first:first + decontaminate._BLOCK] = np.frombuffer(block, np.float32).reshape(-1, 5)
+    assert np.abs(got - want).max() <= 1e-5 * np.abs(want).max()
