@@ -237,6 +237,18 @@ def test_latent_space_comes_from_all_documents(table, spark, monkeypatch):
         assert len(places) == 30 and all(np.linalg.norm(index.space[places], axis=1) > 1e-3)
 
 
+def test_dropped_leaks_are_judged_in_a_space_of_all_documents(table, spark, monkeypatch):
+    """The pipeline's stage: the space that its rows are held against knows every document, and the one with the item goes."""
+    monkeypatch.setattr(decontaminate, "bounded_sample", lambda ids, key, bound: ids.where(F.col(key) < 4))
+    docs, benchmark = _topics(table, spark)
+    leak = docs.where("doc_id = 7").withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.concat("text", F.lit(" beta gamma alpha delta epsilon zeta eta theta iota kappa")))
+    built, build = [], decontaminate.build_indexes
+    monkeypatch.setattr(decontaminate, "build_indexes", lambda *args: (built.append(index) or index for index in build(*args)))
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs.unionByName(leak), benchmark).collect()} == set(range(81))
+    places = [n for w, n in built[0].terms.items() if w.startswith((b"far", b"long"))]
+    assert len(places) == 60 and all(np.linalg.norm(built[0].space[places], axis=1) > 1e-3)
+
+
 @pytest.mark.parametrize("piece, held", [(8_192, 131_072), (100, 600)])
 def test_products_are_those_of_every_window(spark, table, odd_rows, monkeypatch, piece, held):
     """As window by window; a text of more windows than a row holds goes over several rows."""
